@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import LOWER, UPPER, row_key
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what lies between words, after lower-casing
 WINDOW, RAREST, BROADCAST_ROWS = 10, 2, 500_000
 
 
@@ -34,7 +34,8 @@ def lower_ascii(c: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
+    """Words in order. Splitting at what lies between them is several times faster than matching them."""
+    return F.coalesce(F.array_remove(F.split(lower_ascii(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def sized(df: DataFrame) -> DataFrame:
