@@ -11,7 +11,7 @@ where arcs of u were when it was made. Looking an arc up walks these two chains
 is then kept in the transition table.
 
 Encoding: each prefix of a word has one path; the path of a longer prefix ends with the one token whose arc
-leaves the state of a shorter one. Decoding emits the labels of the arcs.
+leaves the state of a shorter one, so a walk along arcs that reaches the end of a word is its encoding. Decoding emits the labels of the arcs.
 
 ``text`` null or empty: no tokens, empty decoded text. Words of any length are encoded whole; words up to
 ``WORD_CACHE`` characters are kept in a table of bounded size. Repeated rows give repeated rows.
@@ -19,10 +19,9 @@ leaves the state of a shorter one. Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
-from operator import itemgetter
+from hashlib import md5, sha256
 from pathlib import Path
 
 import pyarrow as pa
@@ -33,10 +32,8 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 250_000, 48, 600_000
+CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 500_000, 48, 600_000
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = regex.compile(f"[^{SPACE}]+")
-_SEPARATORS = regex.compile("[\\x1c-\\x1f]")
 _KEPT: dict[str, "Tokenizer"] = {}
 
 
@@ -72,7 +69,11 @@ class Automaton:
             self.left[uv], self.right[uv], self.made[uv] = a, b, m
             live[u + v] = uv
         self.live = live
-        self.longest = max((len(t.removesuffix(suffix)) if suffix else len(t) for t in live), default=0)
+        self.reach: dict[str, int] = {}  # the longest label that starts with these three symbols
+        for t in live:
+            for x in (t, t.removesuffix(suffix) if suffix else t):
+                if len(x) > 2:
+                    self.reach[x[:3]] = max(self.reach.get(x[:3], 3), len(x))
 
     def _walk(self, s: int, t: int) -> bool:
         """Whether the state behind token s has an arc t."""
@@ -98,47 +99,62 @@ class Automaton:
         return on
 
     def encode(self, word: str) -> list[int]:
-        """Token ids of one pre-split word, given in byte symbols."""
-        n, get, longest, arcs, has_arc = len(word), self.live.get, self.longest, self.arcs, self.has_arc
-        last, came = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            end = word[:i] if i < n else word + self.suffix
-            for j in range(i - 1, max(-1, i - 1 - longest), -1):  # just one of these has a path: short ones first
-                t = get(end[j:])
-                if t is None:
-                    continue
-                if j:
-                    s = last[j]
-                    on = arcs.get(s << 24 | t)
-                    if s < 0 or not (has_arc(s, t) if on is None else on):
-                        continue
-                last[i], came[i] = t, j
-                break
-        if n and last[n] < 0:
-            raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = came[i]
-        return out[::-1]
+        """Token ids of one pre-split word, given in byte symbols: a walk that tries long labels first.
+
+        A prefix has one path, so a place from which no walk reaches the end is dead for good.
+        """
+        n, get, reach, arcs, has_arc = len(word), self.live.get, self.reach.get, self.arcs, self.has_arc
+        if not n:
+            return []
+        whole = word + self.suffix
+        t = get(whole)
+        if t is not None:
+            return [t]
+        dead, walk, at, last, size = bytearray(n + 1), [], 0, -1, min(reach(word[:3], 2), n)
+        while True:
+            while size:
+                end = at + size
+                if not dead[end]:
+                    t = get(word[at:end] if end < n else whole[at:])
+                    if t is not None:
+                        if last < 0:
+                            break
+                        on = arcs.get(last << 24 | t)
+                        if has_arc(last, t) if on is None else on:
+                            break
+                size -= 1
+            if size:
+                walk.append((at, size, t))
+                if end == n:
+                    return [x[2] for x in walk]
+                at, last, size = end, t, reach(word[end : end + 3], 2)
+                if size > n - end:
+                    size = n - end
+                continue
+            dead[at] = 1
+            if not walk:
+                raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
+            at, size, _ = walk.pop()
+            size, last = size - 1, walk[-1][2] if walk else -1
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-class _Words(dict):
-    """Chunk without white space -> (ids, ids as text, labels as text), of bounded size."""
+class _Pieces(dict):
+    """Pre-split word -> (its ids as text, the labels of its arcs as text), of bounded size."""
 
-    def __init__(self, of):
-        self.of = of
+    def __init__(self, automaton: Automaton, symbols: list[str]):
+        self.automaton, self.symbols = automaton, symbols
 
-    def __missing__(self, w):
-        ids = self.of(w)
-        entry = (ids, " ".join(map(str, ids)))
-        if len(w) <= WORD_CACHE:
+    def __missing__(self, p: str) -> tuple[str, str]:
+        a = self.automaton
+        ids = a.encode("".join(map(self.symbols.__getitem__, p.encode("utf-8"))))
+        entry = (" ".join(map(str, ids)), a.decode(ids))
+        if len(p) <= WORD_CACHE:
             if len(self) >= CACHED_WORDS:
                 self.clear()
-            self[w] = entry
+            self[p] = entry
         return entry
 
 
@@ -158,57 +174,35 @@ class Tokenizer:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pieces = j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pieces.replace("\\s", SPACE))
-        self.symbols = byte_symbols()
-        self.pieces = _Pieces(self)
-        self.words = _Words(self.chunk)
+        self.pieces = _Pieces(a, byte_symbols())
 
-    def piece(self, p: str) -> list[int]:
-        return self.automaton.encode("".join(map(self.symbols.__getitem__, p.encode("utf-8"))))
-
-    def chunk(self, w: str) -> list[int]:
-        found = self.split.findall(w)
-        get = self.pieces.__getitem__
-        return get(found[0]) if len(found) == 1 else [i for p in found for i in get(p)]
-
-    def chunks(self, text: str) -> list[tuple[list[int], str]]:
-        """An entry of ``words`` for each chunk of the text, in order."""
-        out = []
+    def entries(self, text: str) -> list[tuple[str, str]]:
+        """(ids, labels) as text of each piece, in order."""
+        out: list[tuple[str, str]] = []
         for k, part in enumerate(self.special.split(text) if self.special and "<|" in text else [text]):
             if k % 2:
-                i = self.added[part]
-                out.append(([i], str(i)))
+                out.append((str(self.added[part]), part))
                 continue
-            s = unicodedata.normalize("NFC", part)
+            s = part if part.isascii() else unicodedata.normalize("NFC", part)
             s = (s.replace("Σ", "σ") if "Σ" in s else s).lower()
-            out += map(self.words.__getitem__, _CHUNK.findall(s) if _SEPARATORS.search(s) else s.split())
+            out += map(self.pieces.__getitem__, self.split.findall(s))
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _ in self.chunks(text or "") for i in ids]
-
-    def digests(self, text: str | None) -> tuple[int, str, str, list]:
-        found = self.chunks(text or "")
-        ids = [i for e in found for i in e[0]]
-        said = " ".join(map(itemgetter(1), found))
-        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(self.automaton.decode(ids).encode()).hexdigest(), ids
+        return [int(i) for e in self.entries(text or "") for i in e[0].split(" ")]
 
-
-class _Pieces(dict):
-    def __init__(self, tok: Tokenizer):
-        self.tok = tok
-
-    def __missing__(self, p):
-        ids = self.tok.piece(p)
-        if len(p) <= WORD_CACHE:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[p] = ids
-        return ids
+    def digests(self, text: str | None, with_ids: bool = True) -> tuple:
+        """Number of tokens, hashes of the ids and of the decoded text, and the ids (None if not asked for)."""
+        found = self.entries(text or "")
+        said = " ".join([e[0] for e in found])
+        decoded = " ".join([e[1] for e in found])
+        ids = list(map(int, said.split())) if with_ids else None
+        return said.count(" ") + 1 if found else 0, sha256(said.encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), ids
 
 
 def tokenizer(spec: str) -> Tokenizer:
     """The compiled tokenizer of a worker, compiled once."""
-    key = hashlib.md5(spec.encode()).hexdigest()
+    key = md5(spec.encode()).hexdigest()
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = Tokenizer(spec)
@@ -234,7 +228,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
-                n, ids_hex, text_hex, ids = zip(*map(tok.digests, b.column(at).to_pylist()), strict=True)
+                n, ids_hex, text_hex, ids = zip(*[tok.digests(t, with_ids) for t in b.column(at).to_pylist()], strict=True)
                 more = [pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names)
 
