@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe_automaton, decontaminate, paragraph_dedup, quality_rules, simhash
+from . import bpe_automaton, decontaminate, html_density, katz, language_id, paragraph_dedup, quality_rules, simhash, token_counts, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.removals(table(spark, sf_dir, "documents"))
 
@@ -24,6 +38,14 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_line(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order_of(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -55,5 +77,5 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_substring_dedup, op6_benchmark_decontamination, op9_bpe_encoding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash)}
 ORACLE_SQL = {"op6_benchmark_decontamination": OP6_SQL}
