@@ -79,7 +79,7 @@ def _bands(batches):
                     if line.count(b" ") + 1 >= MIN_WORDS or len(line.split()) >= MIN_WORDS:
                         key = h(line, 42)
                         if key not in done and len(line.split()) >= MIN_WORDS:
-                            if len(done) >= 1_000_000:  # texts met again only cost a row more
+                            if len(done) >= 300_000:  # texts met again only cost a row more
                                 done.clear()
                             done.add(key)
                             sets.append(shingle_set(line))
@@ -166,7 +166,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     keyed = some.select("text").mapInArrow(_bands, "k long, line long")
     buckets = spread(keyed, "k").sortWithinPartitions("k").mapInArrow(_buckets, "bucket long, line long").distinct()
     buckets = stage(buckets, "paragraph-buckets")
-    texts = _lines(some).select(F.col("line").alias("line2"), "t").join(stage(buckets.select(F.col("line").alias("line2")).distinct(), "paragraph-ids"), "line2", "left_semi").groupBy("line2").agg(F.min("t").alias("t"))
+    # both sides of the joins with text grow with the corpus: the same plan at every size
+    ids = stage(buckets.select(F.col("line").alias("line2")).distinct(), "paragraph-ids").hint("merge")
+    texts = _lines(some).select(F.col("line").alias("line2"), "t").join(ids, "line2", "left_semi").groupBy("line2").agg(F.min("t").alias("t"))
     texts = stage(texts, "paragraph-texts")
     with_text = buckets.join(texts, F.col("line") == F.col("line2")).select("bucket", "line", "t")
     links = spread(with_text, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "a long, b long")
@@ -189,7 +191,7 @@ def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     gone = stage(gone.select(F.col("rk").alias("__pg_rk2"), F.col("gone").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated")), "paragraph-gone")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__pg_gone", i)), "\n")
     new = F.when(F.size("__pg_gone") > 0, left).otherwise(F.col(text))
-    return docs.withColumn("__pg_rk", key).join(gone, F.col("__pg_rk") == F.col("__pg_rk2"), "left").withColumn("__pg_new", new)
+    return docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").withColumn("__pg_new", new)
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
