@@ -49,6 +49,7 @@ def features(text: str | None) -> np.ndarray | None:
     keep = on.copy()
     keep[1:] |= on[:-1]  # one space after each word
     c = np.where(on, c, np.uint32(32))[keep]
+    c = c[:-1] if c[-1] == 32 else c
     c = np.concatenate([np.array([32], np.uint32), c, np.array([32], np.uint32)])
     shift = np.uint32(32 - DIMS.bit_length() + 1)
     one = c * _A

@@ -118,7 +118,8 @@ def by_span(docs: DataFrame, sections: DataFrame, ranks: str, pattern: str) -> D
     said = spark.sparkContext.broadcast(Path(ranks).read_bytes())
     each = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "section"))).alias("parts")).withColumnRenamed("doc_id", "__id")
     some = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("rk"))
-    joined = some.join(each, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce(F.transform("parts", lambda p: p["start"].cast("long")), F.array().cast("array<bigint>")), F.coalesce(F.transform("parts", lambda p: p["end"].cast("long")), F.array().cast("array<bigint>")), F.coalesce(F.transform("parts", lambda p: p["section"].cast("string")), F.array().cast("array<string>")))
+    part = lambda k, kind: F.coalesce(F.transform("parts", lambda p: p[k].cast(kind)), F.array().cast(f"array<{kind}>")).alias(k)
+    joined = some.join(each, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", part("start", "bigint"), part("end", "bigint"), part("section", "string"))
 
     def f(batches):
         enc, size = encoder(said.value, pattern)
