@@ -91,8 +91,11 @@ class _Tree(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
+    html = html or ""
+    if (i := html.rfind("<!--")) >= 0 and html.find("-->", i) < 0:
+        html += "-->"  # a comment that is never closed goes on to the end
     t = _Tree()
-    t.feed(html or "")
+    t.feed(html)
     t.close()
     return t.root
 
