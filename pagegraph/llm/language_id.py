@@ -88,7 +88,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (w.slice(i, 256) for w in batches for i in range(0, w.num_rows, 256)):
             for t, la in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = features(t) if la in known else None
                 if v is not None:
@@ -146,8 +146,8 @@ def predict(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "t
 
     def f(batches):
         m = said.value
-        for b in batches:
-            a, s, u = zip(*[one(t, m) for t in b.column(2).to_pylist()], strict=True) if b.num_rows else ((), (), ())
+        for b in (w.slice(i, 256) for w in batches for i in range(0, w.num_rows, 256)):
+            a, s, u = zip(*[one(t, m) for t in b.column(2).to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.string()), pa.array(s, pa.float64()), pa.array(u, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return some.mapInArrow(f, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
