@@ -77,5 +77,14 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+#: The stored pages have one form, an article of a heading and paragraphs: for them SQL can state the text.
+OP3_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '<br>', ' ', 'g'), '</?(h1|p)>', chr(1), 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b),
+d AS (SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash)}
-ORACLE_SQL = {"op6_benchmark_decontamination": OP6_SQL}
+ORACLE_SQL = {"op3_html_extraction": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL}
