@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import one_decimal
-from .ordinal import exact_percentiles
+from .ordinal import exact_percentiles, global_ordinal
 
 POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99, "min": 0.0, "max": 1.0}
 MAX_ATTEMPTS = 5
@@ -123,8 +123,8 @@ def retry_expand(run: DataFrame, failures: DataFrame, exported: DataFrame, most:
     """run(idx, url) followed by failed pages with attempts left that are neither in it nor exported."""
     more = failures.where(F.col("attempts") < most).select("url").join(run.select("url"), "url", "left_anti").join(exported.select("url"), "url", "left_anti")
     last = run.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last"))
-    nth = F.row_number().over(Window.orderBy("url"))  # a retry list: pages that failed and left the map
-    return run.select("idx", "url").union(more.withColumn("n", nth).crossJoin(F.broadcast(last)).select((F.col("last") + F.col("n")).alias("idx"), "url"))
+    more = global_ordinal(more, [F.col("url")], "n")
+    return run.select("idx", "url").union(more.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("n")).alias("idx"), "url"))
 
 
 def pending_failures(failures: DataFrame, exported: DataFrame) -> DataFrame:

@@ -59,11 +59,10 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a folder of this machine only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
@@ -84,12 +83,6 @@ def sweep() -> None:
     _STAGED.clear()
 
 
-def drop_staged(df_path: str) -> None:
-    spark = _STAGED.pop(df_path, None)
-    if spark is not None:
-        _delete(spark, df_path)
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     at = f"{shared_dir(spark)}/pagegraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     _STAGED[at] = spark
