@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, stage
-from .common import grouped, row_key, spread, union_min
+from .common import arrow_map, grouped, row_key, spread, union_min
 from .components import connected_components
 
 MIN_WORDS, SHINGLE, SIMILAR = 20, 5, 0.8
@@ -163,15 +163,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     some = docs.select("rk", "doc_id", "text")
-    keyed = some.select("text").mapInArrow(_bands, "k long, line long")
-    buckets = spread(keyed, "k").sortWithinPartitions("k").mapInArrow(_buckets, "bucket long, line long").distinct()
+    keyed = some.select("text").transform(arrow_map, _bands, "k long, line long")
+    buckets = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, _buckets, "bucket long, line long").distinct()
     buckets = stage(buckets, "paragraph-buckets")
     # both sides of the joins with text grow with the corpus: the same plan at every size
     ids = stage(buckets.select(F.col("line").alias("line2")).distinct(), "paragraph-ids").hint("merge")
-    texts = _lines(some).select(F.col("line").alias("line2"), "t").join(ids, "line2", "left_semi").groupBy("line2").agg(F.min("t").alias("t"))
+    # equal paragraphs are one row a task before the shuffle, so a hot one doesn't meet in one task
+    texts = _lines(some).groupBy(F.col("line").alias("line2")).agg(F.min("t").alias("t")).join(ids, "line2", "left_semi")
     texts = stage(texts, "paragraph-texts")
     with_text = buckets.join(texts, F.col("line") == F.col("line2")).select("bucket", "line", "t")
-    links = spread(with_text, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "a long, b long")
+    links = spread(with_text, "bucket").sortWithinPartitions("bucket").transform(arrow_map, _verify, "a long, b long")
     comp = stage(connected_components(links), "paragraph-components")
     found = stage(_lines(some).select("line", "doc_id", "rk", "n").distinct(), "paragraph-places")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")).alias("first")
