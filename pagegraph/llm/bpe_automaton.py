@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .common import arrow_map
 
-CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 500_000, 48, 600_000
+CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 125_000, 48, 300_000
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _KEPT: dict[str, "Tokenizer"] = {}
 
@@ -142,21 +143,33 @@ class Automaton:
 
 
 class _Pieces(dict):
-    """Pre-split word -> (its ids as text, the labels of its arcs as text), of bounded size."""
+    """Pre-split word -> (its ids as text, the labels of its arcs as text).
+
+    Of bounded size, in two generations: what was not asked for while one filled up is forgotten.
+    """
 
     def __init__(self, automaton: Automaton, symbols: list[str]):
-        self.automaton, self.symbols = automaton, symbols
+        self.automaton, self.symbols, self.older = automaton, symbols, {}
 
     def __missing__(self, p: str) -> tuple[str, str]:
-        a = self.automaton
-        ids = a.encode("".join(map(self.symbols.__getitem__, p.encode("utf-8"))))
-        entry = (" ".join(map(str, ids)), a.decode(ids))
+        entry = self.older.get(p)
+        if entry is None:
+            a = self.automaton
+            ids = a.encode("".join(map(self.symbols.__getitem__, p.encode("utf-8"))))
+            entry = (" ".join(map(str, ids)), a.decode(ids))
         if len(p) <= WORD_CACHE:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[p] = entry
         return entry
 
+    def forget(self) -> None:
+        """Give the memory back: the worker goes on to other tasks."""
+        self.clear()
+        self.older = {}
+        self.automaton.arcs.clear()
+
 
 class Tokenizer:
     """What the JSON file of a word-level BPE tokenizer says: added tokens, NFC, lower case, split, merges."""
@@ -226,13 +239,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True
     def f(batches):
         tok = tokenizer(spec.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
                 n, ids_hex, text_hex, ids = zip(*[tok.digests(t, with_ids) for t in b.column(at).to_pylist()], strict=True)
                 more = [pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names)
+        tok.pieces.forget()
 
-    return docs.mapInArrow(f, schema)
+    return docs.transform(arrow_map, f, schema)
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

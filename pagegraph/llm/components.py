@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, stage
-from .common import union_min
+from .common import arrow_map, union_min
 
 
 def _thin(batches):
@@ -36,7 +36,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     ship(spark)
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = stage(edges.mapInArrow(_thin, "a long, b long").distinct(), "links")
+    edges = stage(edges, "links")  # so that no task runs two Python workers
+    edges = stage(edges.transform(arrow_map, _thin, "a long, b long").distinct(), "links")
     out: DataFrame | None = None
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))

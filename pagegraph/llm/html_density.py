@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.html import Node, parse
 from ..session import ship
+from .common import arrow_map
 
 BOILER_TAGS = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object dialog head menu".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -171,4 +172,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 texts = [main_text(h) for h in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return some.mapInArrow(f, f"page_id {at['page_id'].dataType.simpleString()}, url {at['url'].dataType.simpleString()}, text string, n_chars long")
+    return some.transform(arrow_map, f, f"page_id {at['page_id'].dataType.simpleString()}, url {at['url'].dataType.simpleString()}, text string, n_chars long")

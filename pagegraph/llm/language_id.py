@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import fold
+from .common import arrow_map, fold
 
 DIMS, SMOOTH, LANGUAGES, TRIALS, GAP = 1 << 14, 0.5, 200, 200, 0.1
 _LETTER: list[np.ndarray] = []
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([la] * len(at), pa.string()), pa.array(at), pa.array(v[at])], ["lang", "dim", "n"])
 
     known = frozenset(named)
-    rows = some.mapInArrow(count, "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("dim", "n")).alias("v")).collect()
+    rows = some.transform(arrow_map, count, "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("dim", "n")).alias("v")).collect()
     langs = sorted(r["lang"] for r in rows)
     if not langs:
         return {"langs": [], "code": None, "w": None, "bias": None, "weight": None}
@@ -150,4 +150,4 @@ def predict(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "t
             a, s, u = zip(*[one(t, m) for t in b.column(2).to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.string()), pa.array(s, pa.float64()), pa.array(u, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return some.mapInArrow(f, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return some.transform(arrow_map, f, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, stage
-from .common import grouped, row_key, spread, union_min, words_of
+from .common import arrow_map, grouped, row_key, spread, union_min, words_of
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS, BLOCK = 3, 42, 3, 4096
@@ -79,12 +79,12 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", n:
     at = docs.columns.index(text)
 
     def f(batches):
-        for b in batches:
+        for b in (w.slice(i, 256) for w in batches for i in range(0, w.num_rows, 256)):
             fp = pa.array(_fingerprints(b.column(at).to_pylist(), n).view(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-    return docs.mapInArrow(f, schema)
+    return docs.transform(arrow_map, f, schema)
 
 
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
@@ -225,8 +225,8 @@ def classes(prints: DataFrame) -> DataFrame:
     """prints(doc_id, fp) -> (fp, component_id, class_fp), a row for each distinct fingerprint."""
     ship(prints.sparkSession)
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps")
-    keyed = reps.select("fp").mapInArrow(_emit_keys, "k long, fp long")
-    links = spread(keyed, "k").sortWithinPartitions("k").mapInArrow(_link_groups, "a long, b long")
+    keyed = reps.select("fp").transform(arrow_map, _emit_keys, "k long, fp long")
+    links = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, _link_groups, "a long, b long")
     comp = connected_components(links)
     tops = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class_fp"))
     tops = stage(tops, "simhash-tops")

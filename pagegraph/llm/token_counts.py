@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import row_key
+from .common import arrow_map, row_key
 
 _KEPT: dict[int, tuple] = {}
 
@@ -104,7 +104,7 @@ def by_line(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array(np.concatenate(c).astype(np.int64)) for c in cols)], OUT)
 
     kind = some.schema["doc_id"].dataType.simpleString()
-    return some.mapInArrow(f, f"doc_id {kind}, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+    return some.transform(arrow_map, f, f"doc_id {kind}, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
 
 
 def by_span(docs: DataFrame, sections: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -143,4 +143,4 @@ def by_span(docs: DataFrame, sections: DataFrame, ranks: str, pattern: str) -> D
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (starts, ends, counts, crosses))], OUT[:6])
 
     kind = some.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(f, f"doc_id {kind}, section string, start long, end long, n_tokens long, n_crossing long")
+    return joined.transform(arrow_map, f, f"doc_id {kind}, section string, start long, end long, n_tokens long, n_crossing long")

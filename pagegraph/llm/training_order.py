@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, stage, stage_path
+from .common import arrow_map
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 1024, 8192, 6, 0x5EED
 
@@ -78,7 +79,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, encode=byte_ids, doc_id: st
                     done += n
 
     kind = some.schema["doc_id"].dataType.simpleString()
-    return some.mapInArrow(f, f"task int, nth long, doc_id {kind}, seq long, n_tokens int, payload binary")
+    return some.transform(arrow_map, f, f"task int, nth long, doc_id {kind}, seq long, n_tokens int, payload binary")
 
 
 def with_slots(seqs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
