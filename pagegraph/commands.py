@@ -100,5 +100,8 @@ def as_json(rows: DataFrame) -> DataFrame:
     return consolidate.json_rows(rows)
 
 
-def exit_code(n_urls: Column, n_missing: Column, n_stale: Column, complete: Column) -> Column:
-    return jobstate.run_outcome(n_urls, n_missing, n_stale, complete)
+def exit_code(mapped: DataFrame, merged: DataFrame, stale: DataFrame, complete: bool) -> DataFrame:
+    """One row with the code of a run over these pages."""
+    one = lambda df, n: df.agg(F.count("*").alias(n))
+    j = one(mapped, "urls").crossJoin(one(merged, "merged")).crossJoin(one(stale, "stale"))  # rows of one count each
+    return j.select(jobstate.run_outcome(F.col("urls"), F.col("merged"), F.col("urls") - F.col("merged"), F.col("stale"), F.lit(complete)).alias("code"))

@@ -135,7 +135,7 @@ def is_page_href(href: Column) -> Column:
 
 
 def is_http(url: Column) -> Column:
-    return strip(url).rlike("^https?://|^http")
+    return F.coalesce(strip(url).rlike("^https?://"), F.lit(False))
 
 
 def same_origin(a: Column, b: Column) -> Column:

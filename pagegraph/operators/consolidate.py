@@ -27,30 +27,37 @@ def toc(entries: DataFrame) -> DataFrame:
     return entries.select("idx", F.format_string("%d. [%s](#page-%d)", "idx", t, "idx").alias("line"))
 
 
+def _part(title_col, body_col):
+    """(contents line, anchored body) of an entry."""
+    t = strip(F.coalesce(title_col, F.lit("")))
+    t = F.when(t == "", F.col("stem")).otherwise(t)
+    line = F.format_string("%d. [%s](#page-%d)", "idx", t, "idx")
+    return line, F.concat(F.format_string('<a id="page-%d"></a>\n\n', "idx"), strip(body_col), F.lit("\n\n---\n"))
+
+
 def pieces(entries: DataFrame, title: str) -> DataFrame:
-    """The consolidated document as ordered rows (part, idx, text): fit for jobs of any length.
+    """The consolidated document as rows (part, idx, text), to be joined in that order: for jobs of any length.
 
-    Entries(idx, title, stem, body) without a body leave a gap in the numbers.
+    Entries(idx, title, stem, body) without a body leave a gap in the numbers; without entries there are no rows.
     """
-    spark = entries.sparkSession
-    good = entries.where("body is not null")
-    head = spark.createDataFrame([(0, 0, f"# {title}\n\n## Indice\n\n")], "part int, idx long, text string")
-    lines = toc(good).select(F.lit(1).alias("part"), F.col("idx").cast("long"), F.concat("line", F.lit("\n")).alias("text"))
-    body = good.select(F.lit(2), F.col("idx").cast("long"), F.concat(F.format_string('\n---\n\n<a id="page-%d"></a>\n\n', "idx"), strip(F.col("body")), F.lit("\n")))
-    return head.union(lines).union(body)
+    good = entries.where("body is not null").withColumn("idx", F.col("idx").cast("long"))
+    line, body = _part(F.col("title"), F.col("body"))
+    ends = good.agg(F.min("idx").alias("first"), F.count("*").alias("n")).where("n > 0")
+    head = ends.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("idx"), F.lit(f"# {title}\n\n## Indice\n\n").alias("text"))
+    rule = ends.select(F.lit(2), F.lit(0).cast("long"), F.lit("\n---\n\n"))
+    lines = good.select(F.lit(1), "idx", F.concat(line, F.lit("\n")))
+    bodies = good.crossJoin(F.broadcast(ends)).select(F.lit(3), "idx", F.concat(F.when(F.col("idx") == F.col("first"), "").otherwise("\n"), body))
+    return head.union(lines).union(rule).union(bodies)
 
 
 def document(entries: DataFrame, title: str, by: str | None = None) -> DataFrame:
-    """One text per job; raises nothing for an empty job, which has no row."""
+    """One text per job; an empty job has no row. For long jobs use ``pieces``."""
     keys = [by] if by else []
-    t = strip(F.coalesce("title", F.lit("")))
-    t = F.when(t == "", F.col("stem")).otherwise(t)
+    line, body = _part(F.col("title"), F.col("body"))
     good = entries.where("body is not null")
-    line = F.format_string("%d. [%s](#page-%d)", "idx", t, "idx")
-    body = F.concat(F.format_string('<a id="page-%d"></a>\n\n', "idx"), strip(F.col("body")))
     a = good.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("l"), body.alias("b")))).alias("x"), F.count("*").alias("n")).where("n > 0")
-    part = lambda k, sep: F.array_join(F.transform("x", lambda e: e[k]), sep)
-    return a.select(*keys, F.concat(F.lit(f"# {title}\n\n## Indice\n\n"), part("l", "\n"), F.lit("\n\n---\n\n"), part("b", "\n\n---\n\n"), F.lit("\n")).alias("document"))
+    part = lambda k: F.array_join(F.transform("x", lambda e: e[k]), "\n")
+    return a.select(*keys, F.concat(F.lit(f"# {title}\n\n## Indice\n\n"), part("l"), F.lit("\n\n---\n\n"), part("b")).alias("document"))
 
 
 def consolidated_name(flag, saved, guess, suffix: str = ".pdf"):

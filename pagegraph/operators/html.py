@@ -6,6 +6,7 @@ HTML needs a parser that Spark lacks, so these are Arrow-batched UDFs that see (
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,10 @@ from ..functions.text import slug
 
 # Where the content of a page may be, in order of preference.
 CONTENT_PLACES = ("#main-content", "#content", ".wiki-content", "article", "main")
-# Roots of a page tree.
-TREE_ROOTS = (".plugin_pagetree_children_list", ".plugin_pagetree", ".ia-splitter-left", ".acs-side-bar", "#children-section", "nav")
+# Roots of a page tree, in order; sections that list children; which of them are taken.
+TREE_ROOTS = (".plugin_pagetree", ".ia-splitter-left", "#page-tree", "#sidebar", "#children-section", "#main-content .childpages-macro")
+CHILD_SECTIONS = ("#children-section", ".childpages-macro", ".children-show-hide")
+TAKEN_SECTIONS = CHILD_SECTIONS[:2]
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -277,28 +280,58 @@ def link_counts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id").join(each, "page_id", "left").fillna(0)
 
 
+def _first(root: Node, place: str) -> Node | None:
+    """The first node at a place; a place may be inside another one."""
+    for part in place.split():
+        root = next((n for n in root.walk() if n is not root and _is(n, part)), None)
+        if root is None:
+            return None
+    return root
+
+
+def _own_item(n: Node | None) -> Node | None:
+    while n is not None and n.tag != "li":
+        n = n.up
+    return n
+
+
+def child_hrefs(html: str | None, url: str | None) -> list[str]:
+    """Links nested under the page's own item in a page tree, else those of its list of children.
+
+    The item is found by the page id in the page's meta element, else by a link to the page in either display
+    form. Each href comes once, in page order; links to the page itself don't count.
+    """
+    root, url = parse(html), url or ""
+    plain = lambda h: urldefrag(urljoin(url, h))[0]
+    where = urlsplit(url)
+    mine = {plain(url)}
+    if where.path.startswith("/display/public/"):
+        mine.add(plain(url.replace("/display/public/", "/display/", 1)))
+    elif where.path.startswith("/display/"):
+        mine.add(plain(url.replace("/display/", "/display/public/", 1)))
+    links_of = lambda n: [a.attrs["href"] for a in n.walk() if a.tag == "a" and a.attrs.get("href")]
+    trees = [t for t in (_first(root, place) for place in TREE_ROOTS) if t is not None]
+    pid = next((n.attrs.get("content") for n in root.walk() if n.tag == "meta" and n.attrs.get("name") == "ajs-page-id"), None)
+    own = [n for t in trees for n in t.walk() if pid and n.attrs.get("data-page-id") == pid] or [n for t in trees for n in t.walk() if n.tag == "a" and n.attrs.get("href") and plain(n.attrs["href"]) in mine]
+    item = _own_item(own[0]) if own else None
+    if item is not None:
+        inner = [h for n in item.walk() if n is not item and n.tag in ("li", "ul") for h in links_of(n) if plain(h) not in mine]
+        if inner:
+            return list(dict.fromkeys(inner))
+    at = lambda places: [n for n in root.walk() if any(_is(n, p) for p in places)]
+    if any(links_of(n) for n in at(CHILD_SECTIONS)):
+        return list(dict.fromkeys(h for n in at(TAKEN_SECTIONS) for h in links_of(n)))
+    return []
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _tree_children(html: pd.Series, page: pd.Series, href: pd.Series) -> pd.Series:
-    def one(h, pid, url):
-        root = parse(h)
-        for place in TREE_ROOTS:
-            for tree in (n for n in root.walk() if _is(n, place)):
-                items = [n for n in tree.walk() if n.tag == "li"]
-                own = lambda li: next((a for a in li.walk() if a.tag == "a" and a.attrs.get("href")), None)
-                at = next((li for li in items if pid and li.attrs.get("data-page-id") == pid), None)
-                at = at or next((li for li in items if (a := own(li)) is not None and a.attrs["href"] == url), None)
-                if at is not None:
-                    inner = [li for li in at.walk() if li.tag == "li" and li is not at]
-                    return [a.attrs["href"] for li in inner if (a := own(li)) is not None]
-        return []
-
-    return pd.Series([one(h, p, u) for h, p, u in zip(html, page, href, strict=True)])
+def _tree_children(html: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([child_hrefs(h, u) for h, u in zip(html, url, strict=True)])
 
 
 def tree_children(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, ord, href): links nested under the page's own tree item."""
-    kids = _tree_children("html", F.col("page_id").cast("string"), "url")
-    return pages.select("page_id", F.posexplode(kids).alias("ord", "href"))
+    """pages(page_id, url, html) -> (page_id, ord, href) of each page's children."""
+    return pages.select("page_id", F.posexplode(_tree_children("html", "url")).alias("ord", "href"))
 
 
 def asset_names(assets: DataFrame) -> DataFrame:

@@ -191,9 +191,9 @@ def run_totals(exported: DataFrame) -> DataFrame:
     return exported.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.avg("elapsed_seconds"), F.lit(0.0)).alias("mean_seconds"), F.count("*").alias("pages"))
 
 
-def run_outcome(n_urls: Column, n_missing: Column, n_stale: Column, complete: Column) -> Column:
-    """Exit code of a run: 1 without pages, 2 with missing or stale ones or an unfinished map, else 0."""
-    return F.when(n_urls == 0, 1).when((n_missing > 0) | (n_stale > 0) | ~complete, 2).otherwise(0)
+def run_outcome(n_urls: Column, n_merged: Column, n_missing: Column, n_stale: Column, complete: Column) -> Column:
+    """Exit code of a run: 1 without pages or outputs, 3 with missing or stale ones or an unfinished map, else 0."""
+    return F.when((n_urls == 0) | (n_merged == 0), 1).when((n_missing > 0) | (n_stale > 0) | ~complete, 3).otherwise(0)
 
 
 def net_stats(events: DataFrame, navigations: DataFrame) -> DataFrame:

@@ -116,26 +116,26 @@ def longest_streak(events: DataFrame, key: str, order: list[str], failed: Column
     return runs.groupBy(key).agg(F.max("n").alias("streak")).withColumn("tripped", F.col("streak") >= limit)
 
 
-MAX_TRIES, FAILED_STOP, TRANSIENT_CAP = 4, 2, 20.0
+# Attempts of a page in a round, attempts after which a failure ends it, pause step and cap.
+MAX_TRIES, FAILED_STOP, PAUSE_STEP, PAUSE_CAP = 4, 2, 4.0, 20.0
 
 
-def retry_outcome(attempts: DataFrame, key: str = "url") -> DataFrame:
+def retry_outcome(attempts: DataFrame, key: str = "url", most: int = MAX_TRIES) -> DataFrame:
     """attempts(key, ts, seq, outcome ok|blocked|transient|failed|timeout|permanent) -> how the page ended.
 
-    Blocked attempts repeat without using up a try; transient ones use a try and a pause of 4 s a try, at
-    most 20; the second failure stops; a timeout puts the page off; what comes after the end is not used.
+    Every attempt counts. A block, a transient error or the first failure is followed by another attempt, the
+    latter two after a pause that grows with the attempt; the last attempt, and a failure from the second on,
+    ends the page; a timeout puts it off to a later round. What comes after the end is not used.
     """
     e = ordered_events(attempts, key, ["ts", "seq"], "outcome")
-    zero = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("tries"), F.lit(0).alias("fails"), F.lit(0.0).alias("paused"))
+    zero = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("tries"), F.lit(0.0).alias("paused"))
 
     def step(s: Column, x: Column) -> Column:
-        o = x["outcome"]
-        tries = s["tries"] + F.when(o == "blocked", 0).otherwise(1)
-        fails = s["fails"] + F.when(o == "failed", 1).otherwise(0)
-        state = F.when(o == "ok", "done").when(o == "permanent", "failed").when(o == "timeout", "later").when((fails >= FAILED_STOP) | (tries >= MAX_TRIES), "failed").otherwise("pending")
-        pause = s["paused"] + F.when(o == "transient", F.least(F.lit(TRANSIENT_CAP), 4.0 * tries)).otherwise(0.0)
-        new = F.struct(state.alias("state"), tries.cast("int").alias("tries"), fails.cast("int").alias("fails"), pause.cast("double").alias("paused"))
-        return F.when(s["state"].isin("done", "failed", "later"), s).otherwise(new)
+        o, n = x["outcome"], s["tries"] + 1
+        over = (n >= most) | ((o == "failed") & (n >= FAILED_STOP))
+        state = F.when(o == "ok", "done").when(o == "permanent", "failed").when(o == "timeout", "later").when(over, "failed").otherwise("pending")
+        pause = s["paused"] + F.when(o.isin("transient", "failed") & ~over, F.least(F.lit(PAUSE_CAP), PAUSE_STEP * n)).otherwise(0.0)
+        return F.when(s["state"] != "pending", s).otherwise(F.struct(state.alias("state"), n.cast("int").alias("tries"), pause.cast("double").alias("paused")))
 
     return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
 

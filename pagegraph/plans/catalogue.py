@@ -550,15 +550,14 @@ _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'failed'
 
 @query(
     f"""WITH RECURSIVE {_TURNS}, s AS (
-SELECT user_id, CAST(0 AS BIGINT) AS r, 'pending' AS state, 0 AS tries, 0 AS fails, 0.0::DOUBLE AS paused FROM (SELECT DISTINCT user_id FROM events)
+SELECT user_id, CAST(0 AS BIGINT) AS r, 'pending' AS state, 0 AS tries, 0.0::DOUBLE AS paused FROM (SELECT DISTINCT user_id FROM events)
 UNION ALL
 SELECT t.user_id, t.r,
- CASE WHEN s.state <> 'pending' THEN s.state WHEN o = 'ok' THEN 'done' WHEN o = 'permanent' THEN 'failed' WHEN o = 'timeout' THEN 'later' WHEN s.fails + (o = 'failed')::INT >= 2 OR s.tries + (o <> 'blocked')::INT >= 4 THEN 'failed' ELSE 'pending' END,
- CASE WHEN s.state <> 'pending' THEN s.tries ELSE s.tries + (o <> 'blocked')::INT END,
- CASE WHEN s.state <> 'pending' THEN s.fails ELSE s.fails + (o = 'failed')::INT END,
- CASE WHEN s.state <> 'pending' OR o <> 'transient' THEN s.paused ELSE s.paused + least(20.0::DOUBLE, 4.0::DOUBLE * (s.tries + 1)) END
+ CASE WHEN s.state <> 'pending' THEN s.state WHEN o = 'ok' THEN 'done' WHEN o = 'permanent' THEN 'failed' WHEN o = 'timeout' THEN 'later' WHEN s.tries + 1 >= 4 OR (o = 'failed' AND s.tries + 1 >= 2) THEN 'failed' ELSE 'pending' END,
+ CASE WHEN s.state <> 'pending' THEN s.tries ELSE s.tries + 1 END,
+ CASE WHEN s.state <> 'pending' OR o NOT IN ('transient', 'failed') OR s.tries + 1 >= 4 OR (o = 'failed' AND s.tries + 1 >= 2) THEN s.paused ELSE s.paused + least(20.0::DOUBLE, 4.0::DOUBLE * (s.tries + 1)) END
 FROM s JOIN (SELECT *, {_OUTCOME} AS o FROM t) t ON t.user_id = s.user_id AND t.r = s.r + 1)
-SELECT user_id, state, tries, fails, paused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS z FROM s) WHERE z = 1"""
+SELECT user_id, state, tries, paused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS z FROM s) WHERE z = 1"""
 )
 def retry_outcome(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), F.expr(_OUTCOME).alias("outcome"))

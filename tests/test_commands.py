@@ -56,3 +56,9 @@ def test_changes(m):
         c.reexport(m, [0])
     assert [r["dir"] for r in c.reset(m, ["/a"]).collect()] == ["/b"]
     assert [r["url"] for r in c.failures(m).collect()] == ["https://h/c"]
+
+
+def test_exit_codes(spark):
+    t = lambda n: spark.range(n)
+    code = lambda *a: c.exit_code(*map(t, a[:3]), a[3]).first()[0]
+    assert [code(0, 0, 0, True), code(3, 0, 0, True), code(3, 3, 0, True), code(3, 2, 0, True), code(3, 3, 1, True), code(3, 3, 0, False)] == [1, 1, 0, 3, 3, 3]

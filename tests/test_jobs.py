@@ -178,9 +178,13 @@ def test_markdown_and_places(spark):
 
 def test_tree_children(spark):
     ship(spark)
-    page = '<nav><ul><li data-page-id="1"><a href="/r">r</a><ul><li><a href="/a">a</a></li><li><a href="/b">b</a></li></ul></li><li><a href="/c">c</a></li></ul></nav>'
-    df = spark.createDataFrame([(1, "/r", page), (2, "/c", page)], "page_id long, url string, html string")
-    assert [(r["page_id"], r["href"]) for r in html.tree_children(df).orderBy("page_id", "ord").collect()] == [(1, "/a"), (1, "/b")]
+    tree = '<div class="plugin_pagetree"><ul><li><a data-page-id="1" href="/r">r</a><ul><li><a href="/a">a</a></li><li><a href="/b#x">b</a></li><li><a href="/r">r</a></li></ul></li><li><a href="/display/public/K/c">c</a><ul><li><a href="/d">d</a></li></ul></li></ul></div>'
+    meta = '<meta name="ajs-page-id" content="1">'
+    section = '<div id="children-section"><a href="/s1">x</a><a href="/s1">x</a><a href="/s2">y</a></div>'
+    rows = [(1, "https://h/r", meta + tree), (2, "https://h/display/K/c#top", tree), (3, "https://h/other", tree + section), (4, "https://h/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r["page_id"], r["href"]) for r in html.tree_children(df).orderBy("page_id", "ord").collect()]
+    assert got == [(1, "/a"), (1, "/b#x"), (2, "/d"), (3, "/s1"), (3, "/s2")]
 
 
 def test_asset_names(spark):
@@ -193,7 +197,9 @@ def test_document(spark):
     df = spark.createDataFrame([(1, "Pagina A", "0001-a", "body a"), (2, " ", "0002-b", "body b"), (3, "C", "c", None)], "idx int, title string, stem string, body string")
     d = consolidate.document(df, "Job").first()[0]
     assert "## Indice" in d and "[Pagina A](#page-1)" in d and '<a id="page-2"></a>' in d and "[0002-b](#page-2)" in d and "page-3" not in d
-    assert consolidate.document(df.where("false"), "Job").count() == 0
+    assert consolidate.document(df.where("false"), "Job").count() == 0 == consolidate.pieces(df.where("false"), "Job").count()
+    assert d == '# Job\n\n## Indice\n\n1. [Pagina A](#page-1)\n2. [0002-b](#page-2)\n\n---\n\n<a id="page-1"></a>\n\nbody a\n\n---\n\n<a id="page-2"></a>\n\nbody b\n\n---\n'
+    assert d == "".join(r["text"] for r in consolidate.pieces(df, "Job").orderBy("part", "idx").collect())
 
 
 def test_csv_round_trip(spark, tmp_path):
