@@ -77,3 +77,12 @@ def format_duration(seconds: Column) -> Column:
     m = F.floor(s / 60)
     hours = F.format_string("%dh %dmin %ds", F.floor(m / 60), F.pmod(m, F.lit(60)), F.pmod(s, F.lit(60)))
     return F.when(seconds < 60, F.concat(one_decimal(seconds), F.lit("s"))).when(m < 60, F.format_string("%dmin %ds", m, F.pmod(s, F.lit(60)))).otherwise(hours)
+
+
+PATH_LEN = 240
+
+
+def path_problem(path: Column) -> Column:
+    """Why a relative output path is refused: it leaves its folder, or is too long; null if it is fine."""
+    away = F.startswith(path, F.lit("/")) | F.array_contains(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), "..")
+    return F.when(away, "traversal").when(F.length(path) > PATH_LEN, "too long")

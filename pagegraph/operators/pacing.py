@@ -91,18 +91,20 @@ STRIKE_AFTER, QUARANTINE, DEAD_AFTER = 3, 600.0, 3
 
 def exit_quarantine(events: DataFrame, key: str = "exit") -> DataFrame:
     """events(key, ts, seq, failed): three failures in a row make a strike, whose quarantine doubles each
-    time; three strikes drop the exit; a success clears both."""
-    e = ordered_events(events, key, ["ts", "seq"], "failed")
+    time; the third strike drops the exit; a success clears failures and strikes. ``penalty`` is the last
+    quarantine. The direct exit, of key null, is never quarantined."""
+    e = ordered_events(events.withColumn("failed", F.col("failed") & F.col(key).isNotNull()), key, ["ts", "seq"], "failed")
     zero = F.struct(F.lit(0).alias("fails"), F.lit(0).alias("strikes"), F.lit(0.0).alias("penalty"), F.lit(False).alias("dead"))
 
     def step(s: Column, x: Column) -> Column:
         strike = x["failed"] & (s["fails"] + 1 >= STRIKE_AFTER)
         strikes = F.when(strike, s["strikes"] + 1).when(x["failed"], s["strikes"]).otherwise(0)
+        dead = strikes >= DEAD_AFTER
         new = F.struct(
             F.when(strike | ~x["failed"], 0).otherwise(s["fails"] + 1).cast("int").alias("fails"),
             strikes.cast("int").alias("strikes"),
-            F.when(strike, QUARANTINE * F.pow(F.lit(2.0), (strikes - 1).cast("double"))).when(x["failed"], s["penalty"]).otherwise(0.0).alias("penalty"),
-            (strikes >= DEAD_AFTER).alias("dead"),
+            F.when(strike & ~dead, QUARANTINE * F.pow(F.lit(2.0), (strikes - 1).cast("double"))).otherwise(s["penalty"]).alias("penalty"),
+            dead.alias("dead"),
         )
         return F.when(s["dead"], s).otherwise(new)
 
@@ -158,9 +160,12 @@ def rank_probes(probes: DataFrame, unique_ip: bool = True) -> DataFrame:
 
 
 def earliest_exit(exits: DataFrame, current: int, n: int) -> DataFrame:
-    """exits(pos, wait): the one with the least wait, the next in circular order after ``current`` on ties."""
+    """exits(pos, wait [, dead]): the live one with the least wait, the next in circular order after ``current``
+    on ties; no row if none is left."""
+    if "dead" in exits.columns:
+        exits = exits.where("not dead")
     offset = F.pmod(F.col("pos") - current - 1, F.lit(n))
-    return exits.agg(F.min_by(F.struct("pos", "wait"), F.struct("wait", offset)).alias("e")).select("e.*")
+    return exits.agg(F.min_by(F.struct("pos", "wait"), F.struct("wait", offset)).alias("e")).where("e is not null").select("e.*")
 
 
 def round_robin(exits: DataFrame, current: int, n: int, groups: int) -> DataFrame:

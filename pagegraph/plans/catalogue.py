@@ -536,7 +536,7 @@ SELECT user_id, CAST(0 AS BIGINT) AS r, 0 AS fails, 0 AS strikes, 0.0::DOUBLE AS
 UNION ALL
 SELECT t.user_id, t.r, CASE WHEN s.dead THEN s.fails WHEN NOT bad OR s.fails + 1 >= 3 THEN 0 ELSE s.fails + 1 END,
  CASE WHEN s.dead THEN s.strikes WHEN NOT bad THEN 0 WHEN s.fails + 1 >= 3 THEN s.strikes + 1 ELSE s.strikes END,
- CASE WHEN s.dead THEN s.penalty WHEN NOT bad THEN 0.0::DOUBLE WHEN s.fails + 1 >= 3 THEN 600.0::DOUBLE * pow(2.0::DOUBLE, s.strikes) ELSE s.penalty END,
+ CASE WHEN NOT s.dead AND bad AND s.fails + 1 >= 3 AND s.strikes + 1 < 3 THEN 600.0::DOUBLE * pow(2.0::DOUBLE, s.strikes) ELSE s.penalty END,
  s.dead OR (bad AND s.fails + 1 >= 3 AND s.strikes + 1 >= 3)
 FROM s JOIN (SELECT *, event_type IN ('error', 'view', 'click') AS bad FROM t) t ON t.user_id = s.user_id AND t.r = s.r + 1)
 SELECT user_id, fails, strikes, penalty, dead FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS z FROM s) WHERE z = 1"""

@@ -107,10 +107,12 @@ def test_pacing(spark):
 
 
 def test_exit_quarantine(spark):
-    for n, want in ((2, (0.0, False)), (3, (600.0, False)), (6, (1200.0, False)), (9, (2400.0, True))):
+    for n, want in ((2, (0.0, False)), (3, (600.0, False)), (6, (1200.0, False)), (9, (1200.0, True))):
         df = spark.createDataFrame([("x", i, i, True) for i in range(n)], "exit string, ts long, seq long, failed boolean")
         r = pacing.exit_quarantine(df).first()
         assert (r["penalty"], r["dead"]) == want
+    direct = spark.createDataFrame([(None, i, i, True) for i in range(9)], "exit string, ts long, seq long, failed boolean")
+    assert pacing.exit_quarantine(direct).first()["dead"] is False
 
 
 def test_probe_rank(spark):

@@ -77,3 +77,8 @@ def test_errors(one):
     assert one("x" * 400, c.short_error) == "x" * 297 + "..."
     assert one("see https://a.b/C503 NOW\nCall log:\n1", c.headline) == "see <url> now"
     assert one("Wed, 21 Oct 2015 07:28:10 GMT", c.http_date_seconds) == 1445412490.0
+
+
+@pytest.mark.parametrize(("p", "want"), [("pages/a.pdf", None), ("../a", "traversal"), ("a/../../b", "traversal"), ("/etc", "traversal"), ("a\\..\\b", "traversal"), ("x" * 241, "too long"), ("a..b/c", None)])
+def test_paths(one, p, want):
+    assert one(p, t.path_problem) == want
