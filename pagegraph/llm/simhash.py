@@ -252,6 +252,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     prints = stage(prints.select("doc_id", "rk", "fp"), "simhash-prints")
     of = classes(prints.select("doc_id", "fp")).select(F.col("fp").alias("fp2"), "component_id", "class_fp")
     win = prints.join(of, F.col("fp") == F.col("fp2")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    win = win.groupBy("doc_id", "class_fp").agg(F.min("rk").alias("__pg_rk2")).select(F.col("doc_id").alias("__pg_id2"), "__pg_rk2")
-    one = docs.withColumn("__pg_rk", key).join(win, (F.col("__pg_rk") == F.col("__pg_rk2")) & F.col(doc_id).eqNullSafe(F.col("__pg_id2")))
+    win = win.groupBy("doc_id", "class_fp").agg(F.min("rk").alias("__pg_rk2")).select("__pg_rk2")
+    # the join's partitioning by row key serves the last step too: texts are dealt out once
+    one = docs.withColumn("__pg_rk", key).join(win, F.col("__pg_rk") == F.col("__pg_rk2"))
     return one.dropDuplicates(["__pg_rk", doc_id]).select(*docs.columns)
