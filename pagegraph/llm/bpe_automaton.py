@@ -11,7 +11,8 @@ where arcs of u were when it was made. Looking an arc up walks these two chains
 is then kept in the transition table.
 
 Encoding: each prefix of a word has one path; the path of a longer prefix ends with the one token whose arc
-leaves the state of a shorter one, so a walk along arcs that reaches the end of a word is its encoding. Decoding emits the labels of the arcs.
+leaves the state of a shorter one, so a walk along arcs that reaches the end of a word is its encoding.
+Decoding emits the labels of the arcs.
 
 ``text`` null or empty: no tokens, empty decoded text. Words of any length are encoded whole; words up to
 ``WORD_CACHE`` characters are kept in a table of bounded size. Repeated rows give repeated rows.
