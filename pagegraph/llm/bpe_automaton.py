@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ..session import ship
 from .common import arrow_map
 
-CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 125_000, 48, 300_000
+CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 160_000, 48, 300_000
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _KEPT: dict[str, "Tokenizer"] = {}
 
@@ -169,7 +169,6 @@ class _Pieces(dict):
         """Give the memory back: the worker goes on to other tasks."""
         self.clear()
         self.older = {}
-        self.automaton.arcs.clear()
 
 
 class Tokenizer:
