@@ -6,9 +6,7 @@ Unigrams. Counts r up to ``TURING`` are discounted by Good-Turing, d_r r / N; wh
 no discount in (0, 1], d_r is 1. One more event is put beside the N, so mass is left in any case; this mass
 is spread evenly over the unseen words, whose number is estimated from the words seen once and twice.
 
-Bigrams. The context of a token is the word before it, or the start. The ``CONTEXTS`` most frequent training
-words are contexts of their own and all others share one, so that what is known of contexts has a fixed size;
-the predicted words are not limited. P(w | u) = d_r r / (T(u) + 1) if the pair was seen r times, else
+Bigrams. The context of a token is the word before it, or the start; every word is a context of its own. P(w | u) = d_r r / (T(u) + 1) if the pair was seen r times, else
 a(u) P(w), with T(u) the training tokens in context u and a(u) the mass left over the unigram mass of words
 not seen in u: for each context the probabilities add up to exactly 1.
 
@@ -18,10 +16,15 @@ all and need no more traffic, however often they occur. Then all texts are read
 documents sends, for each partition of the n-grams, its packed (word, context, document, times) entries of
 all other pairs. A partition is keyed by the word, and for frequent words, whose counts are known to all, by word and
 context, so that no word meets in one task; an entry counts a document once, however often it repeats a pair.
-A partition sums its bigram counts (table *bigrams*), gives its share of every context's count classes and
-seen mass (table *contexts*), and for each document what does not depend on the discounts: sums of log r, how
-many seen tokens have r = 1..5, the unseen ones with their context. Contexts come to the driver, CONTEXTS + 2
-rows at most, discounts and backoff weights go out, and each block adds up its documents.
+A partition sums its bigram counts (table *bigrams*), gives its share of every frequent context's count classes
+and seen mass (table *contexts*), and for each document what does not depend on the discounts: sums of log r, how
+many seen tokens have r = 1..5, the unseen ones with their context. Frequent contexts come to the driver, CONTEXTS + 2
+rows at most, discounts and their backoff weights go out, and each block adds up its documents.
+
+``CONTEXTS`` only says which words are told to all tasks; it changes no score. T(u) of any other word is its own
+count, which the partition of the word knows: there each of its tokens pays log (T(u) + 1) for the token after it.
+Its seen pairs and the unseen tokens after it travel on to a partition keyed by the context, where its backoff
+weight is made and given to the documents.
 
 Edges: null or empty text is the end alone; null doc_ids belong to training; repeated rows count and are
 scored each; without training tokens all words are unseen and equally likely (one word assumed).
@@ -148,10 +151,9 @@ class _Known:
         self.h, self.c, self.uni = h[order], c[order], uni
         own = self.h != END
         n = len(h)
-        self.total = np.zeros(n + 2)  # training tokens of each context, of the shared one, of the start
+        self.total = np.zeros(n + 2)  # training tokens of each frequent context, 0 for all others, of the start
         self.total[:n] = np.where(own, self.c, 0)
         starts = float(self.c[~own].sum())
-        self.total[n] = uni.total - self.c.sum()
         self.total[n + 1] = starts
         self.pair, self.times = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # hot pairs, sorted, and their counts
 
@@ -164,20 +166,34 @@ class _Known:
 
 
     def contexts(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, their number among the frequent words, contexts, starts of documents)."""
+        """(tokens, their number among the frequent words, contexts, starts of documents).
+
+        A context is its number if it is frequent, len(h) + 1 for the start, else its hash.
+        """
         v = np.concatenate(docs)
         first = np.r_[0, np.cumsum([len(d) for d in docs])[:-1]]
         own = self.index(v)
-        u = np.empty(len(v), np.uint16)
-        u[1:] = own[:-1]
+        u = np.empty(len(v), np.uint64)
+        u[1:] = np.where(own < len(self.h), own.astype(np.uint64), v)[:-1]
         u[first] = len(self.h) + 1
         return v, own, u, first
 
+    def number(self, u: np.ndarray) -> np.ndarray:
+        """Number of each context; of those that are not frequent, len(h)."""
+        n = len(self.h)
+        return np.where(u > n + 1, n, u).astype(np.uint16)
+
+    def full(self, number: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Contexts from their numbers and the hashes of those that are not frequent."""
+        u = number.astype(np.uint64)
+        u[number == len(self.h)] = far
+        return u
+
     def hot(self, u: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Training count of each hot pair, 0 for others."""
         out = np.zeros(len(u), np.int64)
         if len(self.pair):
-            at = np.flatnonzero(own < len(self.h))
+            at = np.flatnonzero((own < len(self.h)) & (u <= len(self.h) + 1))
             key = pair_key(u[at], own[at])
             i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             out[at] = np.where(self.pair[i] == key, self.times[i], 0)
@@ -189,14 +205,14 @@ def pair_key(u: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(docs: DataFrame, said, parts: int) -> DataFrame:
-    """docs(held, text) -> (pair, c): training counts above TURING of frequent words after a context."""
+    """docs(held, text) -> (pair, c): training counts above TURING of frequent words after a frequent word or the start."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, some, size = said.value, [], 0
 
         def out():
             _, own, u, _ = known.contexts(some)
-            on = own < len(known.h)
+            on = (own < len(known.h)) & (u <= len(known.h) + 1)
             key, c = np.unique(pair_key(u[on], own[on]), return_counts=True)
             part = (key.astype(np.uint64) * _A >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
@@ -263,13 +279,13 @@ def _entries(known: _Known, parts: int, docs: list[tuple], kind) -> Iterator[tup
     v, own, u, first = known.contexts([d[2] for d in docs])
     n = len(known.h)
     hot = known.hot(u, own)
-    context = np.add.reduceat(np.log10(known.total[u] + 1) - np.log10(np.maximum(hot, 1)), first)
+    context = np.add.reduceat(np.log10(known.total[known.number(u)] + 1) - np.log10(np.maximum(hot, 1)), first)
     frequent = own < n
     base = np.add.reduceat(np.where(frequent, known.uni.base(known.c[np.minimum(own, n - 1)] if n else own), 0), first)
     sure = np.add.reduceat(frequent.astype(np.int64), first)
     cold = hot == 0
     v, own, u, doc, frequent = v[cold], own[cold], u[cold], doc[cold], frequent[cold]
-    part = np.where(frequent, (v * _A ^ u.astype(np.uint64) * _B) * _A >> np.uint64(11), v * _B >> np.uint64(11)) % np.uint64(parts)
+    part = np.where(frequent, (v * _A ^ u * _B) * _A >> np.uint64(11), v * _B >> np.uint64(11)) % np.uint64(parts)
     order = np.lexsort((u, v, part))  # stable: documents stay in order
     v, u, doc, part = v[order], u[order], doc[order], part[order]
     new_v = np.r_[True, (v[1:] != v[:-1]) | (part[1:] != part[:-1])][: len(v)]
@@ -285,7 +301,8 @@ def _entries(known: _Known, parts: int, docs: list[tuple], kind) -> Iterator[tup
         nv, nu = new_v[s], new_u[s]
         nu_at = np.flatnonzero(nu)
         nv_of_u = np.diff(np.r_[np.flatnonzero(nv[nu_at]), len(nu_at)]).astype(np.uint32)
-        yield int(p), TOKENS, pack(v[s][nv], small(nv_of_u), u[s][nu], small(np.diff(np.r_[nu_at, len(nu)])), doc[s], small(times[s]), np.array([trained], np.uint32))
+        each = u[s][nu]
+        yield int(p), TOKENS, pack(v[s][nv], small(nv_of_u), known.number(each), each[each > n + 1], small(np.diff(np.r_[nu_at, len(nu)])), doc[s], small(times[s]), np.array([trained], np.uint32))
     ids = pa.array([d[0] for d in docs], kind)
     sink = pa.BufferOutputStream()
     t = pa.RecordBatch.from_arrays([ids, pa.array([bool(d[1]) for d in docs]), pa.array(size.astype(np.int64)), pa.array(context), pa.array(base), pa.array(sure)], ["doc_id", "held", "n", "context", "base", "known"])
@@ -320,7 +337,7 @@ def _emit(said, parts: int):
 
 
 SHARE = "kind int, u int, m array<double>, chunk long, load binary"
-CONTEXT, SUMS, TABLE, DOC_TABLE = 0, 1, 2, 3
+CONTEXT, SUMS, TABLE, DOC_TABLE, FAR, BACK = 0, 1, 2, 3, 4, 5
 
 
 def _context_rows(u: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
@@ -332,7 +349,7 @@ def _load_row(kind: int, chunk: int, load: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.float64())), pa.array([chunk], pa.int64()), pa.array([load], pa.binary())], ["kind", "u", "m", "chunk", "load"])
 
 
-def _partition(said):
+def _partition(said, far_parts: int):
     """Bigram counts of a partition; its share of contexts and of documents' sums."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,16 +365,16 @@ def _partition(said):
                     else:
                         blocks.append((chunks[int(i)].as_py(), unpack(load)))
                 if blocks:
-                    yield from _evaluate(known, n, blocks)
+                    yield from _evaluate(known, n, blocks, far_parts)
 
     return f
 
 
-def _evaluate(known: _Known, n: int, blocks: list) -> Iterator[pa.RecordBatch]:
+def _evaluate(known: _Known, n: int, blocks: list, far_parts: int) -> Iterator[pa.RecordBatch]:
     pv, pu, pr = [], [], []  # pairs of each block with their training times
-    for _, (v, nv, u, nu, doc, times, trained) in blocks:
+    for _, (v, nv, u, far, nu, doc, times, trained) in blocks:
         pv.append(np.repeat(v, nv))
-        pu.append(u)
+        pu.append(known.full(u, far))
         pr.append(np.add.reduceat(np.where(doc < trained[0], times, 0).astype(np.int64), np.r_[0, np.cumsum(nu)[:-1]].astype(np.int64)))
     v, u, r = np.concatenate(pv), np.concatenate(pu), np.concatenate(pr)
     order = np.lexsort((u, v))
@@ -375,8 +392,10 @@ def _evaluate(known: _Known, n: int, blocks: list) -> Iterator[pa.RecordBatch]:
     each = np.diff(np.r_[vat, len(v)])
     c, rare = np.repeat(c, each), np.repeat(own >= n, each)  # base and known of frequent words are with the documents
     seen = r > 0
-    yield _load_row(TABLE, 0, pack(v[vat][here > 0], u[seen], small(r[seen]), small(np.add.reduceat(seen.astype(np.int64), vat)[here > 0])))
+    yield _load_row(TABLE, 0, pack(v[vat][here > 0], known.number(u[seen]), u[seen & (u > n + 1)], small(r[seen]), small(np.add.reduceat(seen.astype(np.int64), vat)[here > 0])))
     p1, base = known.uni.p(c), np.where(rare, known.uni.base(c), 0)
+    after = np.where(rare, np.log10(c + 1), 0)  # log (T + 1) of the context that the word is for the next token
+    far, full, u = u > n + 1, u, known.number(u)
     shares = np.zeros((TURING + 3, n + 2))
     for k in range(1, TURING + 2):
         shares[k - 1] = np.bincount(u[r == k], minlength=n + 2)
@@ -386,16 +405,69 @@ def _evaluate(known: _Known, n: int, blocks: list) -> Iterator[pa.RecordBatch]:
     if len(has):
         yield _context_rows(has, shares[:, has].T)
     log_r, log_p = np.log10(np.maximum(r, 1)), np.log10(p1)
-    end = 0
-    for chunk, (_, _, bu, nu, doc, times, _) in blocks:
+    end, asked = 0, []
+    for chunk, (_, _, bu, _, nu, doc, times, _) in blocks:
         mine = np.repeat(pair[end : end + len(bu)], nu)
         end += len(bu)
         ids, at = np.unique(doc, return_inverse=True)
         k, w = r[mine], times.astype(np.float64)
         add = lambda x: np.bincount(at, weights=x * w, minlength=len(ids))  # noqa: E731, B023
         by_r = [small(add(k == j)) for j in range(1, TURING + 1)]
-        unseen = k == 0
-        yield _load_row(SUMS, chunk, pack(small(np.diff(ids, prepend=0)), *(add(x).astype(np.float32) for x in (log_r[mine], base[mine], np.where(unseen, log_p[mine], 0))), small(add(rare[mine] & (c[mine] > 0))), *by_r, doc[unseen], u[mine][unseen], times[unseen]))
+        unseen, other = (k == 0) & ~far[mine], (k == 0) & far[mine]
+        asked.append((full[mine][other], np.full(int(other.sum()), chunk), doc[other], times[other]))
+        yield _load_row(SUMS, chunk, pack(small(np.diff(ids, prepend=0)), *(add(x).astype(np.float32) for x in (log_r[mine] - after[mine], base[mine], np.where(k == 0, log_p[mine], 0))), small(add(rare[mine] & (c[mine] > 0))), *by_r, doc[unseen], u[mine][unseen], times[unseen]))
+    yield from _far_rows((full[far & seen], r[far & seen], c[far & seen]), [np.concatenate(x) for x in zip(*asked, strict=True)], far_parts)
+
+
+def _far_rows(pairs: tuple, asked: list, parts: int) -> Iterator[pa.RecordBatch]:
+    """For each partition of contexts that are not frequent: (context, times, count of the word) of seen pairs and
+    (context, chunk, document, times) of unseen tokens."""
+
+    def dealt(cols):
+        part = (cols[0] * _B >> np.uint64(13)) % np.uint64(parts)
+        order = np.lexsort((cols[0], part))
+        return [x[order] for x in cols], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+
+    (pairs, p), (asked, a) = dealt(pairs), dealt(asked)
+    for i in range(parts):
+        s, t = slice(p[i], p[i + 1]), slice(a[i], a[i + 1])
+        if p[i] < p[i + 1] or a[i] < a[i + 1]:
+            u, r, c = (x[s] for x in pairs)
+            au, chunk, doc, times = (x[t] for x in asked)
+            yield _load_row(FAR, i, pack(u, small(r), small(c), au, chunk, doc, small(times)))
+
+
+def _far(said):
+    """FAR rows of a partition -> for each chunk of documents the backoff weights of its unseen tokens (BACK)."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni, d = said.value
+        for starts, (_, loads) in grouped(batches):
+            for s, e in zip(starts, np.r_[starts[1:], len(loads)], strict=True):
+                u, r, c, asked, chunk, doc, times = map(np.concatenate, zip(*(unpack(loads[int(i)].as_py()) for i in range(s, e)), strict=True))
+                if not len(asked):
+                    continue
+                on = np.isin(u, asked)
+                u, at = np.unique(u[on], return_inverse=True)
+                r, c = r[on].astype(np.int64), c[on].astype(np.int64)
+                add = lambda x: np.bincount(at, weights=x, minlength=len(u))  # noqa: E731, B023
+                total = add(r)
+                back = weight(total, add(np.where(r <= TURING, d[np.minimum(r, TURING)] * r, r)), add(uni.p(c)))
+                i = np.searchsorted(u, asked)
+                known = i < len(u)
+                known[known] = u[i[known]] == asked[known]  # a context without training tokens leaves all to the unigrams
+                if not known.any():
+                    continue
+                chunk, doc, gain = chunk[known], doc[known], back[i[known]] * times[known]
+                order = np.argsort(chunk, kind="stable")
+                chunk, doc, gain = chunk[order], doc[order], gain[order]
+                cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+                for x, y in zip(cut, np.r_[cut[1:], len(chunk)], strict=True):
+                    ids, at = np.unique(doc[x:y], return_inverse=True)
+                    load = pack(ids, np.bincount(at, weights=gain[x:y]))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk[x]], pa.int64()), pa.array([BACK], pa.int32()), pa.array([load], pa.binary())], ["chunk", "kind", "load"])
+
+    return f
 
 
 def _finish(said):
@@ -411,6 +483,10 @@ def _finish(said):
                 for i in range(s, e):
                     if i == table:
                         continue
+                    if kinds[int(i)].as_py() == BACK:
+                        doc, gain = unpack(loads[int(i)].as_py())
+                        score[doc] += gain
+                        continue
                     step, lr, b, lp, k, *rest = unpack(loads[int(i)].as_py())
                     ids = np.cumsum(step.astype(np.int64))
                     by_r, (doc, u, times) = rest[:TURING], rest[TURING:]
@@ -424,16 +500,23 @@ def _finish(said):
 
 
 def backoff(known: _Known, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 d_1..d_TURING, log10 of a(u) (T(u) + 1) for each context) from the contexts' shares.
+    """(d_0..d_TURING + 1, log10 of a(u) (T(u) + 1) for each frequent context) from the contexts' shares.
 
     m: for each context the pairs seen 1..TURING + 1 times, the tokens of pairs seen more than TURING times,
-    and the unigram mass of its words.
+    and the unigram mass of its words; row len(h) has the sums of all contexts that are not frequent, which count
+    for the discounts and have no weight.
     """
     d = turing(np.r_[0, m[:, : TURING + 1].sum(0)])
     r = np.arange(1, TURING + 1)
     kept = m[:, :TURING] @ (d[1 : TURING + 1] * r) + m[:, TURING + 1]
-    left = 1 - kept / (known.total + 1)
-    return np.log10(d[1 : TURING + 1]), np.log10(left / (1 - m[:, TURING + 2])) + np.log10(known.total + 1)
+    n = len(known.h)
+    kept[n] = m[n, TURING + 2] = 0
+    return d, weight(known.total, kept, m[:, TURING + 2])
+
+
+def weight(total: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 of a(u) (T(u) + 1) from T(u), the discounted counts of its pairs and the unigram mass of its words."""
+    return np.log10((1 - kept / (total + 1)) / (1 - mass)) + np.log10(total + 1)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -453,8 +536,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     known.pair, known.times = hot_pairs(pairs, HOT_PAIRS)
     said = spark.sparkContext.broadcast(known)  # 16 bytes for each of CONTEXTS words, 12 for each of HOT_PAIRS pairs
     parts = max(1, -(-(row["total"] - int(known.times.sum())) * 5 // 4 // PART_TOKENS))
+    far_parts = max(1, -(-(row["total"] - int(known.c.sum())) // PART_TOKENS))
     sent = some.transform(arrow_map, _emit(said, parts), ROW).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    shares = stage(sent.transform(arrow_map, _partition(said), SHARE), "katz-tables")
+    shares = stage(sent.transform(arrow_map, _partition(said, far_parts), SHARE), "katz-tables")
     sums = [F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(TURING + 3)]
     m = np.zeros((len(known.h) + 2, TURING + 3))
     t = shares.where(F.col("kind") == CONTEXT).groupBy("u").agg(*sums).toArrow()
@@ -465,8 +549,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     m[:, TURING] += np.bincount(u[known.times == TURING + 1], minlength=n)
     m[:, TURING + 1] += np.bincount(u, weights=known.times, minlength=n)
     m[:, TURING + 2] += np.bincount(u, weights=known.uni.p(known.c[own]), minlength=n) if len(u) else 0
-    told = spark.sparkContext.broadcast((*backoff(known, m), row["total"]))
-    rows = shares.where(F.col("kind").isin(SUMS, DOC_TABLE)).select("chunk", "kind", "load")
+    d, back = backoff(known, m)
+    told = spark.sparkContext.broadcast((np.log10(d[1 : TURING + 1]), back, row["total"]))
+    far = shares.where(F.col("kind") == FAR).select(F.col("chunk").cast("int").alias("part"), "load").repartitionById(far_parts, F.col("part"))
+    far = far.sortWithinPartitions("part").transform(arrow_map, _far(spark.sparkContext.broadcast((figures, d))), "chunk long, kind int, load binary")
+    rows = shares.where(F.col("kind").isin(SUMS, DOC_TABLE)).select("chunk", "kind", "load").union(far)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = some.schema["doc_id"].dataType.simpleString()
     return rows.repartition(max(n, 2 * parts // 3), "chunk").sortWithinPartitions("chunk").transform(arrow_map, _finish(told), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

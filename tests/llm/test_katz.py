@@ -82,6 +82,14 @@ def test_few_contexts_blocks_and_parts(docs, rows, monkeypatch):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize(("contexts", "part"), [(1, 2_000_000), (12, 400), (200, 100)])
+def test_every_word_is_its_own_context(docs, rows, monkeypatch, contexts, part):
+    monkeypatch.setattr(katz, "CONTEXTS", contexts)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "PART_TOKENS", part)
+    close(data(katz.score(docs)), [Plain(rows, 10**9).row(r) for r in rows])
+
+
 @pytest.mark.parametrize("hot", [0, 3, 10_000])
 def test_hot_pairs_change_nothing(spark, monkeypatch, hot):
     monkeypatch.setattr(katz, "HOT_PAIRS", hot)
