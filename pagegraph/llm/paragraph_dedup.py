@@ -11,6 +11,13 @@ Colliding buckets are compared as wholes and give a spanning forest of verified
 the square of a bucket. A bucket beyond ``BLOCK`` texts is dealt out as pairs of blocks, so that all its
 pairs are compared, in as many tasks.
 
+Then passages: in the texts that are left, every run of ``PASSAGE`` words (A-Z lower-cased, any white space
+between them) that occurs earlier, by doc_id, then position, is cut, wherever lines end, so that verbatim
+passages go that are made of short lines or lie within long ones. Only an occurrence in the same document that
+overlaps the first one stays. Documents are chosen by winnowing: of each window of PASSAGE words the least hash of
+its runs of ``MARK`` words is a mark, so two documents that share a window share a mark. Windows whose mark
+occurs once in all are not looked at again; the others are compared whole, by 64-bit hash.
+
 Edges: null text stays null; an empty or short document stays as it is; null doc_ids come after others; a
 document all of whose paragraphs go keeps its row with an empty text; rows that repeat a doc_id and text are
 one document, and their text is kept in each; n_chars, where present, is set anew for changed texts.
@@ -18,7 +25,10 @@ one document, and their text is kept in each; n_chars, where present, is set ane
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +39,7 @@ from .common import arrow_map, grouped, row_key, spread, union_min
 from .components import connected_components
 
 MIN_WORDS, SHINGLE, SIMILAR = 20, 5, 0.8
+PASSAGE, MARK = 51, 26
 BANDS, ROWS, BLOCK = 10, 3, 512
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,14 +196,121 @@ def repeated(docs: DataFrame) -> DataFrame:
     return places.groupBy("rk").agg(F.collect_set(cut).alias("gone"), F.count("*").alias("n_repeated"))
 
 
+def _words(text: str | None) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.array([h(x) for x in text.encode("utf-8", "surrogatepass").lower().split()] if text else [], np.uint64)
+
+
+def _doubled(x: np.ndarray, n: int, join) -> np.ndarray:
+    """join over each run of n values, by runs of doubled length; the last two may overlap."""
+    k = 1
+    while k < n:
+        step = min(k, n - k)
+        x = join(x[: max(0, len(x) - step)], x[step:])
+        k += step
+    return x
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * _P ^ (a >> np.uint64(29))) * _Q + b
+    return (x ^ x >> np.uint64(32)) * _P
+
+
+def _marks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of MARK words, least of them in each window of PASSAGE words)."""
+    runs = _doubled(w, MARK, _mix)
+    return runs, _doubled(runs, PASSAGE - MARK + 1, np.minimum)
+
+
+def _emit_marks(batches):
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256)
+            rk, mark, times = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = _words(t)
+                if len(w) >= PASSAGE:
+                    runs, least = _marks(w)
+                    m = np.unique(least)
+                    runs = np.sort(runs)
+                    mark.append(m)
+                    times.append(np.searchsorted(runs, m, side="right") - np.searchsorted(runs, m))
+                    rk.append(np.full(len(m), k, np.int64))
+            if rk:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mark).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(times).astype(np.int64))], ["mark", "rk", "times"])
+
+
+def _emit_windows(batches):
+    """rows (rk, text, marks) -> (window, rk, at) of the windows with one of the marks."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 64):
+            b = whole.slice(i, 64)
+            key, rk, at = [], [], []
+            for k, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                w = _words(t)
+                on = np.flatnonzero(np.isin(_marks(w)[1], m.values.to_numpy().view(np.uint64)))
+                key.append(_doubled(w, PASSAGE, _mix)[on])
+                rk.append(np.full(len(on), k, np.int64))
+                at.append(on)
+            if rk:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(at))], ["window", "rk", "at"])
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without_windows(text: str, starts: list[int]) -> str:
+    """text without the words of the windows that start at these words; of the white space around a cut the side
+    with more line ends stays, none at the ends of the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in _WORD.finditer(raw)]
+    gone = np.zeros(len(spans) + 1, np.int64)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, np.array(starts) + PASSAGE, -1)
+    gone = np.r_[0, np.cumsum(gone)[:-1] > 0, 0]
+    out, end = [], 0
+    for a, z in zip(np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1), strict=True):
+        left = raw[end if a == 0 else spans[a - 1][1] : spans[a][0]]
+        right = raw[spans[z - 1][1] : spans[z][0] if z < len(spans) else len(raw)]
+        out.append(raw[end : spans[a][0] - len(left)])
+        if a > 0 and z < len(spans):
+            out.append(max(left, right, key=lambda x: x.count(b"\n")))
+        end = spans[z - 1][1] + len(right)
+    return b"".join([*out, raw[end:]]).decode("utf-8", "surrogatepass")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """docs(rk, doc_id, text) -> (rk, starts: word positions of windows that occur earlier), changed rows only."""
+    ship(docs.sparkSession)
+    marks = stage(docs.select("rk", "text").transform(arrow_map, _emit_marks, "mark long, rk long, times long").distinct(), "passage-marks")
+    twice = marks.groupBy(F.col("mark").alias("mark2")).agg(F.sum("times").alias("n")).where("n > 1").select("mark2")
+    mine = marks.join(twice.hint("merge"), F.col("mark") == F.col("mark2"), "left_semi").groupBy(F.col("rk").alias("rk2")).agg(F.collect_set("mark").alias("marks"))
+    texts = docs.select("rk", "text").dropDuplicates(["rk"]).join(mine.hint("merge"), F.col("rk") == F.col("rk2")).select("rk", "text", "marks")
+    ids = docs.select(F.col("rk").alias("rk2"), "doc_id").distinct()
+    found = stage(texts.transform(arrow_map, _emit_windows, "window long, rk long, at long").join(ids, F.col("rk") == F.col("rk2")).select("window", "doc_id", "rk", "at"), "passage-windows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "at")).alias("first")
+    one = stage(found.groupBy(F.col("window").alias("window2")).agg(first, F.count("*").alias("n")).where("n > 1"), "passage-first")
+    later = (F.col("rk") != F.col("first.rk")) | (F.col("at") >= F.col("first.at") + PASSAGE)
+    return found.join(one, F.col("window") == F.col("window2")).where(later).groupBy("rk").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+
+
 def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with __pg_gone (null: no repeated paragraph), __pg_repeated and the text left, __pg_new."""
+    """docs with __pg_gone and __pg_starts (null: no repeated paragraph, passage), __pg_repeated and the text left, __pg_new."""
     key = row_key(F.col(doc_id), F.col(text))
     gone = repeated(docs.select(key.alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     gone = stage(gone.select(F.col("rk").alias("__pg_rk2"), F.col("gone").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated")), "paragraph-gone")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__pg_gone", i)), "\n")
     new = F.when(F.size("__pg_gone") > 0, left).otherwise(F.col(text))
-    return docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").withColumn("__pg_new", new)
+    docs = docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").withColumn("__pg_new", new)
+    docs = stage(docs, "paragraph-left")
+    starts = passages(docs.select(F.col("__pg_rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col("__pg_new").alias("text")))
+    starts = stage(starts.select(F.col("rk").alias("__pg_rk3"), F.col("starts").alias("__pg_starts")), "passage-starts")
+
+    @F.pandas_udf("string")
+    def cut(t: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([x if a is None else without_windows(x, a) for x, a in zip(t, at, strict=True)], dtype=object)
+
+    return docs.join(starts.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk3"), "left").withColumn("__pg_new", cut("__pg_new", "__pg_starts"))
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +321,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if c == text:
             return F.col("__pg_new").alias(c)
         if c == "n_chars":
-            return F.when(F.size("__pg_gone") > 0, F.length("__pg_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+            return F.when((F.size("__pg_gone") > 0) | F.col("__pg_starts").isNotNull(), F.length("__pg_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
     return out.select(*map(col, docs.columns))
@@ -212,7 +330,8 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_repeated, n_cut (long) and the text left, for every row of docs.
 
-    n_repeated counts the document's paragraphs that have a copy elsewhere, kept ones included.
+    n_repeated counts the document's paragraphs that have a copy elsewhere, kept ones included; n_cut the
+    paragraphs cut. Passages that are cut besides show in the text alone.
     """
     cut = _cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)

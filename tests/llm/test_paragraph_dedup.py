@@ -108,3 +108,54 @@ def test_columns_and_lengths(docs, clashing, empty):
     assert data(p.cut_repeats(empty)) == [] and data(p.removals(empty)) == []
     changed = {r["doc_id"]: r for r in out.collect() if r["doc_id"] in (1, 11)}
     assert all(r["n_chars"] == len(r["text"]) for r in changed.values())
+
+
+def wrapped(words, n):
+    return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
+def test_passages_of_short_lines_and_within_lines(spark):
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda k, n: [f"d{k}w{i}" for i in range(n)]
+    rows = [
+        (1, wrapped(own(1, 30) + passage, 9)),
+        (2, wrapped(own(2, 30) + passage + own(3, 30), 7)),  # short lines, other line ends
+        (3, " ".join(own(4, 200) + passage + own(5, 200))),  # within a long line
+        (4, " ".join(own(6, 40) + passage[:50] + own(7, 40))),  # 50 words stay
+        (5, " ".join(own(8, 40) + [w.upper() for w in passage[3:54]])),  # 51 go
+        (6, " ".join(["again"] * 70)),  # overlaps its first one up to word 51
+    ]
+    got = {r["doc_id"]: (r["text"] or "").split() for r in p.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1] == rows[0][1].split() and got[4] == rows[3][1].split()
+    assert got[2] == own(2, 30) + own(3, 30)
+    assert got[3] == own(4, 200) + own(5, 200)
+    assert got[5] == own(8, 40)
+    assert 51 <= len(got[6]) <= 70
+
+
+def test_windows_against_brute_force(spark):
+    r = random.Random(5)
+    pieces = [[f"q{k}x{i}" for i in range(r.choice([30, 55, 80]))] for k in range(6)]
+    rows = []
+    for i in range(30):
+        words = []
+        for _ in range(4):
+            words += [f"o{i}n{r.randrange(10**6)}" for _ in range(r.randrange(25))] + r.choice(pieces)
+        rows.append((i, "\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11))))
+    got = {x["doc_id"]: x["text"].split() for x in p.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    first, want = {}, {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 50):
+            j, at = first.setdefault(tuple(w[k : k + 51]), (i, k))
+            if j != i or k >= at + 51:
+                gone |= set(range(k, k + 51))
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    assert got == want
+
+
+def test_white_space_around_a_cut():
+    w = " ".join(f"w{i}" for i in range(51))
+    assert p.without_windows(f"a b\n\n{w} c", [2]) == "a b\n\nc"
+    assert p.without_windows(f" {w}\nc d", [0]) == "c d"
+    assert p.without_windows(f"a {w} ", [1]) == "a"
