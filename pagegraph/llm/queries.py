@@ -43,7 +43,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.order_of(table(spark, sf_dir, "documents"))
+    return training_order.order_of(table(spark, sf_dir, "documents"), training_order.bpe_ids(spark, BYTE_RANKS, public_tokenizers.PATTERN))
 
 
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Training-order materialisation: every sequence gets a global slot from a keyed permutation.
 
-Documents are cut into sequences of ``LENGTH`` token ids, the last one padded. The ids are the UTF-8 bytes of
-the text unless an encoder is given. Sequences are staged with the number of their task and their place in it,
+Documents are cut into sequences of ``LENGTH`` token ids, the last one padded. The registered query
+takes the ids of a BPE vocabulary; without an encoder they are the UTF-8 bytes of the text. Sequences are staged with the number of their task and their place in it,
 so ordinals 0 to N - 1 follow from one count a task and are the same however often a task is run again. A
 balanced Feistel network over the smallest even number of bits that holds N permutes the ordinals; values of
 N or more walk on along their cycle until they fall below N. Slots are dealt out by range to shards of
@@ -14,6 +14,7 @@ Null or empty text has no sequence. Repeated rows are sequences of their own. No
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, stage, stage_path
 from .common import arrow_map
+from .token_counts import encoder
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 1024, 8192, 6, 0x5EED
 
@@ -118,7 +120,20 @@ def resume(spark: SparkSession, at: str, slot: int, per_shard: int = PER_SHARD)
     return spark.read.parquet(at).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
 
 
-def order_of(docs: DataFrame) -> DataFrame:
+def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
+    """An encoder to ids of a byte-level BPE vocabulary, uint16 where they fit, else uint32."""
+    raw = Path(ranks).read_bytes()
+    said = spark.sparkContext.broadcast(raw)  # a vocabulary file of fixed size
+    most = max(int(x.split()[1]) for x in raw.splitlines() if x)
+    kind = np.uint16 if most < 2**16 else np.uint32
+
+    def encode(text: str) -> np.ndarray:
+        return np.array(encoder(said.value, pattern)[0].encode_ordinary(text), kind)
+
+    return encode
+
+
+def order_of(docs: DataFrame, encode=byte_ids) -> DataFrame:
     """Materialise in the shared folder -> slot, shard, record, doc_id, seq, n_tokens, payload_sha256."""
-    t = materialise(docs, stage_path(docs.sparkSession, "shards"))
+    t = materialise(docs, stage_path(docs.sparkSession, "shards"), encode=encode)
     return t.select("slot", "shard", "record", "doc_id", "seq", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("payload", 256).alias("payload_sha256"))

@@ -44,3 +44,20 @@ def test_other_encoders_and_edges(spark, docs, clashing, empty):
     assert all(len(r["payload"]) == 16 for r in s) and sum(r["n_tokens"] for r in s) == sum(len((r["text"] or "").split()) for r in docs.collect())
     assert data(to.order_of(empty)) == []
     assert to.order_of(clashing).count() == to.order_of(docs).count()
+
+
+def test_registered_query_holds_vocabulary_ids(spark, small):
+    import hashlib
+
+    from pagegraph.llm import queries
+    from pagegraph.llm.token_counts import encoder
+
+    enc, _ = encoder(open(queries.BYTE_RANKS, "rb").read(), queries.public_tokenizers.PATTERN)
+    want = []
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = np.array(enc.encode_ordinary(r["text"] or ""), np.uint16)
+        for k in range(0, len(ids), to.LENGTH):
+            part = ids[k : k + to.LENGTH]
+            want.append((r["doc_id"], k // to.LENGTH, len(part), hashlib.sha256(part.tobytes().ljust(2 * to.LENGTH, b"\0")).hexdigest()))
+    got = queries.op8_training_order(spark, small).select("doc_id", "seq", "n_tokens", "payload_sha256")
+    assert sorted(data(got)) == sorted(want)
