@@ -44,3 +44,17 @@ def test_other_queries_have_rows(spark, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_display_formats_keep_large_and_slow_pages(spark, tmp_path):
+    sizes = [50, 6_000, 359_999, 360_000, 1_048_576, 5_000_000]
+    rows = [(k * 10, f"https://h.example/en/p{k}", "x" * n) for k, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["filename"]: (r["size"], r["took"]) for r in catalogue.display_formats(spark, str(tmp_path)).collect()}
+    want = {}
+    for (i, _, html), n in zip(rows, sizes, strict=True):
+        s, m = n / 100, n // 100 // 60
+        size = f"{n:.1f} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB"
+        took = f"{s:.1f}s" if s < 60 else f"{m}min {n // 100 % 60}s" if m < 60 else f"{m // 60}h {m % 60}min {n // 100 % 60}s"
+        want[f"{i:04d}-page.pdf"] = size, took
+    assert got == want
