@@ -10,7 +10,7 @@ random codes by least distance. ``ambiguous`` flags rows whose two best codeword
 in score or where the predicted bits are nearer to another codeword.
 
 Learning reads all rows with a text and a non-null lang outside the held-out fold; what comes to the driver
-is one count vector per language, at most ``LANGUAGES`` of them (the most frequent). Null text, or text
+is one count vector per language, for every language of the table. Null text, or text
 without a letter, is ``und`` with score 0; so is everything if nothing was learned. Equal scores go to the
 language that sorts first; repeated rows get equal answers.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import arrow_map, fold
 
-DIMS, SMOOTH, LANGUAGES, TRIALS, GAP = 1 << 14, 0.5, 200, 200, 0.1
+DIMS, SMOOTH, TRIALS, GAP = 1 << 14, 0.5, 200, 0.1
 _LETTER: list[np.ndarray] = []
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -84,7 +84,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     ship(docs.sparkSession)
     some = docs.where((fold(F.col(doc_id)) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    named = [r["lang"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    named = [r["lang"] for r in some.select("lang").distinct().collect()]
 
     def count(batches):
         total: dict[str, np.ndarray] = {}

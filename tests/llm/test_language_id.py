@@ -47,3 +47,9 @@ def test_ambiguous_text_is_flagged():
     w = np.zeros((lid.DIMS, 1), np.float32)
     m = {"langs": ["a", "b"], "code": np.array([[1], [-1]]), "w": w, "weight": np.ones(1)}
     assert lid.decode(lid.features("any text"), m) == ("a", 0.5, True)
+
+
+def test_more_than_200_languages(spark):
+    rows = [(i, chr(0x4E00 + i // 4) * 8, f"l{i // 4}") for i in range(820)]
+    m = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m["langs"]) == 205
