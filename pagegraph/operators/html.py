@@ -149,56 +149,60 @@ def markdown(node: Node, assets: dict[str, str] | None = None) -> str:
             return f"[{t}]({assets.get(h, h)})"
         return body
 
-    def emit(x, depth: int) -> None:
-        run: list = []
-
-        def flush():
-            t = _joined(run, inline).strip()
-            if t:
-                out.append(t + "\n\n")
-            run.clear()
-
-        for k in x.kids:
-            if isinstance(k, str) or (k.tag not in BLOCKS and k.tag not in ("li", "tr", "td", "th", "details", "summary", "body", "html", "tbody", "thead", "main", "figure")):
-                run.append(k)
-                continue
-            flush()
-            if k.tag in RAW or depth > 400:
-                continue
-            label = k.attrs.get("data-pane-label") or k.attrs.get("data-label")
-            if label:
-                out.append(f"#### Aba: {label}\n\n")
-            if len(k.tag) == 2 and k.tag[0] == "h" and k.tag[1].isdigit():
-                t = _joined(k.kids, inline).strip()
-                if t:
-                    out.append("#" * int(k.tag[1]) + f" {t}\n\n")
-            elif k.tag == "hr":
-                out.append("---\n\n")
-            elif k.tag == "pre":
-                out.append(f"```\n{k.text().strip(chr(10))}\n```\n\n")
-            elif k.tag in ("ul", "ol"):
-                n = 0
-                for li in (y for y in k.kids if isinstance(y, Node) and y.tag == "li"):
-                    n += 1
-                    mark = "-" if k.tag == "ul" else f"{n}."
-                    t = markdown(li, assets).strip().replace("\n", "\n  ")
-                    out.append(f"{mark} {t}\n")
-                out.append("\n")
-            elif k.tag == "table":
-                rows = [[" ".join(c.text().split()) for c in r.kids if isinstance(c, Node) and c.tag in ("td", "th")] for r in k.walk() if r.tag == "tr"]
-                rows = [r for r in rows if r]
-                for i, r in enumerate(rows):
-                    out.append("| " + " | ".join(r) + " |\n")
-                    if i == 0:
-                        out.append("| " + " | ".join("---" for _ in r) + " |\n")
-                out.append("\n")
-            elif k.tag == "blockquote":
-                out.append("> " + markdown(k, assets).strip().replace("\n", "\n> ") + "\n\n")
+    def flush(run: list) -> None:
+        t = _joined(run, inline).strip()
+        if t:
+            out.append(t + "\n\n")
+        run.clear()
+
+    def emit(x) -> None:
+        todo: list = [(iter(x.kids), [])]
+        while todo:
+            kids, run = todo[-1]
+            for k in kids:
+                if isinstance(k, str) or (k.tag not in BLOCKS and k.tag not in ("li", "tr", "td", "th", "details", "summary", "body", "html", "tbody", "thead", "main", "figure")):
+                    run.append(k)
+                    continue
+                flush(run)
+                if k.tag in RAW:
+                    continue
+                label = k.attrs.get("data-pane-label") or k.attrs.get("data-label")
+                if label:
+                    out.append(f"#### Aba: {label}\n\n")
+                if len(k.tag) == 2 and k.tag[0] == "h" and k.tag[1].isdigit():
+                    t = _joined(k.kids, inline).strip()
+                    if t:
+                        out.append("#" * int(k.tag[1]) + f" {t}\n\n")
+                elif k.tag == "hr":
+                    out.append("---\n\n")
+                elif k.tag == "pre":
+                    out.append(f"```\n{k.text().strip(chr(10))}\n```\n\n")
+                elif k.tag in ("ul", "ol"):
+                    n = 0
+                    for li in (y for y in k.kids if isinstance(y, Node) and y.tag == "li"):
+                        n += 1
+                        mark = "-" if k.tag == "ul" else f"{n}."
+                        t = markdown(li, assets).strip().replace("\n", "\n  ")
+                        out.append(f"{mark} {t}\n")
+                    out.append("\n")
+                elif k.tag == "table":
+                    rows = [[" ".join(c.text().split()) for c in r.kids if isinstance(c, Node) and c.tag in ("td", "th")] for r in k.walk() if r.tag == "tr"]
+                    rows = [r for r in rows if r]
+                    for i, r in enumerate(rows):
+                        out.append("| " + " | ".join(r) + " |\n")
+                        if i == 0:
+                            out.append("| " + " | ".join("---" for _ in r) + " |\n")
+                    out.append("\n")
+                elif k.tag == "blockquote":
+                    out.append("> " + markdown(k, assets).strip().replace("\n", "\n> ") + "\n\n")
+                else:
+                    todo.append((iter(k.kids), []))  # no recursion: blocks nest as deep as they like
+                    break
             else:
-                emit(k, depth + 1)
-        flush()
+                flush(run)
+                todo.pop()
 
-    emit(node, 0)
+    emit(node)
     text = "".join(out)
     while "\n\n\n" in text:
         text = text.replace("\n\n\n", "\n\n")
