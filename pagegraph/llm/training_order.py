@@ -4,9 +4,9 @@ Documents are cut into sequences of ``LENGTH`` token ids, the last one padded. T
 takes the ids of a BPE vocabulary; without an encoder they are the UTF-8 bytes of the text. Sequences are staged with the number of their task and their place in it,
 so ordinals 0 to N - 1 follow from one count a task and are the same however often a task is run again. A
 balanced Feistel network over the smallest even number of bits that holds N permutes the ordinals; values of
-N or more walk on along their cycle until they fall below N. Slots are dealt out by range to shards of
-``PER_SHARD`` records of equal stride, in slot order: slot s is record s % PER_SHARD of shard s // PER_SHARD,
-so a reader can go on from any slot.
+N or more walk on along their cycle until they fall below N. Rows are sorted by slot and numbered in shards of
+``PER_SHARD`` records of equal size: slot s is record s % PER_SHARD of shard s // PER_SHARD. Shards are columns of
+Parquet rows, not files; a reader that goes on from a slot filters by them.
 
 Null or empty text has no sequence. Repeated rows are sequences of their own. No row is dropped.
 """
@@ -102,13 +102,13 @@ def with_slots(seqs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
 
 
 def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, encode=byte_ids) -> DataFrame:
-    """Write the shards under ``at``, one directory each, and return them as a table."""
+    """Write the rows under ``at`` as Parquet in slot order, with their shard, and return them as a table."""
     spark = docs.sparkSession
     seqs = stage(sequences(docs, length, encode), "order-sequences")
     placed, n = with_slots(seqs, key)
     shard = F.floor(F.col("slot") / per_shard)
     parts = max(1, -(-n // per_shard))
-    # as many ranges as shards at most; a range is sorted, so a shard is written as one run of records
+    # as many ranges as shards at most; a range is sorted, and a shard may lie in two
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.withColumn("shard", shard.cast("long")).withColumn("record", (F.col("slot") % per_shard).cast("int"))
     dealt.repartitionByRange(min(parts, most), "shard", "slot").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").parquet(at)
