@@ -16,9 +16,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at a time: texts differ in length, so a number of rows bounds nothing.
+BATCH_BYTES = 8 << 20
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
 _STAGED: dict[str, SparkSession] = {}
+_NAMED: dict[str, str] = {}
 
 
 def local_session(app: str = "pagegraph", cores: str = "*", **conf: str) -> SparkSession:
@@ -43,8 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application, and bound their batches by bytes."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":  # Spark's default; another value was asked for
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     with _LOCK:
         if sc.applicationId in _SHIPPED:
             return
@@ -68,6 +73,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _delete(spark: SparkSession, at: str) -> None:
     try:
+        if at in _NAMED:
+            spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop(at)}")
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -89,6 +96,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return at
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df``, dealt out by ``key`` already (by a join or an aggregation), to the shared folder in as many
+    buckets as the session's shuffles have and read it back: joins by the key that follow need no shuffle of this
+    side. The table's name lives as long as its files."""
+    spark = df.sparkSession
+    at = stage_path(spark, name)
+    _NAMED[at] = "pagegraph_" + at.rsplit("-", 1)[-1]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(parts, key).saveAsTable(_NAMED[at])
+    return spark.table(_NAMED[at])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
