@@ -1,22 +1,27 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line; those of ``MIN_WORDS`` words or more take part. Equal paragraphs are one text from
-the start. Distinct texts get MinHash values of their 5-word shingles (A-Z lower-cased), ``BANDS`` bands of
-``ROWS`` values each: at the similarity of 0.8 a pair meets in some band with probability
+Paragraphs are lines of ``MIN_WORDS`` words or more, as far as they have ``LONG`` words at most. Longer lines
+are cut into pieces, and lines with fewer words are joined to blocks, of more than 50 words each, at ends that
+follow from the words alone, so that what precedes a piece doesn't shift it for long. Equal paragraphs are one
+text from the start. Distinct texts get MinHash values of their 5-word shingles (A-Z lower-cased), ``BANDS``
+bands of ``ROWS`` values each: at the similarity of 0.8 a pair meets in some band with probability
 1 - (1 - 0.8^ROWS)^BANDS, 0.9992 here, and more above. Texts that meet are compared by exact Jaccard
 similarity of their shingle sets. Verified pairs form components; of each component the first paragraph (by
-doc_id, then position) stays and the others are cut out of their documents.
+doc_id, then position) stays and the others are cut out of their documents. Equality is by 64 bits for the joins
+and 128 bits for the cut: a paragraph whose 64 bits belong to two texts is left alone.
 
-Colliding buckets are compared as wholes and give a spanning forest of verified links, so nothing grows with
-the square of a bucket. A bucket beyond ``BLOCK`` texts is dealt out as pairs of blocks, so that all its
-pairs are compared, in as many tasks.
+Colliding buckets of up to ``BLOCK`` texts are compared as wholes and give a spanning forest of verified links.
+A larger bucket is not gathered: its members are compared with one of them, the pivot, each in its own row.
+Jaccard distance is a metric, so a member within 0.2 of the pivot needs no comparison but with members that lie
+between 0.2 and 0.4 from it, and only members beyond 0.2 are dealt out again, as pairs of blocks.
 
 Then passages: in the texts that are left, every run of ``PASSAGE`` words (A-Z lower-cased, any white space
-between them) that occurs earlier, by doc_id, then position, is cut, wherever lines end, so that verbatim
-passages go that are made of short lines or lie within long ones. Only an occurrence in the same document that
-overlaps the first one stays. Documents are chosen by winnowing: of each window of PASSAGE words the least hash of
-its runs of ``MARK`` words is a mark, so two documents that share a window share a mark. Windows whose mark
-occurs once in all are not looked at again; the others are compared whole, by 64-bit hash.
+between them) that occurs earlier, by doc_id, then position, is cut, wherever lines end. Only an occurrence in the
+same document that overlaps the first one stays. This is MinHash too, of similarity 1: of each window of PASSAGE
+words the least hash of its runs of ``MARK`` words is its only band, so two documents that share a window share
+it. Windows whose mark occurs once in all are not looked at again; the others are compared by 128 bits.
+
+Texts are dealt out by row key once, into a bucketed table that serves the later joins without a shuffle.
 
 Edges: null text stays null; an empty or short document stays as it is; null doc_ids come after others; a
 document all of whose paragraphs go keeps its row with an empty text; rows that repeat a doc_id and text are
@@ -26,20 +31,22 @@ one document, and their text is kept in each; n_chars, where present, is set ane
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ship, stage
-from .common import arrow_map, grouped, row_key, spread, union_min
+from ..session import ship, stage, stage_bucketed
+from .common import arrow_map, grouped, release, row_key, spread, union_min
 from .components import connected_components
 
-MIN_WORDS, SHINGLE, SIMILAR = 20, 5, 0.8
+MIN_WORDS, LONG, SHINGLE, SIMILAR = 20, 100, 5, 0.8
 PASSAGE, MARK = 51, 26
+PIECE, PIECE_MOST, BLOCK_END, PIECE_END = 51, 100, 2, 16
 BANDS, ROWS, BLOCK = 10, 3, 512
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,6 +54,49 @@ _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _pieces(words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(first word, number of words) of the pieces of a long line; each ends after a word whose hash is a multiple
+    of PIECE_END, or at PIECE_MOST words; a rest under PIECE words belongs to the piece before it."""
+    h, at, n = xxhash.xxh64_intdigest, 0, len(words)
+    while n - at >= 2 * PIECE:
+        end = at + PIECE
+        most = min(at + PIECE_MOST, n - PIECE)
+        while end < most and h(words[end - 1].lower()) % PIECE_END:
+            end += 1
+        yield at, end - at
+        at = end
+    yield at, n - at
+
+
+def paragraphs(text: str | None) -> list[tuple[int, int, bytes]]:
+    """(first word, number of words, text) of the paragraphs that take part, in order."""
+    if not text:
+        return []
+    h, out, at, block, size = xxhash.xxh64_intdigest, [], 0, [], 0
+    for line in [*_raw(text).split(b"\n"), None]:
+        words = line.split() if line is not None else []
+        if 0 < len(words) < MIN_WORDS:
+            block += words
+            size += 1
+            if len(block) >= PIECE and (len(block) >= PIECE_MOST or h(b" ".join(words).lower()) % BLOCK_END == 0):
+                out.append((at + len(words) - len(block), len(block), b" ".join(block)))
+                block = []
+        elif words or line is None:
+            if len(block) >= PIECE:
+                out.append((at - len(block), len(block), b" ".join(block)))
+            block = []
+            if 0 < len(words) <= LONG:
+                out.append((at, len(words), line))
+            elif words:
+                out += [(at + k, n, b" ".join(words[k : k + n])) for k, n in _pieces(words)]
+        at += len(words)
+    return out
+
+
 def shingle_set(line: bytes, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the line's shingles; a shorter line is one shingle."""
     h = xxhash.xxh64_intdigest
@@ -79,54 +129,130 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return key
 
 
+def _signed(x) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+class _Seen(set):
+    """Keys that a task has met; of bounded size: what is met again after it was forgotten costs a row more."""
+
+    def new(self, key: int) -> bool:
+        if key in self:
+            return False
+        if len(self) >= 300_000:
+            self.clear()
+        self.add(key)
+        return True
+
+
 def _bands(batches):
-    h = xxhash.xxh64_intdigest
-    done: set[int] = set()
+    h, seen = xxhash.xxh64_intdigest, _Seen()
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             sets, ids = [], []
             for t in whole.column(0).slice(i, 256).to_pylist():
-                for line in t.encode("utf-8", "surrogatepass").split(b"\n") if t else ():
-                    if line.count(b" ") + 1 >= MIN_WORDS or len(line.split()) >= MIN_WORDS:
-                        key = h(line, 42)
-                        if key not in done and len(line.split()) >= MIN_WORDS:
-                            if len(done) >= 300_000:  # texts met again only cost a row more
-                                done.clear()
-                            done.add(key)
-                            sets.append(shingle_set(line))
-                            ids.append(key)
+                for _, _, line in paragraphs(t):
+                    key = h(line, 42)
+                    if seen.new(key):
+                        sets.append(shingle_set(line))
+                        ids.append(key)
             if ids:
-                k = band_keys(sets).reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS))], ["k", "line"])
+                k = band_keys(sets).reshape(-1)
+                yield pa.RecordBatch.from_arrays([_signed(k), _signed(np.repeat(np.array(ids, np.uint64), BANDS))], ["k", "line"])
+
+
+def _emit_texts(batches):
+    h, seen = xxhash.xxh64_intdigest, _Seen()
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            ids, texts = [], []
+            for t in whole.column(0).slice(i, 256).to_pylist():
+                for _, _, line in paragraphs(t):
+                    key = h(line, 42)
+                    if seen.new(key):
+                        ids.append(key)
+                        texts.append(line)
+            if ids:
+                yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(texts, pa.binary())], ["line2", "t"])
+
+
+def _emit_places(batches):
+    """rows (rk, doc_id, text) -> a row for each paragraph."""
+    h = xxhash.xxh64_intdigest
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256)
+            rows, line, check, at, size = [], [], [], [], []
+            for r, t in enumerate(b.column(2).to_pylist()):
+                for k, n, x in paragraphs(t):
+                    rows.append(r)
+                    line.append(h(x, 42))
+                    check.append(h(x, 43))
+                    at.append(k)
+                    size.append(n)
+            if rows:
+                of = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([_signed(line), _signed(check), b.column(0).take(of), b.column(1).take(of), pa.array(at, pa.int32()), pa.array(size, pa.int32())], ["line", "check", "rk", "doc_id", "n", "size"])
+
+
+SMALL, LARGE = 0, 1
 
 
 def _buckets(batches):
-    """Members of each bucket of two texts or more, under the bucket's own hash: equal buckets are one."""
-    for starts, (_, lines) in grouped(batches):
-        x = lines.to_numpy()
-        size = np.diff(np.r_[starts, len(x)])
+    """Rows (k, line), sorted by k -> (kind, bucket, line) of buckets of two texts or more.
+
+    Small buckets go under their own hash, so that equal ones are one. Of a bucket beyond BLOCK no more than that is
+    held: its rows go on one by one, under k.
+    """
+    held, of, large = np.zeros(0, np.int64), None, False
+
+    def rows(kind: int, bucket, line) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(line), kind, np.int32)), pa.array(np.asarray(bucket).view(np.int64)), pa.array(line)], ["kind", "bucket", "line"])
+
+    def small(keys: np.ndarray, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Buckets that are whole."""
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[starts, len(keys)])
         two = starts[size == 2]
-        a, b = np.minimum(x[two], x[two + 1]), np.maximum(x[two], x[two + 1])
+        a, b = np.minimum(lines[two], lines[two + 1]), np.maximum(lines[two], lines[two + 1])
         a, b = a[a != b], b[a != b]
         ids = (a.view(np.uint64) * _P ^ b.view(np.uint64)) * _Q
-        bucket, line, left, right = [np.repeat(ids, 2)], [np.stack([a, b], 1).reshape(-1)], [np.zeros(2 * len(a), np.int32)], [np.zeros(2 * len(a), np.int32)]
+        bucket, line = [np.repeat(ids, 2)], [np.stack([a, b], 1).reshape(-1)]
         for s, n in zip(starts[size > 2], size[size > 2], strict=True):
-            g = np.unique(x[s : s + n])
-            if len(g) < 2:
-                continue
-            own = np.uint64(xxhash.xxh64_intdigest(g.tobytes()))
-            blocks = -(-len(g) // BLOCK)
-            for i in range(blocks):
-                for j in range(i, blocks):
-                    if blocks > 1 and i == j:
-                        continue  # compared within (i, i + 1) or (i - 1, i)
-                    some = np.concatenate([g[k * BLOCK : (k + 1) * BLOCK] for k in sorted({i, j})])
-                    bucket.append(np.full(len(some), own, np.uint64))
-                    line.append(some)
-                    left.append(np.full(len(some), i, np.int32))
-                    right.append(np.full(len(some), j, np.int32))
-        bucket = np.concatenate(bucket) ^ (np.concatenate(left).astype(np.uint64) << np.uint64(20) | np.concatenate(right).astype(np.uint64)) * _P
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.concatenate(line))], ["bucket", "line"])
+            g = np.unique(lines[s : s + n])
+            if len(g) > BLOCK:
+                yield rows(LARGE, np.full(len(g), keys[s], np.int64), g)
+            elif len(g) > 1:
+                bucket.append(np.full(len(g), xxhash.xxh64_intdigest(g.tobytes()), np.uint64))
+                line.append(g)
+        yield rows(SMALL, np.concatenate(bucket), np.concatenate(line))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+        first = int(np.searchsorted(k, of, side="right")) if of is not None else 0  # rows of the bucket that is open
+        if first:
+            if not large:
+                held = np.unique(np.r_[held, x[:first]])
+                large = len(held) > BLOCK
+                if large:
+                    yield rows(LARGE, np.full(len(held), of, np.int64), held)
+            else:
+                yield rows(LARGE, np.full(first, of, np.int64), x[:first])
+        if first == len(k):
+            continue
+        if of is not None and not large and len(held):
+            yield from small(np.full(len(held), of, np.int64), held)
+        last = max(first, int(np.searchsorted(k, k[-1])))  # the last bucket may go on
+        if last > first:
+            yield from small(k[first:last], x[first:last])
+        of, held = k[-1], np.unique(x[last:])
+        large = len(held) > BLOCK
+        if large:
+            yield rows(LARGE, np.full(len(held), of, np.int64), held)
+    if of is not None and not large and len(held):
+        yield from small(np.full(len(held), of, np.int64), held)
 
 
 def jaccard_links(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
@@ -154,7 +280,7 @@ def _verify(batches):
             g, first = np.unique(x[s:e], return_index=True)
             if len(g) < 2:
                 continue
-            lab = jaccard_links([shingle_set(texts[int(s + i)].as_py().encode("utf-8", "surrogatepass")) for i in first])
+            lab = jaccard_links([shingle_set(texts[int(s + i)].as_py()) for i in first])
             i = np.flatnonzero(lab != np.arange(len(g)))
             a.append(g[lab[i]])
             b.append(g[i])
@@ -162,43 +288,84 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _lines(some: DataFrame) -> DataFrame:
-    """(line, row columns, n, text) of paragraphs that take part; some(rk, doc_id, text)."""
-    each = some.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
-    long = F.size(F.filter(F.split("t", r"[ \t\n\x0b\f\r]+"), lambda w: w != "")) >= MIN_WORDS
-    return each.where((F.length("t") >= 2 * MIN_WORDS - 1) & long).select(F.xxhash64("t").alias("line"), "doc_id", "rk", "n", "t")
+@F.arrow_udf(T.DoubleType())
+def _similarity(x: pa.Array, y: pa.Array) -> pa.Array:
+    out = []
+    for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True):
+        a, b = shingle_set(a), shingle_set(b)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(both / (len(a) + len(b) - both))
+    return pa.array(out, pa.float64())
+
+
+def _large_links(large: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with the pivots, (bucket, line) of blocks to compare) of buckets beyond BLOCK; texts(line2, t)."""
+    large = stage(large.distinct(), "paragraph-large")
+    pivot = large.groupBy(F.col("bucket").alias("of")).agg(F.min("line").alias("pivot"), F.count("*").alias("size"))
+    pivot = pivot.join(texts, F.col("pivot") == F.col("line2")).select("of", "pivot", "size", F.col("t").alias("pt"))
+    near = large.join(texts, F.col("line") == F.col("line2")).join(pivot, F.col("bucket") == F.col("of"))
+    near = near.select("bucket", "line", "pivot", "size", _similarity("t", "pt").alias("s"))
+    near = stage(near, "paragraph-pivots")
+    links = near.where(F.col("line") != F.col("pivot")).where(F.col("s") >= SIMILAR - 1e-9).select(F.col("pivot").alias("a"), F.col("line").alias("b"))
+    # 0: linked to the pivot, 1: may be linked to such a member, 2: to none of them
+    far = F.when(F.col("s") >= SIMILAR - 1e-9, 0).when(F.col("s") >= 2 * SIMILAR - 1 - 1e-9, 1).otherwise(2)
+    dealt = near.withColumn("far", far)
+    size = dealt.groupBy(F.col("bucket").alias("of")).agg(F.count_if("far = 0").alias("n0"), F.count_if("far = 1").alias("n1"), F.count_if("far = 2").alias("n2")).where("n1 + n2 > 0")
+    dealt = dealt.join(size, F.col("bucket") == F.col("of")).where("far > 0 or n1 > 0")
+    blocks = [F.ceil(F.col(f"n{k}") / (BLOCK // 2)).cast("int") for k in range(3)]
+    own = F.pmod(F.xxhash64("line", F.lit(9)), F.greatest(F.lit(1), F.element_at(F.array(*blocks), F.col("far") + 1)))
+
+    def span(kind: int) -> Column:
+        """(kind, number) of each block of a kind."""
+        return F.when(blocks[kind] > 0, F.transform(F.sequence(F.lit(0), blocks[kind] - 1), lambda i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i")))).otherwise(F.array().cast("array<struct<kind:int,i:bigint>>"))
+
+    # of two kinds that need comparing, a block of each: 0 with 1, 1 with 1 and 2, 2 with 2
+    partners = F.when(F.col("far") == 0, span(1)).when(F.col("far") == 1, F.concat(span(0), span(1), span(2))).otherwise(F.concat(span(1), span(2)))
+    each = dealt.select("bucket", "line", F.struct(F.col("far").alias("kind"), own.alias("i")).alias("own"), F.explode(partners).alias("other"))
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    return links, each.select(pair.alias("bucket"), "line").distinct()
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs(rk, doc_id, text) -> (rk, gone: array of positions of paragraphs to cut), changed rows only."""
+    """docs(rk, doc_id, text) -> (rk, cuts: (first word, words) of paragraphs to cut, n_repeated, n_words of
+    paragraphs with a copy elsewhere), documents with such paragraphs only."""
     spark = docs.sparkSession
     ship(spark)
     some = docs.select("rk", "doc_id", "text")
     keyed = some.select("text").transform(arrow_map, _bands, "k long, line long")
-    buckets = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, _buckets, "bucket long, line long").distinct()
+    buckets = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, _buckets, "kind int, bucket long, line long").distinct()
     buckets = stage(buckets, "paragraph-buckets")
     # both sides of the joins with text grow with the corpus: the same plan at every size
-    ids = stage(buckets.select(F.col("line").alias("line2")).distinct(), "paragraph-ids").hint("merge")
-    # equal paragraphs are one row a task before the shuffle, so a hot one doesn't meet in one task
-    texts = _lines(some).groupBy(F.col("line").alias("line2")).agg(F.min("t").alias("t")).join(ids, "line2", "left_semi")
-    texts = stage(texts, "paragraph-texts")
-    with_text = buckets.join(texts, F.col("line") == F.col("line2")).select("bucket", "line", "t")
-    links = spread(with_text, "bucket").sortWithinPartitions("bucket").transform(arrow_map, _verify, "a long, b long")
-    comp = stage(connected_components(links), "paragraph-components")
-    found = stage(_lines(some).select("line", "doc_id", "rk", "n").distinct(), "paragraph-places")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")).alias("first")
-    one = found.groupBy("line").agg(first, F.count("*").alias("times")).join(comp, F.col("line") == F.col("node"), "left")
-    one = stage(one.where("times > 1 or component is not null").select("line", "first", F.coalesce("component", "line").alias("top")), "paragraph-classes")
+    ids = stage(buckets.select(F.col("line").alias("line3")).distinct(), "paragraph-ids").hint("merge")
+    texts = some.select("text").transform(arrow_map, _emit_texts, "line2 long, t binary").join(ids, F.col("line2") == F.col("line3"), "left_semi")
+    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts")
+    small = buckets.where(F.col("kind") == SMALL).select("bucket", "line")
+    large = buckets.where(F.col("kind") == LARGE).select("bucket", "line")
+    links = None
+    if large.limit(1).count():
+        links, more = _large_links(large, texts)
+        small = small.union(more)
+    with_text = small.join(texts, F.col("line") == F.col("line2")).select("bucket", "line", "t")
+    found = spread(with_text, "bucket").sortWithinPartitions("bucket").transform(arrow_map, _verify, "a long, b long")
+    comp = stage(connected_components(found if links is None else found.union(links)), "paragraph-components")
+    doc_kind = some.schema["doc_id"].dataType.simpleString()
+    places = stage(some.transform(arrow_map, _emit_places, f"line long, check long, rk long, doc_id {doc_kind}, n int, size int"), "paragraph-places")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")
+    one = places.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    one = one.join(comp, F.col("line") == F.col("node"), "left").where("lo = hi and (first <> last or component is not null)")
+    one = stage(one.select("line", "first", F.coalesce("component", "line").alias("top")), "paragraph-classes")
     least = one.groupBy(F.col("top").alias("top2")).agg(F.min("first").alias("least"))
     keep = one.join(least, F.col("top") == F.col("top2")).select(F.col("line").alias("line2"), F.col("least.rk").alias("rk2"), F.col("least.n").alias("n2"))
-    places = found.join(stage(keep, "paragraph-kept"), F.col("line") == F.col("line2"))
-    cut = F.when((F.col("rk") != F.col("rk2")) | (F.col("n") != F.col("n2")), F.col("n"))
-    return places.groupBy("rk").agg(F.collect_set(cut).alias("gone"), F.count("*").alias("n_repeated"))
+    twice = places.join(stage(keep, "paragraph-kept"), F.col("line") == F.col("line2"))
+    cut = F.when((F.col("rk") != F.col("rk2")) | (F.col("n") != F.col("n2")), F.struct("n", "size"))
+    every = F.collect_set(F.struct("n", "size"))
+    words = F.aggregate(every, F.lit(0).cast("long"), lambda x, p: x + p["size"])
+    return twice.groupBy("rk").agg(F.collect_set(cut).alias("cuts"), F.size(every).alias("n_repeated"), words.alias("n_words"))
 
 
 def _words(text: str | None) -> np.ndarray:
     h = xxhash.xxh64_intdigest
-    return np.array([h(x) for x in text.encode("utf-8", "surrogatepass").lower().split()] if text else [], np.uint64)
+    return np.array([h(x) for x in _raw(text).lower().split()] if text else [], np.uint64)
 
 
 def _doubled(x: np.ndarray, n: int, join) -> np.ndarray:
@@ -223,50 +390,54 @@ def _marks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_marks(batches):
+    """rows (rk, text) -> the marks of each text; again: a mark's run occurs twice in it."""
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             b = whole.slice(i, 256)
-            rk, mark, times = [], [], []
+            rk, mark, again = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = _words(t)
                 if len(w) >= PASSAGE:
                     runs, least = _marks(w)
-                    m = np.unique(least)
+                    m = np.unique(least[np.r_[True, least[1:] != least[:-1]]])
                     runs = np.sort(runs)
                     mark.append(m)
-                    times.append(np.searchsorted(runs, m, side="right") - np.searchsorted(runs, m))
+                    again.append(np.searchsorted(runs, m, side="right") - np.searchsorted(runs, m) > 1)
                     rk.append(np.full(len(m), k, np.int64))
             if rk:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mark).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(times).astype(np.int64))], ["mark", "rk", "times"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(mark)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(again))], ["mark", "rk", "again"])
 
 
 def _emit_windows(batches):
-    """rows (rk, text, marks) -> (window, rk, at) of the windows with one of the marks."""
+    """rows (rk, doc_id, text, marks) -> (two hashes, rk, doc_id, at) of the windows with one of the marks."""
     for whole in batches:
         for i in range(0, whole.num_rows, 64):
             b = whole.slice(i, 64)
-            key, rk, at = [], [], []
-            for k, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            rows, key, check, at = [], [], [], []
+            for r, (t, m) in enumerate(zip(b.column(2).to_pylist(), b.column(3), strict=True)):
                 w = _words(t)
                 on = np.flatnonzero(np.isin(_marks(w)[1], m.values.to_numpy().view(np.uint64)))
                 key.append(_doubled(w, PASSAGE, _mix)[on])
-                rk.append(np.full(len(on), k, np.int64))
+                check.append(_doubled(w * _Q ^ w >> np.uint64(31), PASSAGE, _mix)[on])
                 at.append(on)
-            if rk:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(at))], ["window", "rk", "at"])
+                rows.append(np.full(len(on), r))
+            if rows:
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(key)), _signed(np.concatenate(check)), b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(at).astype(np.int32))], ["window", "check", "rk", "doc_id", "at"])
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def without_windows(text: str, starts: list[int]) -> str:
-    """text without the words of the windows that start at these words; of the white space around a cut the side
+def without_words(text: str, cuts: list[tuple[int, int]]) -> str:
+    """text without the words of each (first word, number of words); of the white space around a cut the side
     with more line ends stays, none at the ends of the text."""
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = _raw(text)
     spans = [m.span() for m in _WORD.finditer(raw)]
+    start, size = np.array(cuts, np.int64).reshape(-1, 2).T
     gone = np.zeros(len(spans) + 1, np.int64)
-    np.add.at(gone, starts, 1)
-    np.add.at(gone, np.array(starts) + PASSAGE, -1)
+    np.add.at(gone, start, 1)
+    np.add.at(gone, start + size, -1)
     gone = np.r_[0, np.cumsum(gone)[:-1] > 0, 0]
     out, end = [], 0
     for a, z in zip(np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1), strict=True):
@@ -279,61 +450,80 @@ def without_windows(text: str, starts: list[int]) -> str:
     return b"".join([*out, raw[end:]]).decode("utf-8", "surrogatepass")
 
 
+@F.arrow_udf(T.StringType())
+def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, cuts in batches:
+        both = zip(texts.to_pylist(), cuts.to_pylist(), strict=True)
+        yield pa.array([None if t is None or c is None else without_words(t, [(x["n"], x["size"]) for x in c]) for t, c in both], pa.string())
+    release()
+
+
+def _left(text: Column, cuts: Column) -> Column:
+    """text without the cuts; only texts with cuts travel to Python."""
+    some = F.size(cuts) > 0
+    return F.when(some, _without(F.when(some, text), F.when(some, cuts))).otherwise(text)
+
+
 def passages(docs: DataFrame) -> DataFrame:
-    """docs(rk, doc_id, text) -> (rk, starts: word positions of windows that occur earlier), changed rows only."""
+    """docs(rk, doc_id, text), dealt out by rk -> (rk, starts: word positions of windows that occur earlier), all
+    documents with a window that occurs elsewhere."""
     ship(docs.sparkSession)
-    marks = stage(docs.select("rk", "text").transform(arrow_map, _emit_marks, "mark long, rk long, times long").distinct(), "passage-marks")
-    twice = marks.groupBy(F.col("mark").alias("mark2")).agg(F.sum("times").alias("n")).where("n > 1").select("mark2")
+    marks = stage(docs.select("rk", "text").transform(arrow_map, _emit_marks, "mark long, rk long, again boolean"), "passage-marks")
+    twice = marks.groupBy(F.col("mark").alias("mark2")).agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.max("again").alias("again")).where("lo <> hi or again").select("mark2")
     mine = marks.join(twice.hint("merge"), F.col("mark") == F.col("mark2"), "left_semi").groupBy(F.col("rk").alias("rk2")).agg(F.collect_set("mark").alias("marks"))
-    texts = docs.select("rk", "text").dropDuplicates(["rk"]).join(mine.hint("merge"), F.col("rk") == F.col("rk2")).select("rk", "text", "marks")
-    ids = docs.select(F.col("rk").alias("rk2"), "doc_id").distinct()
-    found = stage(texts.transform(arrow_map, _emit_windows, "window long, rk long, at long").join(ids, F.col("rk") == F.col("rk2")).select("window", "doc_id", "rk", "at"), "passage-windows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "at")).alias("first")
-    one = stage(found.groupBy(F.col("window").alias("window2")).agg(first, F.count("*").alias("n")).where("n > 1"), "passage-first")
+    texts = docs.select("rk", "doc_id", "text").join(mine.hint("merge"), F.col("rk") == F.col("rk2")).select("rk", "doc_id", "text", "marks")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = stage(texts.transform(arrow_map, _emit_windows, f"window long, check long, rk long, doc_id {kind}, at int"), "passage-windows")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "at")
+    one = found.groupBy(F.col("window").alias("window2"), F.col("check").alias("check2")).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
+    one = stage(one.select("window2", "check2", "first"), "passage-first")
     later = (F.col("rk") != F.col("first.rk")) | (F.col("at") >= F.col("first.at") + PASSAGE)
-    return found.join(one, F.col("window") == F.col("window2")).where(later).groupBy("rk").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    both = found.join(one, (F.col("window") == F.col("window2")) & (F.col("check") == F.col("check2")))
+    return both.groupBy("rk").agg(F.collect_set(F.when(later, F.struct(F.col("at").alias("n"), F.lit(PASSAGE).alias("size")))).alias("cuts"))
 
 
 def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with __pg_gone and __pg_starts (null: no repeated paragraph, passage), __pg_repeated and the text left, __pg_new."""
+    """docs with __pg_gone (paragraphs cut), __pg_repeated and __pg_words (those with a copy), __pg_starts (windows
+    cut; null: no window occurs elsewhere) and the text left, __pg_new."""
     key = row_key(F.col(doc_id), F.col(text))
     gone = repeated(docs.select(key.alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    gone = stage(gone.select(F.col("rk").alias("__pg_rk2"), F.col("gone").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated")), "paragraph-gone")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__pg_gone", i)), "\n")
-    new = F.when(F.size("__pg_gone") > 0, left).otherwise(F.col(text))
-    docs = docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").withColumn("__pg_new", new)
-    docs = stage(docs, "paragraph-left")
-    starts = passages(docs.select(F.col("__pg_rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col("__pg_new").alias("text")))
-    starts = stage(starts.select(F.col("rk").alias("__pg_rk3"), F.col("starts").alias("__pg_starts")), "passage-starts")
-
-    @F.pandas_udf("string")
-    def cut(t: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([x if a is None else without_windows(x, a) for x, a in zip(t, at, strict=True)], dtype=object)
-
-    return docs.join(starts.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk3"), "left").withColumn("__pg_new", cut("__pg_new", "__pg_starts"))
+    gone = gone.select(F.col("rk").alias("__pg_rk2"), F.col("cuts").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated"), F.col("n_words").alias("__pg_words"))
+    gone = stage(gone, "paragraph-gone")
+    keyed = docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").drop("__pg_rk2")
+    left = stage_bucketed(keyed.withColumn("__pg_new", _left(F.col(text), F.col("__pg_gone"))), "paragraph-left", "__pg_rk")
+    starts = passages(left.select(F.col("__pg_rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col("__pg_new").alias("text")))
+    starts = stage(starts.select(F.col("rk").alias("__pg_rk3"), F.col("cuts").alias("__pg_starts")), "passage-starts")
+    out = left.join(starts.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk3"), "left")
+    return out.withColumn("__pg_new", _left(F.col("__pg_new"), F.col("__pg_starts")))
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with repeated paragraphs cut out of ``text``; other columns stay, n_chars follows a changed text."""
+    """docs with repeated paragraphs and passages cut out of ``text``; other columns stay, n_chars follows a
+    changed text."""
     out = _cut(docs, doc_id, text)
 
     def col(c: str):
         if c == text:
             return F.col("__pg_new").alias(c)
         if c == "n_chars":
-            return F.when((F.size("__pg_gone") > 0) | F.col("__pg_starts").isNotNull(), F.length("__pg_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+            return F.when((F.size("__pg_gone") > 0) | (F.size("__pg_starts") > 0), F.length("__pg_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
     return out.select(*map(col, docs.columns))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_repeated, n_cut (long) and the text left, for every row of docs.
+    """has_passage, n_repeated, n_cut (long) and the text left, for every row of docs.
 
-    n_repeated counts the document's paragraphs that have a copy elsewhere, kept ones included; n_cut the
-    paragraphs cut. Passages that are cut besides show in the text alone.
+    has_passage: more than 50 words of the document occur elsewhere, as a verbatim passage or as paragraphs with a
+    copy or near copy, kept ones included. n_repeated counts its paragraphs with a copy or near copy elsewhere, kept
+    ones included, n_cut the paragraphs and passages (runs of overlapping windows) that are cut.
     """
     cut = _cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
     none = F.lit(0).cast("long")
-    return cut.select("doc_id", lines.cast("long").alias("n_lines"), F.coalesce("__pg_repeated", none).alias("n_repeated"), F.coalesce(F.size("__pg_gone").cast("long"), none).alias("n_cut"), F.col("__pg_new").alias("text"))
+    has = F.col("__pg_starts").isNotNull() | (F.coalesce("__pg_words", none) >= PASSAGE)
+    # a window that starts beyond the end of the one before begins another run
+    zero = F.struct(F.lit(-1).alias("end"), none.alias("n"))
+    runs = F.aggregate(F.array_sort("__pg_starts"), zero, lambda x, p: F.struct((p["n"] + p["size"]).alias("end"), (x["n"] + (p["n"] > x["end"]).cast("long")).alias("n")))["n"]
+    n_cut = F.coalesce(F.size("__pg_gone").cast("long"), none) + F.coalesce(runs, none)
+    return cut.select("doc_id", has.alias("has_passage"), F.coalesce(F.col("__pg_repeated").cast("long"), none).alias("n_repeated"), n_cut.alias("n_cut"), F.col("__pg_new").alias("text"))
