@@ -36,7 +36,7 @@ from ..session import ship, stage
 from .common import arrow_map, grouped, row_key, spread, union_min, words_of
 from .components import connected_components
 
-SHINGLE, SEED, MAX_BITS, BLOCK = 3, 42, 3, 4096
+SHINGLE, SEED, MAX_BITS, BLOCK, STRIP = 3, 42, 3, 4096, 256
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GOLAY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -169,30 +169,38 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links_within(x: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """Smallest index linked to each of the distinct fingerprints x at ``most`` or fewer bits apart."""
+    """Smallest index linked to each of the distinct fingerprints x at ``most`` or fewer bits apart.
+
+    Memory is a strip of distances and one label each: pairs whose ends are connected already are not listed.
+    """
     n = len(x)
-    if n <= BLOCK:
-        d = np.bitwise_count(x[:, None] ^ x) <= most
-        a, b = np.nonzero(np.triu(d, 1))
+    if n <= STRIP:
+        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x) <= most, 1))
         return union_min(n, a, b)
-    differ = int(np.bitwise_or.reduce(x ^ x[0]))
-    bits = [1 << i for i in range(64) if differ >> i & 1]
-    masks = [sum(c) for w in range(1, most + 1) for c in combinations(bits, w)]
     lab = np.arange(n)
-    if len(masks) < n // 2:
-        order = np.argsort(x)
-        xs = x[order]
-        for m in masks:
-            y = x ^ np.uint64(m)
-            at = np.minimum(np.searchsorted(xs, y), n - 1)
-            hit = np.flatnonzero(xs[at] == y)
-            if len(hit):
-                lab = union_min(n, np.r_[np.arange(n), hit], np.r_[lab, order[at[hit]]])
-        return lab
-    for i in range(0, n, BLOCK):
+
+    def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return union_min(n, np.r_[np.arange(n), a], np.r_[lab, b]) if len(a) else lab
+
+    if n > BLOCK:
+        differ = int(np.bitwise_or.reduce(x ^ x[0]))
+        bits = [1 << i for i in range(64) if differ >> i & 1]
+        masks = [sum(c) for w in range(1, most + 1) for c in combinations(bits, w)]
+        if len(masks) < n // 2:
+            order = np.argsort(x)
+            xs = x[order]
+            for m in masks:
+                y = x ^ np.uint64(m)
+                at = np.minimum(np.searchsorted(xs, y), n - 1)
+                hit = np.flatnonzero((xs[at] == y) & (lab != lab[order[at]]))
+                lab = add(hit, order[at[hit]])
+            return lab
+    for i in range(0, n, STRIP):
         for j in range(i, n, BLOCK):
-            a, b = np.nonzero(np.bitwise_count(x[i : i + BLOCK, None] ^ x[j : j + BLOCK]) <= most)
-            lab = union_min(n, np.r_[np.arange(n), a + i], np.r_[lab, b + j])
+            near = np.bitwise_count(x[i : i + STRIP, None] ^ x[j : j + BLOCK]) <= most
+            near &= lab[i : i + STRIP, None] != lab[j : j + BLOCK]
+            a, b = np.nonzero(near)
+            lab = add(a + i, b + j)
     return lab
 
 

@@ -60,21 +60,71 @@ def test_fingerprints_and_classes(docs, rows):
     assert same(data(simhash.near_duplicates(docs)), plain_classes(rows))
 
 
-def test_chain_of_links(spark):
-    # texts of one word have their hash as fingerprint, so chains are made by search
-    import itertools
-
-    seen, found = {}, []
-    for i in itertools.count():
-        w = f"w{i}"
-        h = plain_print(w)
-        for k in (h >> 12, h << 12 & (2**64 - 1)):
-            if (j := seen.setdefault((k >> 30), w)) != w and (plain_print(j) ^ h).bit_count() <= 16:
-                found.append((j, w))
-        if len(found) > 3 or i > 3000:
+def plain_components(fps):
+    top = {x: x for x in fps}
+    for _ in fps:
+        before = dict(top)
+        for x, y in combinations(fps, 2):
+            if (x ^ y).bit_count() <= 3:
+                top[x] = top[y] = min(top[x], top[y])
+        if top == before:
             break
-    rows = [(i, t) for i, t in enumerate(itertools.chain(*found))] or [(0, "a"), (1, "b")]
-    assert same(data(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))), plain_classes(rows))
+    return top
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def by_class(spark, fps):
+    """Sets of fingerprints that classes() puts together."""
+    df = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(fps)], "doc_id long, fp long").repartition(3)
+    out = {}
+    for r in simhash.classes(df).collect():
+        out.setdefault(r["component_id"], set()).add(r["fp"] % 2**64)
+    assert all(fps[least] in group and min(map(fps.index, group)) == least for least, group in out.items())
+    return sorted(map(sorted, out.values()))
+
+
+def grouped_by(top):
+    out = {}
+    for x, t in top.items():
+        out.setdefault(t, []).append(x)
+    return sorted(map(sorted, out.values()))
+
+
+def test_chains_of_three_bit_links(spark):
+    """Chains of many hops, each of exactly 3 bits, and strangers 4 bits away."""
+    rng = random.Random(9)
+    fps = []
+    for _ in range(4):
+        x = rng.getrandbits(64)
+        for _ in range(30):
+            fps.append(x)
+            x ^= sum(1 << b for b in rng.sample(range(64), 3))
+        fps.append(fps[-1] ^ sum(1 << b for b in rng.sample(range(64), 4)))
+    fps = list(dict.fromkeys(fps))
+    want = grouped_by(plain_components(fps))
+    assert by_class(spark, fps) == want and max(map(len, want)) >= 30
+
+
+def test_groups_beyond_a_block_through_the_operator(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "STRIP", 8)
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = list({base ^ sum(1 << b for b in rng.sample(range(21), rng.randint(0, 9))) for _ in range(260)})
+    assert by_class(spark, fps) == grouped_by(plain_components(fps))
+
+
+def test_links_within_against_brute_force(monkeypatch):
+    rng = random.Random(6)
+    for block, strip, n in ((4096, 256, 300), (64, 16, 300), (32, 8, 90), (4, 2, 700)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "STRIP", strip)
+        fps = sorted({sum(1 << b for b in rng.sample(range(12), rng.randint(0, 6))) | rng.getrandbits(2) << 40 for _ in range(n)})
+        top = plain_components(fps)
+        assert [fps[i] for i in simhash.links_within(np.array(fps, np.uint64))] == [top[x] for x in fps]
 
 
 def test_keep_one(docs, rows, clashing):
