@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at a time: texts differ in length, so a number of rows bounds nothing.
 BATCH_BYTES = 8 << 20
+FILE_ROWS = 50_000
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
 _STAGED: dict[str, SparkSession] = {}
@@ -108,9 +109,14 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(_NAMED[at])
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    rows: what the table has at most, where that is known; it then gets a file for each ``FILE_ROWS`` of them, in place
+    of one for each partition of a shuffle.
+    """
     spark = df.sparkSession
     at = stage_path(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
+    few = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    few.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
