@@ -37,29 +37,31 @@ def connected_components(links: DataFrame) -> DataFrame:
     ship(spark)
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     edges = stage(edges, "links")  # so that no task runs two Python workers
-    edges = stage(edges.transform(arrow_map, _thin, "a long, b long").distinct(), "links")
+    edges = stage(edges.transform(arrow_map, _thin, "a long, b long").distinct(), "links", edges.count())
     out: DataFrame | None = None
-    while edges.limit(1).count():
+    nodes = 0  # as many as out has at most
+    while n := edges.count():
         both = edges.union(edges.select("b", "a"))
-        up = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("top")).where("top < node"), "hooks")
+        up = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("top")).where("top < node"), "hooks", n)
         while True:  # jump until every node points to a root
             over = up.select(F.col("node").alias("n2"), F.col("top").alias("t2"))
             jumped = up.join(over, F.col("top") == F.col("n2"), "left").select("node", F.coalesce("t2", "top").alias("top"), F.col("t2").isNotNull().alias("moved"))
-            jumped = stage(jumped, "jumps")
+            jumped = stage(jumped, "jumps", n)
             up = jumped.select("node", "top")
             if not jumped.where("moved").limit(1).count():
                 break
+        nodes += n
         if out is None:
             out = up
         else:
             lift = up.select(F.col("node").alias("n2"), F.col("top").alias("t2"))
             out = out.join(lift, F.col("top") == F.col("n2"), "left").select("node", F.coalesce("t2", "top").alias("top")).union(up)
-            out = stage(out, "tops")
+            out = stage(out, "tops", nodes)
         for end in ("a", "b"):
             lift = up.select(F.col("node").alias("n2"), F.col("top").alias("t2"))
             other = "b" if end == "a" else "a"
             edges = edges.join(lift, F.col(end) == F.col("n2"), "left").select(F.coalesce("t2", end).alias(end), other)
-        edges = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        edges = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", n)
     if out is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.select("node", F.col("top").alias("component")).union(out.select(F.col("top").alias("node"), F.col("top").alias("component")).distinct())

@@ -168,13 +168,13 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def links_within(x: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
+def links_within(x: np.ndarray, most: int = MAX_BITS, block: int = BLOCK, strip: int = STRIP) -> np.ndarray:
     """Smallest index linked to each of the distinct fingerprints x at ``most`` or fewer bits apart.
 
     Memory is a strip of distances and one label each: pairs whose ends are connected already are not listed.
     """
     n = len(x)
-    if n <= STRIP:
+    if n <= strip:
         a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x) <= most, 1))
         return union_min(n, a, b)
     lab = np.arange(n)
@@ -182,7 +182,7 @@ def links_within(x: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return union_min(n, np.r_[np.arange(n), a], np.r_[lab, b]) if len(a) else lab
 
-    if n > BLOCK:
+    if n > block:
         differ = int(np.bitwise_or.reduce(x ^ x[0]))
         bits = [1 << i for i in range(64) if differ >> i & 1]
         masks = [sum(c) for w in range(1, most + 1) for c in combinations(bits, w)]
@@ -195,10 +195,10 @@ def links_within(x: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
                 hit = np.flatnonzero((xs[at] == y) & (lab != lab[order[at]]))
                 lab = add(hit, order[at[hit]])
             return lab
-    for i in range(0, n, STRIP):
-        for j in range(i, n, BLOCK):
-            near = np.bitwise_count(x[i : i + STRIP, None] ^ x[j : j + BLOCK]) <= most
-            near &= lab[i : i + STRIP, None] != lab[j : j + BLOCK]
+    for i in range(0, n, strip):
+        for j in range(i, n, block):
+            near = np.bitwise_count(x[i : i + strip, None] ^ x[j : j + block]) <= most
+            near &= lab[i : i + strip, None] != lab[j : j + block]
             a, b = np.nonzero(near)
             lab = add(a + i, b + j)
     return lab
@@ -212,7 +212,7 @@ def _emit_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(fp[i : i + 4096][r].view(np.int64))], ["k", "fp"])
 
 
-def _link_groups(batches):
+def _link_groups(batches, block: int, strip: int):
     for starts, (_, fps) in grouped(batches):
         x = fps.to_numpy().view(np.uint64)
         size = np.diff(np.r_[starts, len(x)])
@@ -222,7 +222,7 @@ def _link_groups(batches):
         out = [(a[on], b[on])]
         for s, n in zip(starts[size > 2], size[size > 2], strict=True):
             g = np.unique(x[s : s + n])
-            lab = links_within(g)
+            lab = links_within(g, MAX_BITS, block, strip)
             i = np.flatnonzero(lab != np.arange(len(g)))
             out.append((g[lab[i]], g[i]))
         a, b = (np.concatenate(z).view(np.int64) for z in zip(*out, strict=True))
@@ -230,16 +230,17 @@ def _link_groups(batches):
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """prints(doc_id, fp) -> (fp, component_id, class_fp), a row for each distinct fingerprint."""
+    """prints(doc_id, fp), a staged table -> (fp, component_id, class_fp), a row for each distinct fingerprint."""
     ship(prints.sparkSession)
-    reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps")
+    reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps", prints.count())
+    n = reps.count()
     keyed = reps.select("fp").transform(arrow_map, _emit_keys, "k long, fp long")
-    links = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, _link_groups, "a long, b long")
+    links = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, lambda batches, block=BLOCK, strip=STRIP: _link_groups(batches, block, strip), "a long, b long")
     comp = connected_components(links)
     tops = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class_fp"))
-    tops = stage(tops, "simhash-tops")
+    tops = stage(tops, "simhash-tops", n)
     least = tops.groupBy("class_fp").agg(F.min("least").alias("component_id"))
-    return stage(tops.select("fp", "class_fp").join(least, "class_fp").select("fp", "component_id", "class_fp"), "simhash-classes")
+    return stage(tops.select("fp", "class_fp").join(least, "class_fp").select("fp", "component_id", "class_fp"), "simhash-classes", n)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,12 +46,11 @@ def test_keys_meet_within_three_bits():
     assert {r for r, _ in a & b} == set(range(3000))
 
 
-def test_links_of_large_group_match_brute_force(monkeypatch):
+def test_links_of_large_group_match_brute_force():
     rng = np.random.default_rng(1)
     x = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 20, (600, 4)).astype(np.uint64)).sum(1).astype(np.uint64))
     want = simhash.links_within(x)
-    monkeypatch.setattr(simhash, "BLOCK", 64)
-    assert (simhash.links_within(x) == want).all()
+    assert (simhash.links_within(x, block=64, strip=16) == want).all()
     y = np.unique(rng.integers(0, 2**63, 300, np.uint64))
     assert (simhash.links_within(y) == np.arange(len(y))).all()
 
@@ -117,14 +116,12 @@ def test_groups_beyond_a_block_through_the_operator(spark, monkeypatch):
     assert by_class(spark, fps) == grouped_by(plain_components(fps))
 
 
-def test_links_within_against_brute_force(monkeypatch):
+def test_links_within_against_brute_force():
     rng = random.Random(6)
     for block, strip, n in ((4096, 256, 300), (64, 16, 300), (32, 8, 90), (4, 2, 700)):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        monkeypatch.setattr(simhash, "STRIP", strip)
         fps = sorted({sum(1 << b for b in rng.sample(range(12), rng.randint(0, 6))) | rng.getrandbits(2) << 40 for _ in range(n)})
         top = plain_components(fps)
-        assert [fps[i] for i in simhash.links_within(np.array(fps, np.uint64))] == [top[x] for x in fps]
+        assert [fps[i] for i in simhash.links_within(np.array(fps, np.uint64), 3, block, strip)] == [top[x] for x in fps]
 
 
 def test_keep_one(docs, rows, clashing):
