@@ -198,11 +198,11 @@ def _emit_places(batches):
 SMALL, LARGE = 0, 1
 
 
-def _buckets(batches):
+def _buckets(batches, block: int):
     """Rows (k, line), sorted by k -> (kind, bucket, line) of buckets of two texts or more.
 
-    Small buckets go under their own hash, so that equal ones are one. Of a bucket beyond BLOCK no more than that is
-    held: its rows go on one by one, under k.
+    Small buckets go under their own hash, so that equal ones are one. Of a bucket beyond ``block`` no more than that
+    is held: its rows go on one by one, under k.
     """
     held, of, large = np.zeros(0, np.int64), None, False
 
@@ -220,7 +220,7 @@ def _buckets(batches):
         bucket, line = [np.repeat(ids, 2)], [np.stack([a, b], 1).reshape(-1)]
         for s, n in zip(starts[size > 2], size[size > 2], strict=True):
             g = np.unique(lines[s : s + n])
-            if len(g) > BLOCK:
+            if len(g) > block:
                 yield rows(LARGE, np.full(len(g), keys[s], np.int64), g)
             elif len(g) > 1:
                 bucket.append(np.full(len(g), xxhash.xxh64_intdigest(g.tobytes()), np.uint64))
@@ -235,7 +235,7 @@ def _buckets(batches):
         if first:
             if not large:
                 held = np.unique(np.r_[held, x[:first]])
-                large = len(held) > BLOCK
+                large = len(held) > block
                 if large:
                     yield rows(LARGE, np.full(len(held), of, np.int64), held)
             else:
@@ -248,7 +248,7 @@ def _buckets(batches):
         if last > first:
             yield from small(k[first:last], x[first:last])
         of, held = k[-1], np.unique(x[last:])
-        large = len(held) > BLOCK
+        large = len(held) > block
         if large:
             yield rows(LARGE, np.full(len(held), of, np.int64), held)
     if of is not None and not large and len(held):
@@ -300,7 +300,6 @@ def _similarity(x: pa.Array, y: pa.Array) -> pa.Array:
 
 def _large_links(large: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links with the pivots, (bucket, line) of blocks to compare) of buckets beyond BLOCK; texts(line2, t)."""
-    large = stage(large.distinct(), "paragraph-large")
     pivot = large.groupBy(F.col("bucket").alias("of")).agg(F.min("line").alias("pivot"), F.count("*").alias("size"))
     pivot = pivot.join(texts, F.col("pivot") == F.col("line2")).select("of", "pivot", "size", F.col("t").alias("pt"))
     near = large.join(texts, F.col("line") == F.col("line2")).join(pivot, F.col("bucket") == F.col("of"))
@@ -310,7 +309,7 @@ def _large_links(large: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFra
     # 0: linked to the pivot, 1: may be linked to such a member, 2: to none of them
     far = F.when(F.col("s") >= SIMILAR - 1e-9, 0).when(F.col("s") >= 2 * SIMILAR - 1 - 1e-9, 1).otherwise(2)
     dealt = near.withColumn("far", far)
-    size = dealt.groupBy(F.col("bucket").alias("of")).agg(F.count_if("far = 0").alias("n0"), F.count_if("far = 1").alias("n1"), F.count_if("far = 2").alias("n2")).where("n1 + n2 > 0")
+    size = dealt.groupBy(F.col("bucket").alias("of")).agg(*(F.count_if(F.col("far") == k).alias(f"n{k}") for k in range(3))).where("n1 + n2 > 0")
     dealt = dealt.join(size, F.col("bucket") == F.col("of")).where("far > 0 or n1 > 0")
     blocks = [F.ceil(F.col(f"n{k}") / (BLOCK // 2)).cast("int") for k in range(3)]
     own = F.pmod(F.xxhash64("line", F.lit(9)), F.greatest(F.lit(1), F.element_at(F.array(*blocks), F.col("far") + 1)))
@@ -333,12 +332,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     ship(spark)
     some = docs.select("rk", "doc_id", "text")
     keyed = some.select("text").transform(arrow_map, _bands, "k long, line long")
-    buckets = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, _buckets, "kind int, bucket long, line long").distinct()
-    buckets = stage(buckets, "paragraph-buckets")
+    dealt = spread(keyed, "k").sortWithinPartitions("k")
+    buckets = dealt.transform(arrow_map, lambda batches, block=BLOCK: _buckets(batches, block), "kind int, bucket long, line long")
+    buckets = stage(buckets.distinct(), "paragraph-buckets")
     # both sides of the joins with text grow with the corpus: the same plan at every size
-    ids = stage(buckets.select(F.col("line").alias("line3")).distinct(), "paragraph-ids").hint("merge")
-    texts = some.select("text").transform(arrow_map, _emit_texts, "line2 long, t binary").join(ids, F.col("line2") == F.col("line3"), "left_semi")
-    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts")
+    ids = stage(buckets.select(F.col("line").alias("line3")).distinct(), "paragraph-ids", buckets.count())
+    texts = some.select("text").transform(arrow_map, _emit_texts, "line2 long, t binary").join(ids.hint("merge"), F.col("line2") == F.col("line3"), "left_semi")
+    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts", ids.count())
     small = buckets.where(F.col("kind") == SMALL).select("bucket", "line")
     large = buckets.where(F.col("kind") == LARGE).select("bucket", "line")
     links = None
@@ -347,16 +347,16 @@ def repeated(docs: DataFrame) -> DataFrame:
         small = small.union(more)
     with_text = small.join(texts, F.col("line") == F.col("line2")).select("bucket", "line", "t")
     found = spread(with_text, "bucket").sortWithinPartitions("bucket").transform(arrow_map, _verify, "a long, b long")
-    comp = stage(connected_components(found if links is None else found.union(links)), "paragraph-components")
+    comp = connected_components(found if links is None else found.union(links))
     doc_kind = some.schema["doc_id"].dataType.simpleString()
     places = stage(some.transform(arrow_map, _emit_places, f"line long, check long, rk long, doc_id {doc_kind}, n int, size int"), "paragraph-places")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")
     one = places.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     one = one.join(comp, F.col("line") == F.col("node"), "left").where("lo = hi and (first <> last or component is not null)")
-    one = stage(one.select("line", "first", F.coalesce("component", "line").alias("top")), "paragraph-classes")
+    one = stage(one.select("line", "first", F.coalesce("component", "line").alias("top")), "paragraph-classes", places.count())
     least = one.groupBy(F.col("top").alias("top2")).agg(F.min("first").alias("least"))
     keep = one.join(least, F.col("top") == F.col("top2")).select(F.col("line").alias("line2"), F.col("least.rk").alias("rk2"), F.col("least.n").alias("n2"))
-    twice = places.join(stage(keep, "paragraph-kept"), F.col("line") == F.col("line2"))
+    twice = places.join(stage(keep, "paragraph-kept", one.count()), F.col("line") == F.col("line2"))
     cut = F.when((F.col("rk") != F.col("rk2")) | (F.col("n") != F.col("n2")), F.struct("n", "size"))
     every = F.collect_set(F.struct("n", "size"))
     words = F.aggregate(every, F.lit(0).cast("long"), lambda x, p: x + p["size"])
@@ -476,7 +476,7 @@ def passages(docs: DataFrame) -> DataFrame:
     found = stage(texts.transform(arrow_map, _emit_windows, f"window long, check long, rk long, doc_id {kind}, at int"), "passage-windows")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "at")
     one = found.groupBy(F.col("window").alias("window2"), F.col("check").alias("check2")).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
-    one = stage(one.select("window2", "check2", "first"), "passage-first")
+    one = stage(one.select("window2", "check2", "first"), "passage-first", found.count())
     later = (F.col("rk") != F.col("first.rk")) | (F.col("at") >= F.col("first.at") + PASSAGE)
     both = found.join(one, (F.col("window") == F.col("window2")) & (F.col("check") == F.col("check2")))
     return both.groupBy("rk").agg(F.collect_set(F.when(later, F.struct(F.col("at").alias("n"), F.lit(PASSAGE).alias("size")))).alias("cuts"))

@@ -258,8 +258,9 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
 def test_large_bucket_with_members_far_from_the_pivot(spark, monkeypatch):
     """Chains within one bucket: some links are not with the pivot."""
     monkeypatch.setattr(p, "BLOCK", 4)
-    monkeypatch.setattr(p, "band_keys", lambda sets: np.full((len(sets), p.BANDS), 7, np.uint64))
     monkeypatch.setattr(p, "_bands", lambda batches: _one_bucket(batches))
+    calls, large = [], p._large_links
+    monkeypatch.setattr(p, "_large_links", lambda *a: calls.append(a) or large(*a))
     r, rows = random.Random(4), []
     for g in range(3):
         base = sentence(40 + g, 90).split()
@@ -272,6 +273,7 @@ def test_large_bucket_with_members_far_from_the_pivot(spark, monkeypatch):
     got = data(p.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "text"))
     assert same(got, plain(rows))
     assert 0 < sum(bool(t) for _, t in got) < len(rows)
+    assert calls  # the bucket did go by its pivot
 
 
 def _one_bucket(batches):
@@ -283,10 +285,9 @@ def _one_bucket(batches):
             yield pa.RecordBatch.from_arrays([pa.array([7] * len(lines)), p._signed(lines)], ["k", "line"])
 
 
-def test_buckets_hold_no_more_than_a_block(monkeypatch):
+def test_buckets_hold_no_more_than_a_block():
     import pyarrow as pa
 
-    monkeypatch.setattr(p, "BLOCK", 5)
     r = random.Random(1)
     for _ in range(50):
         rows = sorted((k, r.randrange(40)) for k in range(r.randrange(1, 6)) for _ in range(r.choice([1, 2, 3, 6, 30])))
@@ -294,7 +295,7 @@ def test_buckets_hold_no_more_than_a_block(monkeypatch):
         parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
         batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in b], pa.int64()), pa.array([x[1] for x in b], pa.int64())], ["k", "line"]) for b in parts]
         small, large = {}, {}
-        for b in p._buckets(iter(batches)):
+        for b in p._buckets(iter(batches), 5):
             for kind, bucket, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 (large if kind == p.LARGE else small).setdefault(bucket, set()).add(line)
         want = {}
