@@ -8,7 +8,8 @@
    A diagonal survives if all rarest positions of some window are in it.
 4. Surviving diagonals are laid on the words of their rows and yield exact phrase matches.
 
-Terms and anchors join by broadcast only up to ``BROADCAST_ROWS`` counted rows, else by shuffle. Groups are
+Terms and anchors join by broadcast only up to ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, both counted, else by
+shuffle. Groups are
 of one row and item, so no frequent term, passage or item meets in one task.
 
 Edges: null or empty text and texts without words have n_words 0 and no hits; null item text gives no
@@ -25,7 +26,7 @@ from ..session import stage
 from .common import LOWER, UPPER, row_key
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what lies between words, after lower-casing
-WINDOW, RAREST, BROADCAST_ROWS = 10, 2, 500_000
+WINDOW, RAREST, BROADCAST_ROWS, BROADCAST_BYTES = 10, 2, 500_000, 64 << 20
 
 
 def lower_ascii(c: Column) -> Column:
@@ -39,8 +40,11 @@ def words(text: Column) -> Column:
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table if it is counted small, leave the choice of join to the planner if not."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast a staged table if its rows and bytes are counted small, leave the choice of join to the planner if not."""
+    if df.count() > BROADCAST_ROWS:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -57,10 +61,11 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, terms: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(item, start, len, ipos, term): the rarest positions of every window."""
-    vocab = sized(stage(terms.select("term").distinct(), "decon-vocab"))
+    """(item, start, len, ipos, term): the rarest positions of every window; terms: a staged table."""
+    n = terms.count()
+    vocab = sized(stage(terms.select("term").distinct(), "decon-vocab", n))
     seen = docs.select(F.explode(words(F.col("text"))).alias("t")).join(vocab, F.col("t") == F.col("term"), "left_semi").groupBy("t").count()
-    seen = stage(seen, "decon-counts")
+    seen = stage(seen, "decon-counts", n)
     size = F.least(F.lit(window), F.col("n"))
     each = terms.join(seen, F.col("term") == F.col("t"), "left").select("item", "ipos", "term", size.alias("len"), F.coalesce("count", F.lit(0)).alias("c"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - size + 1), F.least(F.col("ipos"), F.col("n") - size))).alias("start"))
     rank = F.row_number().over(Window.partitionBy("item", "start").orderBy("c", "ipos"))
@@ -74,14 +79,15 @@ def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest:
     """
     terms = stage(item_terms(items), "decon-terms")
     some = docs.select("rk", "text")
-    marks = stage(anchors(some, terms, window, rarest), "decon-anchors")
-    index = stage(postings(some, sized(stage(marks.select("term").distinct(), "decon-rare"))), "decon-index")
-    at = sized(stage(marks.select("term", "item", "ipos").distinct(), "decon-places"))
+    marks = stage(anchors(some, terms, window, rarest), "decon-anchors", rarest * terms.count())
+    n = marks.count()
+    index = stage(postings(some, sized(stage(marks.select("term").distinct(), "decon-rare", n))), "decon-index")
+    at = sized(stage(marks.select("term", "item", "ipos").distinct(), "decon-places", n))
     lists = index.join(at, "term").groupBy("rk", "item", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("have"))
     need = marks.groupBy("item", "start").agg(F.collect_set("ipos").alias("need"))
-    need = sized(stage(need.groupBy("item").agg(F.collect_set("need").alias("needs")), "decon-needs"))
+    need = sized(stage(need.groupBy("item").agg(F.collect_set("need").alias("needs")), "decon-needs", n))
     met = lists.join(need, "item").where(F.exists("needs", lambda x: F.size(F.array_except(x, "have")) == 0))
-    body = sized(stage(terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("iw")), "decon-items"))
+    body = sized(stage(terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("iw")), "decon-items", terms.count()))
     met = met.select("rk", "item", "diag").join(body, "item").groupBy(F.col("rk").alias("rk2")).agg(F.collect_list(F.struct("item", "diag", "iw")).alias("met"))
     met = stage(met, "decon-met")
     both = docs.withColumn("__pg_words", words(F.col("text"))).join(met, F.col("rk") == F.col("rk2"), "left")
@@ -121,7 +127,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     rows = phrase_rows(some, items, window).drop("text")
     rows = stage(rows, "decon-rows")
     ids = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null")
-    ids = sized(stage(ids.select(F.xxhash64("w").alias("item"), F.col("item_id").cast("string").alias("id")).distinct(), "decon-ids"))
+    ids = sized(stage(ids.select(F.xxhash64("w").alias("item"), F.col("item_id").cast("string").alias("id")).distinct(), "decon-ids", items.count()))
     named = rows.where("size(hits) > 0").select("rk", F.explode(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("item")).join(ids, "item")
     named = named.groupBy(F.col("rk").alias("rk2")).agg(F.array_sort(F.collect_set("id")).alias("names"))
     out = rows.join(named, F.col("rk") == F.col("rk2"), "left")
