@@ -1,18 +1,26 @@
 """Main text of a page by composite text density.
 
-The page is parsed into a tree, and parts that are boilerplate by their element, role or name (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are cut first. For every node
-that is left the composite density is
+The page is parsed into a tree. Elements and roles that HTML itself gives to other things than text (menus,
+page headers, footers, sidebars, notices, forms, scripts, styles) are left out. For every other node the
+composite density is
 
-    d = C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LCbody / Cbody * C + e)
+    d = C / T * log_b(C / LC * T / LT),   b = max(e, ln(C / (C - LC) * LC + LCbody / Cbody * C + e))
 
-with C characters, T tags, LC link characters and LT link tags of its subtree (a zero divisor counts as 1). A
-node's density sum adds up the densities of its children. From the node with the greatest sum the path up to
-the body gives the threshold, its least density; of the nodes that reach the threshold the one with the
-greatest sum is the article. If that node lies in an <article> or <main>, this whole element is taken.
+with C characters, T tags, LC link characters and LT link tags of its subtree (a zero divisor counts as 1; without
+the bound on b the logarithm has no base on pages with few links). Names add weight to this: text in a node whose
+class or id names side matter, and nothing else, counts as link text, so that its density is 0. Names of controls
+and lists of links (search, share, menu) do so only where the node has controls or links; a node with most of the
+page's text in several paragraphs is the article whatever its name.
 
-Text: references decoded, white space in a block is one space, blocks are trimmed and joined by one newline.
-Null or empty html gives an empty text; so does a page of boilerplate. Depth and length have no limit.
+A node's density sum adds up the densities of its children. The node with the greatest sum is content, and the
+least density on its path from the body is the threshold. From the body down, every child that reaches the
+threshold is entered, and in each the subtree with the greatest sum is content as well. Among the brothers of
+content these are content too, if they are neither side matter nor menus: headings before it, whatever lies between
+two pieces of it, and text elements of the same kind as one of them. Within content, side matter and menus (three
+links or more and no other text) below the threshold are left out. <article> and <main> are nodes like others.
+
+Text: references decoded, white space in a block is one space, blocks are trimmed and joined by one newline, in
+page order. Null or empty html gives an empty text; so does a page of side matter. Depth and length have no limit.
 """
 
 from __future__ import annotations
@@ -28,100 +36,191 @@ from ..operators.html import Node, parse
 from ..session import ship
 from .common import arrow_map
 
-BOILER_TAGS = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object dialog head menu".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-BOILER_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|ads?|adverts?|advertisement|adbox|adsense|sponsor(?:ed)?|promo|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|widgets?|pagination|pager|toc|skip|legal|copyright)(?:$|[-_\s\d])",
-    re.IGNORECASE,
-)
+OTHER_TAGS = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object dialog head menu".split())
+OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: Names of side matter that has a text of its own.
+SIDE_NAMES = frozenset("ad ads advert adverts advertisement advertisements adbox adsense sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal aside sidebar sidebars footer copyright legal comment comments commentlist disqus replies respond".split())
+#: Names of controls and of lists of links.
+LIST_NAMES = frozenset("search login signup subscribe newsletter share sharing social pager pagination toc skip nav navbar navigation menu menubar breadcrumb breadcrumbs related recommended recommendations widget widgets header masthead topbar banner".split())
+#: Parts of names that say nothing about the content.
+PLAIN_NAMES = frozenset("wrap wrapper box area section list container block bar inner outer top bottom left right item items link links post posts panel col column group unit slot site page".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+FLOW_TAGS = HEADINGS | frozenset("p ul ol dl pre table blockquote figure section address details".split())
+CONTROLS = frozenset("a input button select textarea".split())
 CELLS = frozenset(("td", "th", "br"))
-WHOLE = ("article", "main")
+PARAGRAPHS, MENU_LINKS = 3, 3
 
 
-def _cut(n: Node) -> bool:
-    """Whether a node is boilerplate by what it is called."""
-    if n.tag in BOILER_TAGS or n.attrs.get("role", "").lower() in BOILER_ROLES or "hidden" in n.attrs:
+def _other(n: Node) -> bool:
+    """Whether HTML itself says that a node is no text of the page."""
+    if n.tag in OTHER_TAGS or n.attrs.get("role", "").lower() in OTHER_ROLES or "hidden" in n.attrs:
         return True
-    if not n.attrs and n.tag != "header":
+    if n.tag != "header" or any(x.tag in ("article", "main") for x in n.walk()):
         return False
-    whole = any(x.tag in WHOLE for x in n.walk())
-    if n.tag == "header":
-        up = n.up
-        while up is not None and up.tag not in WHOLE:
-            up = up.up
-        return not whole and not (up is not None and any(x.tag == "h1" for x in n.walk()))
-    name = (n.attrs.get("class", "") + " " + n.attrs.get("id", "")).strip()
-    return bool(name) and not whole and n.tag not in ("html", "body") and BOILER_NAMES.search(name) is not None
+    up = n.up  # the header of an article with its title is text, the page's is not
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.up
+    return up is None or not any(x.tag == "h1" for x in n.walk())
 
 
 def prune(root: Node) -> Node:
     todo = [root]
     while todo:
         n = todo.pop()
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _cut(k)]
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _other(k)]
         todo += [k for k in n.kids if isinstance(k, Node)]
     return root
 
 
+def named(n: Node, names: frozenset) -> bool:
+    """Whether one of the node's names consists of such words and plain ones, one of them at least."""
+    for name in (n.attrs.get("class", "") + " " + n.attrs.get("id", "")).lower().split():
+        words = [w for w in re.split(r"[-_\d]+", name) if w]
+        if any(w in names for w in words) and all(w in names or w in PLAIN_NAMES for w in words):
+            return True
+    return False
+
+
 def _size(s: str) -> int:
     return len(" ".join(s.split()))
 
 
-def article(root: Node) -> Node | None:
-    """The subtree that holds the article, after pruning."""
-    body = next((n for n in root.walk() if n.tag == "body"), root)
-    order = list(body.walk())
-    at = {id(n): i for i, n in enumerate(order)}
-    m = len(order)
-    c, t, lc, lt = [0] * m, [0] * m, [0] * m, [0] * m
-    linked = [False] * m
-    for i, n in enumerate(order):
-        linked[i] = n.tag == "a" or (i > 0 and linked[at[id(n.up)]])
-    for i in range(m - 1, -1, -1):
-        n = order[i]
-        own = sum(_size(k) for k in n.kids if isinstance(k, str))
-        c[i] += own
-        if linked[i]:
-            lc[i] += own
-        if i:
-            u = at[id(n.up)]
-            c[u] += c[i]
-            lc[u] += lc[i]
-            t[u] += t[i] + 1
-            lt[u] += lt[i] + (n.tag == "a")
-    if not c[0]:
-        return None
-    share = lc[0] / c[0]
-    d = [0.0] * m
-    for i in range(m):
-        if c[i]:
-            base = math.log(c[i] / max(1, c[i] - lc[i]) * lc[i] + share * c[i] + math.e)
-            ratio = c[i] / max(1, lc[i]) * max(1, t[i]) / max(1, lt[i])
-            d[i] = c[i] / max(1, t[i]) * math.log(max(ratio, 1e-9)) / math.log(base) if base > 1.000001 else c[i] / max(1, t[i]) * max(0.0, math.log(max(ratio, 1e-9)))
-    total = [0.0] * m
-    for i in range(1, m):
-        total[at[id(order[i].up)]] += d[i]
-    best = max(range(m), key=lambda i: (total[i], -i))
-    if total[best] <= 0:
-        best = max(range(m), key=lambda i: (d[i], -i))
-    x, least = best, d[best]
-    while x:
-        x = at[id(order[x].up)]
-        if x:
-            least = min(least, d[x])
-    best = max((i for i in range(m) if d[i] >= least), key=lambda i: (total[i], -i), default=best)
-    n = up = order[best]
-    while up is not body and up is not None:
-        if up.tag in WHOLE:
-            n = up
-        up = up.up
-    while n is not body and n.tag not in BLOCK_TAGS:
-        n = n.up
-    return n
+class Page:
+    """Figures of a page's nodes in page order; node 0 is the body."""
+
+    def __init__(self, root: Node):
+        self.body = next((n for n in root.walk() if n.tag == "body"), root)
+        self.order = list(self.body.walk())
+        m = len(self.order)
+        self.at = {id(n): i for i, n in enumerate(self.order)}
+        self.up = [0] + [self.at[id(n.up)] for n in self.order[1:]]
+        self.end = list(range(1, m + 1))  # subtrees are ranges
+        for i in range(m - 1, 0, -1):
+            u = self.up[i]
+            self.end[u] = max(self.end[u], self.end[i])
+        self.own = [sum(_size(k) for k in n.kids if isinstance(k, str)) for n in self.order]
+        self.c = self._sums(self.own)
+        self.links = self._sums([int(n.tag == "a") for n in self.order])
+        self.side = self._side()
+        linked = [False] * m
+        for i, n in enumerate(self.order):
+            linked[i] = n.tag == "a" or self.side[i] or (i > 0 and linked[self.up[i]])
+        self.lc = self._sums([o if x else 0 for o, x in zip(self.own, linked, strict=True)])
+        inside = self._sums([1] * m)
+        side = self._sums([int(x) for x in self.side])
+        self.t = [x - 1 for x in inside]
+        self.lt = [a if not s else max(a, k) for a, s, k in zip(self.links, self.side, self.t, strict=True)]
+        self.plain = self.c[0] > self.lc[0] or not any(side)  # some text is no link text, or none is side matter
+        self.d = [self._density(i) for i in range(m)]
+        self.total = [0.0] * m
+        for i in range(1, m):
+            self.total[self.up[i]] += self.d[i]
+
+    def _sums(self, x: list[int]) -> list[int]:
+        x = list(x)
+        for i in range(len(x) - 1, 0, -1):
+            x[self.up[i]] += x[i]
+        return x
+
+    def _side(self) -> list[bool]:
+        order, c = self.order, self.c
+        controls = self._sums([int(n.tag in CONTROLS) for n in order])
+        paragraphs = self._sums([int(n.tag == "p") for n in order])
+        holds = self._sums([int(n.tag in ("article", "main")) for n in order])
+        out = [False] * len(order)
+        for i, n in enumerate(order):
+            if i and out[self.up[i]]:
+                out[i] = True
+            elif i and n.attrs and not holds[i] and not (2 * c[i] > c[0] and paragraphs[i] >= PARAGRAPHS):
+                out[i] = named(n, SIDE_NAMES) or (controls[i] > 0 and named(n, LIST_NAMES))
+        return out
+
+    def _density(self, i: int) -> float:
+        c, lc, t, lt = self.c[i], self.lc[i], max(1, self.t[i]), max(1, self.lt[i])
+        if not c or self.side[i]:
+            return 0.0
+        base = max(math.e, math.log(c / max(1, c - lc) * lc + self.lc[0] / self.c[0] * c + math.e))
+        return c / t * max(0.0, math.log(c / max(1, lc) * t / lt)) / math.log(base)
+
+    def threshold(self) -> tuple[int, float]:
+        """(node of the greatest density sum, least density on its path from the body)."""
+        best = max(range(len(self.order)), key=lambda i: (self.total[i], -i))
+        if self.total[best] <= 0:
+            best = max(range(len(self.order)), key=lambda i: (self.d[i], -i))
+        least, x = self.d[best], best
+        while x:
+            x = self.up[x]
+            least = min(least, self.d[x])
+        return best, least
+
+    def menu(self, i: int) -> bool:
+        return self.links[i] >= MENU_LINKS and self.lc[i] >= self.c[i]
+
+    def content(self) -> list[int]:
+        """The nodes whose text is the article, in page order, none inside another."""
+        order, d, total = self.order, self.d, self.total
+        if not self.c[0] or not self.plain:
+            return []
+        _, least = self.threshold()
+        greatest = list(range(len(order)))  # of each subtree the node of the greatest sum, the first on a tie
+        for i in range(len(order) - 1, 0, -1):
+            u, g = self.up[i], greatest[i]
+            if (total[g], -g) > (total[greatest[u]], -greatest[u]) and (total[g] > 0):
+                greatest[u] = g
+        marked: set[int] = set()
+        todo = [0]
+        while todo:
+            i = todo.pop()
+            n = greatest[i]
+            while n > i and order[n].tag not in BLOCK_TAGS:
+                n = self.up[n]
+            marked.add(n)
+            todo += [k for k in self._kids(i) if d[k] >= least and d[k] > 0 and k != n]
+        return self._outermost(self._with_brothers(self._outermost(marked)))
+
+    def _kids(self, i: int):
+        k = i + 1
+        while k < self.end[i]:
+            yield k
+            k = self.end[k]
+
+    def _outermost(self, marked: set[int]) -> list[int]:
+        out: list[int] = []
+        for i in sorted(marked):
+            if not out or i >= self.end[out[-1]]:
+                out.append(i)
+        return out
+
+    def _with_brothers(self, marked: list[int]) -> set[int]:
+        own = set(marked)
+        for u in {self.up[i] for i in marked if i}:
+            kids = list(self._kids(u))
+            inside = [j for j, k in enumerate(kids) if k in own]
+            tags = {self.order[kids[j]].tag for j in inside}
+            first = min([j for j in range(inside[-1]) if self.order[kids[j]].tag in HEADINGS and self.c[kids[j]] and not self.side[kids[j]]] + inside[:1])
+            for j, k in enumerate(kids):
+                tag = self.order[k].tag
+                if self.side[k] or self.menu(k) or not self.c[k]:
+                    continue
+                if first <= j <= inside[-1] and (tag in HEADINGS or j >= inside[0]) or tag in FLOW_TAGS and tag in tags:
+                    own.add(k)
+        return own
+
+    def text(self) -> str:
+        content = self.content()
+        if not content:
+            return ""
+        _, least = self.threshold()
+        parts = [blocks(self.order[i], lambda n: self._left_out(self.at[id(n)], least)) for i in content]
+        return "\n".join(p for p in parts if p)
+
+    def _left_out(self, i: int, least: float) -> bool:
+        return (self.side[i] or self.menu(i) and self.order[i].tag in BLOCK_TAGS) and self.d[i] <= least
 
 
-def blocks(n: Node) -> str:
+def blocks(n: Node, left_out=lambda n: False) -> str:
+    """The text of a node's blocks, without the nodes that are left out."""
     out: list[str] = []
     run: list[str] = []
 
@@ -138,6 +237,9 @@ def blocks(n: Node) -> str:
             run.append(x)
         elif x is None:
             end()
+        elif x is not n and left_out(x):
+            if x.tag in BLOCK_TAGS:
+                end()
         elif x.tag in BLOCK_TAGS:
             end()
             todo.append(None)
@@ -153,10 +255,7 @@ def blocks(n: Node) -> str:
 
 
 def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    n = article(prune(parse(html)))
-    return "" if n is None else blocks(n)
+    return Page(prune(parse(html))).text() if html else ""
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
