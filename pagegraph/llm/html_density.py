@@ -173,7 +173,7 @@ class Page:
         while todo:
             i = todo.pop()
             n = greatest[i]
-            while n > i and order[n].tag not in BLOCK_TAGS:
+            while n > i and order[n].tag not in BLOCK_TAGS and order[n].tag not in CELLS:
                 n = self.up[n]
             marked.add(n)
             todo += [k for k in self._kids(i) if d[k] >= least and d[k] > 0 and k != n]

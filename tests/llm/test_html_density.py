@@ -5,7 +5,7 @@ import pytest
 
 from pagegraph.llm import html_density as h
 
-from .conftest import data
+from .conftest import data, sentence
 
 PAGE = """<!doctype html><html><head><title>T &amp; t</title><style>p{}</style></head><body>{top}<div id="wrap">{before}<{tag}>
 <h1>Head &amp; line</h1><p>First  para<b>graph</b> is here, with<br>some words.<p>Second one &lt;tag&gt; &eacute;.</p><ul><li>item one<li>item two</ul></{tag}>{after}</div>{end}</body></html>"""
@@ -41,6 +41,84 @@ def test_deep_and_long_pages():
     assert h.main_text(long).count("\n") == 4999
 
 
+def para(k, n=45):
+    return sentence(300 + k, n) + "."
+
+
+def p_of(*ks, n=45):
+    return "".join(f"<p>{para(k, n)}</p>" for k in ks)
+
+
+def menu(k, n=6):
+    return "".join(f'<li><a href="/{k}{i}">{sentence(900 + 7 * k + i, 2)}</a></li>' for i in range(n))
+
+
+def rows_of_links(k, n=6):
+    return "".join(f'<div><a href="/{k}{i}">{sentence(950 + 7 * k + i, 4)}</a> {i} days ago</div>' for i in range(n))
+
+
+#: Pages without <article>, <main> or telling names: (html of the body, lines of the text).
+FORMS = {
+    "menu and foot": (f"<div><ul>{menu(1)}</ul></div><div><h1>Title of it</h1>{p_of(1, 2, 3)}</div><div>Made in 2020 <a href='/c'>contact</a> <a href='/d'>imprint</a></div>", ["Title of it", para(1), para(2), para(3)]),
+    "table layout": (f"<table><tr><td><ul>{menu(2)}</ul></td><td><h1>Head</h1>{p_of(4, 5, 6)}</td><td>{rows_of_links(2)}</td></tr></table>", ["Head", para(4), para(5), para(6)]),
+    "title beside the block": (f"<div><h1>Lone title</h1><div>{p_of(7, 8, 9, 10)}</div><div>{rows_of_links(3, 9)}</div></div>", ["Lone title", para(7), para(8), para(9), para(10)]),
+    "two blocks": (f"<div><ul>{menu(4, 12)}</ul></div><div><div>{p_of(11, 12, 13)}</div><div>{p_of(14, 15)}</div></div><div>{rows_of_links(4, 8)}</div>", [para(k) for k in range(11, 16)]),
+    "sections": (f"<div>{rows_of_links(5)}</div><div><section><h2>One</h2>{p_of(16, 17, 18, 19)}</section><section><h2>Two</h2>{p_of(20)}</section><section><h2>Three</h2><p>A short end.</p></section></div>", ["One", *(para(k) for k in range(16, 20)), "Two", para(20), "Three", "A short end."]),
+    "latest posts": (f"<div><h1>Post</h1>{p_of(21, 22)}<ul><li>first point</li><li>second point</li></ul>{p_of(23)}</div><div><h3>Latest</h3>{rows_of_links(6, 10)}</div>", ["Post", para(21), para(22), "first point", "second point", para(23)]),
+    "cloud of tags": (f"<div>{p_of(24, 25, 26)}</div><div>Tags: " + " ".join(f"<a href='/t{i}'>{w}</a>" for i, w in enumerate(sentence(77, 40).split())) + "</div>", [para(24), para(25), para(26)]),
+    "user line": (f"<div><span>Hello guest</span> <a href='/l'>log on</a> <a href='/r'>register</a> <a href='/h'>help</a></div><div><div><div>{p_of(27, 28, 29)}<blockquote>{para(30)}</blockquote>{p_of(31)}</div></div></div>", [para(27), para(28), para(29), para(30), para(31)]),
+    "links in the text": (f"<div><ul>{menu(8, 9)}</ul></div><div>" + p_of(32, 33).replace(para(32), para(32)[:60] + "<a href='/x'>" + para(32)[60:80] + "</a>" + para(32)[80:]) + f"{p_of(34)}</div><div>{rows_of_links(9)}</div>", [para(32), para(33), para(34)]),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_where_only_density_tells(form, monkeypatch):
+    body, lines = FORMS[form]
+    page = f"<html><head><title>t</title></head><body>{body}</body></html>"
+    assert h.main_text(page) == "\n".join(lines)
+    monkeypatch.setattr(h.Page, "content", lambda self: [0])
+    assert h.main_text(page) != "\n".join(lines)
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = "<body>" + FORMS["two blocks"][0] + "</body>"
+    lines = FORMS["two blocks"][1]
+    own = h.Page.threshold
+    assert h.main_text(page) == "\n".join(lines)
+    monkeypatch.setattr(h.Page, "threshold", lambda self: (own(self)[0], float("inf")))
+    assert h.main_text(page) == "\n".join(lines[:3])  # the greatest sum alone
+    monkeypatch.setattr(h.Page, "threshold", lambda self: (own(self)[0], 0.0))
+    assert h.main_text(page) != "\n".join(lines)  # everything is entered
+
+
+def test_names_in_the_article_are_no_shears():
+    parts = [("div", "class='related-work'"), ("section", "id='search'"), ("section", "id='comments-on-method'"), ("div", "class='section-header'"), ("div", "id='menu-planning'"), ("section", "class='notices-of-the-court'")]
+    for tag in ("article", "main", "div"):
+        page = f"<body><ul>{menu(1)}</ul><{tag}><h1>Head</h1>" + "".join(f"<{t} {a}>{p_of(40 + 2 * i, 41 + 2 * i)}</{t}>" for i, (t, a) in enumerate(parts)) + f"</{tag}></body>"
+        assert h.main_text(page) == "\n".join(["Head", *(para(40 + k) for k in range(12))]), tag
+    # what names alone tell: text of its own beside the article, with most of the page's words or not
+    for name in ("class='comments'", "id='cookie-notice'", "class='post ad'", "class='sidebar_2'"):
+        page = f"<body><div>{p_of(60, 61, 62)}<div {name}>{para(63)} {para(64)}</div></div></body>"
+        assert h.main_text(page) == "\n".join(para(k) for k in (60, 61, 62)), name
+    # a name of side matter around the whole article doesn't remove it
+    assert h.main_text(f"<body><div><ul>{menu(3)}</ul></div><div class='sidebar'>{p_of(65, 66, 67)}</div></body>") == "\n".join(para(k) for k in (65, 66, 67))
+
+
+def test_densities_against_the_formula():
+    import math
+
+    page = h.Page(h.prune(h.parse("<body><div><p>abcdef <a href='/'>gh</a></p><p>ijkl</p></div><p>mn</p></body>")))
+    d = {(n.tag, i): page.d[i] for i, n in enumerate(page.order)}
+    share = 2 / 14
+
+    def plain(c, lc, t, lt):
+        base = max(math.e, math.log(c / max(1, c - lc) * lc + share * c + math.e))
+        return c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, lt), base)
+
+    assert d == pytest.approx({("body", 0): plain(14, 2, 5, 1), ("div", 1): plain(12, 2, 3, 1), ("p", 2): plain(8, 2, 1, 1), ("a", 3): plain(2, 2, 0, 1), ("p", 4): plain(4, 0, 0, 0), ("p", 5): plain(2, 0, 0, 0)})
+    assert page.total[1] == pytest.approx(page.d[2] + page.d[4])
+
+
 def by_regex(html):
     """The stored pages have one form: an article of a heading and paragraphs."""
     a = re.search(r"<article>(.*?)</article>", html, re.S)[1]
