@@ -1,32 +1,45 @@
 """Training-order materialisation: every sequence gets a global slot from a keyed permutation.
 
-Documents are cut into sequences of ``LENGTH`` token ids, the last one padded. The registered query
-takes the ids of a BPE vocabulary; without an encoder they are the UTF-8 bytes of the text. Sequences are staged with the number of their task and their place in it,
-so ordinals 0 to N - 1 follow from one count a task and are the same however often a task is run again. A
-balanced Feistel network over the smallest even number of bits that holds N permutes the ordinals; values of
-N or more walk on along their cycle until they fall below N. Rows are sorted by slot and numbered in shards of
-``PER_SHARD`` records of equal size: slot s is record s % PER_SHARD of shard s // PER_SHARD. Shards are columns of
-Parquet rows, not files; a reader that goes on from a slot filters by them.
+Documents are cut into sequences of ``LENGTH`` token ids of a fixed width, the last one padded with zeros. The
+registered query takes the ids of a BPE vocabulary; without an encoder they are the UTF-8 bytes of the text. A first
+pass counts the tokens of every document; ordinals 0 to N - 1 follow from one count a task of the input and are the
+same however often a task is run again. A balanced Feistel network over the smallest even number of bits that holds
+N permutes the ordinals; values of N or more walk on along their cycle until they fall below N. Slot s is record
+s % PER_SHARD of shard s // PER_SHARD.
+
+A second pass encodes again, so that no copy of all ids is staged, sends each record to the partition of its shard
+and sorts it there. A task writes one shard, as one file of records of ``stride`` bytes: the ids, then a newline, by
+Spark's text writer, which commits files by renaming and so leaves none of a lost executor. So a reader finds slot s by
+its offset alone, goes on from any slot, and reads in training order without a seek. Beside the shards lie an index
+(slot, shard, record, doc_id, seq, n_tokens) and a manifest of one row.
+
+The input must give its rows in the same order when read again, as a table's files do, and as ``session.stage`` makes
+of anything else; both passes check it and fail if it doesn't. The order then depends on the input's files and their
+split into tasks; whoever has the shards needs neither.
 
 Null or empty text has no sequence. Repeated rows are sequences of their own. No row is dropped.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship, stage, stage_path
 from .common import arrow_map
 from .token_counts import encoder
 
-LENGTH, PER_SHARD, ROUNDS, KEY = 1024, 8192, 6, 0x5EED
+LENGTH, PER_SHARD, ROUNDS, KEY = 512, 65_536, 6, 0x5EED
+MANIFEST = "n long, length int, itemsize int, stride int, per_shard int, key long"
 
 
 def _round(x: np.ndarray, key: int, r: int, half: int) -> np.ndarray:
@@ -53,71 +66,7 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.nda
 
 
 def byte_ids(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode(), np.uint8)
-
-
-def sequences(docs: DataFrame, length: int = LENGTH, encode=byte_ids, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(task, nth, doc_id, seq, n_tokens, payload): payload has length * itemsize bytes, zero-padded."""
-    ship(docs.sparkSession)
-    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for i in range(0, whole.num_rows, 128):
-                b = whole.slice(i, 128)
-                rows, seqs, sizes, loads = [], [], [], []
-                for r, t in enumerate(b.column(1).to_pylist()):
-                    ids = encode(t) if t else ()
-                    for k in range(0, len(ids), length):
-                        part = ids[k : k + length]
-                        rows.append(r)
-                        seqs.append(k // length)
-                        sizes.append(len(part))
-                        loads.append(part.tobytes().ljust(length * part.itemsize, b"\0"))
-                n = len(rows)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), b.column(0).take(pa.array(rows)), pa.array(seqs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(loads, pa.binary())], ["task", "nth", "doc_id", "seq", "n_tokens", "payload"])
-                    done += n
-
-    kind = some.schema["doc_id"].dataType.simpleString()
-    return some.transform(arrow_map, f, f"task int, nth long, doc_id {kind}, seq long, n_tokens int, payload binary")
-
-
-def with_slots(seqs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """(staged sequences with their slot, N)."""
-    counts = seqs.groupBy(F.col("task").alias("t2")).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("t2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = stage(counts.select("t2", before.alias("before"), "c"), "order-tasks")  # a row for each task
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    placed = seqs.join(F.broadcast(counts.select("t2", "before")), F.col("task") == F.col("t2"))
-
-    @F.pandas_udf("long")
-    def slot(x):
-        import pandas as pd
-
-        return pd.Series(feistel(x.to_numpy(), n, key))
-
-    return placed.select("doc_id", "seq", "n_tokens", "payload", slot(F.col("before") + F.col("nth")).alias("slot")), n
-
-
-def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, encode=byte_ids) -> DataFrame:
-    """Write the rows under ``at`` as Parquet in slot order, with their shard, and return them as a table."""
-    spark = docs.sparkSession
-    seqs = stage(sequences(docs, length, encode), "order-sequences")
-    placed, n = with_slots(seqs, key)
-    shard = F.floor(F.col("slot") / per_shard)
-    parts = max(1, -(-n // per_shard))
-    # as many ranges as shards at most; a range is sorted, and a shard may lie in two
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.withColumn("shard", shard.cast("long")).withColumn("record", (F.col("slot") % per_shard).cast("int"))
-    dealt.repartitionByRange(min(parts, most), "shard", "slot").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(dealt.schema).parquet(at)
-
-
-def resume(spark: SparkSession, at: str, slot: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """Records from a slot on, in order; footers' ranges keep shards before it from being read."""
-    return spark.read.parquet(at).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
 def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
@@ -133,7 +82,137 @@ def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
     return encode
 
 
-def order_of(docs: DataFrame, encode=byte_ids) -> DataFrame:
-    """Materialise in the shared folder -> slot, shard, record, doc_id, seq, n_tokens, payload_sha256."""
-    t = materialise(docs, stage_path(docs.sparkSession, "shards"), encode=encode)
-    return t.select("slot", "shard", "record", "doc_id", "seq", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("payload", 256).alias("payload_sha256"))
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, size):
+            yield whole.slice(i, size)
+
+
+def counted(docs: DataFrame, length: int, encode) -> DataFrame:
+    """docs(doc_id, text) -> (task, first, doc_id, n_tokens, check) for every row with tokens, first being the number
+    of the task's sequences before it; and a last row for each task with the number of its sequences as first and a
+    check sum of its rows."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done, check, kind = TaskContext.get().partitionId(), 0, 0, None
+        for b in _slices(batches):
+            kind = b.column(0).type
+            n = np.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], np.int64)
+            check = zlib.crc32(n.tobytes(), check)
+            parts = -(-n // length)
+            on = np.flatnonzero(n)
+            first = done + np.cumsum(parts) - parts
+            done += int(parts.sum())
+            yield _count_rows(task, first[on], b.column(0).take(pa.array(on)), n[on], None)
+        if kind is not None:
+            yield _count_rows(task, np.array([done]), pa.nulls(1, kind), np.array([0]), check)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.transform(arrow_map, f, f"task int, first long, doc_id {kind}, n_tokens long, check long")
+
+
+def _count_rows(task: int, first: np.ndarray, ids: pa.Array, n: np.ndarray, check: int | None) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(n), task, np.int32)), pa.array(first), ids, pa.array(n), pa.array([check] * len(n), pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["task", "first", "doc_id", "n_tokens", "check"])
+
+
+def records(docs: DataFrame, tasks: dict[int, tuple[int, int]], n: int, length: int, per_shard: int, key: int, encode) -> DataFrame:
+    """docs(doc_id, text) -> (shard, slot, payload) of every sequence. tasks: of each task the sequences before its own
+    and the check sum of its rows."""
+    said = docs.sparkSession.sparkContext.broadcast(tasks)  # two numbers for each task of the input
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, check, want = None, 0, None
+        for b in _slices(batches):
+            if done is None:
+                done, want = said.value[TaskContext.get().partitionId()]
+            loads, sizes = [], []
+            for t in b.column(1).to_pylist():
+                ids = encode(t) if t else ()
+                sizes.append(len(ids))
+                loads += [ids[k : k + length].tobytes() for k in range(0, len(ids), length)]
+            check = zlib.crc32(np.array(sizes, np.int64).tobytes(), check)
+            if loads:
+                slot = feistel(np.arange(done, done + len(loads)), n, key)
+                done += len(loads)
+                yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(loads, pa.binary())], ["shard", "slot", "payload"])
+        if want is not None and check != want:
+            raise ValueError("the rows came in another order than when they were counted: stage them first")
+
+    return docs.transform(arrow_map, f, "shard int, slot long, payload binary")
+
+
+def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, encode=byte_ids, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write shards, index and manifest under ``at`` and return the index."""
+    spark = docs.sparkSession
+    ship(spark)
+    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    each = stage(counted(some, length, encode), "order-counts")
+    ends = sorted((r["task"], r["first"], r["check"]) for r in each.where("check is not null").collect())  # a row for each task
+    before = np.r_[0, np.cumsum([e[1] for e in ends])].astype(np.int64)
+    n, tasks = int(before[-1]), {t: (int(b), c) for (t, _, c), b in zip(ends, before, strict=False)}
+    itemsize = encode("a").itemsize
+    size = length * itemsize
+    if n:
+        shards = -(-n // per_shard)
+        dealt = records(some, tasks, n, length, per_shard, key, encode).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+        # the text writer writes a string's bytes as they are and the separator after each
+        dealt.select(F.rpad("payload", size, b"\0").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{at}/shards")
+    starts = spark.sparkContext.broadcast({t: b for t, (b, _) in tasks.items()})
+
+    @F.arrow_udf(T.LongType())
+    def slot(task: pa.Array, nth: pa.Array) -> pa.Array:
+        first = np.array([starts.value[t] for t in task.to_pylist()], np.int64)
+        return pa.array(feistel(first + nth.to_numpy(zero_copy_only=False), n, key))
+
+    seq = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / length) - 1)).alias("seq")
+    index = each.where("check is null").select("task", "first", "doc_id", "n_tokens", seq).withColumn("slot", slot("task", F.col("first") + F.col("seq")))
+    tokens = F.least(F.lit(length), F.col("n_tokens") - F.col("seq") * length)
+    shard = F.floor(F.col("slot") / per_shard)
+    index = index.select("slot", shard.alias("shard"), (F.col("slot") % per_shard).cast("int").alias("record"), "doc_id", "seq", tokens.cast("long").alias("n_tokens"))
+    index.write.parquet(f"{at}/index")
+    one = [(n, length, itemsize, size + 1, per_shard, key)]
+    spark.createDataFrame(one, MANIFEST).coalesce(1).write.parquet(f"{at}/manifest")
+    return spark.read.schema(index.schema).parquet(f"{at}/index")
+
+
+def manifest(spark: SparkSession, at: str) -> dict:
+    return spark.read.schema(MANIFEST).parquet(f"{at}/manifest").first().asDict()
+
+
+def read_record(file: BinaryIO, slot: int, m: dict) -> bytes:
+    """The ids of a slot from its shard's file, by one seek; m: the manifest."""
+    file.seek(slot % m["per_shard"] * m["stride"])
+    return file.read(m["stride"] - 1)
+
+
+def resume(spark: SparkSession, at: str, slot: int = 0) -> DataFrame:
+    """(slot, payload) from a slot on; only its shard and later ones are read, each by one task, in order."""
+    m = manifest(spark, at)
+    if not m["n"]:
+        return spark.createDataFrame([], "slot long, payload binary")
+    size, stride, per = m["stride"] - 1, m["stride"], m["per_shard"]
+    files = spark.read.format("binaryFile").load(f"{at}/shards/part-*")
+    some = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content").where(F.col("shard") >= slot // per)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = memoryview(raw.as_buffer())
+                first = max(0, slot - shard * per)
+                for i in range(first, len(raw) // stride, 4096):
+                    rows = range(i, min(i + 4096, len(raw) // stride))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard * per + k for k in rows], pa.int64()), pa.array([bytes(raw[k * stride : k * stride + size]) for k in rows], pa.binary())], ["slot", "payload"])
+
+    return some.transform(arrow_map, f, "slot long, payload binary")
+
+
+def order_of(docs: DataFrame, encode=byte_ids, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """Materialise in the shared folder -> slot, shard, record, doc_id, seq, n_tokens, payload_sha256 as read back
+    from the shards."""
+    spark = docs.sparkSession
+    at = stage_path(spark, "shards")
+    index = materialise(docs, at, length, per_shard, encode=encode)
+
+    read = resume(spark, at).select(F.col("slot").alias("slot2"), F.sha2("payload", 256).alias("payload_sha256"))
+    return index.join(read, F.col("slot") == F.col("slot2")).drop("slot2")

@@ -1,8 +1,11 @@
+import re
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from pagegraph.llm import training_order as to
-from pagegraph.session import stage_path
+from pagegraph.session import stage, stage_path
 
 from .conftest import data
 
@@ -15,35 +18,102 @@ def test_permutation_and_inverse(n):
     assert n < 64 or (to.feistel(np.arange(n), n, key=1) != y).any()
 
 
-def test_round_trip_by_slots(spark, docs, rows):
+def plain_slot(x, n, key=to.KEY):
+    """One ordinal through the network, bit by bit as the docstrings say."""
+    half = 1
+    while 4**half < n:
+        half += 1
+    mask = 2**64 - 1
+    while True:
+        a, b = x >> half, x % 2**half
+        for r in range(6):
+            h = b ^ (key * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93) & mask
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            a, b = b, a ^ (h ^ h >> 31) % 2**half
+        x = a << half | b
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 16, 17, 1000, 70000])
+def test_permutation_against_a_plain_one(n):
+    some = range(0, n, max(1, n // 50))
+    assert to.feistel(np.array(some), n).tolist() == [plain_slot(x, n) for x in some]
+
+
+def shard_paths(at):
+    return sorted(Path(at.removeprefix("file:")).glob("shards/part-*"))
+
+
+def test_records_lie_at_fixed_offsets_in_shard_files(spark, docs, rows):
+    """Each slot is found by a seek alone and holds the sequence that the index names."""
     at = stage_path(spark, "test-shards")
-    t = to.materialise(docs, at, length=16, per_shard=50).collect()
-    want = sorted(((r[0], r[1]) for r in rows if r[1]), key=str)
-    assert sorted(r["slot"] for r in t) == list(range(len(t)))
-    assert all(r["shard"] == r["slot"] // 50 and r["record"] == r["slot"] % 50 and len(r["payload"]) == 16 for r in t)
-    pieces = sorted((str(r["doc_id"]), r["seq"], bytes(r["payload"][: r["n_tokens"]])) for r in t)
-    back = sorted((str(i), k // 16, x.encode()[k : k + 16]) for i, x in want for k in range(0, len(x.encode()), 16))
-    assert pieces == back
+    staged = stage(docs, "test-docs")
+    index = to.materialise(staged, at, length=16, per_shard=50).collect()
+    m = to.manifest(spark, at)
+    n = sum(-(-len((r[1] or "").encode()) // 16) for r in rows)
+    assert (m["n"], m["stride"], m["per_shard"]) == (n, 17, 50) and sorted(r["slot"] for r in index) == list(range(n))
+    files = shard_paths(at)
+    assert [int(re.search(r"part-(\d+)", f.name)[1]) for f in files] == list(range(-(-n // 50)))
+    assert [f.stat().st_size for f in files] == [17 * min(50, n - 50 * k) for k in range(len(files))]
+    pieces = []
+    for r in index:
+        assert (r["shard"], r["record"]) == divmod(r["slot"], 50)
+        with files[r["shard"]].open("rb") as f:
+            load = to.read_record(f, r["slot"], m)
+        assert load[r["n_tokens"] :].count(b"\0") == 16 - r["n_tokens"]
+        pieces.append((str(r["doc_id"]), r["seq"], load[: r["n_tokens"]]))
+    want = [(str(r[0]), k // 16, r[1].encode()[k : k + 16]) for r in rows if r[1] for k in range(0, len(r[1].encode()), 16)]
+    assert sorted(pieces) == sorted(want)
 
 
-def test_shards_lie_in_slot_order_and_resume(spark, docs):
+def test_slots_are_the_permuted_ordinals(spark, docs):
+    """Ordinals follow the tasks of the input, their rows and the sequences of each."""
+    staged = stage(docs, "test-docs")
+    texts = [[(x[0], x[1]) for x in part] for part in staged.select("doc_id", "text").rdd.glom().collect()]
+    ordinals = [(i, k) for part in texts for i, t in part if t for k in range(-(-len(t.encode()) // 16))]
+    index = to.materialise(staged, stage_path(spark, "test-shards"), length=16, per_shard=50).collect()
+    assert sorted((r["slot"], str(r["doc_id"]), r["seq"]) for r in index) == sorted((plain_slot(x, len(ordinals)), str(i), k) for x, (i, k) in enumerate(ordinals))
+
+
+def test_resume_from_a_slot(spark, docs):
     at = stage_path(spark, "test-shards")
-    to.materialise(docs, at, length=16, per_shard=50)
-    from pyspark.sql import functions as F
+    to.materialise(stage(docs, "test-docs"), at, length=16, per_shard=50)
+    n = to.manifest(spark, at)["n"]
+    whole = dict(data(to.resume(spark, at)))
+    assert sorted(whole) == list(range(n))
+    rest = data(to.resume(spark, at, 123))
+    assert sorted(s for s, _ in rest) == list(range(123, n)) and all(whole[s] == p for s, p in rest)
+
 
-    files = spark.read.parquet(at).groupBy(F.input_file_name().alias("f")).agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
-    assert all(r["b"] - r["a"] + 1 == r["n"] for r in files)
-    n = sum(r["n"] for r in files)
-    got = [r["slot"] for r in to.resume(spark, at, 123, per_shard=50).collect()]
-    assert got == list(range(123, n))
+def test_runs_again_with_the_same_bytes(spark, docs):
+    staged, at = stage(docs, "test-docs"), [stage_path(spark, "test-shards") for _ in range(2)]
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    to.materialise(staged, at[0], length=16, per_shard=50)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    to.materialise(staged, at[1], length=16, per_shard=50)
+    assert [f.read_bytes() for f in shard_paths(at[0])] == [f.read_bytes() for f in shard_paths(at[1])]
+
+
+def test_rows_in_another_order_are_refused(spark, docs):
+    some = stage(docs.select("doc_id", "text"), "test-docs")
+    counts = to.counted(some, 16, to.byte_ids).where("check is not null").collect()
+    tasks = {r["task"]: (0, r["check"] ^ 1) for r in counts}
+    with pytest.raises(Exception, match="another order"):
+        to.records(some, tasks, 10**6, 16, 50, to.KEY, to.byte_ids).collect()
 
 
 def test_other_encoders_and_edges(spark, docs, clashing, empty):
     words = lambda t: np.arange(len(t.split()), dtype=np.uint16)
-    s = to.sequences(docs, 8, words).collect()
-    assert all(len(r["payload"]) == 16 for r in s) and sum(r["n_tokens"] for r in s) == sum(len((r["text"] or "").split()) for r in docs.collect())
-    assert data(to.order_of(empty)) == []
-    assert to.order_of(clashing).count() == to.order_of(docs).count()
+    at = stage_path(spark, "test-shards")
+    staged = stage(docs, "test-docs")
+    index = to.materialise(staged, at, 8, encode=words).collect()
+    loads = dict(data(to.resume(spark, at)))
+    assert all(len(x) == 16 for x in loads.values()) and sum(r["n_tokens"] for r in index) == sum(len((r["text"] or "").split()) for r in docs.collect())
+    assert all(np.frombuffer(loads[r["slot"]], np.uint16)[: r["n_tokens"]].tolist() == list(range(8 * r["seq"], 8 * r["seq"] + r["n_tokens"])) for r in index)
+    assert data(to.order_of(stage(empty, "test-docs"))) == []
+    assert to.order_of(stage(clashing, "test-docs")).count() == to.order_of(staged).count()
 
 
 def test_registered_query_holds_vocabulary_ids(spark, small):
