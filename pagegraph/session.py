@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at a time: texts differ in length, so a number of rows bounds nothing.
 BATCH_BYTES = 8 << 20
-FILE_ROWS = 50_000
+FILE_ROWS = 250_000
+#: How staged tables are written. On file systems without a store behind them Spark's writer starts a process to set the
+#: mode of each file, and of a file of checksums beside it; Parquet has checksums of its own, so these are left out.
+STAGED_AS = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
 _STAGED: dict[str, SparkSession] = {}
@@ -105,7 +108,7 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     at = stage_path(spark, name)
     _NAMED[at] = "pagegraph_" + at.rsplit("-", 1)[-1]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(parts, key).saveAsTable(_NAMED[at])
+    df.write.options(**STAGED_AS).format("parquet").option("path", at).bucketBy(parts, key).saveAsTable(_NAMED[at])
     return spark.table(_NAMED[at])
 
 
@@ -118,5 +121,5 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     at = stage_path(spark, name)
     few = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    few.write.option("compression", "zstd").parquet(at)
+    few.write.options(**STAGED_AS).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
