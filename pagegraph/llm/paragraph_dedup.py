@@ -97,10 +97,14 @@ def paragraphs(text: str | None) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.array([h(x) for x in words], np.uint64)
+
+
 def shingle_set(line: bytes, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the line's shingles; a shorter line is one shingle."""
-    h = xxhash.xxh64_intdigest
-    w = np.array([h(x) for x in line.lower().split()], np.uint64)
+    w = _hashes(line.lower().split())
     return np.unique(_roll(w, min(n, len(w)))) if len(w) else w
 
 
@@ -114,21 +118,37 @@ def _roll(w: np.ndarray, n: int) -> np.ndarray:
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """(len(sets), BANDS) keys; sets are not empty."""
-    at = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    every = np.concatenate(sets)
-    key = np.empty((len(sets), BANDS), np.uint64)
+    return _band_keys(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]])
+
+
+def _band_keys(every: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of the sets that start at these places; what repeats in a set doesn't matter."""
+    key = np.empty((len(at), BANDS), np.uint64)
     for b in range(BANDS):
-        k = np.full(len(sets), b + 1, np.uint64) * _P
+        k = np.full(len(at), b + 1, np.uint64) * _P
         for r in range(ROWS):
             i = b * ROWS + r
-            x = every * _MUL[i] + _ADD[i]
+            x = every * _MUL[i]
+            x += _ADD[i]
             x ^= x >> np.uint64(32)
-            k = (k ^ np.minimum.reduceat(x * _P, at)) * _Q
+            x *= _P
+            k = (k ^ np.minimum.reduceat(x, at)) * _Q
             k ^= k >> np.uint64(29)
         key[:, b] = k
     return key
 
 
+def shingle_bands(lines: list[list[bytes]]) -> np.ndarray:
+    """Band keys of lines of SHINGLE words or more, given as lower-cased words: one array of shingles for all."""
+    size = np.array([len(x) for x in lines])
+    w = _hashes([x for line in lines for x in line])
+    ends = np.cumsum(size)
+    whole = np.ones(len(w), bool)  # places where a shingle starts that lies in one line
+    for k in range(1, SHINGLE):
+        whole[ends - k] = False
+    return _band_keys(_roll(w, SHINGLE)[whole[: len(w) - SHINGLE + 1]], np.r_[0, np.cumsum(size - SHINGLE + 1)[:-1]])
+
+
 def _signed(x) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
@@ -148,16 +168,16 @@ class _Seen(set):
 def _bands(batches):
     h, seen = xxhash.xxh64_intdigest, _Seen()
     for whole in batches:
-        for i in range(0, whole.num_rows, 256):
-            sets, ids = [], []
-            for t in whole.column(0).slice(i, 256).to_pylist():
+        for i in range(0, whole.num_rows, 128):
+            lines, ids = [], []
+            for t in whole.column(0).slice(i, 128).to_pylist():
                 for _, _, line in paragraphs(t):
                     key = h(line, 42)
                     if seen.new(key):
-                        sets.append(shingle_set(line))
+                        lines.append(line.lower().split())
                         ids.append(key)
             if ids:
-                k = band_keys(sets).reshape(-1)
+                k = shingle_bands(lines).reshape(-1)
                 yield pa.RecordBatch.from_arrays([_signed(k), _signed(np.repeat(np.array(ids, np.uint64), BANDS))], ["k", "line"])
 
 
@@ -336,9 +356,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     buckets = dealt.transform(arrow_map, lambda batches, block=BLOCK: _buckets(batches, block), "kind int, bucket long, line long")
     buckets = stage(buckets.distinct(), "paragraph-buckets")
     # both sides of the joins with text grow with the corpus: the same plan at every size
-    ids = stage(buckets.select(F.col("line").alias("line3")).distinct(), "paragraph-ids", buckets.count())
+    ids = buckets.select(F.col("line").alias("line3")).distinct()
     texts = some.select("text").transform(arrow_map, _emit_texts, "line2 long, t binary").join(ids.hint("merge"), F.col("line2") == F.col("line3"), "left_semi")
-    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts", ids.count())
+    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts", buckets.count())
     small = buckets.where(F.col("kind") == SMALL).select("bucket", "line")
     large = buckets.where(F.col("kind") == LARGE).select("bucket", "line")
     links = None
@@ -356,7 +376,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     one = stage(one.select("line", "first", F.coalesce("component", "line").alias("top")), "paragraph-classes", places.count())
     least = one.groupBy(F.col("top").alias("top2")).agg(F.min("first").alias("least"))
     keep = one.join(least, F.col("top") == F.col("top2")).select(F.col("line").alias("line2"), F.col("least.rk").alias("rk2"), F.col("least.n").alias("n2"))
-    twice = places.join(stage(keep, "paragraph-kept", one.count()), F.col("line") == F.col("line2"))
+    twice = places.join(keep, F.col("line") == F.col("line2"))
     cut = F.when((F.col("rk") != F.col("rk2")) | (F.col("n") != F.col("n2")), F.struct("n", "size"))
     every = F.collect_set(F.struct("n", "size"))
     words = F.aggregate(every, F.lit(0).cast("long"), lambda x, p: x + p["size"])
@@ -364,8 +384,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def _words(text: str | None) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.array([h(x) for x in _raw(text).lower().split()] if text else [], np.uint64)
+    return _hashes(_raw(text).lower().split()) if text else np.zeros(0, np.uint64)
 
 
 def _doubled(x: np.ndarray, n: int, join) -> np.ndarray:
@@ -389,8 +408,23 @@ def _marks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs, _doubled(runs, PASSAGE - MARK + 1, np.minimum)
 
 
+def _own_marks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of a text, and of each whether it may mark two windows that don't overlap.
+
+    Windows that share a mark by one place are neighbours, as many as a mark fits in at most; windows that don't overlap
+    are not, unless the mark repeats all the way.
+    """
+    least = _marks(w)[1]
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    long = np.diff(np.r_[first, len(least)]) > PASSAGE - MARK + 1
+    mark, at, times = np.unique(least[first], return_inverse=True, return_counts=True)
+    again = times > 1
+    again[at[long]] = True
+    return mark, again
+
+
 def _emit_marks(batches):
-    """rows (rk, text) -> the marks of each text; again: a mark's run occurs twice in it."""
+    """rows (rk, text) -> the marks of each text."""
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             b = whole.slice(i, 256)
@@ -398,11 +432,9 @@ def _emit_marks(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = _words(t)
                 if len(w) >= PASSAGE:
-                    runs, least = _marks(w)
-                    m = np.unique(least[np.r_[True, least[1:] != least[:-1]]])
-                    runs = np.sort(runs)
+                    m, twice = _own_marks(w)
                     mark.append(m)
-                    again.append(np.searchsorted(runs, m, side="right") - np.searchsorted(runs, m) > 1)
+                    again.append(twice)
                     rk.append(np.full(len(m), k, np.int64))
             if rk:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(mark)), pa.array(np.concatenate(rk)), pa.array(np.concatenate(again))], ["mark", "rk", "again"])
@@ -476,7 +508,7 @@ def passages(docs: DataFrame) -> DataFrame:
     found = stage(texts.transform(arrow_map, _emit_windows, f"window long, check long, rk long, doc_id {kind}, at int"), "passage-windows")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "at")
     one = found.groupBy(F.col("window").alias("window2"), F.col("check").alias("check2")).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
-    one = stage(one.select("window2", "check2", "first"), "passage-first", found.count())
+    one = one.select("window2", "check2", "first")
     later = (F.col("rk") != F.col("first.rk")) | (F.col("at") >= F.col("first.at") + PASSAGE)
     both = found.join(one, (F.col("window") == F.col("window2")) & (F.col("check") == F.col("check2")))
     return both.groupBy("rk").agg(F.collect_set(F.when(later, F.struct(F.col("at").alias("n"), F.lit(PASSAGE).alias("size")))).alias("cuts"))
@@ -488,11 +520,10 @@ def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     key = row_key(F.col(doc_id), F.col(text))
     gone = repeated(docs.select(key.alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     gone = gone.select(F.col("rk").alias("__pg_rk2"), F.col("cuts").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated"), F.col("n_words").alias("__pg_words"))
-    gone = stage(gone, "paragraph-gone")
     keyed = docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").drop("__pg_rk2")
     left = stage_bucketed(keyed.withColumn("__pg_new", _left(F.col(text), F.col("__pg_gone"))), "paragraph-left", "__pg_rk")
     starts = passages(left.select(F.col("__pg_rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col("__pg_new").alias("text")))
-    starts = stage(starts.select(F.col("rk").alias("__pg_rk3"), F.col("cuts").alias("__pg_starts")), "passage-starts")
+    starts = starts.select(F.col("rk").alias("__pg_rk3"), F.col("cuts").alias("__pg_starts"))
     out = left.join(starts.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk3"), "left")
     return out.withColumn("__pg_new", _left(F.col("__pg_new"), F.col("__pg_starts")))
 

@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship, stage, stage_path
+from ..session import STAGED_AS, ship, stage, stage_path
 from .common import arrow_map
 from .token_counts import encoder
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 65_536, 6, 0x5EED
+RAW_FILES = {k: v for k, v in STAGED_AS.items() if k != "compression"}
 MANIFEST = "n long, length int, itemsize int, stride int, per_shard int, key long"
 
 
@@ -157,7 +158,7 @@ def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int =
         shards = -(-n // per_shard)
         dealt = records(some, tasks, n, length, per_shard, key, encode).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
         # the text writer writes a string's bytes as they are and the separator after each
-        dealt.select(F.rpad("payload", size, b"\0").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{at}/shards")
+        dealt.select(F.rpad("payload", size, b"\0").cast("string").alias("record")).write.options(**RAW_FILES, lineSep="\n").text(f"{at}/shards")
     starts = spark.sparkContext.broadcast({t: b for t, (b, _) in tasks.items()})
 
     @F.arrow_udf(T.LongType())
@@ -170,7 +171,7 @@ def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int =
     tokens = F.least(F.lit(length), F.col("n_tokens") - F.col("seq") * length)
     shard = F.floor(F.col("slot") / per_shard)
     index = index.select("slot", shard.alias("shard"), (F.col("slot") % per_shard).cast("int").alias("record"), "doc_id", "seq", tokens.cast("long").alias("n_tokens"))
-    index.write.parquet(f"{at}/index")
+    index.write.options(**STAGED_AS).parquet(f"{at}/index")
     one = [(n, length, itemsize, size + 1, per_shard, key)]
     spark.createDataFrame(one, MANIFEST).coalesce(1).write.parquet(f"{at}/manifest")
     return spark.read.schema(index.schema).parquet(f"{at}/index")

@@ -305,6 +305,26 @@ def test_buckets_hold_no_more_than_a_block():
         assert sorted(map(sorted, small.values())) == sorted({tuple(sorted(v)): sorted(v) for v in want.values() if 1 < len(v) <= 5}.values())
 
 
+def test_keys_of_many_lines_are_those_of_each():
+    lines = [sentence(k, n).encode() for k, n in enumerate((20, 5, 33, 7, 100, 21))] + [b"a b c d e " * 9]
+    one = np.concatenate([p.band_keys([p.shingle_set(x)]) for x in lines])
+    assert (p.shingle_bands([x.lower().split() for x in lines]) == one).all()
+
+
+def test_windows_that_repeat_in_a_document_have_a_mark_that_says_so():
+    r = random.Random(13)
+    for _ in range(60):
+        own = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+        x = r.choice([own(51), own(70), ["a"] * 60, own(7) * 9, own(30) * 2])
+        w = p._words(" ".join(own(r.randrange(60)) + x + own(r.randrange(60)) + x + own(r.randrange(60))))
+        mark, again = p._own_marks(w)
+        said, least, key = set(mark[again].tolist()), p._marks(w)[1], p._doubled(w, p.PASSAGE, p._mix).tolist()
+        at = {}
+        for i, k in enumerate(key):
+            if i - at.setdefault(k, i) >= p.PASSAGE:
+                assert int(least[i]) in said
+
+
 def test_white_space_around_a_cut():
     w = " ".join(f"w{i}" for i in range(51))
     assert p.without_words(f"a b\n\n{w} c", [(2, 51)]) == "a b\n\nc"
