@@ -50,10 +50,11 @@ def report_summary(m: DataFrame) -> DataFrame:
 
 
 def verify(m: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
-    """(dir, filename, result) of every output, or of the first ``limit`` by name."""
-    e = manifest.exported(m).select(F.concat_ws("/", "dir", "filename").alias("filename"), "sha256")
+    """(dir, filename, result) of every output, or of each job's first ``limit`` in the order of its document."""
+    e = manifest.exported(m, ord="ord")
     if limit is not None:
-        e = e.orderBy("filename").limit(limit)
+        e = e.where(F.col("ord") < limit)
+    e = e.select(F.concat_ws("/", "dir", "filename").alias("filename"), "sha256")
     d = files.select(F.concat_ws("/", "dir", "filename").alias("filename"), F.col("sha256").alias("actual"), F.col("sha256").isNull().alias("io_error"))
     r = jobstate.verify(e, d)
     return r.select(F.regexp_extract("filename", "^(.*)/([^/]*)$", 1).alias("dir"), F.regexp_extract("filename", "([^/]*)$", 1).alias("filename"), "result")
@@ -88,6 +89,39 @@ def reset(m: DataFrame, dirs: list[str]) -> DataFrame:
     return m.where(~F.col("dir").isin(*dirs))
 
 
+def resume_plan(m: DataFrame, mode: str = "auto") -> DataFrame:
+    """(dir, idx, url) of the pages that a run over these jobs would export.
+
+    Mode auto: pages without output that haven't failed, retry: failed pages with attempts left, all: every page.
+    """
+    pages, done, bad = manifest.mapped(m), manifest.exported(m).select("dir", "url"), manifest.failures(m)
+    if mode == "all":
+        out = pages
+    elif mode == "retry":
+        out = pages.join(bad.where(F.col("attempts") < jobstate.MAX_ATTEMPTS).select("dir", "url"), ["dir", "url"], "left_semi").join(done, ["dir", "url"], "left_anti")
+    elif mode == "auto":
+        out = pages.join(done, ["dir", "url"], "left_anti").join(bad.select("dir", "url"), ["dir", "url"], "left_anti")
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    return out.select("dir", "idx", "url")
+
+
+def markdown_pages(m: DataFrame) -> DataFrame:
+    """(dir, idx, url) of the pages without a Markdown output."""
+    return manifest.mapped(m).join(manifest.exported(m, "exported_md").select("dir", "url"), ["dir", "url"], "left_anti").select("dir", "idx", "url")
+
+
+def add_exits(known: DataFrame, lines: DataFrame) -> DataFrame:
+    """Known exits(n, exit) followed by the new ones of a list, each once."""
+    new = stored.exit_list(lines).where("not bad").join(known.select("exit"), "exit", "left_anti")
+    last = known.agg(F.coalesce(F.max("n"), F.lit(0)).alias("last"))
+    return known.select("n", "exit").union(new.crossJoin(F.broadcast(last)).select(F.col("last") + F.col("n"), "exit"))
+
+
+def clear_exits(known: DataFrame) -> DataFrame:
+    return known.where("false")
+
+
 def exits(lines: DataFrame) -> DataFrame:
     return stored.exit_list(lines)
 

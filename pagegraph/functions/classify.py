@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +48,21 @@ def any_of(c: Column, markers: tuple[str, ...]) -> Column:
 
 
 def retry_after(value: Column, now: Column) -> Column:
-    """Seconds of a Retry-After header (number or HTTP date, seen at epoch second ``now``); null if unusable."""
-    t = F.trim(value)
-    date = F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]+,?\s+", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    s = F.coalesce(t.try_cast("double"), date.cast("double") - now)
+    """Seconds of a Retry-After header (number or HTTP date, seen at epoch second ``now``); null if unusable.
+
+    Only values that are no number travel to Python, for a date in any of its forms.
+    """
+    t = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    number = t.try_cast("double")
+    s = F.coalesce(number, http_date_seconds(F.when(number.isNull() & (t != ""), t)) - now)
     return F.when((t != "") & s.between(0, MAX_RETRY_AFTER), s)
 
 
+def listing_status(status: Column, is_root: Column) -> Column:
+    """What the status of a page says about its children: none (404 or 410 below the root), failed, or read them."""
+    return F.when(status.isin(404, 410) & ~is_root, "no children").when(status >= 400, "failed").otherwise("read")
+
+
 def response_kind(status: Column, mitigated: Column, title: Column, body: Column, is_page: Column) -> Column:
     """rate-limit, challenge, server-error, access-denied, or null for no block."""
     t = F.lower(F.coalesce(title, F.lit("")))
@@ -116,10 +124,25 @@ def asset_verdict(n_limited: Column, n_server: Column, n_dropped: Column, lenien
     return F.when(n_limited > 0, "blocked").when((n_server + n_dropped > 0) & ~lenient, "transient").otherwise("ok")
 
 
+def asset_verdicts(events: DataFrame, key: str = "nav_id") -> DataFrame:
+    """events(key, status, dropped, lenient) of a page's resources -> (key, n_limited, n_server, n_dropped, statuses,
+    verdict): bad statuses each once, in order, joined by a slash."""
+    bad = (F.col("status") == 429) | (F.col("status") >= 500)
+    n = events.groupBy(key).agg(
+        F.count_if(F.col("status") == 429).alias("n_limited"), F.count_if(F.col("status") >= 500).alias("n_server"), F.count_if(F.coalesce("dropped", F.lit(False))).alias("n_dropped"),
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.when(bad, F.col("status")))), lambda s: s.cast("string")), "/").alias("statuses"), F.bool_or("lenient").alias("lenient"),
+    )
+    return n.select(key, "n_limited", "n_server", "n_dropped", "statuses", asset_verdict(F.col("n_limited"), F.col("n_server"), F.col("n_dropped"), F.coalesce("lenient", F.lit(False))).alias("verdict"))
+
+
+# Words by which errors are advised on.
+WAIT_WORDS, BROWSER_WORDS, DISK_WORDS, DENIED_WORDS = ("522", "523", "524", "429", "cloudflare"), ("playwright", "chromium", "browser"), ("disk", "space"), ("permission", "denied", "winerror 5")
+
+
 def advice(error: Column) -> Column:
     """Which remedy fits an error: wait, browser, disk, permission or none."""
     e = F.lower(error)
-    return F.when(any_of(e, ("522", "523", "524", "429", "cloudflare")), "wait").when(any_of(e, ("playwright", "chromium", "browser")), "browser").when(any_of(e, ("disk", "space")), "disk").when(any_of(e, ("permission", "denied", "winerror 5")), "permission")
+    return F.when(any_of(e, WAIT_WORDS), "wait").when(any_of(e, BROWSER_WORDS), "browser").when(any_of(e, DISK_WORDS), "disk").when(any_of(e, DENIED_WORDS), "permission")
 
 
 def resume_mode(force_recrawl: Column, force_reexport: Column) -> Column:
@@ -128,12 +151,14 @@ def resume_mode(force_recrawl: Column, force_reexport: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def http_date_seconds(s: pd.Series) -> pd.Series:
-    """Epoch seconds of an HTTP date in any of its three forms."""
+    """Epoch seconds of an HTTP date in any of its three forms; one without a zone is in UTC."""
+    from datetime import timezone
     from email.utils import parsedate_to_datetime
 
     def one(v):
         try:
-            return parsedate_to_datetime(v).timestamp() if v else None
+            t = parsedate_to_datetime(v) if v else None
+            return None if t is None else (t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp()
         except (TypeError, ValueError, IndexError):
             return None
 

@@ -68,8 +68,8 @@ def consolidated_name(flag, saved, guess, suffix: str = ".pdf"):
 
 
 def csv_ready(rows: DataFrame) -> DataFrame:
-    """Text columns in one line each."""
-    one = lambda c: F.trim(F.regexp_replace(c, r"[\r\n]+", " "))
+    """Text columns in one line each: every line end is a space, white space at the ends goes."""
+    one = lambda c: strip(F.translate(c, "\r\n", "  "))
     return rows.select(*[one(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
 
 
@@ -81,6 +81,12 @@ def json_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def json_report(summary: DataFrame, rows: DataFrame) -> DataFrame:
+    """(part, idx, json): the summary, then the report rows in order; rows(idx, ...)."""
+    head = json_rows(summary).select(F.lit("summary").alias("part"), F.lit(0).cast("long").alias("idx"), "json")
+    return head.union(rows.select(F.lit("row"), F.col("idx").cast("long"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})))
+
+
 def write_json(rows: DataFrame, at: str) -> None:
     json_rows(rows).write.mode("overwrite").text(at)
 

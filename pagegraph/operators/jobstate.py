@@ -26,11 +26,6 @@ def keep_first(df: DataFrame, key: str | list[str], order: list[Column]) -> Data
     return df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("__r")).select("__r.*")
 
 
-def prefer_exact(df: DataFrame, url: str = "url") -> DataFrame:
-    """One row per page key; where both display forms exist, the one given as it is in ``want`` wins."""
-    return df.withColumn("page_key", urls.page_key(F.col(url)))
-
-
 def report_rows(mapped: DataFrame, exported: DataFrame, failures: DataFrame) -> DataFrame:
     """mapped ⟕ exported ⟕ failures on the exact URL; exported before failed before pending."""
     e = exported.select("url", "filename", "title", "size_bytes", "elapsed_seconds", F.lit(True).alias("is_e"))
@@ -94,6 +89,39 @@ def map_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return mark(n.join(o, "k", "left_anti"), "added").union(mark(o.join(n, "k", "left_anti"), "removed")).union(mark(n.join(o, "k", "left_semi"), "unchanged"))
 
 
+def gated_map_diff(old: DataFrame, new: DataFrame, forced: bool, old_complete: bool, new_complete: bool) -> DataFrame:
+    """The same if it can say anything: a map that was complete and not empty was mapped again, on demand and to its
+    end. Else no row."""
+    whole = old.limit(1).select(F.lit(True).alias("__any"))  # one row at most
+    return map_diff(old, new).where(F.lit(forced and old_complete and new_complete)).crossJoin(F.broadcast(whole)).drop("__any")
+
+
+def remap_outcome(n_new: Column, n_pending: Column, n_old: Column, limited: Column) -> Column:
+    """What becomes of a map that was made again (n_old null: for the first time): ``replace`` it, ``keep`` the old one
+    because the new one has the start page alone or isn't finished, or save the new one as ``partial``. A stop at
+    the greatest number of pages counts as finished for a caller, but isn't a whole map."""
+    lost = n_old.isNotNull() & (n_new == 1) & (n_old > 1)
+    whole = (n_new > 0) & (n_pending == 0)
+    return F.when(whole & lost, "keep").when(whole, "replace").when(n_old.isNotNull() & ~limited, "keep").otherwise("partial")
+
+
+def crawl_summary(mapped: DataFrame, leaves: DataFrame, slow: DataFrame, pending: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row: mapped pages, navigations and listing requests, mapped leaves that needed none, slow and pending pages.
+    requests(kind navigation|listing); the others have url."""
+    one = lambda df, n: df.agg(F.count("*").alias(n))
+    asked = requests.agg(F.count_if(F.col("kind") == "navigation").alias("navigations"), F.count_if(F.col("kind") == "listing").alias("requests"))
+    known = mapped.select("url").distinct().join(leaves.select("url"), "url", "left_semi")
+    out = one(mapped, "mapped").crossJoin(asked)  # rows of counts
+    for df, n in ((known, "leaves"), (slow, "slow"), (pending, "pending")):
+        out = out.crossJoin(one(df, n))
+    return out
+
+
+def merged_metrics(workers: DataFrame, by: list[str]) -> DataFrame:
+    """workers(by..., blocks, waited) -> their sums."""
+    return workers.groupBy(*by).agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.coalesce(F.sum("waited"), F.lit(0.0)).alias("waited"))
+
+
 def map_diff_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     return map_diff(old, new).groupBy("change").count().withColumnRenamed("count", "n")
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinal import global_ordinal
+
 
 @dataclass(frozen=True)
 class Pacing:
@@ -75,14 +77,12 @@ def pacing(events: DataFrame, key: str = "exit", p: Pacing = Pacing()) -> DataFr
 def slots(requests: DataFrame, delay: float, key: str = "exit") -> DataFrame:
     """requests(key, seq, now, cooldown_until) -> the slot each request reserves:
     max(now, cooldown, last slot + delay)."""
-    e = ordered_events(requests, key, ["seq"], "now", "cooldown_until")
-    zero = F.struct(F.lit(-1e18).alias("last"), F.array().cast("array<struct<seq:bigint,slot:double>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        slot = F.greatest(r["now"], r["cooldown_until"], s["last"] + delay).cast("double")
-        return F.struct(slot.alias("last"), F.array_append(s["out"], F.struct(r["seq"].cast("long").alias("seq"), slot.alias("slot"))).alias("out"))
-
-    return e.select(key, F.inline(F.aggregate("events", zero, step)["out"]))
+    w = Window.partitionBy(key).orderBy("seq")
+    nth = F.row_number().over(w)
+    # the recurrence in closed form: the greatest of floor_j + (i - j) * delay over all j up to i
+    floor = F.greatest("now", "cooldown_until").cast("double")
+    slot = F.max(F.col("__floor") - F.col("__nth") * delay).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__nth") * delay
+    return requests.withColumns({"__nth": nth, "__floor": floor}).select(key, F.col("seq").cast("long").alias("seq"), slot.alias("slot"))
 
 
 # Failures to a strike, first quarantine in seconds, strikes to being dropped.
@@ -142,6 +142,62 @@ def retry_outcome(attempts: DataFrame, key: str = "url", most: int = MAX_TRIES)
     return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
 
 
+# Attempts in the first round and in the later ones, the attempt from which resources are forgiven.
+ROUNDS, LENIENT_FROM = (MAX_TRIES, 2, 2), 3
+
+
+def retry_rounds(attempts: DataFrame, key: str = "url", rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """attempts(key, ts, seq, outcome, at_exit) -> how the page ended after all rounds.
+
+    A round ends as ``retry_outcome`` says, but that a timeout at an exit, which counts against the exit, is followed by
+    another attempt; what failed in a round, other than for good, comes again in the next. ``state`` is open (more
+    attempts are due), done, permanent or failed; ``lenient`` says whether the last attempt forgave resources.
+    """
+    e = ordered_events(attempts, key, ["ts", "seq"], "outcome", "at_exit")
+    zero = F.struct(F.lit("open").alias("state"), F.lit(1).alias("round"), F.lit(0).alias("tries"), F.lit(0).alias("attempts"), F.lit(0.0).alias("paused"), F.lit(False).alias("lenient"))
+    most = lambda s: F.element_at(F.array(*map(F.lit, rounds)), s["round"])
+
+    def step(s: Column, x: Column) -> Column:
+        o, n = x["outcome"], s["tries"] + 1
+        last = n >= most(s)
+        again = ~last & ((o == "blocked") | (o == "transient") | ((o == "failed") & (n < FAILED_STOP)) | ((o == "timeout") & F.coalesce(x["at_exit"], F.lit(False))))
+        ends, final = ~again & ~o.isin("ok", "permanent"), s["round"] >= len(rounds)
+        state = F.when(o == "ok", "done").when(o == "permanent", "permanent").when(ends & final, "failed").otherwise("open")
+        pause = s["paused"] + F.when(o.isin("transient", "failed") & again, F.least(F.lit(PAUSE_CAP), PAUSE_STEP * n)).otherwise(0.0)
+        next_ = ends & ~final
+        new = F.struct(
+            state.alias("state"), (s["round"] + F.when(next_, 1).otherwise(0)).cast("int").alias("round"), F.when(next_, 0).otherwise(n).cast("int").alias("tries"),
+            (s["attempts"] + 1).cast("int").alias("attempts"), pause.cast("double").alias("paused"), ((n >= LENIENT_FROM) | last).alias("lenient"),
+        )
+        return F.when(s["state"] != "open", s).otherwise(new)
+
+    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
+
+
+def request_bans(requests: DataFrame, key: str, seconds: float, limit: int, ban: float, grace: float) -> DataFrame:
+    """requests(key, t, seq, counted) -> (key, bans, pokes, late_pokes): more than ``limit`` counted requests within
+    ``seconds`` ban the key for ``ban`` seconds and start its window anew; requests during a ban are pokes, late ones
+    if it has lasted more than ``grace``."""
+    e = ordered_events(requests, key, ["t", "seq"], "counted")
+    d = lambda v: F.lit(v).cast("double")
+    zero = F.struct(d(-1e18).alias("until"), d(-1e18).alias("since"), F.array().cast("array<double>").alias("recent"), F.lit(0).alias("bans"), F.lit(0).alias("pokes"), F.lit(0).alias("late"))
+
+    def step(s: Column, x: Column) -> Column:
+        t = x["t"].cast("double")
+        banned = s["until"] > t
+        # at most limit + 1 requests are kept, and those of the last window alone
+        recent = F.array_append(F.filter(s["recent"], lambda r: r >= t - seconds), t)
+        over = ~banned & x["counted"] & (F.size(recent) > limit)
+        return F.struct(
+            F.when(over, t + ban).otherwise(s["until"]).alias("until"), F.when(over, t).otherwise(s["since"]).alias("since"),
+            F.when(over, F.array().cast("array<double>")).when(banned | ~x["counted"], s["recent"]).otherwise(recent).alias("recent"),
+            (s["bans"] + F.when(over, 1).otherwise(0)).cast("int").alias("bans"), (s["pokes"] + F.when(banned, 1).otherwise(0)).cast("int").alias("pokes"),
+            (s["late"] + F.when(banned & (t - s["since"] > grace), 1).otherwise(0)).cast("int").alias("late"),
+        )
+
+    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.bans", "s.pokes", F.col("s.late").alias("late_pokes"))
+
+
 def attempts_since_success(attempts: DataFrame, key: str, order: list[str], ok: Column) -> DataFrame:
     """Failed runs since the last success; keys whose last run succeeded are gone."""
     w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -171,8 +227,8 @@ def earliest_exit(exits: DataFrame, current: int, n: int) -> DataFrame:
 def round_robin(exits: DataFrame, current: int, n: int, groups: int) -> DataFrame:
     """Live exits(pos, dead) dealt to groups in turn, from ``current`` on."""
     offset = F.pmod(F.col("pos") - current, F.lit(n))
-    k = F.row_number().over(Window.orderBy(offset)) - 1  # a list of exits
-    return exits.where("not dead").select("pos", (k % groups).alias("group"))
+    turn = global_ordinal(exits.where("not dead").select("pos", offset.alias("__at")), [F.col("__at")], "__k")
+    return turn.select("pos", ((F.col("__k") - 1) % groups).cast("int").alias("group"))
 
 
 def workers_by_cooldown(workers: DataFrame, items: int) -> DataFrame:

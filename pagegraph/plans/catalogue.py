@@ -123,9 +123,9 @@ def slow_pages_topk(spark, d):
 
 @query(
     JOB_SQL
-    + """SELECT filename, CASE WHEN size_bytes < 1024 THEN printf('%.1f B', size_bytes::DOUBLE) ELSE printf('%.1f KB', size_bytes / 1024.0::DOUBLE) END AS size,
-CASE WHEN elapsed_seconds < 60 THEN printf('%.1fs', elapsed_seconds) ELSE printf('%dmin %ds', CAST(floor(floor(elapsed_seconds) / 60) AS BIGINT), CAST(floor(elapsed_seconds) AS BIGINT) % 60) END AS took
-FROM exported WHERE size_bytes < 1048576 AND elapsed_seconds < 3600"""
+    + """, s AS (SELECT filename, elapsed_seconds AS t, CAST(floor(elapsed_seconds) AS BIGINT) AS w, size_bytes::DOUBLE AS b FROM exported)
+SELECT filename, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1024.0 ** 2 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1024.0 ** 3 THEN printf('%.1f MB', b / 1024.0 ** 2) WHEN b < 1024.0 ** 4 THEN printf('%.1f GB', b / 1024.0 ** 3) ELSE printf('%.1f TB', b / 1024.0 ** 4) END AS size,
+CASE WHEN t < 60 THEN printf('%.1fs', t) WHEN w < 3600 THEN printf('%dmin %ds', w // 60, w % 60) ELSE printf('%dh %dmin %ds', w // 3600, w // 60 % 60, w % 60) END AS took FROM s"""
 )
 def display_formats(spark, d):
     e = job(spark, d)[1]

@@ -55,8 +55,12 @@ def mapped(m: DataFrame) -> DataFrame:
     return m.select("dir", F.posexplode("mapped_urls").alias("pos", "url")).select("dir", (F.col("pos") + 1).alias("idx"), "url", page_key(F.col("url")).alias("page_key"))
 
 
-def exported(m: DataFrame, kind: str = "exported") -> DataFrame:
-    return m.select("dir", F.explode(F.coalesce(kind, F.from_json(F.lit("{}"), f"map<string,{OUTPUT}>"))).alias("url", "e")).select("dir", "url", "e.*")
+def exported(m: DataFrame, kind: str = "exported", ord: str | None = None) -> DataFrame:
+    """Outputs of each job; ``ord`` names a column for their place in the document."""
+    every = F.coalesce(kind, F.from_json(F.lit("{}"), f"map<string,{OUTPUT}>"))
+    if ord:
+        return m.select("dir", F.posexplode(every).alias(ord, "url", "e")).select("dir", ord, "url", "e.*")
+    return m.select("dir", F.explode(every).alias("url", "e")).select("dir", "url", "e.*")
 
 
 def failures(m: DataFrame) -> DataFrame:
@@ -82,7 +86,19 @@ def write_snapshot(m: DataFrame, root: str, version: int) -> str:
     return at
 
 
+def expire_snapshots(spark: SparkSession, root: str, keep: int = BACKUPS) -> list[str]:
+    """Delete the versions before the newest and the ``keep`` before it; returns their paths. Pointer rows stay, and a
+    path that is gone already is no error, so a run that was cut short can be run again."""
+    rows = spark.read.schema("version long, path string").json(f"{root.rstrip('/')}/_versions").orderBy(F.desc("version")).collect()  # a row a version
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for r in rows[keep + 1 :]:
+        path = jvm.org.apache.hadoop.fs.Path(r["path"])
+        if path.getFileSystem(conf).delete(path, True):
+            gone.append(r["path"])
+    return gone
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Path of the newest version; the last BACKUPS versions before it are its backups."""
+    """Path of the newest version; the versions before it that ``expire_snapshots`` leaves are its backups."""
     row = spark.read.schema("version long, path string").json(f"{root.rstrip('/')}/_versions").orderBy(F.desc("version")).limit(1).collect()
     return row[0]["path"] if row else None

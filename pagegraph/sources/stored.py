@@ -45,11 +45,11 @@ def binary_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFra
 
 
 def checked_files(files: DataFrame) -> DataFrame:
-    """files(path, length, content) -> filename, valid, sha256: size, header, no HTML, end mark."""
-    head = F.substring("content", 1, 1024)
-    text = F.lower(F.decode(head, "ISO-8859-1"))
+    """files(path, length, content) -> filename, valid, sha256: size, the first 16 bytes, end mark near the end."""
+    head = F.decode(F.substring("content", 1, 16), "ISO-8859-1")
+    page = F.contains(F.lower(head), F.lit("<html")) | F.contains(F.lower(head), F.lit("<!doctype"))
     tail = F.decode(F.expr("substring(content, greatest(1, length(content) - 1023), 1024)"), "ISO-8859-1")
-    valid = (F.col("length") >= MIN_PDF) & F.startswith(text, F.lit("%pdf-")) & ~F.contains(text, F.lit("<html")) & F.contains(tail, F.lit("%%EOF"))
+    valid = (F.col("length") >= MIN_PDF) & F.startswith(head, F.lit("%PDF-")) & ~page & F.contains(tail, F.lit("%%EOF"))
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", valid.alias("valid"), F.sha2("content", 256).alias("sha256"))
 
 
