@@ -358,7 +358,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     # both sides of the joins with text grow with the corpus: the same plan at every size
     ids = buckets.select(F.col("line").alias("line3")).distinct()
     texts = some.select("text").transform(arrow_map, _emit_texts, "line2 long, t binary").join(ids.hint("merge"), F.col("line2") == F.col("line3"), "left_semi")
-    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts", buckets.count())
+    texts = stage(texts.dropDuplicates(["line2"]), "paragraph-texts", 8 * buckets.count())
     small = buckets.where(F.col("kind") == SMALL).select("bucket", "line")
     large = buckets.where(F.col("kind") == LARGE).select("bucket", "line")
     links = None

@@ -1,46 +1,49 @@
-"""Training-order materialisation: every sequence gets a global slot from a keyed permutation.
+"""Training-order materialisation: every sequence gets a global slot from keyed permutations.
 
 Documents are cut into sequences of ``LENGTH`` token ids of a fixed width, the last one padded with zeros. The
-registered query takes the ids of a BPE vocabulary; without an encoder they are the UTF-8 bytes of the text. A first
-pass counts the tokens of every document; ordinals 0 to N - 1 follow from one count a task of the input and are the
-same however often a task is run again. A balanced Feistel network over the smallest even number of bits that holds
-N permutes the ordinals; values of N or more walk on along their cycle until they fall below N. Slot s is record
-s % PER_SHARD of shard s // PER_SHARD.
-
-A second pass encodes again, so that no copy of all ids is staged, sends each record to the partition of its shard
-and sorts it there. A task writes one shard, as one file of records of ``stride`` bytes: the ids, then a newline, by
-Spark's text writer, which commits files by renaming and so leaves none of a lost executor. So a reader finds slot s by
-its offset alone, goes on from any slot, and reads in training order without a seek. Beside the shards lie an index
-(slot, shard, record, doc_id, seq, n_tokens) and a manifest of one row.
-
-The input must give its rows in the same order when read again, as a table's files do, and as ``session.stage`` makes
-of anything else; both passes check it and fail if it doesn't. The order then depends on the input's files and their
-split into tasks; whoever has the shards needs neither.
-
-Null or empty text has no sequence. Repeated rows are sequences of their own. No row is dropped.
+registered query takes the ids of a BPE vocabulary; without an encoder they are the UTF-8 bytes of the text.
+
+A sequence's identity, the hash of its row and its number in the row, goes through a keyed Feistel network over 64 bits,
+and the range of 64 bits is cut into as many equal parts as there are shards: so sequences are dealt out evenly and at
+random in one shuffle, without a count of them before. In its shard a sequence has an ordinal, its rank by permuted
+identity; a balanced Feistel network over the smallest even number of bits that holds the shard's n records permutes
+the ordinals, values of n or more walking on along their cycle until they fall below n. Slot = records in the shards
+before + this value. Both networks take the same key. Nothing here depends on files, tasks or cores: equal rows give equal
+shards, byte by byte, on any cluster.
+
+A task writes one shard, as one file of records of ``stride`` bytes: the ids, then doc_id, the sequence's number and
+its tokens (TRAILER), then a newline, by Spark's text writer, which commits files by renaming and so leaves none of a
+lost executor. So a reader finds a slot by its shard's first slot (in the manifest) and an offset alone, goes on from
+any slot, and reads in training order without a seek. A shard is made in a task's memory, some 17 MB by the defaults.
+
+Null or empty text has no sequence. Repeated rows are sequences of their own, one after another in identity, of equal
+bytes. No row is dropped. doc_id is an integer or null.
 """
 
 from __future__ import annotations
 
-import zlib
+import struct
 from collections.abc import Iterator
+from hashlib import sha256
 from pathlib import Path
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import STAGED_AS, ship, stage, stage_path
-from .common import arrow_map
+from ..session import STAGED_AS, ship, stage_path
+from .common import arrow_map, row_key
 from .token_counts import encoder
 
-LENGTH, PER_SHARD, ROUNDS, KEY = 512, 65_536, 6, 0x5EED
+LENGTH, PER_SHARD, ROUNDS, KEY = 512, 16_384, 6, 0x5EED
+#: A guess that only sets the number of shards: bytes of text to a token.
+BYTES_A_TOKEN = 2.5
+TRAILER = "<qiib"  # doc_id (0 if null), seq, n_tokens, whether doc_id is null
 RAW_FILES = {k: v for k, v in STAGED_AS.items() if k != "compression"}
-MANIFEST = "n long, length int, itemsize int, stride int, per_shard int, key long"
+MANIFEST = "shard int, path string, start long, records long, length int, itemsize int, stride int"
+INDEX = "slot long, shard int, record int, doc_id long, seq long, n_tokens long"
 
 
 def _round(x: np.ndarray, key: int, r: int, half: int) -> np.ndarray:
@@ -66,6 +69,20 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.nda
     return x.astype(np.int64)
 
 
+def scattered(x: np.ndarray, key: int = KEY) -> np.ndarray:
+    """The keyed permutation of the 64-bit numbers."""
+    half, mask = np.uint64(32), np.uint64(2**32 - 1)
+    a, b = x >> half, x & mask
+    for r in range(ROUNDS):
+        a, b = b, a ^ _round(b, key, r, 32)
+    return a << half | b
+
+
+def shard_of(p: np.ndarray, shards: int) -> np.ndarray:
+    """Which of the equal parts of the range of 64 bits a number lies in."""
+    return ((p >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
 def byte_ids(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -83,137 +100,126 @@ def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
     return encode
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, size):
-            yield whole.slice(i, size)
-
-
-def counted(docs: DataFrame, length: int, encode) -> DataFrame:
-    """docs(doc_id, text) -> (task, first, doc_id, n_tokens, check) for every row with tokens, first being the number
-    of the task's sequences before it; and a last row for each task with the number of its sequences as first and a
-    check sum of its rows."""
+def sequences(docs: DataFrame, shards: int, length: int, key: int, encode) -> DataFrame:
+    """docs(rk, doc_id, text) -> (shard, at, record): a record without padding for every sequence, trailer first."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done, check, kind = TaskContext.get().partitionId(), 0, 0, None
-        for b in _slices(batches):
-            kind = b.column(0).type
-            n = np.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], np.int64)
-            check = zlib.crc32(n.tobytes(), check)
-            parts = -(-n // length)
-            on = np.flatnonzero(n)
-            first = done + np.cumsum(parts) - parts
-            done += int(parts.sum())
-            yield _count_rows(task, first[on], b.column(0).take(pa.array(on)), n[on], None)
-        if kind is not None:
-            yield _count_rows(task, np.array([done]), pa.nulls(1, kind), np.array([0]), check)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 128):
+                ids, loads = [], []
+                for rk, d, t in zip(*(c.to_pylist() for c in whole.slice(i, 128).columns), strict=True):
+                    v = encode(t) if t else ()
+                    for seq, k in enumerate(range(0, len(v), length)):
+                        part = v[k : k + length]
+                        ids.append((rk + seq * 0x9E3779B97F4A7C15) % 2**64)
+                        loads.append(struct.pack(TRAILER, d or 0, seq, len(part), d is None) + part.tobytes())
+                if ids:
+                    p = scattered(np.array(ids, np.uint64), key)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(p, shards)), pa.array(p.view(np.int64)), pa.array(loads, pa.binary())], ["shard", "at", "record"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.transform(arrow_map, f, f"task int, first long, doc_id {kind}, n_tokens long, check long")
+    return docs.transform(arrow_map, f, "shard int, at long, record binary")
 
 
-def _count_rows(task: int, first: np.ndarray, ids: pa.Array, n: np.ndarray, check: int | None) -> pa.RecordBatch:
-    cols = [pa.array(np.full(len(n), task, np.int32)), pa.array(first), ids, pa.array(n), pa.array([check] * len(n), pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, ["task", "first", "doc_id", "n_tokens", "check"])
-
-
-def records(docs: DataFrame, tasks: dict[int, tuple[int, int]], n: int, length: int, per_shard: int, key: int, encode) -> DataFrame:
-    """docs(doc_id, text) -> (shard, slot, payload) of every sequence. tasks: of each task the sequences before its own
-    and the check sum of its rows."""
-    said = docs.sparkSession.sparkContext.broadcast(tasks)  # two numbers for each task of the input
+def _in_order(size: int, key: int):
+    """The records of a shard, which are all rows of a partition -> the same, padded, in the order of their slots."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, check, want = None, 0, None
-        for b in _slices(batches):
-            if done is None:
-                done, want = said.value[TaskContext.get().partitionId()]
-            loads, sizes = [], []
-            for t in b.column(1).to_pylist():
-                ids = encode(t) if t else ()
-                sizes.append(len(ids))
-                loads += [ids[k : k + length].tobytes() for k in range(0, len(ids), length)]
-            check = zlib.crc32(np.array(sizes, np.int64).tobytes(), check)
-            if loads:
-                slot = feistel(np.arange(done, done + len(loads)), n, key)
-                done += len(loads)
-                yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(loads, pa.binary())], ["shard", "slot", "payload"])
-        if want is not None and check != want:
-            raise ValueError("the rows came in another order than when they were counted: stage them first")
-
-    return docs.transform(arrow_map, f, "shard int, slot long, payload binary")
+        at, loads = [], []
+        for b in batches:
+            at.append(b.column(1).to_numpy().view(np.uint64))
+            loads += b.column(2).to_pylist()
+        if not loads:
+            return
+        ranked = sorted(zip(np.concatenate(at).tolist(), loads, strict=True))
+        n, trailer = len(ranked), struct.calcsize(TRAILER)
+        order = np.argsort(feistel(np.arange(n), n, key))
+        for i in range(0, n, 1024):
+            rows = [ranked[k][1] for k in order[i : i + 1024].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[trailer:].ljust(size, b"\0") + x[:trailer] for x in rows], pa.binary())], ["record"])
+
+    return f
 
 
 def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, encode=byte_ids, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write shards, index and manifest under ``at`` and return the index."""
+    """Write the shards, of ``per_shard`` records or so, and the manifest under ``at``; return the manifest."""
     spark = docs.sparkSession
     ship(spark)
-    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    each = stage(counted(some, length, encode), "order-counts")
-    ends = sorted((r["task"], r["first"], r["check"]) for r in each.where("check is not null").collect())  # a row for each task
-    before = np.r_[0, np.cumsum([e[1] for e in ends])].astype(np.int64)
-    n, tasks = int(before[-1]), {t: (int(b), c) for (t, _, c), b in zip(ends, before, strict=False)}
+    some = docs.select(row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    about = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count_if(F.octet_length(text) > 0).alias("n")).first()
     itemsize = encode("a").itemsize
     size = length * itemsize
-    if n:
-        shards = -(-n // per_shard)
-        dealt = records(some, tasks, n, length, per_shard, key, encode).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-        # the text writer writes a string's bytes as they are and the separator after each
-        dealt.select(F.rpad("payload", size, b"\0").cast("string").alias("record")).write.options(**RAW_FILES, lineSep="\n").text(f"{at}/shards")
-    starts = spark.sparkContext.broadcast({t: b for t, (b, _) in tasks.items()})
-
-    @F.arrow_udf(T.LongType())
-    def slot(task: pa.Array, nth: pa.Array) -> pa.Array:
-        first = np.array([starts.value[t] for t in task.to_pylist()], np.int64)
-        return pa.array(feistel(first + nth.to_numpy(zero_copy_only=False), n, key))
-
-    seq = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / length) - 1)).alias("seq")
-    index = each.where("check is null").select("task", "first", "doc_id", "n_tokens", seq).withColumn("slot", slot("task", F.col("first") + F.col("seq")))
-    tokens = F.least(F.lit(length), F.col("n_tokens") - F.col("seq") * length)
-    shard = F.floor(F.col("slot") / per_shard)
-    index = index.select("slot", shard.alias("shard"), (F.col("slot") % per_shard).cast("int").alias("record"), "doc_id", "seq", tokens.cast("long").alias("n_tokens"))
-    index.write.options(**STAGED_AS).parquet(f"{at}/index")
-    one = [(n, length, itemsize, size + 1, per_shard, key)]
-    spark.createDataFrame(one, MANIFEST).coalesce(1).write.parquet(f"{at}/manifest")
-    return spark.read.schema(index.schema).parquet(f"{at}/index")
-
-
-def manifest(spark: SparkSession, at: str) -> dict:
-    return spark.read.schema(MANIFEST).parquet(f"{at}/manifest").first().asDict()
-
-
-def read_record(file: BinaryIO, slot: int, m: dict) -> bytes:
-    """The ids of a slot from its shard's file, by one seek; m: the manifest."""
-    file.seek(slot % m["per_shard"] * m["stride"])
-    return file.read(m["stride"] - 1)
-
-
-def resume(spark: SparkSession, at: str, slot: int = 0) -> DataFrame:
-    """(slot, payload) from a slot on; only its shard and later ones are read, each by one task, in order."""
-    m = manifest(spark, at)
-    if not m["n"]:
-        return spark.createDataFrame([], "slot long, payload binary")
-    size, stride, per = m["stride"] - 1, m["stride"], m["per_shard"]
-    files = spark.read.format("binaryFile").load(f"{at}/shards/part-*")
-    some = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content").where(F.col("shard") >= slot // per)
+    whole = (about["bytes"] or 0) / (BYTES_A_TOKEN if itemsize > 1 else 1) / length
+    shards = max(1, round((whole + about["n"] / 2) / per_shard))
+    dealt = sequences(some, shards, length, key, encode).repartitionById(shards, F.col("shard"))
+    # the text writer writes a string's bytes as they are and the separator after each
+    raw = dealt.transform(arrow_map, _in_order(size, key), "record binary").select(F.col("record").cast("string").alias("record"))
+    raw.write.options(**RAW_FILES, lineSep="\n").text(f"{at}/shards")
+    stride = size + struct.calcsize(TRAILER) + 1
+    files = spark.read.format("binaryFile").load(f"{at}/shards").select("path", "length") if about["n"] else None
+    rows = sorted((_shard(r["path"]), r["path"], r["length"] // stride) for r in files.collect()) if files is not None else []  # a row a shard
+    starts = np.r_[0, np.cumsum([r[2] for r in rows])].tolist()
+    made = spark.createDataFrame([(k, path, int(s), n, length, itemsize, stride) for (k, path, n), s in zip(rows, starts, strict=False)], MANIFEST)
+    made.coalesce(1).write.options(**STAGED_AS).parquet(f"{at}/manifest")
+    return manifest(spark, at)
+
+
+def _shard(path: str) -> int:
+    """The number of the partition that wrote a file."""
+    return int(path.rpartition("/part-")[2].partition("-")[0])
+
+
+def manifest(spark: SparkSession, at: str) -> DataFrame:
+    """A row for each shard that has records: its file, first slot and number of records; length, itemsize, stride."""
+    return spark.read.schema(MANIFEST).parquet(f"{at}/manifest").orderBy("shard")
+
+
+def locate(shards: list, slot: int) -> tuple[int, int]:
+    """(place in the manifest's rows, record) of a slot."""
+    k = int(np.searchsorted([r["start"] for r in shards], slot, side="right")) - 1
+    return k, slot - shards[k]["start"]
+
+
+def read_record(file: BinaryIO, record: int, shard) -> tuple[bytes, tuple[int | None, int, int]]:
+    """(ids, (doc_id, seq, n_tokens)) of a record of a shard's file, by one seek; shard: its row in the manifest."""
+    file.seek(record * shard["stride"])
+    return _parsed(file.read(shard["stride"] - 1), shard["length"] * shard["itemsize"])
+
+
+def _parsed(raw: bytes, size: int) -> tuple[bytes, tuple[int | None, int, int]]:
+    d, seq, n, none = struct.unpack_from(TRAILER, raw, size)
+    return raw[:size], (None if none else d, seq, n)
+
+
+def resume(spark: SparkSession, at: str, slot: int = 0, digest: bool = False) -> DataFrame:
+    """Records from a slot on: INDEX and payload (digest: payload_sha256). Only the slot's shard and later ones are
+    read, each by one task, in order."""
+    shards = manifest(spark, at).where(F.col("start") + F.col("records") > slot).collect()  # a row a shard
+    last = f"payload{'_sha256 string' if digest else ' binary'}"
+    if not shards:
+        return spark.createDataFrame([], f"{INDEX}, {last}")
+    size, stride = shards[0]["length"] * shards[0]["itemsize"], shards[0]["stride"]
+    said = spark.sparkContext.broadcast({r["shard"]: r["start"] for r in shards})  # two numbers for each shard
+    files = spark.read.format("binaryFile").load([r["path"] for r in shards]).select("path", "content")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = memoryview(raw.as_buffer())
-                first = max(0, slot - shard * per)
-                for i in range(first, len(raw) // stride, 4096):
-                    rows = range(i, min(i + 4096, len(raw) // stride))
-                    yield pa.RecordBatch.from_arrays([pa.array([shard * per + k for k in rows], pa.int64()), pa.array([bytes(raw[k * stride : k * stride + size]) for k in rows], pa.binary())], ["slot", "payload"])
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                shard, raw = _shard(path), raw.as_buffer().to_pybytes()
+                start = said.value[shard]
+                for i in range(max(0, slot - start), len(raw) // stride, 2048):
+                    rows = range(i, min(i + 2048, len(raw) // stride))
+                    loads, facts = zip(*(_parsed(raw[k * stride : (k + 1) * stride - 1], size) for k in rows), strict=True)
+                    ids, seq, n = zip(*facts, strict=True)
+                    cols = [pa.array([start + k for k in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array(list(rows), pa.int32()), *(pa.array(x, pa.int64()) for x in (ids, seq, n))]
+                    cols.append(pa.array([sha256(x).hexdigest() for x in loads], pa.string()) if digest else pa.array(loads, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "record", "doc_id", "seq", "n_tokens", last.split()[0]])
 
-    return some.transform(arrow_map, f, "slot long, payload binary")
+    return files.transform(arrow_map, f, f"{INDEX}, {last}")
 
 
 def order_of(docs: DataFrame, encode=byte_ids, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """Materialise in the shared folder -> slot, shard, record, doc_id, seq, n_tokens, payload_sha256 as read back
     from the shards."""
-    spark = docs.sparkSession
-    at = stage_path(spark, "shards")
-    index = materialise(docs, at, length, per_shard, encode=encode)
-
-    read = resume(spark, at).select(F.col("slot").alias("slot2"), F.sha2("payload", 256).alias("payload_sha256"))
-    return index.join(read, F.col("slot") == F.col("slot2")).drop("slot2")
+    at = stage_path(docs.sparkSession, "shards")
+    materialise(docs, at, length, per_shard, encode=encode)
+    return resume(docs.sparkSession, at, digest=True)

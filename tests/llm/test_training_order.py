@@ -1,11 +1,13 @@
-import re
+import random
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagegraph.llm import training_order as to
-from pagegraph.session import stage, stage_path
+from pagegraph.llm.common import row_key
+from pagegraph.session import stage_path
 
 from .conftest import data
 
@@ -18,20 +20,23 @@ def test_permutation_and_inverse(n):
     assert n < 64 or (to.feistel(np.arange(n), n, key=1) != y).any()
 
 
+def network(x, half, key):
+    """Six rounds, bit by bit as the docstrings say."""
+    a, b, mask = x >> half, x % 2**half, 2**64 - 1
+    for r in range(6):
+        h = b ^ (key * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93) & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        a, b = b, a ^ (h ^ h >> 31) % 2**half
+    return a << half | b
+
+
 def plain_slot(x, n, key=to.KEY):
-    """One ordinal through the network, bit by bit as the docstrings say."""
     half = 1
     while 4**half < n:
         half += 1
-    mask = 2**64 - 1
     while True:
-        a, b = x >> half, x % 2**half
-        for r in range(6):
-            h = b ^ (key * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93) & mask
-            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
-            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
-            a, b = b, a ^ (h ^ h >> 31) % 2**half
-        x = a << half | b
+        x = network(x, half, key)
         if x < n:
             return x
 
@@ -42,78 +47,90 @@ def test_permutation_against_a_plain_one(n):
     assert to.feistel(np.array(some), n).tolist() == [plain_slot(x, n) for x in some]
 
 
+def test_scattering_against_a_plain_one():
+    r = random.Random(1)
+    x = [r.getrandbits(64) for _ in range(200)]
+    p = to.scattered(np.array(x, np.uint64))
+    assert p.tolist() == [network(v, 32, to.KEY) for v in x]
+    assert to.shard_of(p, 7).tolist() == [(v >> 32) * 7 >> 32 for v in p.tolist()]
+
+
 def shard_paths(at):
     return sorted(Path(at.removeprefix("file:")).glob("shards/part-*"))
 
 
-def test_records_lie_at_fixed_offsets_in_shard_files(spark, docs, rows):
-    """Each slot is found by a seek alone and holds the sequence that the index names."""
+def wanted(spark, docs, length, shards):
+    """Every record in the order of slots, by the docstring, from rows and their hashes."""
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rk"), "doc_id", "text").collect()
+    parts = [[] for _ in range(shards)]
+    for rk, i, t in rows:
+        raw = (t or "").encode()
+        for seq, k in enumerate(range(0, len(raw), length)):
+            p = network((rk + seq * 0x9E3779B97F4A7C15) % 2**64, 32, to.KEY)
+            parts[(p >> 32) * shards >> 32].append((p, raw[k : k + length], (i, seq, len(raw[k : k + length]))))
+    out = []
+    for part in parts:
+        part.sort(key=lambda x: (x[0], x[1]))
+        placed = {plain_slot(x, len(part)): (load.ljust(length, b"\0"), facts) for x, (_, load, facts) in enumerate(part)}
+        out.append([placed[x] for x in range(len(part))])
+    return out
+
+
+def test_records_lie_at_fixed_offsets_in_shard_files(spark, docs):
+    """Each slot is found by a seek alone and holds the sequence that the plain networks put there."""
     at = stage_path(spark, "test-shards")
-    staged = stage(docs, "test-docs")
-    index = to.materialise(staged, at, length=16, per_shard=50).collect()
-    m = to.manifest(spark, at)
-    n = sum(-(-len((r[1] or "").encode()) // 16) for r in rows)
-    assert (m["n"], m["stride"], m["per_shard"]) == (n, 17, 50) and sorted(r["slot"] for r in index) == list(range(n))
-    files = shard_paths(at)
-    assert [int(re.search(r"part-(\d+)", f.name)[1]) for f in files] == list(range(-(-n // 50)))
-    assert [f.stat().st_size for f in files] == [17 * min(50, n - 50 * k) for k in range(len(files))]
-    pieces = []
-    for r in index:
-        assert (r["shard"], r["record"]) == divmod(r["slot"], 50)
-        with files[r["shard"]].open("rb") as f:
-            load = to.read_record(f, r["slot"], m)
-        assert load[r["n_tokens"] :].count(b"\0") == 16 - r["n_tokens"]
-        pieces.append((str(r["doc_id"]), r["seq"], load[: r["n_tokens"]]))
-    want = [(str(r[0]), k // 16, r[1].encode()[k : k + 16]) for r in rows if r[1] for k in range(0, len(r[1].encode()), 16)]
-    assert sorted(pieces) == sorted(want)
-
-
-def test_slots_are_the_permuted_ordinals(spark, docs):
-    """Ordinals follow the tasks of the input, their rows and the sequences of each."""
-    staged = stage(docs, "test-docs")
-    texts = [[(x[0], x[1]) for x in part] for part in staged.select("doc_id", "text").rdd.glom().collect()]
-    ordinals = [(i, k) for part in texts for i, t in part if t for k in range(-(-len(t.encode()) // 16))]
-    index = to.materialise(staged, stage_path(spark, "test-shards"), length=16, per_shard=50).collect()
-    assert sorted((r["slot"], str(r["doc_id"]), r["seq"]) for r in index) == sorted((plain_slot(x, len(ordinals)), str(i), k) for x, (i, k) in enumerate(ordinals))
+    shards = to.materialise(docs, at, length=16, per_shard=50).collect()
+    want = wanted(spark, docs, 16, 1 + max(r["shard"] for r in shards))
+    flat = [x for part in want for x in part]
+    assert [r["records"] for r in shards] == [len(x) for x in want if x] and len(shards) > 3
+    assert {r["path"].rpartition("/")[2] for r in shards} <= {f.name for f in shard_paths(at)}
+    assert sum(f.stat().st_size for f in shard_paths(at)) == len(flat) * shards[0]["stride"]
+    for slot, x in enumerate(flat):
+        k, record = to.locate(shards, slot)
+        with open(shards[k]["path"].removeprefix("file:"), "rb") as f:
+            assert to.read_record(f, record, shards[k]) == x
+
+
+def test_shards_are_of_even_size(spark, docs):
+    shards = to.materialise(docs, stage_path(spark, "test-shards"), length=16, per_shard=50).collect()
+    assert max(r["records"] for r in shards) < 2 * 50 and sum(r["records"] for r in shards) / len(shards) > 20
 
 
 def test_resume_from_a_slot(spark, docs):
     at = stage_path(spark, "test-shards")
-    to.materialise(stage(docs, "test-docs"), at, length=16, per_shard=50)
-    n = to.manifest(spark, at)["n"]
-    whole = dict(data(to.resume(spark, at)))
+    shards = to.materialise(docs, at, length=16, per_shard=50).collect()
+    n = sum(r["records"] for r in shards)
+    whole = {r["slot"]: r for r in to.resume(spark, at).collect()}
     assert sorted(whole) == list(range(n))
-    rest = data(to.resume(spark, at, 123))
-    assert sorted(s for s, _ in rest) == list(range(123, n)) and all(whole[s] == p for s, p in rest)
-
-
-def test_runs_again_with_the_same_bytes(spark, docs):
-    staged, at = stage(docs, "test-docs"), [stage_path(spark, "test-shards") for _ in range(2)]
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    to.materialise(staged, at[0], length=16, per_shard=50)
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    to.materialise(staged, at[1], length=16, per_shard=50)
-    assert [f.read_bytes() for f in shard_paths(at[0])] == [f.read_bytes() for f in shard_paths(at[1])]
+    for slot in (0, 1, 123, shards[1]["start"], n - 1, n):
+        rest = to.resume(spark, at, slot).collect()
+        assert sorted(r["slot"] for r in rest) == list(range(slot, n)) and all(whole[r["slot"]] == r for r in rest)
+    assert all(r["record"] == r["slot"] - shards[to.locate(shards, r["slot"])[0]]["start"] for r in whole.values())
 
 
-def test_rows_in_another_order_are_refused(spark, docs):
-    some = stage(docs.select("doc_id", "text"), "test-docs")
-    counts = to.counted(some, 16, to.byte_ids).where("check is not null").collect()
-    tasks = {r["task"]: (0, r["check"] ^ 1) for r in counts}
-    with pytest.raises(Exception, match="another order"):
-        to.records(some, tasks, 10**6, 16, 50, to.KEY, to.byte_ids).collect()
+def test_equal_bytes_however_the_input_lies(spark, docs):
+    """Other files, tasks, orders of rows and shuffle partitions give the same shards."""
+    at = [stage_path(spark, "test-shards") for _ in range(3)]
+    to.materialise(docs, at[0], length=16, per_shard=50)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    to.materialise(docs.repartition(7), at[1], length=16, per_shard=50)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    to.materialise(docs.orderBy(F.desc("text")).coalesce(1), at[2], length=16, per_shard=50)
+    a, b, c = ([f.read_bytes() for f in shard_paths(x)] for x in at)
+    assert a == b == c and sum(map(len, a)) > 0
 
 
 def test_other_encoders_and_edges(spark, docs, clashing, empty):
     words = lambda t: np.arange(len(t.split()), dtype=np.uint16)
     at = stage_path(spark, "test-shards")
-    staged = stage(docs, "test-docs")
-    index = to.materialise(staged, at, 8, encode=words).collect()
-    loads = dict(data(to.resume(spark, at)))
-    assert all(len(x) == 16 for x in loads.values()) and sum(r["n_tokens"] for r in index) == sum(len((r["text"] or "").split()) for r in docs.collect())
-    assert all(np.frombuffer(loads[r["slot"]], np.uint16)[: r["n_tokens"]].tolist() == list(range(8 * r["seq"], 8 * r["seq"] + r["n_tokens"])) for r in index)
-    assert data(to.order_of(stage(empty, "test-docs"))) == []
-    assert to.order_of(stage(clashing, "test-docs")).count() == to.order_of(staged).count()
+    to.materialise(docs, at, 8, encode=words)
+    read = to.resume(spark, at).collect()
+    assert all(len(r["payload"]) == 16 for r in read) and sum(r["n_tokens"] for r in read) == sum(len((r["text"] or "").split()) for r in docs.collect())
+    assert all(np.frombuffer(r["payload"], np.uint16)[: r["n_tokens"]].tolist() == list(range(8 * r["seq"], 8 * r["seq"] + r["n_tokens"])) for r in read)
+    assert any(r["doc_id"] is None for r in read)
+    assert data(to.order_of(empty)) == []
+    assert to.order_of(clashing).count() == to.order_of(docs).count()
 
 
 def test_registered_query_holds_vocabulary_ids(spark, small):
