@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at a time: texts differ in length, so a number of rows bounds nothing.
 BATCH_BYTES = 8 << 20
-FILE_ROWS = 250_000
+FILE_ROWS, FILE_BYTES = 250_000, 32 << 20
 #: How staged tables are written. On file systems without a store behind them Spark's writer starts a process to set the
 #: mode of each file, and of a file of checksums beside it; Parquet has checksums of its own, so these are left out.
 STAGED_AS = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
@@ -112,14 +112,26 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(_NAMED[at])
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def file_parts(table: DataFrame) -> int:
+    """Partitions for what is made of a stored table: one for each ``FILE_BYTES`` of its files, two a core at least."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 20, max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+
+
+def few(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, made of a stored table, in no more partitions, so files, than its size asks for; without a shuffle."""
+    return df.coalesce(file_parts(table))
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     rows: what the table has at most, where that is known; it then gets a file for each ``FILE_ROWS`` of them, in place
-    of one for each partition of a shuffle.
+    of one for each partition of a shuffle. of: a stored table that it is made of and that sets the number of files.
     """
     spark = df.sparkSession
     at = stage_path(spark, name)
-    few = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    few.write.options(**STAGED_AS).parquet(at)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    out = out if of is None else few(out, of)
+    out.write.options(**STAGED_AS).parquet(at)
     return spark.read.schema(df.schema).parquet(at)

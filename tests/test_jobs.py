@@ -208,4 +208,4 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("https://h.example/page?title=foo,bar", 'Titulo, com "virgula"\r\nx')], "url string, title string")
     consolidate.write_csv(df, str(tmp_path / "c"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first()
-    assert back["url"] == "https://h.example/page?title=foo,bar" and back["title"] == 'Titulo, com "virgula" x'
+    assert back["url"] == "https://h.example/page?title=foo,bar" and back["title"] == 'Titulo, com "virgula"  x'
