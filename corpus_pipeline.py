@@ -10,31 +10,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegraph.llm import bpe_automaton, decontaminate, paragraph_dedup, quality_rules, simhash
-from pagegraph.session import STAGED_AS, stage_path, table
+from pagegraph.session import STAGED_AS, few, stage_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+    return few(quality_rules.keep_good(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return few(simhash.keep_one(docs), docs)
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.cut_repeats(docs)
+    return few(paragraph_dedup.cut_repeats(docs), docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return few(decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids with their digests."""
     keep = [c for c in docs.columns if c in ("doc_id", "text", "lang", "source")]
-    return bpe_automaton.encode(docs.select(*keep), TOKENIZER).drop("text")
+    return few(bpe_automaton.encode(docs.select(*keep), TOKENIZER).drop("text"), docs)
 
 
 STAGES = [
