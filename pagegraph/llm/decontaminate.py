@@ -72,16 +72,16 @@ def anchors(docs: DataFrame, terms: DataFrame, window: int = WINDOW, rarest: int
     return each.withColumn("r", rank).where(F.col("r") <= rarest).select("item", "start", "len", "ipos", "term")
 
 
-def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST, all_rows: bool = True) -> DataFrame:
     """docs(rk, ...), items(item_id, text) -> docs' columns, n_words and hits: array of (start, len, item).
 
-    A hit says that the words from ``start`` on are a window of the item.
+    A hit says that the words from ``start`` on are a window of the item. all_rows: also those without candidates.
     """
     terms = stage(item_terms(items), "decon-terms")
     some = docs.select("rk", "text")
     marks = stage(anchors(some, terms, window, rarest), "decon-anchors", rarest * terms.count())
     n = marks.count()
-    index = stage(postings(some, sized(stage(marks.select("term").distinct(), "decon-rare", n))), "decon-index")
+    index = stage(postings(some, sized(stage(marks.select("term").distinct(), "decon-rare", n))), "decon-index", of=docs)
     at = sized(stage(marks.select("term", "item", "ipos").distinct(), "decon-places", n))
     lists = index.join(at, "term").groupBy("rk", "item", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("have"))
     need = marks.groupBy("item", "start").agg(F.collect_set("ipos").alias("need"))
@@ -90,22 +90,24 @@ def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest:
     body = sized(stage(terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("iw")), "decon-items", terms.count()))
     met = met.select("rk", "item", "diag").join(body, "item").groupBy(F.col("rk").alias("rk2")).agg(F.collect_list(F.struct("item", "diag", "iw")).alias("met"))
     met = stage(met, "decon-met")
-    both = docs.withColumn("__pg_words", words(F.col("text"))).join(met, F.col("rk") == F.col("rk2"), "left")
+    both = docs.withColumn("__pg_n", F.size(words(F.col("text"))).cast("long")).join(met, F.col("rk") == F.col("rk2"), "left" if all_rows else "inner")
 
-    def starts(c: Column) -> Column:
+    def starts(c: Column, text: Column) -> Column:
         size = F.least(F.lit(window), F.size(c["iw"]))
         none = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("at"))
 
         def step(acc: Column, i: Column) -> Column:
-            run = F.when(F.get(F.col("__pg_words"), c["diag"] + i).eqNullSafe(F.get(c["iw"], i)), acc["run"] + 1).otherwise(0)
+            run = F.when(F.get(text, c["diag"] + i).eqNullSafe(F.get(c["iw"], i)), acc["run"] + 1).otherwise(0)
             found = F.when(run >= size, F.array_append(acc["at"], (c["diag"] + i - size + 1).cast("int"))).otherwise(acc["at"])
             return F.struct(run.alias("run"), found.alias("at"))
 
         runs = F.aggregate(F.sequence(F.lit(0), F.size(c["iw"]) - 1), none, step)["at"]
         return F.transform(runs, lambda s: F.struct(s.alias("start"), size.alias("len"), c["item"].alias("item")))
 
-    hits = F.when(F.col("met").isNotNull(), F.flatten(F.transform("met", starts)))
-    return both.select(*docs.columns, F.size("__pg_words").cast("long").alias("n_words"), hits.alias("hits"))
+    # words again, of rows with candidates only, so that no join carries them; an array of one binds them to a name
+    laid = F.transform(F.array(words(F.col("text"))), lambda w: F.flatten(F.transform("met", lambda c: starts(c, w))))
+    hits = F.when(F.col("met").isNotNull(), F.get(laid, F.lit(0)))
+    return both.select(*docs.columns, F.col("__pg_n").alias("n_words"), hits.alias("hits"))
 
 
 def covered(hits: Column) -> Column:
@@ -125,7 +127,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     items = items.select(F.col("item_id"), F.col("text"))
     some = docs.select(F.col("doc_id"), F.col("text"), row_key(F.col("doc_id"), F.col("text")).alias("rk"))
     rows = phrase_rows(some, items, window).drop("text")
-    rows = stage(rows, "decon-rows")
+    rows = stage(rows, "decon-rows", of=docs)
     ids = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null")
     ids = sized(stage(ids.select(F.xxhash64("w").alias("item"), F.col("item_id").cast("string").alias("id")).distinct(), "decon-ids", items.count()))
     named = rows.where("size(hits) > 0").select("rk", F.explode(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("item")).join(ids, "item")
@@ -139,7 +141,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs in which no window of an item occurs, with the columns of docs."""
     key = row_key(F.col(doc_id), F.col(text))
-    hit = phrase_rows(docs.select(key.alias("rk"), F.col(text).alias("text")), items.select("item_id", "text")).where("size(hits) > 0")
+    hit = phrase_rows(docs.select(key.alias("rk"), F.col(text).alias("text")), items.select("item_id", "text"), all_rows=False).where("size(hits) > 0")
     hit = stage(hit.select(F.col("rk").alias("__pg_hit")).distinct(), "decon-hit")
     return docs.withColumn("__pg_rk", key).join(hit, F.col("__pg_rk") == F.col("__pg_hit"), "left_anti").select(*docs.columns)
 

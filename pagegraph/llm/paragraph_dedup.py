@@ -354,7 +354,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     keyed = some.select("text").transform(arrow_map, _bands, "k long, line long")
     dealt = spread(keyed, "k").sortWithinPartitions("k")
     buckets = dealt.transform(arrow_map, lambda batches, block=BLOCK: _buckets(batches, block), "kind int, bucket long, line long")
-    buckets = stage(buckets.distinct(), "paragraph-buckets")
+    buckets = stage(buckets.distinct(), "paragraph-buckets", of=docs)
     # both sides of the joins with text grow with the corpus: the same plan at every size
     ids = buckets.select(F.col("line").alias("line3")).distinct()
     texts = some.select("text").transform(arrow_map, _emit_texts, "line2 long, t binary").join(ids.hint("merge"), F.col("line2") == F.col("line3"), "left_semi")
@@ -369,7 +369,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = spread(with_text, "bucket").sortWithinPartitions("bucket").transform(arrow_map, _verify, "a long, b long")
     comp = connected_components(found if links is None else found.union(links))
     doc_kind = some.schema["doc_id"].dataType.simpleString()
-    places = stage(some.transform(arrow_map, _emit_places, f"line long, check long, rk long, doc_id {doc_kind}, n int, size int"), "paragraph-places")
+    places = stage(some.transform(arrow_map, _emit_places, f"line long, check long, rk long, doc_id {doc_kind}, n int, size int"), "paragraph-places", of=docs)
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")
     one = places.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     one = one.join(comp, F.col("line") == F.col("node"), "left").where("lo = hi and (first <> last or component is not null)")
@@ -500,12 +500,12 @@ def passages(docs: DataFrame) -> DataFrame:
     """docs(rk, doc_id, text), dealt out by rk -> (rk, starts: word positions of windows that occur earlier), all
     documents with a window that occurs elsewhere."""
     ship(docs.sparkSession)
-    marks = stage(docs.select("rk", "text").transform(arrow_map, _emit_marks, "mark long, rk long, again boolean"), "passage-marks")
+    marks = stage(docs.select("rk", "text").transform(arrow_map, _emit_marks, "mark long, rk long, again boolean"), "passage-marks", of=docs)
     twice = marks.groupBy(F.col("mark").alias("mark2")).agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.max("again").alias("again")).where("lo <> hi or again").select("mark2")
     mine = marks.join(twice.hint("merge"), F.col("mark") == F.col("mark2"), "left_semi").groupBy(F.col("rk").alias("rk2")).agg(F.collect_set("mark").alias("marks"))
     texts = docs.select("rk", "doc_id", "text").join(mine.hint("merge"), F.col("rk") == F.col("rk2")).select("rk", "doc_id", "text", "marks")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stage(texts.transform(arrow_map, _emit_windows, f"window long, check long, rk long, doc_id {kind}, at int"), "passage-windows")
+    found = stage(texts.transform(arrow_map, _emit_windows, f"window long, check long, rk long, doc_id {kind}, at int"), "passage-windows", of=docs)
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "at")
     one = found.groupBy(F.col("window").alias("window2"), F.col("check").alias("check2")).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
     one = one.select("window2", "check2", "first")

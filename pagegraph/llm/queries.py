@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import few, table
 from . import bpe_automaton, decontaminate, html_density, katz, language_id, paragraph_dedup, quality_rules, simhash, token_counts, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,11 +31,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.removals(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few(paragraph_dedup.removals(docs), docs)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents")
+    return few(decontaminate.report(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few(simhash.near_duplicates(docs), docs)
 
 
 OP6_SQL = r"""

@@ -245,7 +245,7 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
-    prints = stage(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "simhash-prints")
+    prints = stage(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "simhash-prints", of=docs)
     of = classes(prints).select(F.col("fp").alias("fp2"), "component_id")
     return prints.join(of, F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -258,7 +258,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     key = row_key(F.col(doc_id), F.col(text))
     prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), key.alias("rk")))
-    prints = stage(prints.select("doc_id", "rk", "fp"), "simhash-prints")
+    prints = stage(prints.select("doc_id", "rk", "fp"), "simhash-prints", of=docs)
     of = classes(prints.select("doc_id", "fp")).select(F.col("fp").alias("fp2"), "component_id", "class_fp")
     win = prints.join(of, F.col("fp") == F.col("fp2")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     win = win.groupBy("doc_id", "class_fp").agg(F.min("rk").alias("__pg_rk2")).select("__pg_rk2")
