@@ -4,15 +4,16 @@ The automaton reads tokens; its paths are just the token sequences that byte-pai
 compiled merge by merge. At first one state has an arc back to itself for each symbol. The gadget of merge
 (u, v), at time m: let p be the state that u leads to, where p has an arc v. u now leads to a copy of p
 without the arc v, and wherever an arc u leaves, an arc uv is added that goes where v leads at that time.
-All arcs with one label lead to one state, so a state is known by the label that led to it and the time of
-the copy, and copies are kept as differences: ``cut[u, v] = m`` says that from time m on the state behind u
-lacks v, and a token inherits what its right part lacked before the token was made. Arcs of a token uv are
-where arcs of u were when it was made. Looking an arc up walks these two chains of parts, a few steps, and
-is then kept in the transition table.
+All arcs with one label lead to one state, so a state is known by the label that led to it, and there are as many
+states as tokens, and the start. The transition table is compiled once, as arrays of differences: ``cut[u, v] = m`` says
+that from time m on the state behind u lacks v; a state inherits what the state behind its right part lacked before the
+token was made, and an arc uv leaves where an arc u did when it was made. An entry of the table is found by these
+two chains of parts, a few steps, and rows of the table that a text needs are then kept as they are.
 
-Encoding: each prefix of a word has one path; the path of a longer prefix ends with the one token whose arc
-leaves the state of a shorter one, so a walk along arcs that reaches the end of a word is its encoding.
-Decoding emits the labels of the arcs.
+Encoding reads a word from left to right. All its prefixes have one path each, so at every place just one token ends
+the path: of the labels that end there, the one whose arc leaves the state in which the path of the prefix before it
+ended. Each place is settled by table steps once and for all; nothing is tried again. Decoding emits the labels of
+the arcs.
 
 ``text`` null or empty: no tokens, empty decoded text. Words of any length are encoded whole; words up to
 ``WORD_CACHE`` characters are kept in a table of bounded size. Repeated rows give repeated rows.
@@ -71,11 +72,10 @@ class Automaton:
             self.left[uv], self.right[uv], self.made[uv] = a, b, m
             live[u + v] = uv
         self.live = live
-        self.reach: dict[str, int] = {}  # the longest label that starts with these three symbols
+        self.ends: dict[str, int] = {}  # the longest label that ends with these three symbols
         for t in live:
-            for x in (t, t.removesuffix(suffix) if suffix else t):
-                if len(x) > 2:
-                    self.reach[x[:3]] = max(self.reach.get(x[:3], 3), len(x))
+            if len(t) > 2:
+                self.ends[t[-3:]] = max(self.ends.get(t[-3:], 3), len(t))
 
     def _walk(self, s: int, t: int) -> bool:
         """Whether the state behind token s has an arc t."""
@@ -101,48 +101,66 @@ class Automaton:
         return on
 
     def encode(self, word: str) -> list[int]:
-        """Token ids of one pre-split word, given in byte symbols: a walk that tries long labels first.
-
-        A prefix has one path, so a place from which no walk reaches the end is dead for good.
-        """
-        n, get, reach, arcs, has_arc = len(word), self.live.get, self.reach.get, self.arcs, self.has_arc
+        """Token ids of one pre-split word, given in byte symbols; the last symbol bears the suffix."""
+        get, ends, arcs, has_arc, extra = self.live.get, self.ends.get, self.arcs.get, self.has_arc, len(self.suffix)
+        n = len(word)
         if not n:
             return []
         whole = word + self.suffix
-        t = get(whole)
-        if t is not None:
-            return [t]
-        dead, walk, at, last, size = bytearray(n + 1), [], 0, -1, min(reach(word[:3], 2), n)
-        while True:
-            while size:
-                end = at + size
-                if not dead[end]:
-                    t = get(word[at:end] if end < n else whole[at:])
-                    if t is not None:
-                        if last < 0:
-                            break
-                        on = arcs.get(last << 24 | t)
-                        if has_arc(last, t) if on is None else on:
+        last, size_at = [-1] * (n + 1), [0] * (n + 1)  # of each prefix: the token that ends its path, its symbols
+        for j in range(1, n + 1):
+            x, tail = (whole, extra) if j == n else (word, 0)
+            end = j + tail
+            size = min(ends(x[end - 3 : end], 2 + tail) - tail if end > 2 else end, j)
+            while size > 0:
+                i = j - size
+                t = get(x[i:end])
+                if t is not None:
+                    if not i:
+                        break
+                    s = last[i]
+                    if s >= 0:
+                        on = arcs(s << 24 | t)
+                        if has_arc(s, t) if on is None else on:
                             break
                 size -= 1
-            if size:
-                walk.append((at, size, t))
-                if end == n:
-                    return [x[2] for x in walk]
-                at, last, size = end, t, reach(word[end : end + 3], 2)
-                if size > n - end:
-                    size = n - end
-                continue
-            dead[at] = 1
-            if not walk:
-                raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
-            at, size, _ = walk.pop()
-            size, last = size - 1, walk[-1][2] if walk else -1
+            if size > 0:
+                last[j], size_at[j] = t, size
+        if last[n] < 0:
+            raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
+        out, j = [], n
+        while j:
+            out.append(last[j])
+            j -= size_at[j]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+def _nfc(s: str) -> str:
+    return s if s.isascii() else unicodedata.normalize("NFC", s)
+
+
+def _lower(s: str) -> str:
+    """Letter by letter: no other form of a sigma at the end of a word."""
+    return (s.replace("Σ", "σ") if "Σ" in s else s).lower()
+
+
+def _normalizers(spec: dict | None) -> list:
+    """Functions of text for a normalizer of the file; a kind that isn't known is an error, not a guess."""
+    if spec is None:
+        return []
+    if spec["type"] == "Sequence":
+        return [f for x in spec["normalizers"] for f in _normalizers(x)]
+    if spec["type"] == "Replace" and spec["pattern"] == {"Regex": "\\s+"} and spec["content"] == " ":
+        return []  # white space only parts pieces: which one doesn't matter
+    known = {"NFC": _nfc, "Lowercase": _lower}
+    if spec["type"] not in known:
+        raise ValueError(f"no such normalizer: {spec['type']}")
+    return [known[spec["type"]]]
+
+
 class _Pieces(dict):
     """Pre-split word -> (its ids as text, the labels of its arcs as text).
 
@@ -184,6 +202,7 @@ class Tokenizer:
         a.labels += [""] * (max([len(a.labels) - 1, *self.added.values()]) + 1 - len(a.labels))
         for t, i in self.added.items():
             a.labels[i] = t
+        self.steps = _normalizers(j.get("normalizer"))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pieces = j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pieces.replace("\\s", SPACE))
@@ -192,13 +211,13 @@ class Tokenizer:
     def entries(self, text: str) -> list[tuple[str, str]]:
         """(ids, labels) as text of each piece, in order."""
         out: list[tuple[str, str]] = []
-        for k, part in enumerate(self.special.split(text) if self.special and "<|" in text else [text]):
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 out.append((str(self.added[part]), part))
                 continue
-            s = part if part.isascii() else unicodedata.normalize("NFC", part)
-            s = (s.replace("Σ", "σ") if "Σ" in s else s).lower()
-            out += map(self.pieces.__getitem__, self.split.findall(s))
+            for step in self.steps:
+                part = step(part)
+            out += map(self.pieces.__getitem__, self.split.findall(part))
         return out
 
     def encode(self, text: str | None) -> list[int]:

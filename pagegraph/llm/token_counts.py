@@ -13,6 +13,7 @@ inverted ones get no tokens. Repeated rows give repeated rows; texts of any leng
 from __future__ import annotations
 
 import base64
+from hashlib import md5
 from pathlib import Path
 
 import numpy as np
@@ -23,12 +24,16 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import arrow_map, row_key
 
-_KEPT: dict[int, tuple] = {}
+_KEPT: dict[str, tuple] = {}
 
 
-def encoder(ranks_text: bytes, pattern: str):
-    """(tiktoken encoding, byte length of each id), made once a worker."""
-    key = hash((len(ranks_text), ranks_text[:4096], pattern))
+def vocabulary_key(ranks_text: bytes, pattern: str) -> str:
+    return md5(ranks_text + pattern.encode()).hexdigest()
+
+
+def encoder(ranks_text: bytes, pattern: str, key: str | None = None):
+    """(tiktoken encoding, byte length of each id), made once a worker; key: ``vocabulary_key``, if it is known."""
+    key = key or vocabulary_key(ranks_text, pattern)
     if key not in _KEPT:
         import tiktoken
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import STAGED_AS, ship, stage_path
 from .common import arrow_map, row_key
-from .token_counts import encoder
+from .token_counts import encoder, vocabulary_key
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 16_384, 6, 0x5EED
 #: A guess that only sets the number of shards: bytes of text to a token.
@@ -92,10 +92,10 @@ def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
     raw = Path(ranks).read_bytes()
     said = spark.sparkContext.broadcast(raw)  # a vocabulary file of fixed size
     most = max(int(x.split()[1]) for x in raw.splitlines() if x)
-    kind = np.uint16 if most < 2**16 else np.uint32
+    kind, key = np.uint16 if most < 2**16 else np.uint32, vocabulary_key(raw, pattern)
 
     def encode(text: str) -> np.ndarray:
-        return np.array(encoder(said.value, pattern)[0].encode_ordinary(text), kind)
+        return np.array(encoder(said.value, pattern, key)[0].encode_ordinary(text), kind)
 
     return encode
 

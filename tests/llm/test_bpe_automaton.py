@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -63,6 +64,77 @@ def test_small_automata_against_repeated_merging():
             assert [a.labels[i] for i in a.encode(w)] == plain_merge(w, ranks), (w, merges)
 
 
+class Gadgets:
+    """The automaton state by state and arc by arc, each gadget as the paper's rule has it."""
+
+    def __init__(self, symbols, merges):
+        self.arcs = [dict.fromkeys(symbols, 0)]  # of each state: label -> state
+        for u, v in merges:
+            behind = next((a[u] for a in self.arcs if u in a), None)
+            if behind is None or v not in self.arcs[behind]:
+                continue
+            to = self.arcs[behind][v]
+            self.arcs.append({t: s for t, s in self.arcs[behind].items() if t != v})
+            copy = len(self.arcs) - 1
+            for a in self.arcs:
+                if u in a:
+                    a[u] = copy
+            for a in self.arcs:
+                if u in a:
+                    a[u + v] = to
+
+    def behind(self, label):
+        states = {a[label] for a in self.arcs if label in a}
+        assert len(states) <= 1  # arcs with one label lead to one state
+        return states.pop() if states else None
+
+
+def test_states_and_arcs_against_the_gadgets_one_by_one():
+    r = random.Random(4)
+    for _ in range(150):
+        live, merges = list("abcd"), []
+        for _ in range(r.randint(1, 16)):
+            p = (r.choice(live), r.choice(live))
+            if p[0] + p[1] not in live:
+                merges.append(p)
+                live.append(p[0] + p[1])
+        a, g = bpe.Automaton({t: i for i, t in enumerate(live)}, merges), Gadgets("abcd", merges)
+        for s in live:
+            at = g.behind(s)
+            assert (s in a.live) == (at is not None)
+            for t in live if at is not None else ():
+                if t in a.live:
+                    assert a.has_arc(a.live[s], a.live[t]) == (t in g.arcs[at]), (s, t, merges)
+
+
+def test_every_prefix_has_one_path():
+    """At each place just one label's arc leaves the state of the prefix before it."""
+    r = random.Random(6)
+    for _ in range(60):
+        live, merges = list("ab"), []
+        for _ in range(10):
+            p = (r.choice(live), r.choice(live))
+            if p[0] + p[1] not in live:
+                merges.append(p)
+                live.append(p[0] + p[1])
+        a = bpe.Automaton({t: i for i, t in enumerate(live)}, merges)
+        w = "".join(r.choice("ab") for _ in range(20))
+        path = [[]]
+        for j in range(1, len(w) + 1):
+            ways = [path[i] + [a.live[w[i:j]]] for i in range(j) if w[i:j] in a.live and (not i or a.has_arc(path[i][-1], a.live[w[i:j]]))]
+            assert len(ways) == 1
+            path.append(ways[0])
+            assert a.encode(w[:j]) == ways[0]
+
+
+def test_added_tokens_and_normalizers_come_from_the_file():
+    spec = {"added_tokens": [{"content": "[X]", "id": 7}], "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"pretokenizers": [{"pattern": {"Regex": "[a-z]|[A-Z]"}}]}, "model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}
+    assert bpe.Tokenizer(json.dumps(spec)).encode("aB[X]b") == [0, 1, 7, 1]
+    spec["normalizer"] = {"type": "Strip"}
+    with pytest.raises(ValueError, match="Strip"):
+        bpe.Tokenizer(json.dumps(spec))
+
+
 def test_merge_that_never_applies_is_left_out():
     merges = [("a", "b"), ("b", "a"), ("ab", "a"), ("a", "ba")]
     a = bpe.Automaton({t: i for i, t in enumerate(["a", "b", "ab", "ba", "aba"])}, merges)
