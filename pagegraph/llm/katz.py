@@ -119,6 +119,7 @@ class Unigrams:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs(held, text) -> (h, c): count of every word hash in training texts."""
+    block = BLOCK_TOKENS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
@@ -134,7 +135,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     if not held:
                         some.append(tokens(t))
                         size += len(some[-1])
-                if size >= BLOCK_TOKENS:
+                if size >= block:
                     yield out()
                     some, size = [], 0
         if some:
@@ -155,7 +156,7 @@ class _Known:
         self.total[:n] = np.where(own, self.c, 0)
         starts = float(self.c[~own].sum())
         self.total[n + 1] = starts
-        self.pair, self.times = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # hot pairs, sorted, and their counts
+        self.pair, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hot pairs, sorted, and their counts
 
     def index(self, h: np.ndarray) -> np.ndarray:
         """Number of each word among the frequent ones; theirs and all others' together is len(h)."""
@@ -181,7 +182,7 @@ class _Known:
     def number(self, u: np.ndarray) -> np.ndarray:
         """Number of each context; of those that are not frequent, len(h)."""
         n = len(self.h)
-        return np.where(u > n + 1, n, u).astype(np.uint16)
+        return np.where(u > n + 1, n, u).astype(np.int64)
 
     def full(self, number: np.ndarray, far: np.ndarray) -> np.ndarray:
         """Contexts from their numbers and the hashes of those that are not frequent."""
@@ -201,11 +202,12 @@ class _Known:
 
 
 def pair_key(u: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return u.astype(np.uint32) << np.uint32(16) | own.astype(np.uint32)
+    return u.astype(np.uint64) << np.uint64(32) | own.astype(np.uint64)
 
 
 def pair_counts(docs: DataFrame, said, parts: int) -> DataFrame:
     """docs(held, text) -> (pair, c): training counts above TURING of frequent words after a frequent word or the start."""
+    block = BLOCK_TOKENS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, some, size = said.value, [], 0
@@ -227,7 +229,7 @@ def pair_counts(docs: DataFrame, said, parts: int) -> DataFrame:
                     if not held:
                         some.append(tokens(t))
                         size += len(some[-1])
-                if size >= BLOCK_TOKENS:
+                if size >= block:
                     yield out()
                     some, size = [], 0
         if some:
@@ -259,11 +261,11 @@ def hot_pairs(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["level"]
     if least is None:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     t = pairs.where(level >= least).toArrow()
     pair, c = t.column(0).to_numpy(), t.column(1).to_numpy()
     order = np.argsort(pair)
-    return pair[order].astype(np.uint32), c[order].astype(np.int64)
+    return pair[order].astype(np.uint64), c[order].astype(np.int64)
 
 
 ROW = "part int, kind int, chunk long, load binary"
@@ -302,7 +304,7 @@ def _entries(known: _Known, parts: int, docs: list[tuple], kind) -> Iterator[tup
         nu_at = np.flatnonzero(nu)
         nv_of_u = np.diff(np.r_[np.flatnonzero(nv[nu_at]), len(nu_at)]).astype(np.uint32)
         each = u[s][nu]
-        yield int(p), TOKENS, pack(v[s][nv], small(nv_of_u), known.number(each), each[each > n + 1], small(np.diff(np.r_[nu_at, len(nu)])), doc[s], small(times[s]), np.array([trained], np.uint32))
+        yield int(p), TOKENS, pack(v[s][nv], small(nv_of_u), small(known.number(each)), each[each > n + 1], small(np.diff(np.r_[nu_at, len(nu)])), doc[s], small(times[s]), np.array([trained], np.uint32))
     ids = pa.array([d[0] for d in docs], kind)
     sink = pa.BufferOutputStream()
     t = pa.RecordBatch.from_arrays([ids, pa.array([bool(d[1]) for d in docs]), pa.array(size.astype(np.int64)), pa.array(context), pa.array(base), pa.array(sure)], ["doc_id", "held", "n", "context", "base", "known"])
@@ -311,7 +313,7 @@ def _entries(known: _Known, parts: int, docs: list[tuple], kind) -> Iterator[tup
     yield int(docs[0][2][0] % np.uint64(parts)), DOCS, zstandard.compress(sink.getvalue().to_pybytes(), 1)
 
 
-def _emit(said, parts: int):
+def _emit(said, parts: int, block: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, task, done, docs, size, kind = said.value, TaskContext.get().partitionId(), 0, [], 0, None
 
@@ -327,7 +329,7 @@ def _emit(said, parts: int):
                 for held, t, d in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     docs.append((d, held, tokens(t)))
                     size += len(docs[-1][2])
-                if size >= BLOCK_TOKENS:
+                if size >= block:
                     yield out()
                     docs, size, done = [], 0, done + 1
         if docs:
@@ -392,7 +394,7 @@ def _evaluate(known: _Known, n: int, blocks: list, far_parts: int) -> Iterator[p
     each = np.diff(np.r_[vat, len(v)])
     c, rare = np.repeat(c, each), np.repeat(own >= n, each)  # base and known of frequent words are with the documents
     seen = r > 0
-    yield _load_row(TABLE, 0, pack(v[vat][here > 0], known.number(u[seen]), u[seen & (u > n + 1)], small(r[seen]), small(np.add.reduceat(seen.astype(np.int64), vat)[here > 0])))
+    yield _load_row(TABLE, 0, pack(v[vat][here > 0], small(known.number(u[seen])), u[seen & (u > n + 1)], small(r[seen]), small(np.add.reduceat(seen.astype(np.int64), vat)[here > 0])))
     p1, base = known.uni.p(c), np.where(rare, known.uni.base(c), 0)
     after = np.where(rare, np.log10(c + 1), 0)  # log (T + 1) of the context that the word is for the next token
     far, full, u = u > n + 1, u, known.number(u)
@@ -415,7 +417,7 @@ def _evaluate(known: _Known, n: int, blocks: list, far_parts: int) -> Iterator[p
         by_r = [small(add(k == j)) for j in range(1, TURING + 1)]
         unseen, other = (k == 0) & ~far[mine], (k == 0) & far[mine]
         asked.append((full[mine][other], np.full(int(other.sum()), chunk), doc[other], times[other]))
-        yield _load_row(SUMS, chunk, pack(small(np.diff(ids, prepend=0)), *(add(x).astype(np.float32) for x in (log_r[mine] - after[mine], base[mine], np.where(k == 0, log_p[mine], 0))), small(add(rare[mine] & (c[mine] > 0))), *by_r, doc[unseen], u[mine][unseen], times[unseen]))
+        yield _load_row(SUMS, chunk, pack(small(np.diff(ids, prepend=0)), *(add(x) for x in (log_r[mine] - after[mine] + np.where(k == 0, log_p[mine], 0), base[mine])), small(add(rare[mine] & (c[mine] > 0))), *by_r, doc[unseen], small(u[mine][unseen]), times[unseen]))
     yield from _far_rows((full[far & seen], r[far & seen], c[far & seen]), [np.concatenate(x) for x in zip(*asked, strict=True)], far_parts)
 
 
@@ -487,10 +489,10 @@ def _finish(said):
                         doc, gain = unpack(loads[int(i)].as_py())
                         score[doc] += gain
                         continue
-                    step, lr, b, lp, k, *rest = unpack(loads[int(i)].as_py())
+                    step, lr, b, k, *rest = unpack(loads[int(i)].as_py())
                     ids = np.cumsum(step.astype(np.int64))
                     by_r, (doc, u, times) = rest[:TURING], rest[TURING:]
-                    score[ids] += lr.astype(np.float64) + lp + sum(x * y for x, y in zip(by_r, log_d, strict=True))
+                    score[ids] += lr + sum(x * y for x, y in zip(by_r, log_d, strict=True))
                     base[ids] += b
                     known[ids] += k
                     np.add.at(score, doc, back[u] * times)
@@ -534,17 +536,17 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     parts = max(1, -(-row["total"] // PART_TOKENS))
     pairs = stage(pair_counts(some.select("held", "text"), spark.sparkContext.broadcast(known), parts), "katz-pairs")
     known.pair, known.times = hot_pairs(pairs, HOT_PAIRS)
-    said = spark.sparkContext.broadcast(known)  # 16 bytes for each of CONTEXTS words, 12 for each of HOT_PAIRS pairs
+    said = spark.sparkContext.broadcast(known)  # 16 bytes for each of CONTEXTS words and of HOT_PAIRS pairs
     parts = max(1, -(-(row["total"] - int(known.times.sum())) * 5 // 4 // PART_TOKENS))
     far_parts = max(1, -(-(row["total"] - int(known.c.sum())) // PART_TOKENS))
-    sent = some.transform(arrow_map, _emit(said, parts), ROW).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    sent = some.transform(arrow_map, _emit(said, parts, BLOCK_TOKENS), ROW).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     shares = stage(sent.transform(arrow_map, _partition(said, far_parts), SHARE), "katz-tables")
     sums = [F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(TURING + 3)]
     m = np.zeros((len(known.h) + 2, TURING + 3))
     t = shares.where(F.col("kind") == CONTEXT).groupBy("u").agg(*sums).toArrow()
     for k in range(TURING + 3):
         m[t.column(0).to_numpy(), k] = t.column(k + 1).to_numpy()
-    u, own = known.pair >> np.uint32(16), known.pair & np.uint32(0xFFFF)
+    u, own = (x.astype(np.int64) for x in (known.pair >> np.uint64(32), known.pair & np.uint64(2**32 - 1)))
     n = len(m)
     m[:, TURING] += np.bincount(u[known.times == TURING + 1], minlength=n)
     m[:, TURING + 1] += np.bincount(u, weights=known.times, minlength=n)

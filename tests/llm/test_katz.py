@@ -63,7 +63,7 @@ def close(got, want):
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
     got, want = sorted(got, key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], rel=1e-6)  # sums of a partition travel as 4-byte floats
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], rel=1e-11)
 
 
 def test_scores_match_definition(docs, rows):
@@ -74,12 +74,7 @@ def test_few_contexts_blocks_and_parts(docs, rows, monkeypatch):
     monkeypatch.setattr(katz, "CONTEXTS", 12)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(katz, "PART_TOKENS", 400)
-    got = data(katz.score(docs))
-    m = Plain(rows, 12)
-    ties = {w for w, n in m.c.items() if n == min((m.c[x] for x in m.top), default=0)}
-    if len(ties) == 1 or not ties - m.top - {"\n"}:
-        close(got, [m.row(r) for r in rows])
-    assert len(got) == len(rows)
+    close(data(katz.score(docs)), [Plain(rows, 10**9).row(r) for r in rows])
 
 
 @pytest.mark.parametrize(("contexts", "part"), [(1, 2_000_000), (12, 400), (200, 100)])
