@@ -50,6 +50,16 @@ def test_wide_words_and_repeats(spark, items):
     assert same(data(d.report(spark.createDataFrame(rows, "doc_id long, text string"), df)), plain(rows, it))
 
 
+def test_a_term_that_is_frequent_everywhere(spark, monkeypatch):
+    """The rarest terms of a window may be the corpus' most frequent ones; by broadcast and by shuffle."""
+    it = [(k, " ".join(["the"] * (9 + k) + ["of"] * k)) for k in range(4)] + [(9, "of the")]
+    rows = [(i, "the " * (i % 13) + "of " * (i % 4) + "x the of the " * (i % 7)) for i in range(150)]
+    df, items = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(it, "item_id long, text string")
+    assert same(data(d.report(df, items)), plain(rows, it))
+    monkeypatch.setattr(d, "BROADCAST_BYTES", -1)
+    assert same(data(d.report(df, items)), plain(rows, it))
+
+
 def test_joins_by_shuffle_give_the_same(docs, rows, items, monkeypatch):
     monkeypatch.setattr(d, "BROADCAST_ROWS", -1)
     assert same(data(d.report(docs, items[0])), plain(rows, items[1]))
