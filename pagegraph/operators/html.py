@@ -61,6 +61,8 @@ class _Tree(HTMLParser):
 
     def _close_implied(self, tag: str) -> None:
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
+        if not ends:
+            return
         x = self.at
         while x.up is not None and x.tag not in FENCES or x.tag in ends:
             if x.tag in ends:
@@ -122,11 +124,30 @@ def find_content(root: Node) -> Node | None:
 
 def markdown(node: Node, assets: dict[str, str] | None = None) -> str:
     """ATX headings, ``-`` bullets, links, images, emphasis, code, quotes, rules and tables. Hidden parts stay;
-    the label of a tab pane comes before it as a heading."""
-    assets = assets or {}
+    the label of a tab pane comes before it as a heading.
+
+    Inner items and quotes are rendered before outer ones, so that nesting needs no recursion.
+    """
+    inner: dict[int, str] = {}
+    for n in reversed(list(node.walk())):
+        if n is not node and n.tag in ("li", "blockquote"):
+            inner[id(n)] = _markdown(n, assets or {}, inner)
+    return _markdown(node, assets or {}, inner)
+
+
+def _markdown(node: Node, assets: dict[str, str], inner: dict[int, str]) -> str:
+    """Markdown of a node, given that of the items and quotes in it."""
     out: list[str] = []
 
     def inline(x) -> str:
+        if isinstance(x, str):
+            return one(x, {})
+        said: dict[int, str] = {}
+        for n in reversed(list(x.walk())):
+            said[id(n)] = one(n, said)
+        return said[id(x)]
+
+    def one(x, said: dict[int, str]) -> str:
         if isinstance(x, str):
             return " ".join(x.split()) if x.strip() else (" " if x else "")
         if x.tag in RAW:
@@ -136,7 +157,7 @@ def markdown(node: Node, assets: dict[str, str] | None = None) -> str:
         if x.tag == "img":
             src = x.attrs.get("src", "")
             return f"![{x.attrs.get('alt', '')}]({assets.get(src, src)})"
-        body = _joined(x.kids, inline)
+        body = _joined(x.kids, lambda k: one(k, said) if isinstance(k, str) else said[id(k)])
         t = body.strip()
         if x.tag in ("b", "strong") and t:
             return f"**{t}**"
@@ -182,7 +203,7 @@ def markdown(node: Node, assets: dict[str, str] | None = None) -> str:
                     for li in (y for y in k.kids if isinstance(y, Node) and y.tag == "li"):
                         n += 1
                         mark = "-" if k.tag == "ul" else f"{n}."
-                        t = markdown(li, assets).strip().replace("\n", "\n  ")
+                        t = inner[id(li)].strip().replace("\n", "\n  ")
                         out.append(f"{mark} {t}\n")
                     out.append("\n")
                 elif k.tag == "table":
@@ -194,7 +215,7 @@ def markdown(node: Node, assets: dict[str, str] | None = None) -> str:
                             out.append("| " + " | ".join("---" for _ in r) + " |\n")
                     out.append("\n")
                 elif k.tag == "blockquote":
-                    out.append("> " + markdown(k, assets).strip().replace("\n", "\n> ") + "\n\n")
+                    out.append("> " + inner[id(k)].strip().replace("\n", "\n> ") + "\n\n")
                 else:
                     todo.append((iter(k.kids), []))  # no recursion: blocks nest as deep as they like
                     break
