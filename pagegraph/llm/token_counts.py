@@ -13,6 +13,7 @@ inverted ones get no tokens. Repeated rows give repeated rows; texts of any leng
 from __future__ import annotations
 
 import base64
+import re
 from hashlib import md5
 from pathlib import Path
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import arrow_map, row_key
 
+#: White space as the split patterns know it, in runs that their engine's stack may not hold.
+LONG_WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2000,}")
 _KEPT: dict[str, tuple] = {}
 
 
@@ -46,6 +49,20 @@ def encoder(ranks_text: bytes, pattern: str, key: str | None = None):
     return _KEPT[key]
 
 
+def ids_of(enc, text: str) -> list[int]:
+    """The ids of a whole text. A run of white space too long for the split pattern's engine is given to the merges as
+    the piece that the pattern makes of it: the run, without its last character if a word follows."""
+    if not LONG_WHITE.search(text):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in LONG_WHITE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def spans(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans (start, end) of tokens that tile a text."""
     end = np.cumsum(size[ids])
@@ -97,7 +114,7 @@ def by_line(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", t
                     if not t:
                         continue
                     raw = t.encode()
-                    ids = np.array(enc.encode_ordinary(t), np.int64)
+                    ids = np.array(ids_of(enc, t), np.int64)
                     s, e = _lines(raw)
                     at, crossing = allocate(*spans(ids, size), s, e)
                     chars = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
@@ -132,7 +149,7 @@ def by_span(docs: DataFrame, sections: DataFrame, ranks: str, pattern: str) -> D
             rows, names, starts, ends, counts, crosses = [], [], [], [], [], []
             for r, (t, s, e, n) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)):
                 raw = (t or "").encode()
-                ids = np.array(enc.encode_ordinary(t or ""), np.int64)
+                ids = np.array(ids_of(enc, t or ""), np.int64)
                 begin = np.r_[np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw)]
                 most = len(begin) - 1
                 a = np.clip(np.array(s, np.int64), 0, most)

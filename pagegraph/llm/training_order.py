@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import STAGED_AS, ship, stage_path
 from .common import arrow_map, row_key
-from .token_counts import encoder, vocabulary_key
+from .token_counts import encoder, ids_of, vocabulary_key
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 16_384, 6, 0x5EED
 #: A guess that only sets the number of shards: bytes of text to a token.
@@ -95,7 +95,7 @@ def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
     kind, key = np.uint16 if most < 2**16 else np.uint32, vocabulary_key(raw, pattern)
 
     def encode(text: str) -> np.ndarray:
-        return np.array(encoder(said.value, pattern, key)[0].encode_ordinary(text), kind)
+        return np.array(ids_of(encoder(said.value, pattern, key)[0], text), kind)
 
     return encode
 

@@ -17,6 +17,16 @@ def plain(start, end, s, e):
     return at
 
 
+def test_long_runs_of_white_space():
+    """As the library does where it can, and without a crash where it can't."""
+    enc, _ = tc.encoder(open(RANKS, "rb").read(), PATTERN)
+    for run in (" " * 2500, "\t" * 2500, " " * 1999 + "\n" + " " * 700, "\u3000 " * 1300, "\n" * 2500):
+        for t in (run, run + "word", "a" + run, "a" + run + "b" + run + "\x1c c", "x " + run[:1999] + "y"):
+            assert tc.ids_of(enc, t) == enc.encode_ordinary(t)
+    for t in ("a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "ab" * 500_000):
+        assert enc.decode(tc.ids_of(enc, t)) == t
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_allocation_against_brute_force(seed):
     rng = np.random.default_rng(seed)
