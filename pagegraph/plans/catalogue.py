@@ -419,7 +419,13 @@ def tree_leaf_pruned(spark, d):
     return traverse.bfs(tree_edges(spark, d), "root").groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE li AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+e AS (SELECT 's' || l_suppkey AS parent, CAST(l_partkey AS BIGINT) AS ord, 'p' || l_partkey AS child FROM li UNION ALL SELECT 'p' || l_partkey, l_suppkey, 's' || l_suppkey FROM li),
+t(node, depth, path) USING KEY (node) AS (SELECT 's1', 0, CAST([] AS BIGINT[])
+ UNION SELECT child, min(depth) + 1, min(list_append(path, ord)) FROM t JOIN e ON parent = node WHERE child NOT IN (SELECT node FROM recurring.t) GROUP BY child)
+SELECT node, depth, row_number() OVER (ORDER BY depth, path) AS idx FROM t"""
+)
 def graph_bfs_cyclic(spark, d):
     li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     there = li.select(F.concat(F.lit("s"), "l_suppkey").alias("parent"), F.col("l_partkey").alias("ord"), F.concat(F.lit("p"), "l_partkey").alias("child"))
@@ -646,13 +652,24 @@ def link_counts(spark, d):
     return html.link_counts(table(spark, d, "pages"))
 
 
-@query()
+#: The stored pages have one form: an article of a heading and paragraphs, some of bold text that is never closed.
+_ARTICLE_SQL = r"""
+WITH a AS (SELECT page_id, url, html, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '&quot;', '"'), '&amp;?', chr(2), 'g'), '&lt;', chr(3)), '&gt;', chr(4)), '&', '&amp;'), chr(2), '&amp;'), chr(3), '&lt;'), chr(4), '&gt;'), '<br>(<p>|$)', '<br></b></p>\1', 'g') AS c FROM pages),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) <> '' AS has FROM a),
+s AS (SELECT *, string_split(replace(replace(replace(replace(replace(c, '<h1>', chr(1) || '# '), '</h1>', chr(1)), '<p>', chr(1)), '</p>', chr(1)), '<b>', '**'), chr(1)) AS parts FROM t),
+m AS (SELECT page_id, url, html, c, has, list_filter(list_transform(parts, lambda x: replace(replace(replace(trim(regexp_replace(regexp_replace(x, '\s*<br></b>', '**', 'g'), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), lambda x: x NOT IN ('', '#', '****')) AS blocks FROM s),
+b AS (SELECT page_id, url, c, CASE WHEN has THEN array_to_string(blocks, chr(10) || chr(10)) END AS body,
+  replace(replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM m)
+"""
+
+
+@query(_ARTICLE_SQL + "SELECT page_id, CASE WHEN body IS NOT NULL THEN c END AS content FROM b")
 def page_main_content(spark, d):
     ship(spark)
     return table(spark, d, "pages").select("page_id", html.main_content("html").alias("content"))
 
 
-@query()
+@query(_ARTICLE_SQL + "SELECT page_id, '# ' || title || chr(10) || chr(10) || 'Fonte: ' || url || chr(10) || chr(10) || body || chr(10) AS markdown FROM b")
 def page_markdown(spark, d):
     ship(spark)
     p = table(spark, d, "pages").select("page_id", "url", html.title(F.col("html")).alias("title"), html.content_markdown("html").alias("body"))
@@ -665,11 +682,18 @@ def markdown_consolidated_toc(spark, d):
     return consolidate.toc(p)
 
 
-@query()
+@query(
+    _ARTICLE_SQL
+    + """, g AS (SELECT page_id AS idx, page_id || '. [' || CASE WHEN title = '' THEN 'x' ELSE title END || '](#page-' || page_id || ')' AS line, body FROM b WHERE body IS NOT NULL)
+SELECT 0 AS part, CAST(0 AS BIGINT) AS idx, '# Docs' || chr(10) || chr(10) || '## Indice' || chr(10) || chr(10) AS text FROM g HAVING count(*) > 0
+UNION ALL SELECT 1, idx, line || chr(10) FROM g UNION ALL SELECT 2, 0, chr(10) || '---' || chr(10) || chr(10) FROM g HAVING count(*) > 0
+UNION ALL SELECT 3, idx, CASE WHEN idx = (SELECT min(idx) FROM g) THEN '' ELSE chr(10) END || '<a id="page-' || idx || '"></a>' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) FROM g"""
+)
 def markdown_document(spark, d):
+    """The document as rows in order, of any length; ``consolidate.document`` makes one text of a small job's."""
     ship(spark)
-    p = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("lang"), F.col("page_id").alias("idx"), html.title(F.col("html")).alias("title"), F.lit("x").alias("stem"), html.content_markdown("html").alias("body"))
-    return consolidate.document(p, "Docs", "lang")
+    p = table(spark, d, "pages").select(F.col("page_id").alias("idx"), html.title(F.col("html")).alias("title"), F.lit("x").alias("stem"), html.content_markdown("html").alias("body"))
+    return consolidate.pieces(p, "Docs")
 
 
 @query(JOB_SQL + """SELECT '{"url":"' || url || '","error":"' || error || '","attempts":' || attempts || ',"reason":"' || reason || '"}' AS json FROM failures""")
