@@ -40,19 +40,21 @@ def _pace_step(p: Pacing):
 
     def step(s: Column, e: Column) -> Column:
         block = e["event"] == "block"
-        late = block & e["started_at"].isNotNull() & (e["started_at"] <= s["last_block"]) & (s["until"] > e["ts"])
+        switch = e["event"] == "switch"
+        late = block & e["started_at"].isNotNull() & (e["started_at"] <= s["last_block"]) & ((s["until"] > e["ts"]) | (s["switched"] >= s["last_block"]))
         fresh = block & ~F.coalesce(late, F.lit(False))
-        k = F.when(fresh, s["k"] + 1).when(block, s["k"]).otherwise(0)
+        k = F.when(fresh, s["k"] + 1).when(block | switch, s["k"]).otherwise(0)
         guess = F.least(F.lit(p.most_cooldown), p.initial * F.pow(F.lit(p.multiplier), (k - 1).cast("double"))) * (1 + p.jitter)
         cool = F.when(F.coalesce(e["retry_after"] > 0, F.lit(False)), e["retry_after"] + p.margin).otherwise(guess)
-        streak = F.when(fresh, 0).when(block, s["streak"]).otherwise(s["streak"] + 1)
-        eased = ~block & (s["delay"] > base) & (streak >= p.recover_after)
+        streak = F.when(fresh, 0).when(block | switch, s["streak"]).otherwise(s["streak"] + 1)
+        eased = ~block & ~switch & (s["delay"] > base) & (streak >= p.recover_after)
         delay = F.when(fresh, F.least(F.lit(high), F.greatest(s["delay"], F.lit(low)) * p.slower)).when(eased, F.greatest(F.lit(base), s["delay"] * p.recover_factor)).otherwise(s["delay"])
         return F.struct(
             k.cast("int").alias("k"),
             F.when(eased, 0).otherwise(streak).cast("int").alias("streak"),
             delay.cast("double").alias("delay"),
-            F.when(fresh, F.greatest(s["until"], e["ts"] + cool)).otherwise(s["until"]).cast("double").alias("until"),
+            F.when(fresh, F.greatest(s["until"], e["ts"] + cool)).when(switch, e["ts"] + F.greatest(F.lit(0.0), F.coalesce(e["retry_after"], F.lit(0.0)))).otherwise(s["until"]).cast("double").alias("until"),
+            F.when(switch, e["ts"]).otherwise(s["switched"]).cast("double").alias("switched"),
             F.when(fresh, e["ts"]).otherwise(s["last_block"]).cast("double").alias("last_block"),
             (s["blocks"] + F.when(fresh, 1).otherwise(0)).cast("int").alias("blocks"),
             F.greatest(s["longest"], F.when(fresh, cool).otherwise(0.0)).cast("double").alias("longest"),
@@ -62,13 +64,14 @@ def _pace_step(p: Pacing):
 
 
 def pacing(events: DataFrame, key: str = "exit", p: Pacing = Pacing()) -> DataFrame:
-    """events(key, ts, seq, event ok|block, retry_after, started_at) -> the final pacing state of each key.
+    """events(key, ts, seq, event ok|block|switch, retry_after, started_at) -> the final pacing state of each key.
 
-    A block whose request had started before the last block, while its cooldown runs, does not count again.
+    A block whose request had started before the last block does not count again while its cooldown runs, nor once the
+    exit was switched after that block, which puts the new exit's wait (retry_after, or none) in place of the cooldown.
     ``too_long`` says that one wait went beyond the limit.
     """
     d = lambda v: F.lit(v).cast("double")
-    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("streak"), d(max(0.0, p.base)).alias("delay"), d(0).alias("until"), d(-1e18).alias("last_block"), F.lit(0).alias("blocks"), d(0).alias("longest"))
+    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("streak"), d(max(0.0, p.base)).alias("delay"), d(0).alias("until"), d(-2e18).alias("switched"), d(-1e18).alias("last_block"), F.lit(0).alias("blocks"), d(0).alias("longest"))
     e = ordered_events(events, key, ["ts", "seq"], "event", "retry_after", "started_at")
     s = e.select(key, F.aggregate("events", zero, _pace_step(p)).alias("s"))
     return s.select(key, "s.k", "s.streak", "s.delay", "s.until", "s.blocks", "s.longest", (F.col("s.longest") > p.max_wait).alias("too_long"))

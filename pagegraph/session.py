@@ -12,6 +12,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,9 +68,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is set."""
+    """The cluster's checkpoint folder; a folder of this machine only where none is set and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -94,6 +97,17 @@ def sweep() -> None:
     _STAGED.clear()
 
 
+@contextmanager
+def staging():
+    """Tables staged inside are deleted on leaving; what is made of them has to be written before."""
+    before = set(_STAGED)
+    try:
+        yield
+    finally:
+        for at in [x for x in _STAGED if x not in before]:
+            _delete(_STAGED.pop(at), at)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     at = f"{shared_dir(spark)}/pagegraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     _STAGED[at] = spark

@@ -104,6 +104,11 @@ def test_pacing(spark):
     assert pace(spark, [b(i) for i in range(6)], most_delay=5.0)["delay"] == 5.0
     late = pace(spark, [b(10), b(11, None, 9.0)])
     assert (late["blocks"], late["delay"]) == (1, 4.0)
+    switch = lambda t, wait=None: (float(t), "switch", wait, None)
+    after = pace(spark, [b(10), switch(20, 5.0), b(30, None, 9.0)])
+    assert (after["blocks"], after["until"], after["k"]) == (1, 25.0, 1)  # sent from the exit that was left
+    again = pace(spark, [b(10), switch(20), b(30, None, 9.0), b(40, None, 39.0), b(200, None, 39.5)])
+    assert again["blocks"] == 3  # blocks of the new exit count, and the switch was before the last of them
 
 
 def test_exit_quarantine(spark):
@@ -209,3 +214,68 @@ def test_csv_round_trip(spark, tmp_path):
     consolidate.write_csv(df, str(tmp_path / "c"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first()
     assert back["url"] == "https://h.example/page?title=foo,bar" and back["title"] == 'Titulo, com "virgula"  x'
+
+
+def test_slots_follow_the_recurrence(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, i, float(r.randrange(50)), r.choice([0.0, 0.0, 20.0, 60.0])) for k in range(4) for i in range(40)]
+    df = spark.createDataFrame(rows, "exit int, seq long, now double, cooldown_until double").repartition(3)
+    got = {(x["exit"], x["seq"]): x["slot"] for x in pacing.slots(df, 2.5).collect()}
+    last = {}
+    for k, i, now, cool in rows:
+        last[k] = max(now, cool, last.get(k, -1e18) + 2.5)
+        assert got[k, i] == last[k]
+
+
+def test_snapshots_expire(spark, tmp_path):
+    import os
+
+    m = spark.createDataFrame([("/a", "x")], "dir string, json string")
+    for v in range(1, 9):
+        manifest.write_snapshot(m, str(tmp_path), v)
+    assert len(manifest.expire_snapshots(spark, str(tmp_path), keep=5)) == 2
+    assert sorted(x for x in os.listdir(tmp_path) if x.startswith("v=")) == [f"v={v:08d}" for v in range(3, 9)]
+    assert manifest.expire_snapshots(spark, str(tmp_path), keep=5) == [] and manifest.latest_snapshot(spark, str(tmp_path)).endswith("v=00000008")
+
+
+def test_http_dates_in_all_forms(spark):
+    from pagegraph.functions import classify
+    from pagegraph.session import ship
+
+    ship(spark)
+    forms = ["Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-94 08:49:37 GMT", "Sun Nov  6 08:49:37 1994", "Sun, 6 Nov 1994 10:49:37 +0200", "nonsense", None]
+    df = spark.createDataFrame([(x,) for x in forms], "v string")
+    assert [r[0] for r in df.select(classify.retry_after(F.col("v"), F.lit(784111700.0))).collect()] == [77.0] * 4 + [None, None]
+
+
+def test_stored_pdfs(spark):
+    from pagegraph.sources import stored
+
+    body = lambda head, end=b"%%EOF": head + b"x" * 4000 + end
+    cases = [(body(b"%PDF-1.4 12345678 <html>"), True), (body(b"%pdf-1.4"), False), (body(b"%PDF-1<!DOCTYPE"), False), (body(b"%PDF-1.4", b""), False), (b"%PDF-%%EOF", False)]
+    df = spark.createDataFrame([(f"f{i}", len(c), bytearray(c)) for i, (c, _) in enumerate(cases)], "path string, length long, content binary")
+    got = {r["filename"]: r["valid"] for r in stored.checked_files(df).collect()}
+    assert [got[f"f{i}"] for i in range(len(cases))] == [v for _, v in cases]
+
+
+def test_exit_lists_grow_and_clear(spark):
+    from pagegraph import commands
+
+    known = spark.createDataFrame([(1, "http://a:80"), (2, "http://b:80")], "n long, exit string")
+    lines = spark.createDataFrame([(1, "# x"), (2, "b"), (3, "c"), (4, "c:80"), (5, "ftp://d")], "n long, line string")
+    assert [(r["n"], r["exit"]) for r in commands.add_exits(known, lines).orderBy("n").collect()] == [(1, "http://a:80"), (2, "http://b:80"), (5, "http://c:80")]
+    assert commands.clear_exits(known).count() == 0
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    import os
+
+    from pagegraph.session import stage, staging
+
+    kept = stage(spark.range(3), "kept")
+    with staging():
+        gone = stage(spark.range(4), "gone").inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.isdir(gone)
+    assert not os.path.exists(gone) and kept.count() == 3
