@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegraph.llm import bpe_automaton, decontaminate, paragraph_dedup, quality_rules, simhash
-from pagegraph.session import STAGED_AS, few, stage_path, table
+from pagegraph.session import STAGED_AS, few, stage_path, staging, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -53,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         at = stage_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.options(**STAGED_AS).parquet(at)
+        with staging():  # what the operator staged goes when its result is written
+            stage(spark, docs, sf_dir).write.options(**STAGED_AS).parquet(at)
         docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)
