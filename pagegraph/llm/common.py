@@ -87,6 +87,40 @@ def _block(parts: list[pa.RecordBatch], key: int) -> tuple[np.ndarray, list[pa.A
     return np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), cols
 
 
+def bounded_groups(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Rows (key, value) of longs, sorted by key -> (large, keys, values).
+
+    Not large: whole groups, repeats included, of the size of a batch at most. Large: a piece of a group of more than
+    ``block`` distinct values, of which no more than that and a batch is ever held; the pieces may repeat values.
+    """
+    held, of, large = np.zeros(0, np.int64), None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+        first = int(np.searchsorted(k, of, side="right")) if of is not None else 0  # rows of the group that is open
+        if first:
+            more = x[:first]
+            if not large:
+                held = more = np.unique(np.r_[held, more])
+                large = len(held) > block
+            if large:
+                yield True, np.full(len(more), of, np.int64), more
+        if first == len(k):
+            continue
+        if of is not None and not large:
+            yield False, np.full(len(held), of, np.int64), held
+        last = max(first, int(np.searchsorted(k, k[-1])))  # the last group may go on
+        if last > first:
+            yield False, k[first:last], x[first:last]
+        of, held = k[-1], np.unique(x[last:])
+        large = len(held) > block
+        if large:
+            yield True, np.full(len(held), of, np.int64), held
+    if of is not None and not large:
+        yield False, np.full(len(held), of, np.int64), held
+
+
 def union_min(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over links a-b, by hooking and jumping."""
     lab = np.arange(n)

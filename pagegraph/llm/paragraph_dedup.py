@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, stage, stage_bucketed
-from .common import arrow_map, grouped, release, row_key, spread, union_min
+from .common import arrow_map, bounded_groups, grouped, release, row_key, spread, union_min
 from .components import connected_components
 
 MIN_WORDS, LONG, SHINGLE, SIMILAR = 20, 100, 5, 0.8
@@ -221,23 +221,23 @@ SMALL, LARGE = 0, 1
 def _buckets(batches, block: int):
     """Rows (k, line), sorted by k -> (kind, bucket, line) of buckets of two texts or more.
 
-    Small buckets go under their own hash, so that equal ones are one. Of a bucket beyond ``block`` no more than that
-    is held: its rows go on one by one, under k.
+    Small buckets go under their own hash, so that equal ones are one. Rows of a bucket beyond ``block`` go on one by
+    one, under k.
     """
-    held, of, large = np.zeros(0, np.int64), None, False
 
     def rows(kind: int, bucket, line) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(line), kind, np.int32)), pa.array(np.asarray(bucket).view(np.int64)), pa.array(line)], ["kind", "bucket", "line"])
 
-    def small(keys: np.ndarray, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Buckets that are whole."""
+    for large, keys, lines in bounded_groups(batches, block):
+        if large:
+            yield rows(LARGE, keys, lines)
+            continue
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[starts, len(keys)])
         two = starts[size == 2]
         a, b = np.minimum(lines[two], lines[two + 1]), np.maximum(lines[two], lines[two + 1])
         a, b = a[a != b], b[a != b]
-        ids = (a.view(np.uint64) * _P ^ b.view(np.uint64)) * _Q
-        bucket, line = [np.repeat(ids, 2)], [np.stack([a, b], 1).reshape(-1)]
+        bucket, line = [np.repeat((a.view(np.uint64) * _P ^ b.view(np.uint64)) * _Q, 2)], [np.stack([a, b], 1).reshape(-1)]
         for s, n in zip(starts[size > 2], size[size > 2], strict=True):
             g = np.unique(lines[s : s + n])
             if len(g) > block:
@@ -247,33 +247,6 @@ def _buckets(batches, block: int):
                 line.append(g)
         yield rows(SMALL, np.concatenate(bucket), np.concatenate(line))
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k, x = b.column(0).to_numpy(), b.column(1).to_numpy()
-        first = int(np.searchsorted(k, of, side="right")) if of is not None else 0  # rows of the bucket that is open
-        if first:
-            if not large:
-                held = np.unique(np.r_[held, x[:first]])
-                large = len(held) > block
-                if large:
-                    yield rows(LARGE, np.full(len(held), of, np.int64), held)
-            else:
-                yield rows(LARGE, np.full(first, of, np.int64), x[:first])
-        if first == len(k):
-            continue
-        if of is not None and not large and len(held):
-            yield from small(np.full(len(held), of, np.int64), held)
-        last = max(first, int(np.searchsorted(k, k[-1])))  # the last bucket may go on
-        if last > first:
-            yield from small(k[first:last], x[first:last])
-        of, held = k[-1], np.unique(x[last:])
-        large = len(held) > block
-        if large:
-            yield rows(LARGE, np.full(len(held), of, np.int64), held)
-    if of is not None and not large and len(held):
-        yield from small(np.full(len(held), of, np.int64), held)
-
 
 def jaccard_links(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
     """Smallest index linked to each of the sets at this Jaccard similarity or more."""

@@ -15,7 +15,8 @@ So every link within 3 bits shares a key of 34 bits or more, and chance candidat
 
 Texts with equal fingerprints are one class from the start; only distinct fingerprints get keys. Inside a
 key's group all members are compared, exactly; what leaves the group is a spanning forest of its links, at
-most one row a member. A group beyond ``BLOCK`` members is searched by flipping bits, in time linear in it.
+most one row a member. A group beyond ``BLOCK`` members is not gathered: its rows are dealt out anew, by four parts of the
+bits that vary in it, of which a link leaves one equal.
 
 Edges: null or empty text is fingerprint zero; null doc_id rows take part, and count last for the smallest
 doc_id (a class of null ids alone has a null component_id); repeated rows share a class.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, stage
-from .common import arrow_map, grouped, row_key, spread, union_min, words_of
+from .common import arrow_map, bounded_groups, grouped, row_key, spread, union_min, words_of
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS, BLOCK, STRIP = 3, 42, 3, 4096, 256
@@ -212,21 +213,68 @@ def _emit_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(fp[i : i + 4096][r].view(np.int64))], ["k", "fp"])
 
 
+LINK, LARGE = 0, 1
+
+
+def _pairs(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
+
+
+def _forest(g: np.ndarray, block: int, strip: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of distinct fingerprints."""
+    lab = links_within(g, MAX_BITS, block, strip)
+    i = np.flatnonzero(lab != np.arange(len(g)))
+    return g[lab[i]], g[i]
+
+
 def _link_groups(batches, block: int, strip: int):
-    for starts, (_, fps) in grouped(batches):
-        x = fps.to_numpy().view(np.uint64)
+    """Rows (key, fingerprint), sorted by key -> links, and the rows of groups beyond ``block`` as they are."""
+    for large, keys, fps in bounded_groups(batches, block):
+        if large:
+            yield _pairs(LARGE, keys, fps)
+            continue
+        x = fps.view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[starts, len(x)])
         two = starts[size == 2]
         a, b = x[two], x[two + 1]
-        on = np.bitwise_count(a ^ b) <= MAX_BITS
+        on = (np.bitwise_count(a ^ b) <= MAX_BITS) & (a != b)
         out = [(a[on], b[on])]
         for s, n in zip(starts[size > 2], size[size > 2], strict=True):
             g = np.unique(x[s : s + n])
-            lab = links_within(g, MAX_BITS, block, strip)
-            i = np.flatnonzero(lab != np.arange(len(g)))
-            out.append((g[lab[i]], g[i]))
-        a, b = (np.concatenate(z).view(np.int64) for z in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if len(g) > block:
+                yield _pairs(LARGE, np.full(len(g), keys[s], np.int64), g)
+            else:
+                out.append(_forest(g, block, strip))
+        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
+        yield _pairs(LINK, a, b)
+
+
+def _emit_parts(batches):
+    """Rows (k, fp, vary) -> four keys each: those of the group that agree in a fourth of the bits that vary in it."""
+    for b in batches:
+        k, fp, vary = (c.to_numpy().view(np.uint64) for c in b.columns)
+        kinds, at = np.unique(vary, return_inverse=True)
+        for part in range(MAX_BITS + 1):
+            masks = np.array([sum(1 << x for n, x in enumerate(i for i in range(64) if int(v) >> i & 1) if n % (MAX_BITS + 1) == part) for v in kinds], np.uint64)
+            key = _mix(40 + part, k, fp & masks[at])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1)], ["k", "fp"])
+
+
+def _link_parts(batches, block: int, strip: int):
+    for starts, (_, fps) in grouped(batches):
+        x = fps.to_numpy().view(np.uint64)
+        out = [_forest(np.unique(x[s:e]), block, strip) for s, e in zip(starts, np.r_[starts[1:], len(x)], strict=True)]
+        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
+        yield _pairs(LINK, a, b)
+
+
+def _large_links(large: DataFrame, block: int, strip: int) -> DataFrame:
+    """Links of groups (k, fp) beyond a block. At most three bits differ, so of four parts of the bits that vary in a
+    group at all one is equal: the group is dealt out anew by each part, over many tasks."""
+    vary = large.groupBy(F.col("k").alias("of")).agg((F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("vary"))
+    parts = large.join(vary, F.col("k") == F.col("of")).select("k", "fp", "vary").transform(arrow_map, _emit_parts, "k long, fp long")
+    return spread(parts, "k").sortWithinPartitions("k").transform(arrow_map, lambda batches: _link_parts(batches, block, strip), "kind int, a long, b long")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -235,7 +283,12 @@ def classes(prints: DataFrame) -> DataFrame:
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps", prints.count())
     n = reps.count()
     keyed = reps.select("fp").transform(arrow_map, _emit_keys, "k long, fp long")
-    links = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, lambda batches, block=BLOCK, strip=STRIP: _link_groups(batches, block, strip), "a long, b long")
+    found = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, lambda batches, block=BLOCK, strip=STRIP: _link_groups(batches, block, strip), "kind int, a long, b long")
+    found = stage(found, "simhash-links")
+    links = found.where(F.col("kind") == LINK).select("a", "b")
+    large = found.where(F.col("kind") == LARGE).select(F.col("a").alias("k"), F.col("b").alias("fp")).distinct()
+    if large.limit(1).count():
+        links = links.union(_large_links(large, BLOCK, STRIP).select("a", "b"))
     comp = connected_components(links)
     tops = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class_fp"))
     tops = stage(tops, "simhash-tops", n)

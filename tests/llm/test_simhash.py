@@ -113,7 +113,24 @@ def test_groups_beyond_a_block_through_the_operator(spark, monkeypatch):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = list({base ^ sum(1 << b for b in rng.sample(range(21), rng.randint(0, 9))) for _ in range(260)})
-    assert by_class(spark, fps) == grouped_by(plain_components(fps))
+    calls, large = [], simhash._large_links
+    monkeypatch.setattr(simhash, "_large_links", lambda *a: calls.append(a) or large(*a))
+    assert by_class(spark, fps) == grouped_by(plain_components(fps)) and calls
+
+
+def test_parts_of_the_varying_bits_keep_every_link():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(40):
+        vary = sum(1 << b for b in rng.sample(range(64), rng.randint(5, 40)))
+        bits = [b for b in range(64) if vary >> b & 1]
+        base = rng.getrandbits(64)
+        x = base ^ sum(1 << b for b in rng.sample(bits, 3))
+        y = x ^ sum(1 << b for b in rng.sample(bits, rng.randint(1, 3)))
+        batch = pa.RecordBatch.from_arrays([pa.array([5, 5], pa.int64()), pa.array([signed(x), signed(y)], pa.int64()), pa.array([signed(vary)] * 2, pa.int64())], ["k", "fp", "vary"])
+        keys = [tuple(b.column(0).to_pylist()) for b in simhash._emit_parts(iter([batch]))]
+        assert len(keys) == 4 and any(a == b for a, b in keys)
 
 
 def test_links_within_against_brute_force():
