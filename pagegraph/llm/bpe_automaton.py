@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from ..session import ship
 from .common import arrow_map
 
-CACHED_WORDS, WORD_CACHE, CACHED_ARCS = 160_000, 48, 300_000
+CACHED_WORDS, WORD_CACHE, CACHED_ARCS, HEAD = 160_000, 48, 300_000, 4
+SHORT = (2, 1)
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _KEPT: dict[str, "Tokenizer"] = {}
 
@@ -72,10 +73,13 @@ class Automaton:
             self.left[uv], self.right[uv], self.made[uv] = a, b, m
             live[u + v] = uv
         self.live = live
-        self.ends: dict[str, int] = {}  # the longest label that ends with these three symbols
+        ends: dict[str, set[int]] = {}
         for t in live:
             if len(t) > 2:
-                self.ends[t[-3:]] = max(self.ends.get(t[-3:], 3), len(t))
+                ends.setdefault(t[-3:], set()).add(len(t))
+        #: Sizes of the labels that end with three symbols, the longest first; shorter labels are tried besides.
+        self.ends = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
+        self.starts: dict[str, tuple] = {}  # paths of the prefixes of HEAD symbols, kept like arcs
 
     def _walk(self, s: int, t: int) -> bool:
         """Whether the state behind token s has an arc t."""
@@ -100,38 +104,63 @@ class Automaton:
             on = self.arcs[key] = self._walk(s, t)
         return on
 
+    def _settle(self, x: str, extra: int, begin: int, stop: int, last: list[int], sizes: list[int]) -> None:
+        """Append, for each place from begin to stop, the one token that ends the path there (-1: none) and its size.
+
+        ``extra`` symbols at the end of x belong to the last place's label.
+        """
+        get, ends, arcs, has_arc = self.live.get, self.ends.get, self.arcs.get, self.has_arc
+        for j in range(begin, stop + 1):
+            end = j + extra
+            for size in ends(x[end - 3 : end], SHORT) if end > 2 else SHORT:
+                i = end - size
+                if i < 0 or i >= j:
+                    continue
+                t = get(x[i:end])
+                if t is None:
+                    continue
+                if i:
+                    s = last[i]
+                    if s < 0:
+                        continue
+                    on = arcs(s << 24 | t)
+                    if not (has_arc(s, t) if on is None else on):
+                        continue
+                last.append(t)
+                sizes.append(j - i)
+                break
+            else:
+                last.append(-1)
+                sizes.append(0)
+
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word, given in byte symbols; the last symbol bears the suffix."""
-        get, ends, arcs, has_arc, extra = self.live.get, self.ends.get, self.arcs.get, self.has_arc, len(self.suffix)
-        n = len(word)
+        n, extra = len(word), len(self.suffix)
         if not n:
             return []
         whole = word + self.suffix
-        last, size_at = [-1] * (n + 1), [0] * (n + 1)  # of each prefix: the token that ends its path, its symbols
-        for j in range(1, n + 1):
-            x, tail = (whole, extra) if j == n else (word, 0)
-            end = j + tail
-            size = min(ends(x[end - 3 : end], 2 + tail) - tail if end > 2 else end, j)
-            while size > 0:
-                i = j - size
-                t = get(x[i:end])
-                if t is not None:
-                    if not i:
-                        break
-                    s = last[i]
-                    if s >= 0:
-                        on = arcs(s << 24 | t)
-                        if has_arc(s, t) if on is None else on:
-                            break
-                size -= 1
-            if size > 0:
-                last[j], size_at[j] = t, size
+        t = self.live.get(whole)
+        if t is not None:
+            return [t]  # an arc from the start spans the word: its one path
+        last, sizes, begin = [-1], [0], 1
+        if n > HEAD:
+            head = self.starts.get(word[:HEAD])
+            if head is None:
+                self._settle(word, 0, 1, HEAD, last, sizes)
+                if len(self.starts) >= CACHED_ARCS // 3:
+                    self.starts.clear()
+                self.starts[word[:HEAD]] = last[:], sizes[:]
+            else:
+                last, sizes = head[0][:], head[1][:]
+            begin = HEAD + 1
+        self._settle(word, 0, begin, n - 1, last, sizes)
+        self._settle(whole, extra, n, n, last, sizes)
         if last[n] < 0:
             raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
         out, j = [], n
         while j:
             out.append(last[j])
-            j -= size_at[j]
+            j -= sizes[j]
         return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
