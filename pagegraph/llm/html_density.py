@@ -39,12 +39,35 @@ from .common import arrow_map
 OTHER_TAGS = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object dialog head menu".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Names of side matter that has a text of its own.
-SIDE_NAMES = frozenset("ad ads advert adverts advertisement advertisements adbox adsense sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal aside sidebar sidebars footer copyright legal comment comments commentlist disqus replies respond".split())
+SIDE_NAMES = frozenset(
+    """
+    ad ads advert adverts advertisement advertisements adbox adsense sponsor sponsors sponsored promo promos
+    promotion cookie cookies consent gdpr notice notices alert alerts popup modal aside sidebar sidebars footer
+    copyright legal comment comments commentlist disqus replies respond
+    """.split()
+)
 #: Names of controls and of lists of links.
-LIST_NAMES = frozenset("search login signup subscribe newsletter share sharing social pager pagination toc skip nav navbar navigation menu menubar breadcrumb breadcrumbs related recommended recommendations widget widgets header masthead topbar banner".split())
+LIST_NAMES = frozenset(
+    """
+    search login signup subscribe newsletter share sharing social pager pagination toc skip nav navbar navigation
+    menu menubar breadcrumb breadcrumbs related recommended recommendations widget widgets header masthead topbar
+    banner
+    """.split()
+)
 #: Parts of names that say nothing about the content.
-PLAIN_NAMES = frozenset("wrap wrapper box area section list container block bar inner outer top bottom left right item items link links post posts panel col column group unit slot site page".split())
-BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
+PLAIN_NAMES = frozenset(
+    """
+    wrap wrapper box area section list container block bar inner outer top bottom left right item items link links
+    post posts panel col column group unit slot site page
+    """.split()
+)
+BLOCK_TAGS = frozenset(
+    """
+    address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
+    figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre
+    section summary table tbody tfoot thead tr ul
+    """.split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW_TAGS = HEADINGS | frozenset("p ul ol dl pre table blockquote figure section address details".split())
 CONTROLS = frozenset("a input button select textarea".split())

@@ -6,7 +6,8 @@ Unigrams. Counts r up to ``TURING`` are discounted by Good-Turing, d_r r / N; wh
 no discount in (0, 1], d_r is 1. One more event is put beside the N, so mass is left in any case; this mass
 is spread evenly over the unseen words, whose number is estimated from the words seen once and twice.
 
-Bigrams. The context of a token is the word before it, or the start; every word is a context of its own. P(w | u) = d_r r / (T(u) + 1) if the pair was seen r times, else
+Bigrams. The context of a token is the word before it, or the start; every word is a context of its own. P(w | u) =
+d_r r / (T(u) + 1) if the pair was seen r times, else
 a(u) P(w), with T(u) the training tokens in context u and a(u) the mass left over the unigram mass of words
 not seen in u: for each context the probabilities add up to exactly 1.
 
@@ -219,7 +220,10 @@ def pair_counts(docs: DataFrame, said, parts: int) -> DataFrame:
             part = (key.astype(np.uint64) * _A >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            rows = [(p, pack(small(np.diff(k := key[order[cut[p] : cut[p + 1]]], prepend=k[:1] * 0)), small(c[order[cut[p] : cut[p + 1]]]))) for p in range(parts) if cut[p] < cut[p + 1]]
+            rows = []
+            for p in np.flatnonzero(np.diff(cut)):
+                mine = order[cut[p] : cut[p + 1]]
+                rows.append((int(p), pack(small(np.diff(key[mine], prepend=np.uint64(0))), small(c[mine]))))  # keys as steps
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "load"])
 
         for whole in batches:
@@ -244,7 +248,8 @@ def pair_counts(docs: DataFrame, said, parts: int) -> DataFrame:
                 c = np.bincount(at, weights=np.concatenate([c for _, c in both])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key[c > TURING]), pa.array(c[c > TURING])], ["pair", "c"])
 
-    return docs.transform(arrow_map, emit, "part int, load binary").repartitionById(parts, F.col("part")).sortWithinPartitions("part").transform(arrow_map, add, "pair long, c long")
+    sent = docs.transform(arrow_map, emit, "part int, load binary").repartitionById(parts, F.col("part"))
+    return sent.sortWithinPartitions("part").transform(arrow_map, add, "pair long, c long")
 
 
 def hot_pairs(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,6 +273,10 @@ def hot_pairs(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return pair[order].astype(np.uint64), c[order].astype(np.int64)
 
 
+# What a block of documents (a chunk) sends to a partition of the n-grams. Loads are packed arrays:
+#   TOKENS  words; contexts of each word; number of each context, hashes of those that are not frequent; documents of each
+#           context; document, times of each entry; number of training documents, which come first
+#   DOCS    one Arrow table: doc_id, held, tokens, and sums over what the block knows itself
 ROW = "part int, kind int, chunk long, load binary"
 NAMES = ["part", "kind", "chunk", "load"]
 TOKENS, DOCS = 0, 1
@@ -304,10 +313,13 @@ def _entries(known: _Known, parts: int, docs: list[tuple], kind) -> Iterator[tup
         nu_at = np.flatnonzero(nu)
         nv_of_u = np.diff(np.r_[np.flatnonzero(nv[nu_at]), len(nu_at)]).astype(np.uint32)
         each = u[s][nu]
-        yield int(p), TOKENS, pack(v[s][nv], small(nv_of_u), small(known.number(each)), each[each > n + 1], small(np.diff(np.r_[nu_at, len(nu)])), doc[s], small(times[s]), np.array([trained], np.uint32))
+        contexts = small(known.number(each)), each[each > n + 1]
+        entries = small(np.diff(np.r_[nu_at, len(nu)])), doc[s], small(times[s])
+        yield int(p), TOKENS, pack(v[s][nv], small(nv_of_u), *contexts, *entries, np.array([trained], np.uint32))
     ids = pa.array([d[0] for d in docs], kind)
     sink = pa.BufferOutputStream()
-    t = pa.RecordBatch.from_arrays([ids, pa.array([bool(d[1]) for d in docs]), pa.array(size.astype(np.int64)), pa.array(context), pa.array(base), pa.array(sure)], ["doc_id", "held", "n", "context", "base", "known"])
+    cols = [ids, pa.array([bool(d[1]) for d in docs]), pa.array(size.astype(np.int64)), pa.array(context), pa.array(base), pa.array(sure)]
+    t = pa.RecordBatch.from_arrays(cols, ["doc_id", "held", "n", "context", "base", "known"])
     with pa.ipc.new_stream(sink, t.schema) as w:
         w.write_batch(t)
     yield int(docs[0][2][0] % np.uint64(parts)), DOCS, zstandard.compress(sink.getvalue().to_pybytes(), 1)
@@ -320,7 +332,9 @@ def _emit(said, parts: int, block: int):
         def out():
             chunk = task << 24 | done
             rows = list(_entries(known, parts, docs, kind))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], NAMES)
+            part, kinds, loads = zip(*rows, strict=True)
+            cols = [pa.array(part, pa.int32()), pa.array(kinds, pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array(loads, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, NAMES)
 
         for whole in batches:
             kind = whole.column(2).type
@@ -338,17 +352,28 @@ def _emit(said, parts: int, block: int):
     return f
 
 
+# What a partition of the n-grams gives:
+#   CONTEXT    u, m: its share of a frequent context's count classes, tokens and seen mass
+#   SUMS       for a chunk: documents (steps), sums for score and base_score, known tokens, tokens seen 1..TURING times;
+#              and document, context, times of unseen tokens in frequent contexts
+#   TABLE      its bigrams: words, contexts, counts, pairs of each word
+#   DOC_TABLE  a chunk's DOCS, as they came
+#   FAR        for a partition of the other contexts: seen pairs (context, times, count of the word), unseen tokens
+#              (context, chunk, document, times); its answer is BACK: documents of a chunk and their backoff weights
 SHARE = "kind int, u int, m array<double>, chunk long, load binary"
+SHARE_NAMES = ["kind", "u", "m", "chunk", "load"]
 CONTEXT, SUMS, TABLE, DOC_TABLE, FAR, BACK = 0, 1, 2, 3, 4, 5
 
 
 def _context_rows(u: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
     n = len(u)
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(u.astype(np.int32)), pa.array(list(m), pa.list_(pa.float64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["kind", "u", "m", "chunk", "load"])
+    cols = [pa.array(np.full(n, CONTEXT, np.int32)), pa.array(u.astype(np.int32)), pa.array(list(m), pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], SHARE_NAMES)
 
 
 def _load_row(kind: int, chunk: int, load: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.float64())), pa.array([chunk], pa.int64()), pa.array([load], pa.binary())], ["kind", "u", "m", "chunk", "load"])
+    cols = [pa.array([kind], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([chunk], pa.int64()), pa.array([load], pa.binary())], SHARE_NAMES)
 
 
 def _partition(said, far_parts: int):
@@ -394,7 +419,9 @@ def _evaluate(known: _Known, n: int, blocks: list, far_parts: int) -> Iterator[p
     each = np.diff(np.r_[vat, len(v)])
     c, rare = np.repeat(c, each), np.repeat(own >= n, each)  # base and known of frequent words are with the documents
     seen = r > 0
-    yield _load_row(TABLE, 0, pack(v[vat][here > 0], small(known.number(u[seen])), u[seen & (u > n + 1)], small(r[seen]), small(np.add.reduceat(seen.astype(np.int64), vat)[here > 0])))
+    each_word = np.add.reduceat(seen.astype(np.int64), vat)[here > 0]
+    table = pack(v[vat][here > 0], small(known.number(u[seen])), u[seen & (u > n + 1)], small(r[seen]), small(each_word))
+    yield _load_row(TABLE, 0, table)
     p1, base = known.uni.p(c), np.where(rare, known.uni.base(c), 0)
     after = np.where(rare, np.log10(c + 1), 0)  # log (T + 1) of the context that the word is for the next token
     far, full, u = u > n + 1, u, known.number(u)
@@ -417,7 +444,8 @@ def _evaluate(known: _Known, n: int, blocks: list, far_parts: int) -> Iterator[p
         by_r = [small(add(k == j)) for j in range(1, TURING + 1)]
         unseen, other = (k == 0) & ~far[mine], (k == 0) & far[mine]
         asked.append((full[mine][other], np.full(int(other.sum()), chunk), doc[other], times[other]))
-        yield _load_row(SUMS, chunk, pack(small(np.diff(ids, prepend=0)), *(add(x) for x in (log_r[mine] - after[mine] + np.where(k == 0, log_p[mine], 0), base[mine])), small(add(rare[mine] & (c[mine] > 0))), *by_r, doc[unseen], small(u[mine][unseen]), times[unseen]))
+        sums = add(log_r[mine] - after[mine] + np.where(k == 0, log_p[mine], 0)), add(base[mine]), small(add(rare[mine] & (c[mine] > 0)))
+        yield _load_row(SUMS, chunk, pack(small(np.diff(ids, prepend=0)), *sums, *by_r, doc[unseen], small(u[mine][unseen]), times[unseen]))
     yield from _far_rows((full[far & seen], r[far & seen], c[far & seen]), [np.concatenate(x) for x in zip(*asked, strict=True)], far_parts)
 
 
@@ -467,7 +495,8 @@ def _far(said):
                 for x, y in zip(cut, np.r_[cut[1:], len(chunk)], strict=True):
                     ids, at = np.unique(doc[x:y], return_inverse=True)
                     load = pack(ids, np.bincount(at, weights=gain[x:y]))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk[x]], pa.int64()), pa.array([BACK], pa.int32()), pa.array([load], pa.binary())], ["chunk", "kind", "load"])
+                    cols = [pa.array([chunk[x]], pa.int64()), pa.array([BACK], pa.int32()), pa.array([load], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["chunk", "kind", "load"])
 
     return f
 
@@ -496,7 +525,8 @@ def _finish(said):
                     base[ids] += b
                     known[ids] += k
                     np.add.at(score, doc, back[u] * times)
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                cols = [t.column(0), t.column(1), t.column(2), *map(pa.array, (known, np.full(n, total), base, score))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return f
 
@@ -558,4 +588,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = shares.where(F.col("kind").isin(SUMS, DOC_TABLE)).select("chunk", "kind", "load").union(far)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = some.schema["doc_id"].dataType.simpleString()
-    return rows.repartition(max(n, 2 * parts // 3), "chunk").sortWithinPartitions("chunk").transform(arrow_map, _finish(told), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    by_chunk = rows.repartition(max(n, 2 * parts // 3), "chunk").sortWithinPartitions("chunk")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by_chunk.transform(arrow_map, _finish(told), schema)
