@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from ..session import ship
 from .common import arrow_map
 
-CACHED_WORDS, WORD_CACHE, CACHED_ARCS, HEAD = 160_000, 48, 300_000, 4
+CACHED_WORDS, WORD_CACHE, CACHED_ARCS, HEAD = 160_000, 48, 300_000, 5
 SHORT = (2, 1)
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _KEPT: dict[str, "Tokenizer"] = {}
