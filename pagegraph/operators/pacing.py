@@ -1,6 +1,7 @@
 """Pacing, exit and retry machines as folds over the ordered events of one key.
 
-A fold needs its key's events in order, so it is parallel over keys. Streak counts are running sums.
+A fold needs its key's events in order, so it is parallel over keys, and goes through a long log in slices of time.
+Streak counts are running sums.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .ordinal import global_ordinal
 
 
@@ -35,6 +37,32 @@ def ordered_events(events: DataFrame, key: str, order: list[str], *cols: str) ->
     return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias("events"))
 
 
+def fold(events: DataFrame, key: str, order: list[str], cols: list[str], zero: Column, step, slices: int = 1) -> DataFrame:
+    """(key, s): the state of each key after its events in order.
+
+    A task holds the events of a key. For keys with more than that, ``slices`` cuts the log at quantiles of the first
+    order column: the states of one slice, a staged table, are where the next one goes on, so that a task holds a key's
+    events of one slice, however long the log is.
+    """
+    if slices == 1:
+        return ordered_events(events, key, order, *cols).select(key, F.aggregate("events", zero, step).alias("s"))
+    at = events.agg(F.percentile_approx(order[0], [k / slices for k in range(1, slices)])).first()[0]
+    bounds, state = sorted(set(at or [])), None
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = events if low is None else events.where(F.col(order[0]) > low)
+        part = part if high is None else part.where(F.col(order[0]) <= high)
+        e = ordered_events(part, key, order, *cols)
+        if state is None:
+            new = e.select(key, F.aggregate("events", zero, step).alias("s"))
+        else:
+            old = state.select(F.col(key).alias("__key"), "s", F.lit(True).alias("__old"))
+            both = e.join(old, F.col(key).eqNullSafe(F.col("__key")), "full")
+            after = F.when(F.col("events").isNull(), F.col("s")).otherwise(F.aggregate("events", F.coalesce("s", zero), step))
+            new = both.select(F.when(F.col("events").isNull(), F.col("__key")).otherwise(F.col(key)).alias(key), after.alias("s"))
+        state = stage(new, "fold")
+    return state
+
+
 def _pace_step(p: Pacing):
     base, low, high = max(0.0, p.base), p.base if p.base > 0 else 0.25, max(p.base, p.most_delay)
 
@@ -63,7 +91,7 @@ def _pace_step(p: Pacing):
     return step
 
 
-def pacing(events: DataFrame, key: str = "exit", p: Pacing = Pacing()) -> DataFrame:
+def pacing(events: DataFrame, key: str = "exit", p: Pacing = Pacing(), slices: int = 1) -> DataFrame:
     """events(key, ts, seq, event ok|block|switch, retry_after, started_at) -> the final pacing state of each key.
 
     A block whose request had started before the last block does not count again while its cooldown runs, nor once the
@@ -72,8 +100,7 @@ def pacing(events: DataFrame, key: str = "exit", p: Pacing = Pacing()) -> DataFr
     """
     d = lambda v: F.lit(v).cast("double")
     zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("streak"), d(max(0.0, p.base)).alias("delay"), d(0).alias("until"), d(-2e18).alias("switched"), d(-1e18).alias("last_block"), F.lit(0).alias("blocks"), d(0).alias("longest"))
-    e = ordered_events(events, key, ["ts", "seq"], "event", "retry_after", "started_at")
-    s = e.select(key, F.aggregate("events", zero, _pace_step(p)).alias("s"))
+    s = fold(events, key, ["ts", "seq"], ["event", "retry_after", "started_at"], zero, _pace_step(p), slices)
     return s.select(key, "s.k", "s.streak", "s.delay", "s.until", "s.blocks", "s.longest", (F.col("s.longest") > p.max_wait).alias("too_long"))
 
 
@@ -92,11 +119,11 @@ def slots(requests: DataFrame, delay: float, key: str = "exit") -> DataFrame:
 STRIKE_AFTER, QUARANTINE, DEAD_AFTER = 3, 600.0, 3
 
 
-def exit_quarantine(events: DataFrame, key: str = "exit") -> DataFrame:
+def exit_quarantine(events: DataFrame, key: str = "exit", slices: int = 1) -> DataFrame:
     """events(key, ts, seq, failed): three failures in a row make a strike, whose quarantine doubles each
     time; the third strike drops the exit; a success clears failures and strikes. ``penalty`` is the last
     quarantine. The direct exit, of key null, is never quarantined."""
-    e = ordered_events(events.withColumn("failed", F.col("failed") & F.col(key).isNotNull()), key, ["ts", "seq"], "failed")
+    counted = events.withColumn("failed", F.col("failed") & F.col(key).isNotNull())
     zero = F.struct(F.lit(0).alias("fails"), F.lit(0).alias("strikes"), F.lit(0.0).alias("penalty"), F.lit(False).alias("dead"))
 
     def step(s: Column, x: Column) -> Column:
@@ -111,7 +138,7 @@ def exit_quarantine(events: DataFrame, key: str = "exit") -> DataFrame:
         )
         return F.when(s["dead"], s).otherwise(new)
 
-    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
+    return fold(counted, key, ["ts", "seq"], ["failed"], zero, step, slices).select(key, "s.*")
 
 
 def longest_streak(events: DataFrame, key: str, order: list[str], failed: Column, limit: int) -> DataFrame:
@@ -125,14 +152,13 @@ def longest_streak(events: DataFrame, key: str, order: list[str], failed: Column
 MAX_TRIES, FAILED_STOP, PAUSE_STEP, PAUSE_CAP = 4, 2, 4.0, 20.0
 
 
-def retry_outcome(attempts: DataFrame, key: str = "url", most: int = MAX_TRIES) -> DataFrame:
+def retry_outcome(attempts: DataFrame, key: str = "url", most: int = MAX_TRIES, slices: int = 1) -> DataFrame:
     """attempts(key, ts, seq, outcome ok|blocked|transient|failed|timeout|permanent) -> how the page ended.
 
     Every attempt counts. A block, a transient error or the first failure is followed by another attempt, the
     latter two after a pause that grows with the attempt; the last attempt, and a failure from the second on,
     ends the page; a timeout puts it off to a later round. What comes after the end is not used.
     """
-    e = ordered_events(attempts, key, ["ts", "seq"], "outcome")
     zero = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("tries"), F.lit(0.0).alias("paused"))
 
     def step(s: Column, x: Column) -> Column:
@@ -142,21 +168,20 @@ def retry_outcome(attempts: DataFrame, key: str = "url", most: int = MAX_TRIES)
         pause = s["paused"] + F.when(o.isin("transient", "failed") & ~over, F.least(F.lit(PAUSE_CAP), PAUSE_STEP * n)).otherwise(0.0)
         return F.when(s["state"] != "pending", s).otherwise(F.struct(state.alias("state"), n.cast("int").alias("tries"), pause.cast("double").alias("paused")))
 
-    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
+    return fold(attempts, key, ["ts", "seq"], ["outcome"], zero, step, slices).select(key, "s.*")
 
 
 # Attempts in the first round and in the later ones, the attempt from which resources are forgiven.
 ROUNDS, LENIENT_FROM = (MAX_TRIES, 2, 2), 3
 
 
-def retry_rounds(attempts: DataFrame, key: str = "url", rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+def retry_rounds(attempts: DataFrame, key: str = "url", rounds: tuple[int, ...] = ROUNDS, slices: int = 1) -> DataFrame:
     """attempts(key, ts, seq, outcome, at_exit) -> how the page ended after all rounds.
 
     A round ends as ``retry_outcome`` says, but that a timeout at an exit, which counts against the exit, is followed by
     another attempt; what failed in a round, other than for good, comes again in the next. ``state`` is open (more
     attempts are due), done, permanent or failed; ``lenient`` says whether the last attempt forgave resources.
     """
-    e = ordered_events(attempts, key, ["ts", "seq"], "outcome", "at_exit")
     zero = F.struct(F.lit("open").alias("state"), F.lit(1).alias("round"), F.lit(0).alias("tries"), F.lit(0).alias("attempts"), F.lit(0.0).alias("paused"), F.lit(False).alias("lenient"))
     most = lambda s: F.element_at(F.array(*map(F.lit, rounds)), s["round"])
 
@@ -174,14 +199,13 @@ def retry_rounds(attempts: DataFrame, key: str = "url", rounds: tuple[int, ...]
         )
         return F.when(s["state"] != "open", s).otherwise(new)
 
-    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
+    return fold(attempts, key, ["ts", "seq"], ["outcome", "at_exit"], zero, step, slices).select(key, "s.*")
 
 
-def request_bans(requests: DataFrame, key: str, seconds: float, limit: int, ban: float, grace: float) -> DataFrame:
+def request_bans(requests: DataFrame, key: str, seconds: float, limit: int, ban: float, grace: float, slices: int = 1) -> DataFrame:
     """requests(key, t, seq, counted) -> (key, bans, pokes, late_pokes): more than ``limit`` counted requests within
     ``seconds`` ban the key for ``ban`` seconds and start its window anew; requests during a ban are pokes, late ones
     if it has lasted more than ``grace``."""
-    e = ordered_events(requests, key, ["t", "seq"], "counted")
     d = lambda v: F.lit(v).cast("double")
     zero = F.struct(d(-1e18).alias("until"), d(-1e18).alias("since"), F.array().cast("array<double>").alias("recent"), F.lit(0).alias("bans"), F.lit(0).alias("pokes"), F.lit(0).alias("late"))
 
@@ -198,7 +222,7 @@ def request_bans(requests: DataFrame, key: str, seconds: float, limit: int, ban:
             (s["late"] + F.when(banned & (t - s["since"] > grace), 1).otherwise(0)).cast("int").alias("late"),
         )
 
-    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.bans", "s.pokes", F.col("s.late").alias("late_pokes"))
+    return fold(requests, key, ["t", "seq"], ["counted"], zero, step, slices).select(key, "s.bans", "s.pokes", F.col("s.late").alias("late_pokes"))
 
 
 def attempts_since_success(attempts: DataFrame, key: str, order: list[str], ok: Column) -> DataFrame:
@@ -244,10 +268,9 @@ def request_window(requests: DataFrame, key: str, seconds: int, limit: int) -> D
     return requests.withColumn("in_window", F.count("*").over(w)).withColumn("over_limit", F.col("in_window") > limit)
 
 
-def node_retries(events: DataFrame, key: str = "node") -> DataFrame:
+def node_retries(events: DataFrame, key: str = "node", slices: int = 1) -> DataFrame:
     """events(key, ts, seq, kind ok|block|error|timeout): 8 blocks stop, 4 errors leave the node pending,
     2 timeouts give it up; a success ends it."""
-    e = ordered_events(events, key, ["ts", "seq"], "kind")
     zero = F.struct(F.lit("open").alias("state"), F.lit(0).alias("blocks"), F.lit(0).alias("errors"), F.lit(0).alias("timeouts"))
 
     def step(s: Column, x: Column) -> Column:
@@ -255,4 +278,4 @@ def node_retries(events: DataFrame, key: str = "node") -> DataFrame:
         state = F.when(x["kind"] == "ok", "done").when(n["block"] >= 8, "stop").when(n["error"] >= 4, "pending").when(n["timeout"] >= 2, "gave up").otherwise("open")
         return F.when(s["state"] != "open", s).otherwise(F.struct(state.alias("state"), *(v.cast("int").alias(k + "s") for k, v in n.items())))
 
-    return e.select(key, F.aggregate("events", zero, step).alias("s")).select(key, "s.*")
+    return fold(events, key, ["ts", "seq"], ["kind"], zero, step, slices).select(key, "s.*")

@@ -449,3 +449,82 @@ SELECT user_id, state, CAST(blocks AS INTEGER) AS blocks, CAST(errors AS INTEGER
 def node_retry_states(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), F.expr(_KIND).alias("kind"))
     return pacing.node_retries(e, "user_id")
+
+
+# --- classification over mixed inputs -------------------------------------------------------------------
+
+
+def holds(column: str, markers: tuple) -> str:
+    """In SQL: whether a text holds one of the markers."""
+    return "(" + " OR ".join(f"contains({column}, {literal(m)})" for m in markers) + ")"
+
+
+CODES = ("200", "204", "429", "503", "403", "522", "404", None)
+MARKS = (None, "challenge", "Challenge", "", "block")
+TITLES = ("Docs", "Just a moment...", "ACCESS DENIED | Cloudflare", None, "Attention Required! | Cloudflare", "Error 1015", "")
+BODIES = ("hello", "You are being rate limited", "Verifying you are human", "Sorry, you have been blocked - Cloudflare", "cloudflare Ray", None, "error code: 1015", "cf-error-details", "Access Denied by Cloudflare", "error code: 1009 cloudflare")
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, CAST({listed(CODES)}[event_id % 8 + 1] AS INTEGER) AS s, lower(coalesce({listed(MARKS)}[event_id // 8 % 5 + 1], '')) AS m,
+ lower(coalesce({listed(TITLES)}[event_id // 3 % 7 + 1], '')) AS t, lower(coalesce({listed(BODIES)}[event_id // 7 % 10 + 1], '')) AS b, event_id % 11 = 0 AS page FROM events),
+x AS (SELECT *, t || chr(10) || b AS x, coalesce(s BETWEEN 200 AND 299, false) AS ok FROM e)
+SELECT event_id, CASE WHEN s = 429 THEN 'rate-limit' WHEN m = 'challenge' THEN 'challenge' WHEN ok AND page THEN NULL WHEN ok AND NOT {holds("t", classify.CDN_TITLES)} THEN NULL
+ WHEN {holds("x", classify.RATE_MARKERS)} THEN 'rate-limit' WHEN {holds("x", classify.CHALLENGE_MARKERS)} THEN 'challenge' WHEN s >= 500 THEN 'server-error'
+ WHEN contains(x, 'cloudflare') AND {holds("x", classify.DENIED_MARKERS)} THEN 'access-denied' END AS kind FROM x"""
+)
+def response_rules(spark, d):
+    i = F.col("event_id")
+    at = lambda k: F.floor(i / k)
+    kind = classify.response_kind(picked(CODES, i).cast("int"), picked(MARKS, at(8)), picked(TITLES, at(3)), picked(BODIES, at(7)), i % 11 == 0)
+    return table(spark, d, "events").select("event_id", kind.alias("kind"))
+
+
+FAULTS = (
+    *(f"net::{m.upper()} at https://h.example/x503y" for m in classify.EXIT_ERRORS + classify.PASSING_ERRORS + ("err_http_response_code_failure",) if m.startswith("err_")),
+    *(f"HTTP {c} for page" for c in classify.BLOCKING_CODES), "status 1503", "503", "x503x", "id=5030", "no space left on disk", "Permission denied", "WinError 5", "Chromium crashed", "Timeout\nCall log: 429", "socket hang up", "Proxy Connection failed", "",
+)
+
+
+@query(
+    rf"""WITH e AS (SELECT event_id, {listed(FAULTS)}[event_id % {len(FAULTS)} + 1] AS e FROM events),
+h AS (SELECT event_id, lower(e) AS whole, lower(regexp_replace(split_part(e, chr(10) || 'Call log:', 1), 'https?://\S+', '<url>', 'g')) AS h FROM e)
+SELECT event_id, {holds("h", classify.BLOCKING_MARKERS)} OR regexp_matches(h, '(^|[^0-9])({"|".join(classify.BLOCKING_CODES)})([^0-9]|$)') AS blocking,
+ {holds("h", classify.EXIT_ERRORS)} AS at_exit, {holds("h", classify.EXIT_ERRORS + classify.PASSING_ERRORS)} AS passing,
+ CASE WHEN {holds("whole", classify.WAIT_WORDS)} THEN 'wait' WHEN {holds("whole", classify.BROWSER_WORDS)} THEN 'browser' WHEN {holds("whole", classify.DISK_WORDS)} THEN 'disk' WHEN {holds("whole", classify.DENIED_WORDS)} THEN 'permission' END AS advice FROM h"""
+)
+def error_rules(spark, d):
+    m = picked(FAULTS, F.col("event_id"))
+    return table(spark, d, "events").select("event_id", classify.is_blocking(m).alias("blocking"), classify.is_exit_error(m).alias("at_exit"), classify.is_passing(m).alias("passing"), classify.advice(m).alias("advice"))
+
+
+LOGIN_AT = ("https://h.example/login.action?os=1", "https://h.example/LoginPage", "https://h.example/doLogin", "https://h.example/a", "", None, "https://h.example/blog-in")
+LOGIN_NAMES = ("Log In - Wiki", "Sign in", "Entrar", "Docs", None, "Blogging", "")
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, lower(coalesce({listed(LOGIN_AT)}[event_id % 7 + 1], '')) AS u, event_id // 7 % 3 = 0 AS form, lower(coalesce({listed(LOGIN_NAMES)}[event_id // 5 % 7 + 1], '')) AS t FROM events)
+SELECT event_id, CASE WHEN {holds("u", classify.LOGIN_URLS)} THEN 2 WHEN form THEN 2 WHEN {holds("t", classify.LOGIN_TITLES)} THEN 1 ELSE 0 END AS score FROM e"""
+)
+def login_rules(spark, d):
+    i = F.col("event_id")
+    score = classify.login_score(picked(LOGIN_AT, i), F.pmod(F.floor(i / 7), F.lit(3)) == 0, picked(LOGIN_NAMES, F.floor(i / 5)))
+    return table(spark, d, "events").select("event_id", score.alias("score"))
+
+
+EXITS = ("host", "HOST:81", "http://h", "https://h:8443/", "socks://s", "socks5h://s:1", "socks4a://s", "socks5://u:p@s", "http://u:p@h:8080", "h:8080:u:p", "h:8080:u@x:p w", "direct", "NONE", "", "  ", "ftp://h", "http://h:0", "http://h:65536", "http://[::1]:80", "http://h/path", "h:port", None)
+_X = r"'^([^:/?#]+)://(?:([^:@/]*)(?::([^@/]*))?@)?(\[[^\]]+\]|[^:/?#@]+)(?::([0-9]+))?/?$'"
+
+
+@query(
+    rf"""WITH e AS (SELECT event_id, trim({listed(EXITS)}[event_id % {len(EXITS)} + 1]) AS r FROM events),
+f AS (SELECT event_id, r, CASE WHEN NOT contains(r, '://') AND regexp_matches(r, '^([^:@/\[]+):([0-9]+):([^:]+):(.+)$')
+  THEN 'http://' || url_encode(split_part(r, ':', 3)) || ':' || replace(url_encode(split_part(r, ':', 4)), '%20', '+') || '@' || split_part(r, ':', 1) || ':' || split_part(r, ':', 2) WHEN contains(r, '://') THEN r ELSE 'http://' || r END AS v FROM e),
+p AS (SELECT *, lower(regexp_extract(v, {_X}, 1)) AS s0, regexp_extract(v, {_X}, 2) AS u, regexp_extract(v, {_X}, 3) AS pw, lower(regexp_extract(v, {_X}, 4)) AS h, regexp_extract(v, {_X}, 5) AS port FROM f),
+s AS (SELECT *, CASE s0 WHEN 'socks5h' THEN 'socks5' WHEN 'socks' THEN 'socks5' WHEN 'socks4a' THEN 'socks4' ELSE s0 END AS s FROM p),
+n AS (SELECT *, coalesce(TRY_CAST(nullif(port, '') AS INTEGER), CASE s WHEN 'http' THEN 80 WHEN 'https' THEN 443 WHEN 'socks5' THEN 1080 WHEN 'socks4' THEN 1080 END) AS n FROM s)
+SELECT event_id, CASE WHEN r <> '' AND lower(r) NOT IN ('direct', 'direto', 'none', 'sem-proxy') AND regexp_matches(v, {_X}) AND s IN ('http', 'https', 'socks5', 'socks4') AND n BETWEEN 1 AND 65535 AND NOT (s LIKE 'socks%' AND u <> '')
+ THEN s || '://' || CASE WHEN u <> '' THEN u || CASE WHEN pw <> '' THEN ':' || pw ELSE '' END || '@' ELSE '' END || h || ':' || n END AS exit FROM n"""
+)
+def exit_rules(spark, d):
+    return table(spark, d, "events").select("event_id", urls.exit_url(picked(EXITS, F.col("event_id"))).alias("exit"))

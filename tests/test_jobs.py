@@ -279,3 +279,20 @@ def test_staged_tables_go_with_their_scope(spark):
         gone = stage(spark.range(4), "gone").inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
         assert os.path.isdir(gone)
     assert not os.path.exists(gone) and kept.count() == 3
+
+
+def test_folds_in_slices_give_the_same(spark, small):
+    e = spark.read.parquet(f"{small}/events.parquet")
+    k = F.when(F.col("user_id") % 5 == 0, None).otherwise(F.col("user_id") % 5).alias("k")
+    kind = F.element_at(F.array(*map(F.lit, ("ok", "block", "error", "timeout"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = e.select(k, F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    cases = [
+        lambda n: pacing.pacing(rows.select("k", "ts", "seq", F.when(F.col("kind") == "block", "block").otherwise("ok").alias("event"), F.lit(None).cast("double").alias("retry_after"), F.lit(None).cast("double").alias("started_at")), "k", slices=n),
+        lambda n: pacing.exit_quarantine(rows.select("k", "ts", "seq", (F.col("kind") != "ok").alias("failed")), "k", slices=n),
+        lambda n: pacing.retry_rounds(rows.select("k", "ts", "seq", F.replace("kind", F.lit("block"), F.lit("blocked")).alias("outcome"), F.lit(True).alias("at_exit")), "k", slices=n),
+        lambda n: pacing.request_bans(rows.select("k", F.col("ts").alias("t"), "seq", (F.col("kind") != "ok").alias("counted")), "k", 4e11, 2, 5e11, 1e11, slices=n),
+        lambda n: pacing.node_retries(rows, "k", slices=n),
+    ]
+    for fold in cases:
+        whole = sorted(map(str, fold(1).collect()))
+        assert len(whole) == 5 and all(sorted(map(str, fold(n).collect())) == whole for n in (2, 7))
