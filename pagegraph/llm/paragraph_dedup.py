@@ -470,8 +470,8 @@ def _left(text: Column, cuts: Column) -> Column:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """docs(rk, doc_id, text), dealt out by rk -> (rk, starts: word positions of windows that occur earlier), all
-    documents with a window that occurs elsewhere."""
+    """docs(rk, doc_id, text), dealt out by rk -> (rk, cuts: windows that occur earlier, every: all that occur
+    elsewhere), of documents with such windows."""
     ship(docs.sparkSession)
     marks = stage(docs.select("rk", "text").transform(arrow_map, _emit_marks, "mark long, rk long, again boolean"), "passage-marks", of=docs)
     twice = marks.groupBy(F.col("mark").alias("mark2")).agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.max("again").alias("again")).where("lo <> hi or again").select("mark2")
@@ -484,19 +484,33 @@ def passages(docs: DataFrame) -> DataFrame:
     one = one.select("window2", "check2", "first")
     later = (F.col("rk") != F.col("first.rk")) | (F.col("at") >= F.col("first.at") + PASSAGE)
     both = found.join(one, (F.col("window") == F.col("window2")) & (F.col("check") == F.col("check2")))
-    return both.groupBy("rk").agg(F.collect_set(F.when(later, F.struct(F.col("at").alias("n"), F.lit(PASSAGE).alias("size")))).alias("cuts"))
+    window = F.struct(F.col("at").alias("n"), F.lit(PASSAGE).alias("size"))
+    return both.groupBy("rk").agg(F.collect_set(F.when(later, window)).alias("cuts"), F.collect_set(window).alias("every"))
+
+
+def _covered(spans: Column) -> tuple[Column, Column]:
+    """(words covered by spans, runs of them that touch each other)."""
+    zero = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("runs"))
+
+    def step(x: Column, p: Column) -> Column:
+        end = p["n"] + p["size"]
+        more = (end - F.greatest(x["end"], p["n"])).cast("long")
+        return F.struct(F.greatest(x["end"], end).alias("end"), (x["words"] + F.greatest(F.lit(0), more)).alias("words"), (x["runs"] + (p["n"] > x["end"]).cast("long")).alias("runs"))
+
+    total = F.aggregate(F.array_sort(spans), zero, step)
+    return total["words"], total["runs"]
 
 
 def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """docs with __pg_gone (paragraphs cut), __pg_repeated and __pg_words (those with a copy), __pg_starts (windows
-    cut; null: no window occurs elsewhere) and the text left, __pg_new."""
+    cut), __pg_every (windows that occur elsewhere) and the text left, __pg_new."""
     key = row_key(F.col(doc_id), F.col(text))
     gone = repeated(docs.select(key.alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     gone = gone.select(F.col("rk").alias("__pg_rk2"), F.col("cuts").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated"), F.col("n_words").alias("__pg_words"))
     keyed = docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").drop("__pg_rk2")
     left = stage_bucketed(keyed.withColumn("__pg_new", _left(F.col(text), F.col("__pg_gone"))), "paragraph-left", "__pg_rk")
     starts = passages(left.select(F.col("__pg_rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col("__pg_new").alias("text")))
-    starts = starts.select(F.col("rk").alias("__pg_rk3"), F.col("cuts").alias("__pg_starts"))
+    starts = starts.select(F.col("rk").alias("__pg_rk3"), F.col("cuts").alias("__pg_starts"), F.col("every").alias("__pg_every"))
     out = left.join(starts.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk3"), "left")
     return out.withColumn("__pg_new", _left(F.col("__pg_new"), F.col("__pg_starts")))
 
@@ -517,17 +531,14 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """has_passage, n_repeated, n_cut (long) and the text left, for every row of docs.
+    """has_passage, n_repeated_words, n_repeated, n_cut (long) and the text left, for every row of docs.
 
-    has_passage: more than 50 words of the document occur elsewhere, as a verbatim passage or as paragraphs with a
-    copy or near copy, kept ones included. n_repeated counts its paragraphs with a copy or near copy elsewhere, kept
-    ones included, n_cut the paragraphs and passages (runs of overlapping windows) that are cut.
+    n_repeated_words: words of the document that occur elsewhere, in paragraphs with a copy or near copy or in verbatim
+    passages of more than 50 words, kept ones included; has_passage: there are more than 50 of them. n_repeated counts
+    the paragraphs with a copy or near copy, kept ones included, n_cut the paragraphs and passages that are cut.
     """
     cut = _cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     none = F.lit(0).cast("long")
-    has = F.col("__pg_starts").isNotNull() | (F.coalesce("__pg_words", none) >= PASSAGE)
-    # a window that starts beyond the end of the one before begins another run
-    zero = F.struct(F.lit(-1).alias("end"), none.alias("n"))
-    runs = F.aggregate(F.array_sort("__pg_starts"), zero, lambda x, p: F.struct((p["n"] + p["size"]).alias("end"), (x["n"] + (p["n"] > x["end"]).cast("long")).alias("n")))["n"]
-    n_cut = F.coalesce(F.size("__pg_gone").cast("long"), none) + F.coalesce(runs, none)
-    return cut.select("doc_id", has.alias("has_passage"), F.coalesce(F.col("__pg_repeated").cast("long"), none).alias("n_repeated"), n_cut.alias("n_cut"), F.col("__pg_new").alias("text"))
+    words = F.coalesce("__pg_words", none) + F.coalesce(_covered(F.col("__pg_every"))[0], none)
+    n_cut = F.coalesce(F.size("__pg_gone").cast("long"), none) + F.coalesce(_covered(F.col("__pg_starts"))[1], none)
+    return cut.select("doc_id", (words >= PASSAGE).alias("has_passage"), words.alias("n_repeated_words"), F.coalesce(F.col("__pg_repeated").cast("long"), none).alias("n_repeated"), n_cut.alias("n_cut"), F.col("__pg_new").alias("text"))

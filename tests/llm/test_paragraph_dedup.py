@@ -243,8 +243,8 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
     rows += [(100 + i, r.choice([" ".join(own(300)), wrap(own(300), 9)])) for i in range(40)]
     out = {x["doc_id"]: x for x in p.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     texts = dict(rows)
-    assert all(out[i]["has_passage"] for i in planted)
-    assert all(not out[i]["has_passage"] and out[i]["n_cut"] == 0 and out[i]["text"] == texts[i] for i in range(100, 140))
+    assert all(out[i]["has_passage"] and out[i]["n_repeated_words"] >= 51 for i in planted)
+    assert all(not out[i]["has_passage"] and out[i]["n_cut"] == out[i]["n_repeated_words"] == 0 and out[i]["text"] == texts[i] for i in range(100, 140))
     left = [i for i in planted if i % 2 and any(" ".join(planted[i][k : k + 51]) in " ".join(out[i]["text"].split()) for k in range(len(planted[i]) - 50))]
     assert not left and all(out[i]["text"] == texts[i] for i in planted if i % 2 == 0)
     # no two documents share a run of 51 words any more
