@@ -296,3 +296,33 @@ def test_folds_in_slices_give_the_same(spark, small):
     for fold in cases:
         whole = sorted(map(str, fold(1).collect()))
         assert len(whole) == 5 and all(sorted(map(str, fold(n).collect())) == whole for n in (2, 7))
+
+
+def test_exit_and_json_sinks(spark, tmp_path):
+    exits = spark.createDataFrame([("http://a:80",), ("socks5://b:1080",)], "exit string")
+    consolidate.write_exits(exits, str(tmp_path / "exits"), "# head")
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "exits")).collect()]
+    assert lines[0] == "# head" and sorted(lines[1:]) == ["http://a:80", "socks5://b:1080"]
+    listed = stored.exit_list(spark.createDataFrame(list(enumerate(lines, 1)), "n long, line string"))
+    assert sorted(r["exit"] for r in listed.collect()) == ["http://a:80", "socks5://b:1080"]
+    consolidate.write_json(spark.createDataFrame([(1, None, 'a "b"')], "idx long, error string, title string"), str(tmp_path / "j"))
+    assert json.loads(spark.read.text(str(tmp_path / "j")).first()[0]) == {"idx": 1, "error": None, "title": 'a "b"'}
+
+
+def test_map_made_again(spark):
+    case = lambda *x: spark.createDataFrame([x], "n int, p int, o int, lim boolean").select(jobstate.remap_outcome(*map(F.col, ("n", "p", "o", "lim")))).first()[0]
+    assert case(1, 0, 30, False) == "keep"  # the start page alone
+    assert case(1, 0, 1, False) == "replace" and case(1, 0, None, False) == "replace"
+    assert case(20, 3, 30, False) == "keep" and case(20, 3, 30, True) == "partial" and case(20, 3, None, False) == "partial"
+
+
+def test_pages_to_resume(spark):
+    from pagegraph import commands
+
+    doc = {"version": 2, "mapped_urls": ["a", "b", "c", "d"], "exported": {"a": {"filename": "f"}}, "exported_md": {"b": {"filename": "g"}}, "failures": {"b": {"error": "x", "attempts": 4}, "c": {"error": "x", "attempts": 5}}}
+    m = manifest.parse_manifests(spark.createDataFrame([("/j", json.dumps(doc))], "dir string, json string"))
+    got = {mode: sorted(r["url"] for r in commands.resume_plan(m, mode).collect()) for mode in ("auto", "retry", "all")}
+    assert got == {"auto": ["d"], "retry": ["b"], "all": ["a", "b", "c", "d"]}
+    assert sorted(r["url"] for r in commands.markdown_pages(m).collect()) == ["a", "c", "d"]
+    with pytest.raises(ValueError, match="mode"):
+        commands.resume_plan(m, "other")
