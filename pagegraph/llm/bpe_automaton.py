@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from hashlib import md5, sha256
+from operator import itemgetter
 from pathlib import Path
 
 import pyarrow as pa
@@ -203,7 +204,8 @@ class _Pieces(dict):
         entry = self.older.get(p)
         if entry is None:
             a = self.automaton
-            ids = a.encode("".join(map(self.symbols.__getitem__, p.encode("utf-8"))))
+            plain = p.isascii() and p.isprintable()  # such bytes are their own symbols
+            ids = a.encode(p if plain else "".join(map(self.symbols.__getitem__, p.encode("utf-8"))))
             entry = (" ".join(map(str, ids)), a.decode(ids))
         if len(p) <= WORD_CACHE:
             if len(self) >= CACHED_WORDS:
@@ -255,8 +257,7 @@ class Tokenizer:
     def digests(self, text: str | None, with_ids: bool = True) -> tuple:
         """Number of tokens, hashes of the ids and of the decoded text, and the ids (None if not asked for)."""
         found = self.entries(text or "")
-        said = " ".join([e[0] for e in found])
-        decoded = " ".join([e[1] for e in found])
+        said, decoded = " ".join(map(itemgetter(0), found)), " ".join(map(itemgetter(1), found))
         ids = list(map(int, said.split())) if with_ids else None
         return said.count(" ") + 1 if found else 0, sha256(said.encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), ids
 
