@@ -29,6 +29,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text, F.lit(7))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column: columns of the caller are never overwritten."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, n: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import few, table
-from . import bpe_automaton, decontaminate, html_density, katz, language_id, paragraph_dedup, quality_rules, simhash, token_counts, training_order
+from . import bpe_automaton, decontaminate, exact_dedup, html_density, katz, language_id, paragraph_dedup, quality_rules, simhash, token_counts, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +57,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few(simhash.near_duplicates(docs), docs)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return few(exact_dedup.groups(docs), docs)
+
+
 OP6_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -89,5 +94,10 @@ d AS (SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS tex
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash)}
-ORACLE_SQL = {"op3_html_extraction": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL}
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash, op13_exact_dedup)}
+ORACLE_SQL = {"op3_html_extraction": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL, "op13_exact_dedup": OP13_SQL}
