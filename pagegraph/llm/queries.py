@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import few, table
-from . import bpe_automaton, decontaminate, exact_dedup, html_density, katz, language_id, paragraph_dedup, quality_rules, simhash, token_counts, training_order
+from . import bpe_automaton, decontaminate, exact_dedup, html_density, katz, language_id, merkle, paragraph_dedup, quality_rules, simhash, token_counts, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +58,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few(simhash.near_duplicates(docs), docs)
 
 
+def without_line_ends() -> Column:
+    """The leaf of a row whose text lost its line ends, for every other row; null for the rest."""
+    text = F.replace("text", F.lit("\n"), F.lit(""))
+    other = merkle.leaf([text if c == "text" else F.col(c) for c in merkle.FIELDS])
+    return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, other)
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.attest(docs, without_line_ends())
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return few(exact_dedup.groups(docs), docs)
@@ -99,5 +112,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash, op11_merkle_manifest, op13_exact_dedup)}
 ORACLE_SQL = {"op3_html_extraction": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL, "op13_exact_dedup": OP13_SQL}
