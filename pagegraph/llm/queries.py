@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import few, table
-from . import bpe_automaton, decontaminate, exact_dedup, html_density, katz, language_id, merkle, paragraph_dedup, quality_rules, simhash, token_counts, training_order
+from . import bpe_automaton, centroids, decontaminate, exact_dedup, html_density, katz, language_id, merkle, merkle_sql, paragraph_dedup, quality_rules, simhash, token_counts, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.attest(docs, without_line_ends())
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return few(centroids.clusters(vectors), vectors)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return few(exact_dedup.groups(docs), docs)
@@ -107,10 +112,36 @@ d AS (SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS tex
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
 """
 
+#: Rounds are one CTE each: distances to all centroids as sums over lists, the least of them with its number, means.
+OP12_SQL = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS c
+  FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT 16)
+), {rounds}
+SELECT vec_id, CAST(n3.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY n3.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM n3 JOIN c3 ON n3.cluster = c3.cluster
+"""
+_NEAREST = """n{0} AS (
+  SELECT vec_id, v, best.d AS distance, best.k AS cluster FROM (
+    SELECT vec_id, v, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), 'k': cluster}}) AS best
+    FROM kept, c{0} GROUP BY vec_id, v)
+)"""
+_MOVED = """c{1} AS (
+  SELECT c{0}.cluster, coalesce(m, c{0}.c) AS c FROM c{0} LEFT JOIN (
+    SELECT cluster, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS m
+    FROM (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM n{0}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i) GROUP BY cluster
+  ) AS means ON means.cluster = c{0}.cluster
+)"""
+OP12_SQL = OP12_SQL.format(rounds=", ".join([x for r in range(3) for x in (_NEAREST.format(r), _MOVED.format(r, r + 1))] + [_NEAREST.format(3)]))
+
 OP13_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash, op11_merkle_manifest, op13_exact_dedup)}
-ORACLE_SQL = {"op3_html_extraction": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL, "op13_exact_dedup": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_benchmark_decontamination, op7_token_counts, op8_training_order, op9_bpe_encoding, op10_simhash, op11_merkle_manifest, op12_centroid_clusters, op13_exact_dedup)}
+ORACLE_SQL = {"op3_html_extraction": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_merkle_manifest": merkle_sql.sql(), "op12_centroid_clusters": OP12_SQL, "op13_exact_dedup": OP13_SQL}
