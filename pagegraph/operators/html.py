@@ -321,10 +321,11 @@ def _own_item(n: Node | None) -> Node | None:
 
 
 def child_hrefs(html: str | None, url: str | None) -> list[str]:
-    """Links nested under the page's own item in a page tree, else those of its list of children.
+    """Links in the page's own item of a page tree, else those of its list of children.
 
-    The item is found by the page id in the page's meta element, else by a link to the page in either display
-    form. Each href comes once, in page order; links to the page itself don't count.
+    The item is the one around the node with the page id of the page's meta element, in the first tree that has such a
+    node; if there is none, or if it lies in no item, the one around a tree's first link to the page, in either display
+    form, in the first tree where that lies in an item. Each href comes once, in page order; links to the page itself don't count.
     """
     root, url = parse(html), url or ""
     plain = lambda h: urldefrag(urljoin(url, h))[0]
@@ -337,10 +338,12 @@ def child_hrefs(html: str | None, url: str | None) -> list[str]:
     links_of = lambda n: [a.attrs["href"] for a in n.walk() if a.tag == "a" and a.attrs.get("href")]
     trees = [t for t in (_first(root, place) for place in TREE_ROOTS) if t is not None]
     pid = next((n.attrs.get("content") for n in root.walk() if n.tag == "meta" and n.attrs.get("name") == "ajs-page-id"), None)
-    own = [n for t in trees for n in t.walk() if pid and n.attrs.get("data-page-id") == pid] or [n for t in trees for n in t.walk() if n.tag == "a" and n.attrs.get("href") and plain(n.attrs["href"]) in mine]
-    item = _own_item(own[0]) if own else None
+    inside = lambda t, fits: next((n for n in t.walk() if n is not t and fits(n)), None)
+    by_id = next(filter(None, (inside(t, lambda n: n.attrs.get("data-page-id") == pid) for t in trees)), None) if pid else None
+    by_link = (inside(t, lambda n: n.tag == "a" and n.attrs.get("href") and plain(n.attrs["href"]) in mine) for t in trees)
+    item = _own_item(by_id) or next(filter(None, map(_own_item, by_link)), None)
     if item is not None:
-        inner = [h for n in item.walk() if n is not item and n.tag in ("li", "ul") for h in links_of(n) if plain(h) not in mine]
+        inner = [h for h in links_of(item) if plain(h) not in mine]
         if inner:
             return list(dict.fromkeys(inner))
     at = lambda places: [n for n in root.walk() if any(_is(n, p) for p in places)]

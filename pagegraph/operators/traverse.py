@@ -10,31 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import Growing
 from .ordinal import global_ordinal
 
 
-def bfs(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, root: str, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """edges(parent, ord, child [, is_leaf]) -> (node, depth, path): every reachable node once.
 
-    Children of a node known as a leaf are not looked up, so a leaf costs no join work.
+    Children of a node known as a leaf are not looked up, so a leaf costs no join work. Levels beyond the one in which
+    ``max_nodes`` nodes are met are not looked up either.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col("parent").alias("__p"), F.col("ord").cast("long").alias("__o"), F.col("child").alias("node"), *(["is_leaf"] if "is_leaf" in edges.columns else [F.lit(None).cast("boolean").alias("is_leaf")]))
     kind = dict(edges.dtypes)["child"]
-    frontier = spark.createDataFrame([(root,)], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"), F.lit(None).cast("boolean").alias("is_leaf"))
-    frontier = stage(frontier, "bfs")
-    visited, depth = frontier, 0
-    while max_depth is None or depth < max_depth:
+    leaf = F.col("is_leaf") if "is_leaf" in edges.columns else F.lit(None)
+    e = edges.select(F.col("parent").alias("__p"), F.col("ord").cast("long").alias("__o"), F.col("child").alias("node"), leaf.cast("boolean").alias("is_leaf"))
+    visited = Growing(spark, "bfs", f"node {kind}, depth int, path array<bigint>, is_leaf boolean")
+    first = spark.createDataFrame([(root,)], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"), F.lit(None).cast("boolean").alias("is_leaf"))
+    frontier = visited.add(first)
+    depth, n = 0, 1
+    while (max_depth is None or depth < max_depth) and (max_nodes is None or n < max_nodes):
         depth += 1
         open_ = frontier.where("is_leaf is distinct from true").select(F.col("node").alias("__n"), "path")
         found = open_.join(e, F.col("__n") == F.col("__p")).groupBy("node").agg(F.min(F.concat("path", F.array("__o"))).alias("path"), F.bool_or("is_leaf").alias("is_leaf"))
-        new = found.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path", "is_leaf")
-        frontier = stage(new, "bfs")
-        if not frontier.limit(1).count():
+        new = found.join(visited.all().select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path", "is_leaf")
+        frontier = visited.add(new)
+        n_new = frontier.count()
+        if not n_new:
             break
-        visited = visited.union(frontier)
-    return visited.select("node", "depth", "path")
+        n += n_new
+    return visited.all().select("node", "depth", "path")
 
 
 def ordered(nodes: DataFrame) -> DataFrame:

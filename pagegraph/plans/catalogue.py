@@ -411,7 +411,7 @@ def tree_bfs_order(spark, d):
 
 @query(f"WITH RECURSIVE {_TREE_EDGES} SELECT node, idx, idx = 100 AS pending FROM (SELECT node, row_number() OVER (ORDER BY depth, path) AS idx FROM tree) WHERE idx <= 100")
 def tree_bfs_limit(spark, d):
-    return traverse.bounded(traverse.ordered(traverse.bfs(tree_edges(spark, d), "root")), 100).select("node", "idx", "pending")
+    return traverse.bounded(traverse.ordered(traverse.bfs(tree_edges(spark, d), "root", max_nodes=100)), 100).select("node", "idx", "pending")
 
 
 @query(f"WITH RECURSIVE {_TREE_EDGES} SELECT depth, count(*) AS n FROM tree GROUP BY depth")

@@ -158,34 +158,36 @@ def asset_verdicts(spark, d):
 
 
 def _listing(spark, d) -> DataFrame:
-    """Raw REST pages: the customers of a nation, 50 to a page, as the server's JSON."""
+    """Raw REST pages: the customers of a nation, one to three to a page, as the server's JSON."""
     c = table(spark, d, "customer").withColumn("nth", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1)
     k = F.col("c_custkey")
     size = F.when(k % 3 == 0, k % 2)
     kids = F.when(k % 3 == 1, F.when(k % 2 == 0, F.array().cast("array<struct<id:string>>")).otherwise(F.array(F.struct(k.cast("string").alias("id")))))
     link = F.when(k % 10 != 9, F.concat(F.lit("/display/public/S/P"), k))
+    per = 1 + F.col("c_nationkey") % 3
     row = F.struct(k.cast("string").alias("id"), F.struct(link.alias("webui")).alias("_links"), F.struct(F.struct(size.cast("int").alias("size"), kids.alias("results")).alias("page")).alias("children"))
-    pages = c.groupBy(F.col("c_nationkey").alias("parent_id"), (F.floor(F.col("nth") / 50) * 50).alias("start")).agg(F.array_sort(F.collect_list(F.struct("nth", row.alias("r")))).alias("rows"))
+    pages = c.groupBy(F.col("c_nationkey").alias("parent_id"), (F.floor(F.col("nth") / per) * per).alias("start")).agg(F.array_sort(F.collect_list(F.struct("nth", row.alias("r")))).alias("rows"))
     pages = pages.withColumn("last", F.max("start").over(Window.partitionBy("parent_id")) == F.col("start"))
-    body = F.struct(F.size("rows").alias("size"), F.lit(50).alias("limit"), F.struct(F.when(~F.col("last"), "/next").alias("next")).alias("_links"), F.transform("rows", lambda x: x["r"]).alias("results"))
+    body = F.struct(F.size("rows").alias("size"), (1 + F.col("parent_id") % 3).alias("limit"), F.struct(F.when(~F.col("last"), "/next").alias("next")).alias("_links"), F.transform("rows", lambda x: x["r"]).alias("results"))
     return pages.select("parent_id", "start", F.to_json(body).alias("json"))
 
 
 @query(
     """WITH c AS (SELECT c_nationkey AS parent_id, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord FROM customer)
-SELECT parent_id, ord, 'https://h.example/display/S/P' || k AS url, CAST(k AS VARCHAR) AS page_id, CASE k % 3 WHEN 0 THEN k % 2 = 0 WHEN 1 THEN k % 2 = 0 END AS is_leaf FROM c WHERE k % 10 <> 9 AND ord < 4000"""
+SELECT parent_id, ord, 'https://h.example/display/S/P' || k AS url, CAST(k AS VARCHAR) AS page_id, CASE k % 3 WHEN 0 THEN k % 2 = 0 WHEN 1 THEN k % 2 = 0 END AS is_leaf FROM c WHERE k % 10 <> 9 AND ord < 20 * (1 + parent_id % 3)"""
 )
 def listed_children(spark, d):
     return stored.child_refs(stored.api_pages(_listing(spark, d)), "https://h.example", False)
 
 
 @query(
-    """WITH c AS (SELECT c_nationkey AS parent_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 * 50 AS start FROM customer),
-p AS (SELECT parent_id, start, count(*) AS n FROM c GROUP BY 1, 2)
-SELECT parent_id, CAST(start AS BIGINT) AS start, start < max(start) OVER (PARTITION BY parent_id) OR n >= 50 AS more, CAST(start + n AS BIGINT) AS next FROM p WHERE start < 4000"""
+    """WITH c AS (SELECT c_nationkey AS parent_id, 1 + c_nationkey % 3 AS per, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS nth FROM customer),
+p AS (SELECT parent_id, per, nth // per * per AS start, count(*) AS n FROM c GROUP BY 1, 2, 3),
+m AS (SELECT *, start < max(start) OVER (PARTITION BY parent_id) OR n >= per AS more FROM p)
+SELECT parent_id, CAST(start AS BIGINT) AS start, more, CAST(start + n AS BIGINT) AS next, max(more AND start = 19 * per) OVER (PARTITION BY parent_id) AS truncated FROM m WHERE start < 20 * per"""
 )
 def listing_pages(spark, d):
-    return stored.api_pages(_listing(spark, d)).select("parent_id", F.col("start").cast("long").alias("start"), "more", stored.next_start(F.col("start"), F.col("results")).cast("long").alias("next"))
+    return stored.api_pages(_listing(spark, d)).select("parent_id", F.col("start").cast("long").alias("start"), "more", stored.next_start(F.col("start"), F.col("results")).cast("long").alias("next"), "truncated")
 
 
 @query(

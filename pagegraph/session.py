@@ -114,6 +114,22 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return at
 
 
+class Growing:
+    """A staged table that grows by a set of files at a time; it is read whole, in one scan whatever their number."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.at, self.schema, self.paths = spark, stage_path(spark, name), schema, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write these rows too and give them back as stored."""
+        self.paths.append(f"{self.at}/{len(self.paths)}")
+        df.write.options(**STAGED_AS).parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
+
+
 def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write ``df``, dealt out by ``key`` already (by a join or an aggregation), to the shared folder in as many
     buckets as the session's shuffles have and read it back: joins by the key that follow need no shuffle of this

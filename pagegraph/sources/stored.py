@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -15,11 +15,18 @@ MIN_PDF = 3 * 1024
 
 
 def api_pages(raw: DataFrame) -> DataFrame:
-    """raw(parent_id, start, json) -> the decoded pages with ``more``: whether another one follows."""
+    """raw(parent_id, start, json), the pages of listings -> the decoded ones that count, with ``more``, whether another
+    one follows, and ``truncated``, whether the parent has children beyond the last one that counts.
+
+    The first ``MAX_API_PAGES`` of a parent count, whatever their size.
+    """
     p = raw.select("parent_id", "start", F.from_json("json", API_PAGE).alias("p")).select("parent_id", "start", "p.*")
     n = F.coalesce(F.size("results"), F.lit(0))
-    size = F.coalesce("size", n)
-    return p.withColumn("more", more_pages(F.col("_links.next").isNotNull(), size, F.col("limit"))).where(F.col("start") < PAGE_SIZE * MAX_API_PAGES)
+    p = p.withColumn("more", more_pages(F.col("_links.next").isNotNull(), F.coalesce("size", n), F.col("limit")))
+    listing = Window.partitionBy("parent_id")
+    p = p.withColumn("nth", F.row_number().over(listing.orderBy("start"))).where(F.col("nth") <= MAX_API_PAGES)
+    last = (F.col("nth") == MAX_API_PAGES) & F.col("more") & (n > 0)
+    return p.withColumn("truncated", F.max(last).over(listing)).drop("nth")
 
 
 def more_pages(has_next: Column, size: Column, limit: Column) -> Column:

@@ -326,3 +326,42 @@ def test_pages_to_resume(spark):
     assert sorted(r["url"] for r in commands.markdown_pages(m).collect()) == ["a", "c", "d"]
     with pytest.raises(ValueError, match="mode"):
         commands.resume_plan(m, "other")
+
+
+def test_a_listing_is_read_to_its_twentieth_page(spark):
+    import json
+
+    from pagegraph.sources import stored
+
+    def page(start, n, more=True, total=None):
+        body = {"results": [{"id": str(start + i), "_links": {"webui": f"/x/{start + i}"}} for i in range(n)], "limit": n or 5}
+        return start, json.dumps(body | ({"_links": {"next": "/n"}} if more else {}))
+
+    stored_of = {
+        "long": [page(50 * i, 50) for i in range(30)],
+        "exact": [page(3 * i, 3) for i in range(19)] + [(57, json.dumps({"results": [{"id": "57"}], "limit": 3}))],
+        "short": [page(0, 5), page(5, 0)],
+        "not json": [(0, "{")],
+    }
+    raw = spark.createDataFrame([(k, s, j) for k, pages in stored_of.items() for s, j in pages], "parent_id string, start long, json string")
+    got = {}
+    for r in stored.api_pages(raw).orderBy("start").collect():
+        got.setdefault(r["parent_id"], []).append((r["start"], r["truncated"]))
+    assert got == {
+        "long": [(50 * i, True) for i in range(20)],
+        "exact": [(3 * i, False) for i in range(20)],
+        "short": [(0, False), (5, False)],
+        "not json": [(0, False)],
+    }
+
+
+def test_own_item_of_a_tree():
+    url, meta = "https://h.example/display/S/me", '<meta name="ajs-page-id" content="7">'
+    by_link = '<div id="sidebar"><ul><li><a href="/display/S/me">me</a> <a href="/beside">b</a><ul><li><a href="/kid">k</a></li></ul></li></ul></div>'
+    outside = '<div class="plugin_pagetree"><span data-page-id="7"></span><ul><li data-page-id="7"><a href="/wrong">w</a></li></ul></div>'
+    assert html.child_hrefs(meta + outside + by_link, url) == ["/beside", "/kid"]  # the first node with the id lies in no item
+    bare = '<div class="plugin_pagetree"><a href="/display/S/me">me</a></div>'
+    assert html.child_hrefs(bare + by_link, url) == ["/beside", "/kid"]
+    other = '<div class="plugin_pagetree"><ul><li data-page-id="8"><a href="/x">x</a></li></ul></div><div id="page-tree"><ul><li data-page-id="7"><a href="/y">y</a></li></ul></div>'
+    assert html.child_hrefs(meta + other, url) == ["/y"]
+    assert html.child_hrefs(meta + bare, url) == []
