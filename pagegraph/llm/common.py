@@ -37,6 +37,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has, for the names of columns put beside the caller's."""
+    p = "pg_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def fold(doc_id: Column, n: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import LOWER, UPPER, row_key
+from .common import LOWER, own_prefix, row_key, UPPER
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what lies between words, after lower-casing
 WINDOW, RAREST, BROADCAST_ROWS, BROADCAST_BYTES = 10, 2, 500_000, 64 << 20
@@ -90,7 +90,8 @@ def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest:
     body = sized(stage(terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("iw")), "decon-items", terms.count()))
     met = met.select("rk", "item", "diag").join(body, "item").groupBy(F.col("rk").alias("rk2")).agg(F.collect_list(F.struct("item", "diag", "iw")).alias("met"))
     met = stage(met, "decon-met")
-    both = docs.withColumn("__pg_n", F.size(words(F.col("text"))).cast("long")).join(met, F.col("rk") == F.col("rk2"), "left" if all_rows else "inner")
+    own_n = f"{own_prefix(docs)}n"
+    both = docs.withColumn(own_n, F.size(words(F.col("text"))).cast("long")).join(met, F.col("rk") == F.col("rk2"), "left" if all_rows else "inner")
 
     def starts(c: Column, text: Column) -> Column:
         size = F.least(F.lit(window), F.size(c["iw"]))
@@ -107,7 +108,7 @@ def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest:
     # words again, of rows with candidates only, so that no join carries them; an array of one binds them to a name
     laid = F.transform(F.array(words(F.col("text"))), lambda w: F.flatten(F.transform("met", lambda c: starts(c, w))))
     hits = F.when(F.col("met").isNotNull(), F.get(laid, F.lit(0)))
-    return both.select(*docs.columns, F.col("__pg_n").alias("n_words"), hits.alias("hits"))
+    return both.select(*docs.columns, F.col(own_n).alias("n_words"), hits.alias("hits"))
 
 
 def covered(hits: Column) -> Column:
@@ -142,8 +143,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """The rows of docs in which no window of an item occurs, with the columns of docs."""
     key = row_key(F.col(doc_id), F.col(text))
     hit = phrase_rows(docs.select(key.alias("rk"), F.col(text).alias("text")), items.select("item_id", "text"), all_rows=False).where("size(hits) > 0")
-    hit = stage(hit.select(F.col("rk").alias("__pg_hit")).distinct(), "decon-hit")
-    return docs.withColumn("__pg_rk", key).join(hit, F.col("__pg_rk") == F.col("__pg_hit"), "left_anti").select(*docs.columns)
+    own = own_prefix(docs)
+    hit = stage(hit.select(F.col("rk").alias(f"{own}hit")).distinct(), "decon-hit")
+    return docs.withColumn(f"{own}rk", key).join(hit, F.col(f"{own}rk") == F.col(f"{own}hit"), "left_anti").select(*docs.columns)
 
 
 def proximity(docs: DataFrame, queries: DataFrame, span: int = 20) -> DataFrame:

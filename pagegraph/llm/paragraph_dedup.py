@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, stage, stage_bucketed
-from .common import arrow_map, bounded_groups, grouped, release, row_key, spread, union_min
+from .common import arrow_map, bounded_groups, grouped, own_prefix, release, row_key, spread, union_min
 from .components import connected_components
 
 MIN_WORDS, LONG, SHINGLE, SIMILAR = 20, 100, 5, 0.8
@@ -501,30 +501,32 @@ def _covered(spans: Column) -> tuple[Column, Column]:
     return total["words"], total["runs"]
 
 
-def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with __pg_gone (paragraphs cut), __pg_repeated and __pg_words (those with a copy), __pg_starts (windows
-    cut), __pg_every (windows that occur elsewhere) and the text left, __pg_new."""
+def _cut(docs: DataFrame, doc_id: str, text: str, own: str) -> DataFrame:
+    """docs with columns whose names begin with ``own``: gone (paragraphs cut), repeated and words (those with a copy),
+    starts (windows cut), every (windows that occur elsewhere) and new, the text left."""
     key = row_key(F.col(doc_id), F.col(text))
     gone = repeated(docs.select(key.alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    gone = gone.select(F.col("rk").alias("__pg_rk2"), F.col("cuts").alias("__pg_gone"), F.col("n_repeated").alias("__pg_repeated"), F.col("n_words").alias("__pg_words"))
-    keyed = docs.withColumn("__pg_rk", key).join(gone.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk2"), "left").drop("__pg_rk2")
-    left = stage_bucketed(keyed.withColumn("__pg_new", _left(F.col(text), F.col("__pg_gone"))), "paragraph-left", "__pg_rk")
-    starts = passages(left.select(F.col("__pg_rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col("__pg_new").alias("text")))
-    starts = starts.select(F.col("rk").alias("__pg_rk3"), F.col("cuts").alias("__pg_starts"), F.col("every").alias("__pg_every"))
-    out = left.join(starts.hint("merge"), F.col("__pg_rk") == F.col("__pg_rk3"), "left")
-    return out.withColumn("__pg_new", _left(F.col("__pg_new"), F.col("__pg_starts")))
+    gone = gone.select(F.col("rk").alias(f"{own}rk2"), F.col("cuts").alias(f"{own}gone"), F.col("n_repeated").alias(f"{own}repeated"), F.col("n_words").alias(f"{own}words"))
+    keyed = docs.withColumn(f"{own}rk", key).join(gone.hint("merge"), F.col(f"{own}rk") == F.col(f"{own}rk2"), "left").drop(f"{own}rk2")
+    left = stage_bucketed(keyed.withColumn(f"{own}new", _left(F.col(text), F.col(f"{own}gone"))), "paragraph-left", f"{own}rk")
+    starts = passages(left.select(F.col(f"{own}rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col(f"{own}new").alias("text")))
+    starts = starts.select(F.col("rk").alias(f"{own}rk3"), F.col("cuts").alias(f"{own}starts"), F.col("every").alias(f"{own}every"))
+    out = left.join(starts.hint("merge"), F.col(f"{own}rk") == F.col(f"{own}rk3"), "left")
+    return out.withColumn(f"{own}new", _left(F.col(f"{own}new"), F.col(f"{own}starts")))
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated paragraphs and passages cut out of ``text``; other columns stay, n_chars follows a
     changed text."""
-    out = _cut(docs, doc_id, text)
+    own = own_prefix(docs)
+    out = _cut(docs, doc_id, text, own)
+    changed = (F.size(f"{own}gone") > 0) | (F.size(f"{own}starts") > 0)
 
     def col(c: str):
         if c == text:
-            return F.col("__pg_new").alias(c)
+            return F.col(f"{own}new").alias(c)
         if c == "n_chars":
-            return F.when((F.size("__pg_gone") > 0) | (F.size("__pg_starts") > 0), F.length("__pg_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+            return F.when(changed, F.length(f"{own}new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
     return out.select(*map(col, docs.columns))
@@ -537,8 +539,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     passages of more than 50 words, kept ones included; has_passage: there are more than 50 of them. n_repeated counts
     the paragraphs with a copy or near copy, kept ones included, n_cut the paragraphs and passages that are cut.
     """
-    cut = _cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    cut = _cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "pg_")
     none = F.lit(0).cast("long")
-    words = F.coalesce("__pg_words", none) + F.coalesce(_covered(F.col("__pg_every"))[0], none)
-    n_cut = F.coalesce(F.size("__pg_gone").cast("long"), none) + F.coalesce(_covered(F.col("__pg_starts"))[1], none)
-    return cut.select("doc_id", (words >= PASSAGE).alias("has_passage"), words.alias("n_repeated_words"), F.coalesce(F.col("__pg_repeated").cast("long"), none).alias("n_repeated"), n_cut.alias("n_cut"), F.col("__pg_new").alias("text"))
+    words = F.coalesce("pg_words", none) + F.coalesce(_covered(F.col("pg_every"))[0], none)
+    n_cut = F.coalesce(F.size("pg_gone").cast("long"), none) + F.coalesce(_covered(F.col("pg_starts"))[1], none)
+    n_repeated = F.coalesce(F.col("pg_repeated").cast("long"), none)
+    return cut.select("doc_id", (words >= PASSAGE).alias("has_passage"), words.alias("n_repeated_words"), n_repeated.alias("n_repeated"), n_cut.alias("n_cut"), F.col("pg_new").alias("text"))

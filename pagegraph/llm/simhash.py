@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, stage
-from .common import arrow_map, bounded_groups, grouped, row_key, spread, union_min, words_of
+from .common import arrow_map, bounded_groups, grouped, own_prefix, row_key, spread, union_min, words_of
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS, BLOCK, STRIP = 3, 42, 3, 4096, 256
@@ -314,7 +314,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     prints = stage(prints.select("doc_id", "rk", "fp"), "simhash-prints", of=docs)
     of = classes(prints.select("doc_id", "fp")).select(F.col("fp").alias("fp2"), "component_id", "class_fp")
     win = prints.join(of, F.col("fp") == F.col("fp2")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    win = win.groupBy("doc_id", "class_fp").agg(F.min("rk").alias("__pg_rk2")).select("__pg_rk2")
+    own = own_prefix(docs)
+    rk, kept = f"{own}rk", f"{own}kept"
+    win = win.groupBy("doc_id", "class_fp").agg(F.min("rk").alias(kept)).select(kept)
     # the join's partitioning by row key serves the last step too: texts are dealt out once
-    one = docs.withColumn("__pg_rk", key).join(win, F.col("__pg_rk") == F.col("__pg_rk2"))
-    return one.dropDuplicates(["__pg_rk", doc_id]).select(*docs.columns)
+    one = docs.withColumn(rk, key).join(win, F.col(rk) == F.col(kept))
+    return one.dropDuplicates([rk, doc_id]).select(*docs.columns)

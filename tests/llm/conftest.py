@@ -40,6 +40,7 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     names = "fp rk fingerprint component_id kept score hits words n_tokens ids gone line node a b k t part load met item held c h slot task".split()
+    names += "pg_rk __pg_rk pg_kept pg_hit __pg_hit pg_n __pg_new pg__rk pg_gone pg_new __pg_gone pg_words pg_id".split()
     return docs.withColumns({n: F.lit("x") for n in names})
 
 
@@ -48,6 +49,16 @@ def empty(docs):
     return docs.where("false")
 
 
+def untouched(df, original):
+    """Whether the columns named like operators' own still hold what the caller put there."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    own = [c for c in original.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    return df.columns == original.columns and not df.where(reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe("x") for c in own))).count()
+
+
 def data(df):
     return [tuple(r) for r in df.collect()]
 

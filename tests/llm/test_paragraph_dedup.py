@@ -8,7 +8,7 @@ import xxhash
 
 from pagegraph.llm import paragraph_dedup as p
 
-from .conftest import data, same, sentence
+from .conftest import data, same, sentence, untouched
 
 
 def shingles(line):
@@ -176,7 +176,7 @@ def test_jaccard_links(n):
 def test_columns_and_lengths(docs, clashing, empty):
     out = p.cut_repeats(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
-    assert p.cut_repeats(clashing).columns == clashing.columns
+    assert untouched(p.cut_repeats(clashing), clashing)
     assert p.cut_repeats(clashing).count() == clashing.count()
     assert data(p.cut_repeats(empty)) == [] and data(p.removals(empty)) == []
     changed = {r["doc_id"]: r for r in out.collect() if r["doc_id"] in (1, 11)}
