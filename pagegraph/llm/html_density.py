@@ -16,8 +16,10 @@ A node's density sum adds up the densities of its children. The node with the gr
 least density on its path from the body is the threshold. From the body down, every child that reaches the
 threshold is entered, and in each the subtree with the greatest sum is content as well. Among the brothers of
 content these are content too, if they are neither side matter nor menus: headings before it, whatever lies between
-two pieces of it, and text elements of the same kind as one of them. Within content, side matter and menus (three
-links or more and no other text) below the threshold are left out. <article> and <main> are nodes like others.
+two pieces of it, text elements of the same kind as one of them, and sections, however short, that are built as a
+section of the content is: the same element with the same kind of first heading, with the same class too unless both
+lie in an article. Within content, side matter and menus (three links or more and no other text, paragraphs apart)
+below the threshold are left out. <article> and <main> are nodes like others for the densities.
 
 Text: references decoded, white space in a block is one space, blocks are trimmed and joined by one newline, in
 page order. Null or empty html gives an empty text; so does a page of side matter. Depth and length have no limit.
@@ -68,6 +70,9 @@ BLOCK_TAGS = frozenset(
     section summary table tbody tfoot thead tr ul
     """.split()
 )
+#: A paragraph of links is text.
+MENU_TAGS = BLOCK_TAGS - {"p"}
+ARTICLES = frozenset("article main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW_TAGS = HEADINGS | frozenset("p ul ol dl pre table blockquote figure section address details".split())
 CONTROLS = frozenset("a input button select textarea".split())
@@ -180,6 +185,21 @@ class Page:
     def menu(self, i: int) -> bool:
         return self.links[i] >= MENU_LINKS and self.lc[i] >= self.c[i]
 
+    def section(self, i: int) -> tuple[str, str] | None:
+        """(tag, tag of its first heading) of a node that has a heading and plain text besides."""
+        inside = range(i + 1, self.end[i])
+        heads = [k for k in inside if self.order[k].tag in HEADINGS and self.c[k] and not self.side[k]]
+        if not heads:
+            return None
+        titles = sum(self.c[k] - self.lc[k] for k in heads if self.order[self.up[k]].tag != "hgroup")
+        return (self.order[i].tag, self.order[heads[0]].tag) if self.c[i] - self.lc[i] > titles else None
+
+    def article(self, i: int) -> bool:
+        """Whether the node lies in, or is, what HTML calls an article."""
+        while i and self.order[i].tag not in ARTICLES:
+            i = self.up[i]
+        return self.order[i].tag in ARTICLES
+
     def content(self) -> list[int]:
         """The nodes whose text is the article, in page order, none inside another."""
         order, d, total = self.order, self.d, self.total
@@ -221,12 +241,16 @@ class Page:
             kids = list(self._kids(u))
             inside = [j for j, k in enumerate(kids) if k in own]
             tags = {self.order[kids[j]].tag for j in inside}
+            sections = {(self.section(kids[j]), self.order[kids[j]].attrs.get("class")) for j in inside}
+            article = self.article(u)
             first = min([j for j in range(inside[-1]) if self.order[kids[j]].tag in HEADINGS and self.c[kids[j]] and not self.side[kids[j]]] + inside[:1])
             for j, k in enumerate(kids):
-                tag = self.order[k].tag
-                if self.side[k] or self.menu(k) or not self.c[k]:
+                tag, between = self.order[k].tag, first <= j <= inside[-1]
+                if self.side[k] or not self.c[k] or self.menu(k) and not (tag == "p" and (article or between)):
                     continue
-                if first <= j <= inside[-1] and (tag in HEADINGS or j >= inside[0]) or tag in FLOW_TAGS and tag in tags:
+                s, name = self.section(k), self.order[k].attrs.get("class")
+                alike = s is not None and ((s, name) in sections or article and any(s == x for x, _ in sections))
+                if alike or between and (tag in HEADINGS or j >= inside[0]) or tag in FLOW_TAGS and tag in tags:
                     own.add(k)
         return own
 
@@ -239,7 +263,7 @@ class Page:
         return "\n".join(p for p in parts if p)
 
     def _left_out(self, i: int, least: float) -> bool:
-        return (self.side[i] or self.menu(i) and self.order[i].tag in BLOCK_TAGS) and self.d[i] <= least
+        return (self.side[i] or self.menu(i) and self.order[i].tag in MENU_TAGS) and self.d[i] <= least
 
 
 def blocks(n: Node, left_out=lambda n: False) -> str:

@@ -139,3 +139,51 @@ def test_nulls_repeats_and_clashes(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(map(str, data(h.extract(df)))) == sorted(map(str, [(1, None, "", 0), (1, None, "", 0), (None, "u", "a b\nc d", 7)]))
     assert data(h.extract(df.where("false"))) == []
+
+
+def whole_page(body):
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
+
+
+@pytest.mark.parametrize("around", ["article", "section", "div"])
+@pytest.mark.parametrize("n", [3, 10, 20, 60])
+def test_short_sections_stay_with_their_headings(around, n):
+    long, short = sentence(40, 180), sentence(41, n)
+    body = f"<{around}><div><h2>First part</h2><p>{long}</p></div><div><h2>Second part</h2><p>{short}</p></div></{around}>"
+    assert h.main_text(whole_page(body)) == f"First part\n{long}\nSecond part\n{short}"
+    turned = f"<{around}><div><h2>Second part</h2><p>{short}</p></div><div><h2>First part</h2><p>{long}</p></div></{around}>"
+    assert h.main_text(whole_page(turned)) == f"Second part\n{short}\nFirst part\n{long}"
+
+
+def test_a_paragraph_of_links_in_an_article_is_text():
+    long = sentence(42, 120)
+    links = "".join(f'<a href="/{k}">source {k}</a> ' for k in range(3))
+    for at in (f"<p>{long}</p><p>{links}</p>", f"<p>{links}</p><p>{long}</p>"):
+        got = h.main_text(whole_page(f"<article><h1>Title</h1>{at}</article>")).split("\n")
+        assert got[0] == "Title" and sorted(got[1:]) == sorted([long, "source 0 source 1 source 2"])
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">entry {k}</a></li>' for k in range(5)) + "</ul>"
+    assert h.main_text(whole_page(f"<article><h1>Title</h1>{menu}<p>{long}</p></article>")) == f"Title\n{long}"
+
+
+def test_sections_of_other_build_are_no_part_of_the_content():
+    long, other = sentence(43, 150), sentence(44, 25)
+    links = "".join(f'<li><a href="/{k}">{sentence(50 + k, 6)}</a></li>' for k in range(8))
+    for beside in (f'<div class="right"><h3>News</h3><p>{other}</p></div>', f"<div><h4>More</h4><ul>{links}</ul></div>", f"<div><h2>Links only</h2><ul>{links}</ul></div>"):
+        got = h.main_text(whole_page(f'<div class="text"><h2>Title</h2><p>{long}</p></div>{beside}'))
+        assert got == f"Title\n{long}"
+
+
+#: Pages without names, roles or elements of HTML for articles and menus: density alone tells their parts apart.
+def soup(seed):
+    text = [sentence(seed * 10 + k, 60 + 9 * k) for k in range(4)]
+    menu = "<div>" + "".join(f'<div><a href="/{k}">{sentence(seed + k, 2)}</a></div>' for k in range(9)) + "</div>"
+    teasers = "<div>" + "".join(f'<div><a href="/{k}"><img src="x"><span>{sentence(seed + 30 + k, 8)}</span></a><span>{k}</span></div>' for k in range(6)) + "</div>"
+    article = "<div>" + "".join(f"<div>{t}</div>" for t in text) + "</div>"
+    return whole_page(f"<div>{menu}<div>{article}</div>{teasers}</div>"), "\n".join(text)
+
+
+def test_density_alone_decides_on_pages_without_names(monkeypatch):
+    pages = [soup(k) for k in range(12)]
+    assert [h.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(h.Page, "_density", lambda self, i: 1.0)
+    assert all(h.main_text(p) != t for p, t in pages)
