@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, stage
-from .common import arrow_map, bounded_groups, grouped, own_prefix, row_key, spread, union_min, words_of
+from .common import arrow_map, bounded_groups, own_prefix, row_key, spread, union_min, words_of
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS, BLOCK, STRIP = 3, 42, 3, 4096, 256
@@ -261,20 +261,32 @@ def _emit_parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1)], ["k", "fp"])
 
 
-def _link_parts(batches, block: int, strip: int):
-    for starts, (_, fps) in grouped(batches):
-        x = fps.to_numpy().view(np.uint64)
-        out = [_forest(np.unique(x[s:e]), block, strip) for s, e in zip(starts, np.r_[starts[1:], len(x)], strict=True)]
-        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
-        yield _pairs(LINK, a, b)
-
-
 def _large_links(large: DataFrame, block: int, strip: int) -> DataFrame:
     """Links of groups (k, fp) beyond a block. At most three bits differ, so of four parts of the bits that vary in a
-    group at all one is equal: the group is dealt out anew by each part, over many tasks."""
-    vary = large.groupBy(F.col("k").alias("of")).agg((F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("vary"))
-    parts = large.join(vary, F.col("k") == F.col("of")).select("k", "fp", "vary").transform(arrow_map, _emit_parts, "k long, fp long")
-    return spread(parts, "k").sortWithinPartitions("k").transform(arrow_map, lambda batches: _link_parts(batches, block, strip), "kind int, a long, b long")
+    group at all one is equal: the group is dealt out anew by each part, over many tasks. A part that is still beyond
+    a block is dealt out once more. Its texts agree in a bit at least that varied before, so this ends: texts that differ
+    in three bits at most are eight, which is no more than a block."""
+    links = None
+    while True:
+        vary = large.groupBy(F.col("k").alias("of")).agg((F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("vary"))
+        parts = large.join(vary, F.col("k") == F.col("of")).select("k", "fp", "vary").transform(arrow_map, _emit_parts, "k long, fp long")
+        found = _found(parts, block, strip)
+        own = found.where(F.col("kind") == LINK)
+        links = own if links is None else links.union(own)
+        large = _beyond(found)
+        if not large.limit(1).count():
+            return links
+
+
+def _found(keyed: DataFrame, block: int, strip: int) -> DataFrame:
+    """(kind, a, b): links in the groups (k, fp), and the members of those beyond a block; a staged table."""
+    block = max(block, 1 << MAX_BITS)
+    dealt = spread(keyed, "k").sortWithinPartitions("k")
+    return stage(dealt.transform(arrow_map, lambda batches: _link_groups(batches, block, strip), "kind int, a long, b long"), "simhash-links")
+
+
+def _beyond(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") == LARGE).select(F.col("a").alias("k"), F.col("b").alias("fp")).distinct()
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -283,10 +295,9 @@ def classes(prints: DataFrame) -> DataFrame:
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps", prints.count())
     n = reps.count()
     keyed = reps.select("fp").transform(arrow_map, _emit_keys, "k long, fp long")
-    found = spread(keyed, "k").sortWithinPartitions("k").transform(arrow_map, lambda batches, block=BLOCK, strip=STRIP: _link_groups(batches, block, strip), "kind int, a long, b long")
-    found = stage(found, "simhash-links")
+    found = _found(keyed, BLOCK, STRIP)
     links = found.where(F.col("kind") == LINK).select("a", "b")
-    large = found.where(F.col("kind") == LARGE).select(F.col("a").alias("k"), F.col("b").alias("fp")).distinct()
+    large = _beyond(found)
     if large.limit(1).count():
         links = links.union(_large_links(large, BLOCK, STRIP).select("a", "b"))
     comp = connected_components(links)

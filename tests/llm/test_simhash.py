@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from .conftest import data, same, untouched
 
@@ -107,15 +108,16 @@ def test_chains_of_three_bit_links(spark):
     assert by_class(spark, fps) == want and max(map(len, want)) >= 30
 
 
-def test_groups_beyond_a_block_through_the_operator(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 32)
+@pytest.mark.parametrize("block", [32, 8])
+def test_groups_beyond_a_block_through_the_operator(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "STRIP", 8)
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = list({base ^ sum(1 << b for b in rng.sample(range(21), rng.randint(0, 9))) for _ in range(260)})
-    calls, large = [], simhash._large_links
-    monkeypatch.setattr(simhash, "_large_links", lambda *a: calls.append(a) or large(*a))
-    assert by_class(spark, fps) == grouped_by(plain_components(fps)) and calls
+    rounds, found = [], simhash._found
+    monkeypatch.setattr(simhash, "_found", lambda *a: rounds.append(a) or found(*a))
+    assert by_class(spark, fps) == grouped_by(plain_components(fps)) and len(rounds) >= (3 if block == 8 else 2)
 
 
 def test_parts_of_the_varying_bits_keep_every_link():
