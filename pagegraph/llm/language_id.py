@@ -28,6 +28,7 @@ from ..session import ship
 from .common import arrow_map, fold
 
 DIMS, SMOOTH, TRIALS, GAP = 1 << 14, 0.5, 200, 0.1
+MOST_LANGUAGES = 512
 _LETTER: list[np.ndarray] = []
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -82,9 +83,13 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
+    """The model: bits of codewords as weights of DIMS features. The driver gets at most DIMS counts for each of
+    ``MOST_LANGUAGES`` languages; more values of ``lang`` are an error, as they are no languages."""
     ship(docs.sparkSession)
     some = docs.where((fold(F.col(doc_id)) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    named = [r["lang"] for r in some.select("lang").distinct().collect()]
+    named = [r["lang"] for r in some.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(named) > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values: clean the labels or raise MOST_LANGUAGES")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -98,14 +103,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([la] * len(at), pa.string()), pa.array(at), pa.array(v[at])], ["lang", "dim", "n"])
 
     known = frozenset(named)
-    rows = some.transform(arrow_map, count, "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("dim", "n")).alias("v")).collect()
-    langs = sorted(r["lang"] for r in rows)
+    counts = some.transform(arrow_map, count, "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n")).toArrow()
+    langs, at = np.unique(counts["lang"].to_numpy(), return_inverse=True) if counts.num_rows else ([], None)
+    langs = list(langs)
     if not langs:
         return {"langs": [], "code": None, "w": None, "bias": None, "weight": None}
     n = np.zeros((len(langs), DIMS))
-    for r in rows:
-        at = np.array([(x["dim"], x["n"]) for x in r["v"]])
-        n[langs.index(r["lang"]), at[:, 0]] = at[:, 1]
+    n[at, counts["dim"].to_numpy()] = counts["n"].to_numpy()
     p = (n + SMOOTH) / (n.sum(1, keepdims=True) + SMOOTH * DIMS)  # every language weighs the same
     code = codewords(len(langs))
     w, weight = np.zeros((DIMS, code.shape[1]), np.float32), np.ones(code.shape[1])

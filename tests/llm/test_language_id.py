@@ -48,6 +48,14 @@ def test_edges(docs, rows, clashing, empty):
     assert {r["lang_pred"] for r in lid.predict(docs, none).collect()} == {"und"}
 
 
+def test_more_labels_than_languages_are_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(lid, "MOST_LANGUAGES", 2)
+    assert lid.fit(docs)["langs"] == ["de", "en"]
+    dirty = spark.createDataFrame([(i, "some words", f"tag{i}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 values"):
+        lid.fit(dirty)
+
+
 def plain_counts(text):
     """Hashed n-grams of a text, character by character."""
     m32 = 2**32 - 1
