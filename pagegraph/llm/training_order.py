@@ -16,8 +16,9 @@ its tokens (TRAILER), then a newline, by Spark's text writer, which commits file
 lost executor. So a reader finds a slot by its shard's first slot (in the manifest) and an offset alone, goes on from
 any slot, and reads in training order without a seek. A shard is made in a task's memory, some 17 MB by the defaults.
 
-Null or empty text has no sequence. Repeated rows are sequences of their own, one after another in identity, of equal
-bytes. No row is dropped. doc_id is an integer or null.
+Null or empty text has no sequence. Repeated rows are sequences of their own, of equal bytes; of a few rows that repeat
+the sequences share an identity and lie in one shard, of many, which are counted before, each copy has its own, so
+that no shard gets them all. No row is dropped. doc_id is an integer or null; another type is an error at once.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import STAGED_AS, ship, stage_path
-from .common import arrow_map, row_key
+from ..session import STAGED_AS, ship, stage, stage_path
+from .common import arrow_map, row_key, spread
+from .decontaminate import sized
 from .token_counts import encoder, ids_of, vocabulary_key
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 16_384, 6, 0x5EED
+#: Rows that repeat more often than this, and than this part of a shard's records, get numbers and so identities.
+COPIES = 64
 #: A guess that only sets the number of shards: bytes of text to a token.
 BYTES_A_TOKEN = 2.5
 TRAILER = "<qiib"  # doc_id (0 if null), seq, n_tokens, whether doc_id is null
@@ -100,22 +105,48 @@ def bpe_ids(spark: SparkSession, ranks: str, pattern: str):
     return encode
 
 
+def copies(docs: DataFrame, most: int) -> DataFrame:
+    """docs(rk, doc_id, text) -> the same with (first, count): rows that more than ``most`` rows equal are replaced by
+    rows that stand for ``count`` copies each, numbered from ``first`` on; any other row stands for itself, number 0.
+
+    Equal rows are told apart by nothing, so one of them and their number say all; the copies' chunks go to many tasks.
+    """
+    n = docs.groupBy(F.col("rk").alias("rk2")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    n = stage(n, "order-copies")
+    if not n.limit(1).count():
+        return docs.select("*", F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("count"))
+    often = sized(n)
+    alone = docs.join(often, F.col("rk") == F.col("rk2"), "left_anti").select("*", F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("count"))
+    one = docs.join(often, F.col("rk") == F.col("rk2")).groupBy("rk", "doc_id", "text").agg(F.count("*").alias("n"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long")))
+    chunks = one.select("rk", "doc_id", "text", "n", first.alias("first"))
+    chunks = spread(chunks, "rk", "first").select("rk", "doc_id", "text", "first", F.least(F.lit(most).cast("long"), F.col("n") - F.col("first")).alias("count"))
+    return alone.union(chunks)
+
+
 def sequences(docs: DataFrame, shards: int, length: int, key: int, encode) -> DataFrame:
-    """docs(rk, doc_id, text) -> (shard, at, record): a record without padding for every sequence, trailer first."""
+    """docs(rk, doc_id, text, first, count) -> (shard, at, record): a record without padding for every sequence of every
+    copy, trailer first."""
+
+    def made(ids: list[int], loads: list[bytes]) -> pa.RecordBatch:
+        p = scattered(np.array(ids, np.uint64), key)
+        return pa.RecordBatch.from_arrays([pa.array(shard_of(p, shards)), pa.array(p.view(np.int64)), pa.array(loads, pa.binary())], ["shard", "at", "record"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
                 ids, loads = [], []
-                for rk, d, t in zip(*(c.to_pylist() for c in whole.slice(i, 128).columns), strict=True):
+                for rk, d, t, first, count in zip(*(c.to_pylist() for c in whole.slice(i, 128).columns), strict=True):
                     v = encode(t) if t else ()
-                    for seq, k in enumerate(range(0, len(v), length)):
-                        part = v[k : k + length]
-                        ids.append((rk + seq * 0x9E3779B97F4A7C15) % 2**64)
-                        loads.append(struct.pack(TRAILER, d or 0, seq, len(part), d is None) + part.tobytes())
+                    own = [struct.pack(TRAILER, d or 0, seq, len(v[k : k + length]), d is None) + v[k : k + length].tobytes() for seq, k in enumerate(range(0, len(v), length))]
+                    for copy in range(first, first + count):
+                        ids += [(rk + seq * 0x9E3779B97F4A7C15 + copy * 0xD6E8FEB86659FD93) % 2**64 for seq in range(len(own))]
+                        loads += own
+                        if len(ids) >= 4096:
+                            yield made(ids, loads)
+                            ids, loads = [], []
                 if ids:
-                    p = scattered(np.array(ids, np.uint64), key)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(p, shards)), pa.array(p.view(np.int64)), pa.array(loads, pa.binary())], ["shard", "at", "record"])
+                    yield made(ids, loads)
 
     return docs.transform(arrow_map, f, "shard int, at long, record binary")
 
@@ -144,13 +175,16 @@ def materialise(docs: DataFrame, at: str, length: int = LENGTH, per_shard: int =
     """Write the shards, of ``per_shard`` records or so, and the manifest under ``at``; return the manifest."""
     spark = docs.sparkSession
     ship(spark)
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType | T.NullType):
+        raise TypeError(f"{doc_id} has to be an integer: records hold it in eight bytes")
     some = docs.select(row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     about = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count_if(F.octet_length(text) > 0).alias("n")).first()
     itemsize = encode("a").itemsize
     size = length * itemsize
     whole = (about["bytes"] or 0) / (BYTES_A_TOKEN if itemsize > 1 else 1) / length
     shards = max(1, round((whole + about["n"] / 2) / per_shard))
-    dealt = sequences(some, shards, length, key, encode).repartitionById(shards, F.col("shard"))
+    each = copies(some, max(COPIES, per_shard // COPIES))
+    dealt = sequences(each, shards, length, key, encode).repartitionById(shards, F.col("shard"))
     # the text writer writes a string's bytes as they are and the separator after each
     raw = dealt.transform(arrow_map, _in_order(size, key), "record binary").select(F.col("record").cast("string").alias("record"))
     raw.write.options(**RAW_FILES, lineSep="\n").text(f"{at}/shards")

@@ -133,6 +133,26 @@ def test_other_encoders_and_edges(spark, docs, clashing, empty):
     assert to.order_of(clashing).count() == to.order_of(docs).count()
 
 
+def test_copies_of_one_row_go_to_all_shards(spark):
+    rows = [(7, "the same row again and again")] * 3000 + [(i, f"row {i} has its own text") for i in range(500)] + [(None, "few copies")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    at = [stage_path(spark, "test-shards") for _ in range(2)]
+    shards = to.materialise(docs, at[0], length=16, per_shard=400).collect()
+    n = [r["records"] for r in shards]
+    assert sum(n) == sum(-(-len(t) // 16) for _, t in rows) and max(n) < 2 * sorted(n)[len(n) // 2]
+    to.materialise(docs.coalesce(1), at[1], length=16, per_shard=400)
+    a, b = ([f.read_bytes() for f in shard_paths(x)] for x in at)
+    assert a == b
+    got = to.resume(spark, at[0]).groupBy("doc_id", "seq").count().where("doc_id = 7").collect()
+    assert sorted((r["seq"], r["count"]) for r in got) == [(0, 3000), (1, 3000)]
+
+
+def test_ids_that_are_no_integers_are_an_error_at_once(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="has to be an integer"):
+        to.materialise(docs, stage_path(spark, "test-shards"))
+
+
 def test_registered_query_holds_vocabulary_ids(spark, small):
     import hashlib
 
