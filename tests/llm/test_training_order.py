@@ -134,7 +134,7 @@ def test_other_encoders_and_edges(spark, docs, clashing, empty):
 
 
 def test_copies_of_one_row_go_to_all_shards(spark):
-    rows = [(7, "the same row again and again")] * 3000 + [(i, f"row {i} has its own text") for i in range(500)] + [(None, "few copies")] * 5
+    rows = [(7, "the same row again and again")] * 3000 + [(i, f"row {i} has its own text") for i in range(100, 600)] + [(None, "few copies")] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     at = [stage_path(spark, "test-shards") for _ in range(2)]
     shards = to.materialise(docs, at[0], length=16, per_shard=400).collect()
