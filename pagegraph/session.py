@@ -114,6 +114,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return at
 
 
+def whole(spark: SparkSession, at: str) -> bool:
+    """Whether a table was written there to its end: the writer puts its mark last."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 class Growing:
     """A staged table that grows by a set of files at a time; it is read whole, in one scan whatever their number."""
 
