@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegraph.llm import bpe_automaton, decontaminate, paragraph_dedup, quality_rules, simhash
-from pagegraph.session import STAGED_AS, few, stage_path, staging, table
+from pagegraph.session import STAGED_AS, few, stage_path, staging, table, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,11 +49,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """The stages over documents.
+
+    at: a folder, shared by all executors, for what the stages write. A run that died goes on after its last whole stage
+    when it is called again with the same folder; another input needs another folder, and whoever names one deletes it.
+    Without it the stages go to a folder of this run, which the end of the process deletes.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        at = stage_path(spark, name.replace(" ", "-"))
-        with staging():  # what the operator staged goes when its result is written
-            stage(spark, docs, sf_dir).write.options(**STAGED_AS).parquet(at)
-        docs = spark.read.parquet(at)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        name = f"{k + 1}-{name.replace(' ', '-')}"
+        to = f"{at.rstrip('/')}/{name}" if at else stage_path(spark, name)
+        if not whole(spark, to):
+            with staging():  # what the operator staged goes when its result is written
+                stage(spark, docs, sf_dir).write.options(**STAGED_AS).mode("overwrite").parquet(to)
+        docs = spark.read.parquet(to)
     return STAGES[-1][1](spark, docs, sf_dir)
