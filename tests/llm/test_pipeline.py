@@ -3,6 +3,7 @@ import hashlib
 import corpus_pipeline as cp
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from pagegraph.llm import quality_rules
@@ -73,3 +74,26 @@ def test_empty_documents(spark, folder):
 
 def test_whole_small_corpus(spark, small):
     assert 0 < cp.run(spark, small).count() < 200
+
+
+def test_a_run_goes_on_after_its_last_whole_stage(spark, folder, tmp_path, monkeypatch):
+    source, kept = folder[0], f"file://{tmp_path}/run"
+    want = sorted(data(cp.run(spark, source).select("doc_id", "ids_sha256")), key=str)
+    stages, called = list(cp.STAGES), []
+
+    def noted(k, dies):
+        def stage(spark, docs, sf_dir):
+            called.append(k)
+            out = stages[k][1](spark, docs, sf_dir)
+            return out.where(F.raise_error(F.lit("lost")).isNull()) if dies else out
+
+        return stage
+
+    monkeypatch.setattr(cp, "STAGES", [(n, noted(k, k == 2)) for k, (n, _) in enumerate(stages)])
+    with pytest.raises(Exception, match="lost"):
+        cp.run(spark, source, kept)
+    assert called == [0, 1, 2]
+    called.clear()
+    monkeypatch.setattr(cp, "STAGES", [(n, noted(k, False)) for k, (n, _) in enumerate(stages)])
+    assert sorted(data(cp.run(spark, source, kept).select("doc_id", "ids_sha256")), key=str) == want
+    assert called == [2, 3, 4]
