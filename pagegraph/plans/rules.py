@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import commands
 from ..functions import classify, text, urls
-from ..operators import consolidate, html, jobstate, pacing, traverse
-from ..session import ship, table
+from ..operators import consolidate, html, jobstate, pacing, recording, traverse
+from ..session import ship, stage, stage_path, table
 from ..sources import manifest, stored
 from .catalogue import _FAIL, _TURNS, JOB_SQL, job, query
 
@@ -259,6 +259,52 @@ def manifest_pages(spark, d):
     return manifest.mapped(_manifests(spark, d)).select("dir", "idx", "url")
 
 
+@query(f"SELECT printf('job%02d', s_nationkey) AS dir, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS idx, 'u' || s_suppkey AS url FROM supplier WHERE {_JOB_OK}")
+def snapshot_pages(spark, d):
+    """The pages of the newest version, after the jobs were saved in two updates, the second one against a rival."""
+    m, root = _manifests(spark, d), stage_path(spark, "snapshots")
+    part = lambda k: m.where(F.substring("dir", 4, 2).cast("int") % 2 == k)
+    rivals = iter([lambda: manifest.update_snapshot(spark, root, m.schema, lambda old: old)])
+
+    def second(old):
+        for rival in rivals:
+            rival()
+        return old.union(part(1))
+
+    manifest.update_snapshot(spark, root, m.schema, lambda old: old.union(part(0)))
+    manifest.update_snapshot(spark, root, m.schema, second)
+    return manifest.mapped(manifest.read_snapshot(spark, manifest.latest_snapshot(spark, root), m.schema)).select("dir", "idx", "url")
+
+
+_EVENT_URL = "CASE event_id % 3 WHEN 0 THEN 'https://h.example/display/public/S/p' || event_id % 40 WHEN 1 THEN 'https://h.example/display/S/p' || event_id % 40 ELSE 'u' || event_id % 120 END"
+
+
+@query(
+    rf"""WITH e AS (SELECT printf('job%02d', user_id % 25) AS dir, event_id AS seq, {_EVENT_URL} AS url, event_type IN ('purchase', 'view') AS done, event_type AS error FROM events),
+k AS (SELECT *, replace(url, '/display/public/', '/display/') AS key FROM e WHERE dir IN (SELECT DISTINCT printf('job%02d', s_nationkey) FROM supplier WHERE {_JOB_OK})),
+last AS (SELECT dir, key, max(seq) AS fin, max_by(url, seq) AS url FROM k WHERE done GROUP BY dir, key),
+x AS (SELECT printf('job%02d', s_nationkey) AS dir, s_nationkey % 2 = 0 AS old, 'u' || s_suppkey AS url, s_suppkey AS k, s_suppkey % 3 AS r, {listed(V1_ERRORS)}[s_suppkey % 5 + 1] AS e FROM supplier WHERE {_JOB_OK}),
+was AS (SELECT dir, url, CASE WHEN old THEN e ELSE 'e' || k END AS error, CASE WHEN old THEN [3, 12, 1, 1, 5][k % 5 + 1] ELSE k % 6 END AS attempts FROM x WHERE r = 0),
+n AS (SELECT k.dir, k.url, count(*) AS n, max_by(error, seq) AS error FROM k LEFT JOIN last ON k.dir = last.dir AND k.key = last.key WHERE NOT done AND (fin IS NULL OR seq > fin) GROUP BY ALL),
+kept AS (SELECT * FROM was WHERE NOT EXISTS (SELECT 1 FROM last WHERE last.dir = was.dir AND last.key = was.url))
+SELECT dir, 'exported' AS kind, url, 'f' || fin || '.pdf' AS filename, NULL AS error, NULL AS attempts FROM last
+UNION ALL SELECT dir, 'exported', url, 'f' || k || '.pdf', NULL, NULL FROM x WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM last WHERE last.dir = x.dir AND last.key = x.url)
+UNION ALL SELECT coalesce(kept.dir, n.dir), 'failed', coalesce(kept.url, n.url), NULL, coalesce(n.error, kept.error), CAST(coalesce(attempts, 0) + coalesce(n, 0) AS INTEGER) FROM kept FULL JOIN n ON kept.dir = n.dir AND kept.url = n.url"""
+)
+def recorded_events(spark, d):
+    """A log merged into the job documents in two batches, the second of which brings events of the first again."""
+    none = lambda kind: F.lit(None).cast(kind)
+    e = table(spark, d, "events").select(
+        F.format_string("job%02d", F.col("user_id") % 25).alias("dir"), F.col("event_id").alias("seq"), F.expr(_EVENT_URL).alias("url"), F.when(F.col("event_type").isin("purchase", "view"), "done").otherwise("failed").alias("event"),
+        F.concat(F.lit("f"), "event_id", F.lit(".pdf")).alias("filename"), none("string").alias("title"), none("long").alias("size_bytes"), none("double").alias("elapsed_seconds"), none("string").alias("sha256"), F.col("event_type").alias("error"), F.col("ts").cast("string").alias("at"),
+    )
+    m = _manifests(spark, d).select("dir", "exported", "failures")
+    m = stage(recording.record(m, e.where("seq < 400")), "recorded")
+    m = stage(recording.record(m, e.where("seq >= 300")), "recorded")
+    done = manifest.exported(m).select("dir", F.lit("exported").alias("kind"), "url", "filename", none("string").alias("error"), none("int").alias("attempts"))
+    return done.union(manifest.failures(m).select("dir", F.lit("failed"), "url", none("string"), "error", "attempts"))
+
+
 @query(
     f"""WITH p AS (SELECT printf('job%02d', s_nationkey) AS dir, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS idx, 'u' || s_suppkey AS url, s_suppkey % 3 AS r, s_nationkey % 2 = 0 AS old, s_suppkey AS k FROM supplier WHERE {_JOB_OK}),
 t AS (SELECT *, CASE WHEN old THEN [3, 12, 1, 1, 5][k % 5 + 1] ELSE k % 6 END AS tries FROM p)

@@ -1,13 +1,19 @@
 """Job documents: one JSON text per job, read with a fixed schema, migrated, and laid out as tables.
 
-Snapshots are written as new versioned directories with a pointer row, as object stores have no atomic
-rename; older versions are the rotating backups.
+Snapshots are folders that appear by one rename, so the file system has to rename folders atomically, as HDFS and local
+ones do; older versions are the rotating backups.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.urls import page_key
 
@@ -78,27 +84,95 @@ def times(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+class SnapshotTaken(Exception):
+    """Another writer made this version."""
+
+
+def _file_system(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _put_if_absent(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, or fail if there is one of the name already."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.getFileSystem(conf).getUri(), conf)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    try:
+        files.rename(a, b, how)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            raise SnapshotTaken(target) from None
+        raise
+
+
 def write_snapshot(m: DataFrame, root: str, version: int) -> str:
-    """A new version of the job documents, visible once its pointer is written."""
-    at = f"{root.rstrip('/')}/v={version:08d}"
-    m.select(F.to_json(F.struct(*m.columns)).alias("value")).write.mode("errorifexists").text(at)
-    m.sparkSession.createDataFrame([(version, at)], "version long, path string").coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_versions")
+    """A new version of the job documents. It is written aside and becomes visible as a whole by one rename, which fails
+    with ``SnapshotTaken`` if the version exists: of two writers one wins, and a run that breaks off before the rename
+    leaves nothing but a folder under ``_tmp``, which is in nobody's way."""
+    spark, root = m.sparkSession, root.rstrip("/")
+    aside, at = f"{root}/_tmp/{uuid.uuid4().hex}", f"{root}/v={version:08d}"
+    m.select(F.to_json(F.struct(*m.columns)).alias("value")).write.text(aside)
+    try:
+        _put_if_absent(spark, aside, at)
+    except SnapshotTaken:
+        path, files = _file_system(spark, aside)
+        files.delete(path, True)
+        raise
     return at
 
 
+def versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(version, path) of the snapshots, the newest first; as many as ``expire_snapshots`` leaves."""
+    path, files = _file_system(spark, f"{root.rstrip('/')}/v=*")
+    found = [x.getPath().toString() for x in files.globStatus(path) or []]
+    return sorted(((int(x.rpartition("v=")[2]), x) for x in found), reverse=True)
+
+
 def expire_snapshots(spark: SparkSession, root: str, keep: int = BACKUPS) -> list[str]:
-    """Delete the versions before the newest and the ``keep`` before it; returns their paths. Pointer rows stay, and a
-    path that is gone already is no error, so a run that was cut short can be run again."""
-    rows = spark.read.schema("version long, path string").json(f"{root.rstrip('/')}/_versions").orderBy(F.desc("version")).collect()  # a row a version
-    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for r in rows[keep + 1 :]:
-        path = jvm.org.apache.hadoop.fs.Path(r["path"])
-        if path.getFileSystem(conf).delete(path, True):
-            gone.append(r["path"])
+    """Delete the versions before the newest and the ``keep`` before it; returns their paths. A run that was cut short
+    can be run again."""
+    gone = []
+    for _, at in versions(spark, root)[keep + 1 :]:
+        path, files = _file_system(spark, at)
+        if files.delete(path, True):
+            gone.append(at)
+    return gone
+
+
+def recover_snapshots(spark: SparkSession, root: str, older_than: float = 86_400.0) -> list[str]:
+    """Delete what writers that broke off left, as far as it is older than so many seconds; returns the paths."""
+    path, files = _file_system(spark, f"{root.rstrip('/')}/_tmp/*")
+    limit, gone = (time.time() - older_than) * 1000, []
+    for x in files.globStatus(path) or []:
+        if x.getModificationTime() <= limit and files.delete(x.getPath(), True):
+            gone.append(x.getPath().toString())
     return gone
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> str | None:
     """Path of the newest version; the versions before it that ``expire_snapshots`` leaves are its backups."""
-    row = spark.read.schema("version long, path string").json(f"{root.rstrip('/')}/_versions").orderBy(F.desc("version")).limit(1).collect()
-    return row[0]["path"] if row else None
+    found = versions(spark, root)
+    return found[0][1] if found else None
+
+
+def read_snapshot(spark: SparkSession, at: str, schema: StructType | str) -> DataFrame:
+    """The job documents of a version; schema: that of the documents as they were written."""
+    return spark.read.text(at).select(F.from_json("value", schema).alias("m")).select("m.*")
+
+
+def update_snapshot(spark: SparkSession, root: str, schema: StructType | str, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> str:
+    """Write the change of the newest version as the next one. If another writer was faster, the change is made anew of
+    what that one wrote, so no update is lost; without a version the change gets an empty table."""
+    for left in reversed(range(tries)):
+        newest = next(iter(versions(spark, root)), None)
+        old = read_snapshot(spark, newest[1], schema) if newest else spark.createDataFrame([], schema)
+        try:
+            return write_snapshot(change(old), root, newest[0] + 1 if newest else 1)
+        except SnapshotTaken:
+            if not left:
+                raise
+    raise ValueError("tries must be 1 at least")

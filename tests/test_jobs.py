@@ -365,3 +365,41 @@ def test_own_item_of_a_tree():
     other = '<div class="plugin_pagetree"><ul><li data-page-id="8"><a href="/x">x</a></li></ul></div><div id="page-tree"><ul><li data-page-id="7"><a href="/y">y</a></li></ul></div>'
     assert html.child_hrefs(meta + other, url) == ["/y"]
     assert html.child_hrefs(meta + bare, url) == []
+
+
+def test_snapshot_writers_that_break_off_or_collide(spark, tmp_path, monkeypatch):
+    import os
+
+    root, schema = str(tmp_path / "jobs"), "dir string, n long"
+    one = lambda n: spark.createDataFrame([("/a", n)], schema)
+    now = lambda: [tuple(r) for r in manifest.read_snapshot(spark, manifest.latest_snapshot(spark, root), schema).collect()]
+    assert manifest.latest_snapshot(spark, root) is None and manifest.recover_snapshots(spark, root) == []
+    put = manifest._put_if_absent
+
+    def dies(*_):
+        raise RuntimeError("gone")
+
+    monkeypatch.setattr(manifest, "_put_if_absent", dies)  # the data is written, the version is not
+    with pytest.raises(RuntimeError):
+        manifest.write_snapshot(one(0), root, 1)
+    assert manifest.latest_snapshot(spark, root) is None and len(os.listdir(f"{root}/_tmp")) == 1
+    monkeypatch.setattr(manifest, "_put_if_absent", put)
+    manifest.write_snapshot(one(1), root, 1)  # what broke off is in nobody's way
+    assert now() == [("/a", 1)]
+    with pytest.raises(manifest.SnapshotTaken):
+        manifest.write_snapshot(one(2), root, 1)
+    assert now() == [("/a", 1)] and len(os.listdir(f"{root}/_tmp")) == 1
+    assert manifest.recover_snapshots(spark, root) == [] and len(manifest.recover_snapshots(spark, root, -5.0)) == 1
+    rivals = [10, 100]
+
+    def slow(old):
+        if rivals:  # another writer is faster, twice
+            by = rivals.pop()
+            manifest.update_snapshot(spark, root, schema, lambda x: x.withColumn("n", F.col("n") + by))
+        return old.withColumn("n", F.col("n") * 2)
+
+    manifest.update_snapshot(spark, root, schema, slow)
+    assert now() == [("/a", 222)] and [v for v, _ in manifest.versions(spark, root)] == [4, 3, 2, 1]
+    rivals += [1] * 9
+    with pytest.raises(manifest.SnapshotTaken):
+        manifest.update_snapshot(spark, root, schema, slow, tries=2)
