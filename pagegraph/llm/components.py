@@ -28,15 +28,15 @@ def _thin(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[lab[i]]), pa.array(nodes[i])], ["a", "b"])
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """links(a long, b long) -> (node, component): the smallest node reachable, for every node in a link.
 
-    Null ends are ignored, loops give no row, repeated links count once, an empty table gives an empty one.
+    of: a stored table that the links are made of and that sets the number of files. Null ends are ignored, loops give no row, repeated links count once, an empty table gives an empty one.
     """
     spark = links.sparkSession
     ship(spark)
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = stage(edges, "links")  # so that no task runs two Python workers
+    edges = stage(edges, "links", of=of)  # so that no task runs two Python workers
     edges = stage(edges.transform(arrow_map, _thin, "a long, b long").distinct(), "links", edges.count())
     out: DataFrame | None = None
     nodes = 0  # as many as out has at most

@@ -89,7 +89,7 @@ def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest:
     met = lists.join(need, "item").where(F.exists("needs", lambda x: F.size(F.array_except(x, "have")) == 0))
     body = sized(stage(terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("iw")), "decon-items", terms.count()))
     met = met.select("rk", "item", "diag").join(body, "item").groupBy(F.col("rk").alias("rk2")).agg(F.collect_list(F.struct("item", "diag", "iw")).alias("met"))
-    met = stage(met, "decon-met")
+    met = stage(met, "decon-met", of=docs)
     own_n = f"{own_prefix(docs)}n"
     both = docs.withColumn(own_n, F.size(words(F.col("text"))).cast("long")).join(met, F.col("rk") == F.col("rk2"), "left" if all_rows else "inner")
 
@@ -144,7 +144,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     key = row_key(F.col(doc_id), F.col(text))
     hit = phrase_rows(docs.select(key.alias("rk"), F.col(text).alias("text")), items.select("item_id", "text"), all_rows=False).where("size(hits) > 0")
     own = own_prefix(docs)
-    hit = stage(hit.select(F.col("rk").alias(f"{own}hit")).distinct(), "decon-hit")
+    hit = stage(hit.select(F.col("rk").alias(f"{own}hit")).distinct(), "decon-hit", of=docs)
     return docs.withColumn(f"{own}rk", key).join(hit, F.col(f"{own}rk") == F.col(f"{own}hit"), "left_anti").select(*docs.columns)
 
 

@@ -297,7 +297,7 @@ def _large_links(large: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFra
     pivot = pivot.join(texts, F.col("pivot") == F.col("line2")).select("of", "pivot", "size", F.col("t").alias("pt"))
     near = large.join(texts, F.col("line") == F.col("line2")).join(pivot, F.col("bucket") == F.col("of"))
     near = near.select("bucket", "line", "pivot", "size", _similarity("t", "pt").alias("s"))
-    near = stage(near, "paragraph-pivots")
+    near = stage(near, "paragraph-pivots", of=texts)
     links = near.where(F.col("line") != F.col("pivot")).where(F.col("s") >= SIMILAR - 1e-9).select(F.col("pivot").alias("a"), F.col("line").alias("b"))
     # 0: linked to the pivot, 1: may be linked to such a member, 2: to none of them
     far = F.when(F.col("s") >= SIMILAR - 1e-9, 0).when(F.col("s") >= 2 * SIMILAR - 1 - 1e-9, 1).otherwise(2)
@@ -340,7 +340,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         small = small.union(more)
     with_text = small.join(texts, F.col("line") == F.col("line2")).select("bucket", "line", "t")
     found = spread(with_text, "bucket").sortWithinPartitions("bucket").transform(arrow_map, _verify, "a long, b long")
-    comp = connected_components(found if links is None else found.union(links))
+    comp = connected_components(found if links is None else found.union(links), of=docs)
     doc_kind = some.schema["doc_id"].dataType.simpleString()
     places = stage(some.transform(arrow_map, _emit_places, f"line long, check long, rk long, doc_id {doc_kind}, n int, size int"), "paragraph-places", of=docs)
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")

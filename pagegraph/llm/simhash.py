@@ -261,7 +261,7 @@ def _emit_parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1)], ["k", "fp"])
 
 
-def _large_links(large: DataFrame, block: int, strip: int) -> DataFrame:
+def _large_links(large: DataFrame, block: int, strip: int, of: DataFrame) -> DataFrame:
     """Links of groups (k, fp) beyond a block. At most three bits differ, so of four parts of the bits that vary in a
     group at all one is equal: the group is dealt out anew by each part, over many tasks. A part that is still beyond
     a block is dealt out once more. Its texts agree in a bit at least that varied before, so this ends: texts that differ
@@ -270,7 +270,7 @@ def _large_links(large: DataFrame, block: int, strip: int) -> DataFrame:
     while True:
         vary = large.groupBy(F.col("k").alias("of")).agg((F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("vary"))
         parts = large.join(vary, F.col("k") == F.col("of")).select("k", "fp", "vary").transform(arrow_map, _emit_parts, "k long, fp long")
-        found = _found(parts, block, strip)
+        found = _found(parts, block, strip, of)
         own = found.where(F.col("kind") == LINK)
         links = own if links is None else links.union(own)
         large = _beyond(found)
@@ -278,11 +278,11 @@ def _large_links(large: DataFrame, block: int, strip: int) -> DataFrame:
             return links
 
 
-def _found(keyed: DataFrame, block: int, strip: int) -> DataFrame:
+def _found(keyed: DataFrame, block: int, strip: int, of: DataFrame) -> DataFrame:
     """(kind, a, b): links in the groups (k, fp), and the members of those beyond a block; a staged table."""
     block = max(block, 1 << MAX_BITS)
     dealt = spread(keyed, "k").sortWithinPartitions("k")
-    return stage(dealt.transform(arrow_map, lambda batches: _link_groups(batches, block, strip), "kind int, a long, b long"), "simhash-links")
+    return stage(dealt.transform(arrow_map, lambda batches: _link_groups(batches, block, strip), "kind int, a long, b long"), "simhash-links", of=of)
 
 
 def _beyond(found: DataFrame) -> DataFrame:
@@ -295,12 +295,12 @@ def classes(prints: DataFrame) -> DataFrame:
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps", prints.count())
     n = reps.count()
     keyed = reps.select("fp").transform(arrow_map, _emit_keys, "k long, fp long")
-    found = _found(keyed, BLOCK, STRIP)
+    found = _found(keyed, BLOCK, STRIP, prints)
     links = found.where(F.col("kind") == LINK).select("a", "b")
     large = _beyond(found)
     if large.limit(1).count():
-        links = links.union(_large_links(large, BLOCK, STRIP).select("a", "b"))
-    comp = connected_components(links)
+        links = links.union(_large_links(large, BLOCK, STRIP, prints).select("a", "b"))
+    comp = connected_components(links, of=prints)
     tops = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class_fp"))
     tops = stage(tops, "simhash-tops", n)
     least = tops.groupBy("class_fp").agg(F.min("least").alias("component_id"))
