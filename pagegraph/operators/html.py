@@ -113,6 +113,38 @@ def _is(n: Node, place: str) -> bool:
     return n.tag == place
 
 
+def _classes(n: Node, *names: str) -> bool:
+    return not set(names).isdisjoint(n.attrs.get("class", "").split())
+
+
+def reveal(root: Node) -> None:
+    """Put the label of each tab before what its pane holds, as a heading: panes and tabs of a group of tabs go by their
+    order, panels by the id that a tab names. Each pane gets one label; a pane of an empty label gets none."""
+    labelled: set[int] = set()
+
+    def put(pane: Node, label: str) -> None:
+        if label and id(pane) not in labelled:
+            labelled.add(id(pane))
+            head = Node("h4", {}, pane)
+            head.kids.append(f"Aba: {label}")
+            pane.kids.insert(0, head)
+
+    every = list(root.walk())
+    for group in (n for n in every if _classes(n, "aui-tabs")):
+        inside = [n for n in group.walk() if n is not group]
+        in_menus = {id(x) for m in inside if _classes(m, "tabs-menu") for x in m.walk() if x is not m}
+        tabs = [n for n in inside if id(n) in in_menus and (n.tag == "li" or _classes(n, "menu-item"))]
+        panes = [n for n in inside if _classes(n, "tabs-pane", "tab-pane")]
+        for pane, tab in zip(panes, tabs, strict=False):
+            put(pane, tab.text().strip())
+    panels = [n for n in every if n.attrs.get("role") == "tabpanel"]
+    for tablist in (n for n in every if n.attrs.get("role") == "tablist"):
+        tabs = [n for n in tablist.walk() if n is not tablist and n.attrs.get("role") == "tab" and n.attrs.get("aria-controls")]
+        labels = {t.attrs["aria-controls"]: t.text().strip() for t in tabs}
+        for panel in panels:
+            put(panel, labels.get(panel.attrs.get("id", ""), ""))
+
+
 def find_content(root: Node) -> Node | None:
     """The first place, in order of preference, that has text or an image."""
     for place in CONTENT_PLACES:
@@ -273,7 +305,9 @@ def main_content(html: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def content_markdown(html: pd.Series) -> pd.Series:
     def one(h):
-        n = find_content(parse(h))
+        root = parse(h)
+        reveal(root)
+        n = find_content(root)
         return None if n is None else markdown(n)
 
     return html.map(one)

@@ -168,9 +168,11 @@ def reexport_matches(exported: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def same_job(jobs: DataFrame) -> DataFrame:
-    """Pairs of a job and another directory that has the same start page."""
-    k = jobs.select("dir", urls.start_url_key(F.col("start_url")).alias("k"))
-    return k.join(k.select(F.col("dir").alias("other"), "k"), "k").where("dir <> other").select("dir", "other")
+    """(dir, key, first, others) of the jobs whose start page other directories have too: the page's key, the first of
+    the directories and how many others there are. Directories of one key need not meet in pairs."""
+    k = jobs.select("dir", urls.start_url_key(F.col("start_url")).alias("key"))
+    n = k.groupBy(F.col("key").alias("of")).agg(F.min("dir").alias("first"), (F.count("*") - 1).alias("others")).where("others > 0")
+    return k.join(n, F.col("key") == F.col("of")).select("dir", "key", "first", "others")
 
 
 def retry_round(failures: DataFrame, permanent: DataFrame) -> DataFrame:

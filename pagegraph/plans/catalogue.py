@@ -256,8 +256,8 @@ def invariants(spark, d):
 
 
 @query(
-    """WITH j AS (SELECT s_suppkey % 10 AS k, s_suppkey, s_nationkey FROM supplier)
-SELECT a.s_suppkey AS dir, b.s_suppkey AS other FROM j a JOIN j b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"""
+    """WITH j AS (SELECT s_suppkey AS dir, 'h.example/display/N' || s_nationkey || '?' AS key, min(s_suppkey) OVER same AS first, count(*) OVER same - 1 AS others FROM supplier WINDOW same AS (PARTITION BY s_nationkey))
+SELECT * FROM j WHERE others > 0"""
 )
 def same_job_elsewhere(spark, d):
     host = F.when(F.col("s_suppkey") % 2 == 0, "https://H.example/display/public/N").otherwise("http://h.example/display/N")

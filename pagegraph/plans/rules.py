@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import commands
 from ..functions import classify, text, urls
 from ..operators import consolidate, html, jobstate, pacing, recording, traverse
+from ..operators.ordinal import global_ordinal
 from ..session import ship, stage, stage_path, table
 from ..sources import manifest, stored
 from .catalogue import _FAIL, _TURNS, JOB_SQL, job, query
@@ -72,12 +73,12 @@ QUERIES_OF = ("?pageId=12", "?x=1&pageId=7&pageId=8", "?pageId=7a", "?pageId=",
 
 
 @query(
-    rf"""WITH u AS (SELECT page_id, url || {listed(QUERIES_OF)}[page_id % {len(QUERIES_OF)} + 1] AS u FROM pages WHERE NOT contains(url, '?')),
+    rf"""WITH u AS (SELECT page_id, url || {listed(QUERIES_OF)}[page_id % {len(QUERIES_OF)} + 1] AS u FROM pages),
 v AS (SELECT page_id, regexp_extract(regexp_extract(u, '^[^?#]*[?]([^#]*)', 1), '(^|&)pageId=([^&]*)', 2) AS v FROM u)
 SELECT page_id, CASE WHEN regexp_full_match(v, '[0-9]+') THEN v END AS id FROM v"""
 )
 def page_id_from_url(spark, d):
-    p = table(spark, d, "pages").where("not contains(url, '?')")
+    p = table(spark, d, "pages")
     return p.select("page_id", urls.page_id(F.concat("url", picked(QUERIES_OF, F.col("page_id")))).alias("id"))
 
 
@@ -143,14 +144,14 @@ def listing_statuses(spark, d):
 
 
 @query(
-    f"""WITH e AS (SELECT user_id AS nav_id, CAST({listed(STATUSES)}[event_id % 8 + 1] AS INTEGER) AS s, event_id % 11 = 0 AS dropped, event_type = 'signup' AS lenient FROM events WHERE event_id % 5 > 1),
+    f"""WITH e AS (SELECT user_id AS nav_id, CAST({listed(STATUSES)}[event_id % 8 + 1] AS INTEGER) AS s, event_id % 11 = 0 AS dropped, event_type = 'signup' AS lenient FROM events),
 n AS (SELECT nav_id, count(*) FILTER (WHERE s = 429) AS n_limited, count(*) FILTER (WHERE s >= 500) AS n_server, count(*) FILTER (WHERE dropped) AS n_dropped,
   coalesce(array_to_string(list_sort(list(DISTINCT s) FILTER (WHERE s = 429 OR s >= 500)), '/'), '') AS statuses, bool_or(lenient) AS lenient FROM e GROUP BY nav_id)
 SELECT nav_id, n_limited, n_server, n_dropped, statuses, CASE WHEN n_limited > 0 THEN 'blocked' WHEN n_server + n_dropped > 0 AND NOT lenient THEN 'transient' ELSE 'ok' END AS verdict FROM n"""
 )
 def asset_verdicts(spark, d):
     i = F.col("event_id")
-    e = table(spark, d, "events").where("event_id % 5 > 1")
+    e = table(spark, d, "events")
     return classify.asset_verdicts(e.select(F.col("user_id").alias("nav_id"), picked(STATUSES, i).cast("int").alias("status"), (i % 11 == 0).alias("dropped"), (F.col("event_type") == "signup").alias("lenient")))
 
 
@@ -419,8 +420,7 @@ SELECT 'queue' AS state, url, row_number() OVER (ORDER BY place) AS nth FROM (SE
 def crawl_restore(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").alias("ord"), "url")
     seen, queue = traverse.restore(p.where("ord % 2 = 0").select("url").distinct(), p.where("ord % 5 = 0"), p.where("ord % 7 = 0"), "https://start.example/")
-    nth = F.row_number().over(Window.orderBy("k", "ord"))  # a saved queue of one job
-    return queue.select(F.lit("queue").alias("state"), "url", nth.cast("long").alias("nth")).union(seen.select(F.lit("seen"), "url", F.lit(None).cast("long")))
+    return global_ordinal(queue, [F.col("k"), F.col("ord")], "nth").select(F.lit("queue").alias("state"), "url", "nth").union(seen.select(F.lit("seen"), "url", F.lit(None).cast("long")))
 
 
 ROUGH = (" a\r\nb ", "c\nd\t", " e", "f,\"g\"", "", None, "h\r\ri")
