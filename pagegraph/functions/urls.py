@@ -5,12 +5,10 @@ All of it stays inside the JVM, so predicates on these columns can still be push
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .addresses import is_private_ip
 
 # RFC 3986, appendix B: groups 2 scheme, 4 authority, 5 path, 7 query, 9 fragment.
 PARTS = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
@@ -149,18 +147,6 @@ def ipv4_from_number(h: Column) -> Column:
     return F.when(n.between(0, 0xFFFFFFFF), quad).otherwise(h)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_private_ip(hosts: pd.Series) -> pd.Series:
-    def test(h) -> bool:
-        try:
-            ip = ipaddress.ip_address((h or "").split("%", 1)[0].strip("[]"))
-        except ValueError:
-            return False
-        return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved
-
-    return hosts.map(test).astype(bool)
-
-
 def start_url_problem(url: Column) -> Column:
     """Why a start URL is refused; null if it is accepted."""
     u = strip(F.coalesce(url, F.lit("")))

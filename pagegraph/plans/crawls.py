@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import crawl
+from ..operators import crawl, deep
 from ..session import table
 from ..sources import stored
 from .catalogue import _TREE_EDGES, query, tree_edges
@@ -55,3 +55,15 @@ def crawl_from_listings(spark, d):
     done = crawl.crawl(edges, crawl.State.start(spark.createDataFrame([(0, START)], "ord long, url string"), own))
     leaves = done.leaves.withColumn("is_leaf", F.lit(True))
     return done.mapped.join(done.page_ids, "url", "left").join(leaves, "url", "left").select("url", "idx", "page_id", F.coalesce("is_leaf", F.lit(False)).alias("is_leaf"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey - 7 ELSE c_custkey - 1 END AS parent, c_custkey % 5 AS ord, c_custkey AS child FROM customer),
+t AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth, CAST([] AS BIGINT[]) AS path UNION ALL SELECT child, depth + 1, list_append(path, ord) FROM t JOIN e ON parent = node)
+SELECT 'c' || node AS node, depth, row_number() OVER (ORDER BY depth, path) AS idx FROM t"""
+)
+def deep_tree_order(spark, d):
+    """A tree some six sevenths as deep as it has nodes, ordered in rounds that double the jumps."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.when(k % 7 == 0, k - 7).otherwise(k - 1)).alias("parent"), (k % 5).alias("ord"), F.concat(F.lit("c"), k).alias("child"))
+    return deep.tree_order(c, "c0")
