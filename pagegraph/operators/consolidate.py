@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import strip
+from ..session import stage
 
 
 def outline(entries: DataFrame, by: str | None = None) -> DataFrame:
@@ -38,9 +39,11 @@ def _part(title_col, body_col):
 def pieces(entries: DataFrame, title: str) -> DataFrame:
     """The consolidated document as rows (part, idx, text), to be joined in that order: for jobs of any length.
 
-    Entries(idx, title, stem, body) without a body leave a gap in the numbers; without entries there are no rows.
+    Entries(idx, title, stem, body) without a body leave a gap in the numbers; without entries there are no rows. Bodies are
+    staged, as four parts are made of them and rendering is what costs.
     """
-    good = entries.where("body is not null").withColumn("idx", F.col("idx").cast("long"))
+    good = entries.where("body is not null").select(F.col("idx").cast("long").alias("idx"), "title", "stem", "body")
+    good = stage(good, "consolidated")
     line, body = _part(F.col("title"), F.col("body"))
     ends = good.agg(F.min("idx").alias("first"), F.count("*").alias("n")).where("n > 0")
     head = ends.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("idx"), F.lit(f"# {title}\n\n## Indice\n\n").alias("text"))
