@@ -82,3 +82,9 @@ def test_errors(one):
 @pytest.mark.parametrize(("p", "want"), [("pages/a.pdf", None), ("../a", "traversal"), ("a/../../b", "traversal"), ("/etc", "traversal"), ("a\\..\\b", "traversal"), ("x" * 241, "too long"), ("a..b/c", None)])
 def test_paths(one, p, want):
     assert one(p, t.path_problem) == want
+
+
+def test_what_resumes_a_run(spark):
+    rows = [(False, False), (True, False), (False, True), (True, True)]
+    df = spark.createDataFrame(rows, "update boolean, again boolean")
+    assert [r[0] for r in df.select(c.resume_mode(F.col("update"), F.col("again"))).collect()] == ["auto", "update", "regenerate", "regenerate"]
