@@ -203,7 +203,10 @@ def listing_edges(refs: DataFrame, start_url: str, start_id: str | None) -> Data
     start = F.lit(start_url)
     public = F.lit("/display/public/" in start_url)
     at = urls.scope(start)
-    kids = refs.where(urls.is_page_href(F.col("url"))).withColumn("child", urls.canonical(urls.match_form(F.col("url"), public)))
+    # staged between, as each step names its address many times and would be worked out anew for each of them
+    kids = stage(refs.select("parent_id", "ord", "url", "page_id", "is_leaf"), "crawl-listed").where(urls.is_page_href(F.col("url")))
+    kids = stage(kids.withColumn("child", urls.match_form(F.col("url"), public)), "crawl-forms")
+    kids = stage(kids.withColumn("child", urls.canonical(F.col("child"))), "crawl-canonical")
     kids = stage(kids.where(urls.in_scope(F.col("child"), at["domain"], at["path_prefix"], at["space_key"])).select("parent_id", "ord", "child", "page_id", "is_leaf"), "crawl-refs")
     own = refs.sparkSession.createDataFrame([(start_url, start_id)], "parent string, via string")
     by_address = kids.select(F.col("child").alias("parent"), urls.page_id(F.col("child")).alias("via"))

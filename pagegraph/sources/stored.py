@@ -14,18 +14,20 @@ API_PAGE = f"struct<size:int,limit:int,_links:struct<next:string>,results:{RESUL
 MIN_PDF = 3 * 1024
 
 
-def api_pages(raw: DataFrame) -> DataFrame:
+def api_pages(raw: DataFrame, most: int | None = MAX_API_PAGES) -> DataFrame:
     """raw(parent_id, start, json), the pages of listings -> the decoded ones that count, with ``more``, whether another
     one follows, and ``truncated``, whether the parent has children beyond the last one that counts.
 
-    The first ``MAX_API_PAGES`` of a parent count, whatever their size.
+    The first ``most`` of a parent count, whatever their size; all of them if it is None.
     """
     p = raw.select("parent_id", "start", F.from_json("json", API_PAGE).alias("p")).select("parent_id", "start", "p.*")
     n = F.coalesce(F.size("results"), F.lit(0))
     p = p.withColumn("more", more_pages(F.col("_links.next").isNotNull(), F.coalesce("size", n), F.col("limit")))
+    if most is None:
+        return p.withColumn("truncated", F.lit(False))
     listing = Window.partitionBy("parent_id")
-    p = p.withColumn("nth", F.row_number().over(listing.orderBy("start"))).where(F.col("nth") <= MAX_API_PAGES)
-    last = (F.col("nth") == MAX_API_PAGES) & F.col("more") & (n > 0)
+    p = p.withColumn("nth", F.row_number().over(listing.orderBy("start"))).where(F.col("nth") <= most)
+    last = (F.col("nth") == most) & F.col("more") & (n > 0)
     return p.withColumn("truncated", F.max(last).over(listing)).drop("nth")
 
 

@@ -122,3 +122,25 @@ def test_nothing_to_do(spark):
     s = crawl.State.start(spark.createDataFrame([], "ord long, url string"))
     got = crawl.crawl(spark.createDataFrame([], EDGES), s)
     assert not got.complete and not rows(got.mapped) and not rows(got.queue)
+
+
+def test_a_crawl_takes_listings_of_any_length(spark, tmp_path):
+    """4,205 children of one parent: more than 20 listing pages of 200."""
+    import duckdb
+
+    from pagegraph.plans import catalogue, crawls
+
+    tables = {
+        "region": ("r_regionkey long", [(0,)]),
+        "nation": ("n_nationkey long, n_regionkey long", [(0, 0)]),
+        "customer": ("c_custkey long, c_nationkey long", [(i, 0) for i in range(4205)]),
+        "orders": ("o_orderkey long, o_custkey long", [(i, 4205 - i) for i in range(1, 30)]),
+    }
+    con = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        at = f"{tmp_path}/{name}.parquet"
+        spark.createDataFrame(rows, schema).write.parquet(at)
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    got = sorted(map(tuple, crawls.crawl_from_listings(spark, str(tmp_path)).select("url", "idx", "page_id", "is_leaf").collect()))
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["crawl_from_listings"]).fetchall())
+    assert len(got) > 4205
