@@ -160,3 +160,12 @@ def test_whole_labelled_table(spark, small):
     out = q.judge(docs, q.fit(docs, lab)).join(lab, "doc_id").where("not base_failed")
     good = out.where("quality = 1")
     assert good.where("kept").count() >= 0.97 * good.count()
+
+
+def test_every_labelled_row_counts(spark):
+    """Beyond 20,000 good rows on the trusted side and 10,000 of either kind on the judges'."""
+    lab = spark.range(90_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    h = spark_hash(spark, range(90_000))
+    trusted, judges = q._samples(lab)
+    assert {r["t_id"] for r in trusted.collect()} == {i for i in h if i % 2 and h[i] % 2 == 0}
+    assert {(r["t_id"], r["quality"]) for r in judges.collect()} == {(i, i % 2) for i in h if h[i] % 2}
