@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import one_decimal
+from ..session import stage
 from .ordinal import exact_percentiles, global_ordinal
 
 POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99, "min": 0.0, "max": 1.0}
@@ -168,11 +169,11 @@ def reexport_matches(exported: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def same_job(jobs: DataFrame) -> DataFrame:
-    """(dir, key, first, others) of the jobs whose start page other directories have too: the page's key, the first of
-    the directories and how many others there are. Directories of one key need not meet in pairs."""
-    k = jobs.select("dir", urls.start_url_key(F.col("start_url")).alias("key"))
-    n = k.groupBy(F.col("key").alias("of")).agg(F.min("dir").alias("first"), (F.count("*") - 1).alias("others")).where("others > 0")
-    return k.join(n, F.col("key") == F.col("of")).select("dir", "key", "first", "others")
+    """(dir, other): each job with every other directory that has the same start page."""
+    k = jobs.select("dir", urls.start_url_key(F.col("start_url")).alias("k"))
+    k = stage(k, "job-keys")  # both sides of the pairs are made of it
+    n = 2 * jobs.sparkSession.sparkContext.defaultParallelism
+    return k.repartition(n).join(k.withColumnRenamed("dir", "other"), "k").where("dir <> other").select("dir", "other")
 
 
 def retry_round(failures: DataFrame, permanent: DataFrame) -> DataFrame:

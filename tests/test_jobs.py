@@ -403,3 +403,9 @@ def test_snapshot_writers_that_break_off_or_collide(spark, tmp_path, monkeypatch
     rivals += [1] * 9
     with pytest.raises(manifest.SnapshotTaken):
         manifest.update_snapshot(spark, root, schema, slow, tries=2)
+
+
+def test_every_other_directory_of_a_start_page_is_named(spark):
+    jobs = [("a", "https://H.example/display/public/N1/"), ("b", "http://h.example/display/N1?src=x"), ("c", "http://h.example/display/N1"), ("d", "http://h.example/display/N2"), ("e", None)]
+    got = sorted(map(tuple, jobstate.same_job(spark.createDataFrame(jobs, "dir string, start_url string")).select("dir", "other").collect()))
+    assert got == [(x, y) for x in "abc" for y in "abc" if x != y]
