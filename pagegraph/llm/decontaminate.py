@@ -77,7 +77,7 @@ def phrase_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest:
 
     A hit says that the words from ``start`` on are a window of the item. all_rows: also those without candidates.
     """
-    terms = stage(item_terms(items), "decon-terms")
+    terms = stage(item_terms(items), "decon-terms", of=items)
     some = docs.select("rk", "text")
     marks = stage(anchors(some, terms, window, rarest), "decon-anchors", rarest * terms.count())
     n = marks.count()

@@ -21,7 +21,8 @@ same document that overlaps the first one stays. This is MinHash too, of similar
 words the least hash of its runs of ``MARK`` words is its only band, so two documents that share a window share
 it. Windows whose mark occurs once in all are not looked at again; the others are compared by 128 bits.
 
-Texts are dealt out by row key once, into a bucketed table that serves the later joins without a shuffle.
+Texts are dealt out by row key once, into a bucketed table that serves the later joins without a shuffle; small
+tables in many partitions, of less than 1 MB a bucket, are staged in a few files and dealt out again.
 
 Edges: null text stays null; an empty or short document stays as it is; null doc_ids come after others; a
 document all of whose paragraphs go keeps its row with an empty text; rows that repeat a doc_id and text are
@@ -508,7 +509,7 @@ def _cut(docs: DataFrame, doc_id: str, text: str, own: str) -> DataFrame:
     gone = repeated(docs.select(key.alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     gone = gone.select(F.col("rk").alias(f"{own}rk2"), F.col("cuts").alias(f"{own}gone"), F.col("n_repeated").alias(f"{own}repeated"), F.col("n_words").alias(f"{own}words"))
     keyed = docs.withColumn(f"{own}rk", key).join(gone.hint("merge"), F.col(f"{own}rk") == F.col(f"{own}rk2"), "left").drop(f"{own}rk2")
-    left = stage_bucketed(keyed.withColumn(f"{own}new", _left(F.col(text), F.col(f"{own}gone"))), "paragraph-left", f"{own}rk")
+    left = stage_bucketed(keyed.withColumn(f"{own}new", _left(F.col(text), F.col(f"{own}gone"))), "paragraph-left", f"{own}rk", of=docs)
     starts = passages(left.select(F.col(f"{own}rk").alias("rk"), F.col(doc_id).alias("doc_id"), F.col(f"{own}new").alias("text")))
     starts = starts.select(F.col("rk").alias(f"{own}rk3"), F.col("cuts").alias(f"{own}starts"), F.col("every").alias(f"{own}every"))
     out = left.join(starts.hint("merge"), F.col(f"{own}rk") == F.col(f"{own}rk3"), "left")

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at a time: texts differ in length, so a number of rows bounds nothing.
 BATCH_BYTES = 8 << 20
-FILE_ROWS, FILE_BYTES = 250_000, 32 << 20
+FILE_ROWS, FILE_BYTES, BUCKET_BYTES = 250_000, 32 << 20, 1 << 20
 #: How staged tables are written. On file systems without a store behind them Spark's writer starts a process to set the
-#: mode of each file, and of a file of checksums beside it; Parquet has checksums of its own, so these are left out.
+#: mode of each file, of the folder of each task that writes one, and of a file of checksums beside it; Parquet has
+#: checksums of its own, so these are left out. Until such a process runs its program it counts as large as the executor.
 STAGED_AS = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
@@ -137,22 +138,32 @@ class Growing:
         return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
 
 
-def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def stage_bucketed(df: DataFrame, name: str, key: str, of: DataFrame) -> DataFrame:
     """Write ``df``, dealt out by ``key`` already (by a join or an aggregation), to the shared folder in as many
     buckets as the session's shuffles have and read it back: joins by the key that follow need no shuffle of this
-    side. The table's name lives as long as its files."""
+    side. The table's name lives as long as its files.
+
+    of: the stored table that ``df`` is made of. Where it has less than ``BUCKET_BYTES`` a bucket, so many files cost
+    more than the shuffles they spare: ``df`` is then staged without buckets.
+    """
     spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts > file_parts(of) and stored_bytes(of) < parts * BUCKET_BYTES:
+        return stage(df, name, of=of)
     at = stage_path(spark, name)
     _NAMED[at] = "pagegraph_" + at.rsplit("-", 1)[-1]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.options(**STAGED_AS).format("parquet").option("path", at).bucketBy(parts, key).saveAsTable(_NAMED[at])
     return spark.table(_NAMED[at])
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Spark's size statistics of a stored table."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def file_parts(table: DataFrame) -> int:
     """Partitions for what is made of a stored table: one for each ``FILE_BYTES`` of its files, two a core at least."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 20, max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+    return min(1 << 20, max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(table) // FILE_BYTES)))
 
 
 def few(df: DataFrame, table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
+from pagegraph import session
 from pagegraph.llm import quality_rules
 
 from .conftest import data, sentence
@@ -97,3 +98,30 @@ def test_a_run_goes_on_after_its_last_whole_stage(spark, folder, tmp_path, monke
     monkeypatch.setattr(cp, "STAGES", [(n, noted(k, False)) for k, (n, _) in enumerate(stages)])
     assert sorted(data(cp.run(spark, source, kept).select("doc_id", "ids_sha256")), key=str) == want
     assert called == [2, 3, 4]
+
+
+def test_small_tables_in_many_partitions_get_few_files(spark, tmp_path):
+    """Each file of an executor starts processes; texts and words of items had one for each shuffle partition."""
+    said = [sentence(s, 70) for s in range(60)]
+    rows = [(i, said[i % 60] + "\n" + sentence(1000 + i, 30), "en", "s", 1) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"i{s}", sentence(s, 40)) for s in range(3000, 3240)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    expected = sorted(data(cp.repeated_paragraphs(spark, docs, str(tmp_path))), key=str)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    known = set(session._STAGED)
+    try:
+        for k, v in zip(names, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        cut = cp.repeated_paragraphs(spark, docs, str(tmp_path))
+        assert sorted(data(cut), key=str) == expected
+        assert sum(len(r[1].split()) for r in expected) < sum(len(r[1].split()) for r in rows)
+        assert data(cp.benchmark_passages(spark, docs, str(tmp_path)).groupBy().count()) == [(240,)]
+        most = session.file_parts(docs)
+        assert most < 64
+        for at in set(session._STAGED) - known:
+            assert len(spark.read.parquet(at).inputFiles()) <= most, at
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
